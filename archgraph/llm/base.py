@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,3 +104,47 @@ def components(edges: DataFrame) -> DataFrame:
     roots = new.select(F.col("v").alias("node"), F.col("v").alias("component_id"))
     alone = loops.select(F.col("u").alias("node"), F.col("v").alias("component_id")).join(stars.unionByName(roots).select("node"), "node", "left_anti")
     return stars.unionByName(roots.distinct()).unionByName(alone)
+
+
+def segments(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[np.ndarray]]]:
+    """(key, columns) of each run of equal values in the first ``keys`` columns of sorted batches.
+
+    The columns must be numbers without nulls. One run is held at a time, so its size must be bounded.
+    """
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        n = len(cols[0])
+        if not n:
+            continue
+        new = np.zeros(n, bool)
+        new[0] = True
+        for c in cols[:keys]:
+            new[1:] |= c[1:] != c[:-1]
+        starts = np.flatnonzero(new)
+        for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            yield tuple(c[i] for c in cols[:keys]), [c[i:j] for c in cols[keys:]]
+        held = [c[starts[-1] :] for c in cols]
+    if held is not None and len(held[0]):
+        yield tuple(c[0] for c in held[:keys]), [c for c in held[keys:]]
+
+
+def in_cells(rows: DataFrame, keys: list[str], values: list[str], side: int = 2048) -> DataFrame:
+    """Deal ``rows(keys.., home, values..)`` into cells of a bounded number of rows, sorted by key and cell.
+
+    Rows with ``home`` = 1 meet all rows with ``home`` = 0 of their key. A key with more than
+    ``side`` rows of either kind becomes a grid: homes are dealt over its lines and visitors over
+    its columns by a hash, and each is sent to every cell of its line or column, so that each
+    home still meets each visitor in one cell. The hot keys are broadcast: callers use keys from a
+    code or block of fixed width, which bounds their number whatever the input.
+    """
+    many = rows.groupBy(*keys).agg(F.sum("home").alias("h"), F.sum(1 - F.col("home")).alias("v")).filter(F.greatest("h", "v") > side)
+    hot = many.select(*keys, F.ceil(F.col("h") / side).cast("int").alias("p"), F.ceil(F.col("v") / side).cast("int").alias("q"))
+    d = rows.join(F.broadcast(hot), keys, "left").withColumns({"p": F.coalesce("p", F.lit(1)), "q": F.coalesce("q", F.lit(1))})
+    mine = F.pmod(F.xxhash64(*values), F.when(F.col("home") == 1, F.col("p")).otherwise(F.col("q"))).cast("int")
+    line = F.when(F.col("home") == 1, F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda j: mine * F.col("q") + j)).otherwise(F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda i: i * F.col("q") + mine))
+    dealt = d.select(*keys, F.explode(line.cast("array<bigint>")).alias("cell"), F.col("home").cast("long").alias("home"), *values)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, *keys, "cell").sortWithinPartitions(*keys, "cell")

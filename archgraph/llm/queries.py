@@ -22,6 +22,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash_dedup import simhash_components
+
+    return simhash_components(table(spark, sf_dir, "documents"), threshold=4, words=4)
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"), radius=3)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -52,6 +64,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op4_simhash": op4_simhash,
+    "op5_fingerprints": op5_fingerprints,
     "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
     "op8_quality": op8_quality,
