@@ -22,6 +22,16 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document its numbers of lines before and after, and the digest of what is left."""
+    from .line_dedup import dedup_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines"))
+    out = dedup_lines(docs, similarity=0.8, min_chars=20)
+    left = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n")))
+    return out.select("doc_id", "n_lines", left.alias("n_left"), F.octet_length("text").alias("bytes_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash_dedup import simhash_components
 
@@ -64,6 +74,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op2_line_dedup": op2_line_dedup,
     "op4_simhash": op4_simhash,
     "op5_fingerprints": op5_fingerprints,
     "op6_mixing": op6_mixing,
