@@ -64,6 +64,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
+def op9_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .run_index import strip_repeats
+
+    return strip_repeats(table(spark, sf_dir, "documents"), length=100)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -80,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
     "op8_quality": op8_quality,
+    "op9_run_index": op9_run_index,
     "op10_bpe": op10_bpe,
 }
 
