@@ -148,3 +148,18 @@ def in_cells(rows: DataFrame, keys: list[str], values: list[str], side: int = 20
     dealt = d.select(*keys, F.explode(line.cast("array<bigint>")).alias("cell"), F.col("home").cast("long").alias("home"), *values)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(n, *keys, "cell").sortWithinPartitions(*keys, "cell")
+
+
+def spanning_labels(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links between rows and columns (bool matrix) the least column of each row's and column's component.
+
+    A row without links gets the number of columns; a column without links stays itself.
+    """
+    n = near.shape[1]
+    label, none = np.arange(n, dtype=np.int32), np.int32(n)
+    while True:  # the least label travels along links until it stays
+        of_row = np.where(near, label, none).min(1, initial=none)
+        new = np.minimum(label, np.where(near, of_row[:, None], none).min(0, initial=none))
+        if (new == label).all():
+            return of_row, label
+        label = new

@@ -32,6 +32,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", left.alias("n_left"), F.octet_length("text").alias("bytes_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_dedup import Config, near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), Config(threshold=0.95))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash_dedup import simhash_components
 
@@ -81,6 +87,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
+    "op3_vector_dedup": op3_vector_dedup,
     "op4_simhash": op4_simhash,
     "op5_fingerprints": op5_fingerprints,
     "op6_mixing": op6_mixing,

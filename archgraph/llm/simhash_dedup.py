@@ -1,13 +1,15 @@
 """SimHash near-duplicates by anchor-point covering (operator 4).
 
-Fingerprints of 64 bits that differ in at most 4 bits are found by anchors: the bits are parted
-into 23 + 23 + 18. For a block of 23 bits the anchors are the words of the binary Golay code,
-whose covering radius is 3 and which is perfect, so each value has one home anchor within 3. Two
+Fingerprints of 64 bits within a threshold are found by anchors: the bits are parted into
+23 + 23 + 18. For a block of 23 bits the anchors are the words of the binary Golay code, whose
+covering radius is 3 and which is perfect, so each value has one home anchor within 3. Two
 fingerprints with at most 4 differing bits have at most 1 of them in one of the long blocks or
 none in the short one (2 + 2 use up all four). So each fingerprint goes to its home anchor and,
 as a visitor, to every anchor within 3 + 1 of its block: these are all anchors within covering
 radius plus the block's share of the threshold, 5.3 on average. For the short block each value is
 an anchor of radius 0. Visitors are compared with the homes of each anchor in whole 64 bits.
+With shares of s bits for the long blocks and s - 1 for the short one, thresholds up to 3 s + 1
+are covered; s = 2 sends 63 copies of a fingerprint, s = 1 sends 12.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import components, in_cells, segments, settle
+from .base import components, in_cells, segments, settle, spanning_labels
 
 #: Generator polynomial of the binary Golay code of length 23 (fixed value).
 GOLAY = 0b101011100011
@@ -30,13 +32,13 @@ _BLOCKS = ((0, 23), (23, 23), (46, 18))
 
 
 @lru_cache
-def golay() -> tuple[np.ndarray, np.ndarray]:
-    """(syndrome of each value of 23 bits, error patterns of weight <= 4 by syndrome, lightest first, -1 where there are fewer)."""
+def golay(radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(syndrome of each value of 23 bits, error patterns of weight <= ``radius`` by syndrome, lightest first, -1 where there are fewer)."""
     syndrome = np.arange(1 << 23, dtype=np.int32)
     for i in range(22, 10, -1):
         syndrome ^= (syndrome >> i & 1) * np.int32(GOLAY << (i - 11))
     by: list[list[int]] = [[] for _ in range(1 << 11)]
-    for weight in range(5):
+    for weight in range(radius + 1):
         for places in combinations(range(23), weight):
             e = sum(1 << p for p in places)
             by[syndrome[e]].append(e)
@@ -76,26 +78,31 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, anchor, home, fp): each fingerprint at its home anchors and, as a visitor, at all near ones."""
-    syndrome, patterns = golay()
-    for b in batches:
-        fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        rows = []
-        for block, (shift, width) in enumerate(_BLOCKS):
-            x = (fp >> np.uint64(shift) & np.uint64((1 << width) - 1)).astype(np.int32)
-            if width == 23:
-                e = patterns[syndrome[x]]
-                rows.append((block, x ^ e[:, 0], 1, fp))
-                for c in e.T:
-                    has = c >= 0
-                    rows.append((block, (x ^ c)[has], 0, fp[has]))
-            else:
-                rows += [(block, x, 1, fp), (block, x, 0, fp)]
-        n = [len(r[1]) for r in rows]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat([r[0] for r in rows], n).astype(np.int64)), pa.array(np.concatenate([r[1] for r in rows]).astype(np.int64)), pa.array(np.repeat([r[2] for r in rows], n).astype(np.int64)), pa.array(np.concatenate([r[3] for r in rows]).view(np.int64))],
-            ["block", "anchor", "home", "fp"])
+def _anchored(share: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(block, anchor, home, fp): each fingerprint at its home anchors and, as a visitor, at all near ones."""
+        syndrome, patterns = golay(3 + share)
+        flips = [sum(1 << p for p in c) for w in range(share) for c in combinations(range(18), w)]
+        for b in batches:
+            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            rows = []
+            for block, (shift, width) in enumerate(_BLOCKS):
+                x = (fp >> np.uint64(shift) & np.uint64((1 << width) - 1)).astype(np.int32)
+                if width == 23:
+                    e = patterns[syndrome[x]]
+                    rows.append((block, x ^ e[:, 0], 1, fp))
+                    for c in e.T:
+                        has = c >= 0
+                        rows.append((block, (x ^ c)[has], 0, fp[has]))
+                else:
+                    rows.append((block, x, 1, fp))
+                    rows += [(block, x ^ np.int32(f), 0, fp) for f in flips]
+            n = [len(r[1]) for r in rows]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat([r[0] for r in rows], n).astype(np.int64)), pa.array(np.concatenate([r[1] for r in rows]).astype(np.int64)), pa.array(np.repeat([r[2] for r in rows], n).astype(np.int64)), pa.array(np.concatenate([r[3] for r in rows]).view(np.int64))],
+                ["block", "anchor", "home", "fp"])
+
+    return run
 
 
 def _linked(threshold: int):
@@ -106,17 +113,9 @@ def _linked(threshold: int):
             if not len(h) or not len(v) or len(h) == len(v) == 1 and h[0] == v[0]:
                 continue
             near = np.bitwise_count(v.view(np.uint64)[:, None] ^ h.view(np.uint64)[None, :]) <= threshold
-            v, near = v[near.any(1)], near[near.any(1)]
-            if not len(v):
-                continue
-            label_h, none = np.arange(len(h), dtype=np.int32), np.int32(len(h))
-            while True:  # the least label travels along links until it stays
-                label_v = np.where(near, label_h, none).min(1)
-                new = np.minimum(label_h, np.where(near, label_v[:, None], none).min(0))
-                if (new == label_h).all():
-                    break
-                label_h = new
-            a, b = np.r_[v, h], h[np.r_[label_v, label_h]]
+            label_v, label_h = spanning_labels(near)
+            linked = near.any(1)
+            a, b = np.r_[v[linked], h], h[np.r_[label_v[linked], label_h]]
             real = a != b
             if real.any():
                 yield pa.RecordBatch.from_arrays([pa.array(a[real]), pa.array(b[real])], ["u", "v"])
@@ -126,9 +125,9 @@ def _linked(threshold: int):
 
 def fingerprint_components(fps: DataFrame, threshold: int = 4) -> DataFrame:
     """(node, component_id) of the fingerprints of ``fps(fp)``, distinct, that link with another one."""
-    if not 0 <= threshold <= 4:
-        raise ValueError("the anchors cover thresholds up to 4")
-    rows = fps.select("fp").mapInArrow(_anchored, "block long, anchor long, home long, fp long")
+    if not 0 <= threshold <= 10:
+        raise ValueError("the anchors cover thresholds up to 10")
+    rows = fps.select("fp").mapInArrow(_anchored(max(1, (threshold + 1) // 3)), "block long, anchor long, home long, fp long")
     edges = in_cells(rows, ["block", "anchor"], ["fp"]).mapInArrow(_linked(threshold), "u long, v long")
     return components(edges)
 
@@ -149,3 +148,26 @@ def simhash_components(docs: DataFrame, threshold: int = 4, words: int = 4) -> D
     roots = settle(member.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     by_fp = settle(member.join(roots, "root").select("fp", "component_id"), "by-fp")
     return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, threshold: int = 4, words: int = 5) -> DataFrame:
+    """One row of ``docs`` of each component of :func:`simhash_components`, all columns as they are.
+
+    The row with the smallest doc_id stays; of several with that id, and in a component without
+    any id, the one with the least hash of its text, and one of rows that agree in that too.
+    Documents are picked by small rows; texts are shuffled only to be joined with them.
+    """
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    d = docs.toDF(*names)  # names that can't clash, whatever the columns of docs are called
+    doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    marked = settle(d.withColumn("_row", F.monotonically_increasing_id()), "marked")
+    key = marked.select(F.col("_row").alias("doc_id"), text.alias("text"))
+    rows = settle(fingerprints(key, words), "fps").toDF("_row", "fp")
+    rows = settle(rows.join(marked.select("_row", doc_id.alias("id"), F.xxhash64(text).alias("h")), "_row"), "keys")
+    # of each fingerprint its best row; null ids last, so that they stay only where there is no other
+    best = F.struct(F.col("id").isNull(), "id", "h", "_row")
+    fps = settle(rows.groupBy("fp").agg(F.min(best).alias("best")), "distinct")
+    nodes = fingerprint_components(fps, threshold).toDF("fp", "root")
+    kept = fps.join(nodes, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
+    kept = settle(kept.select(F.col("best._row").alias("_row")), "kept")
+    return marked.join(kept, "_row", "left_semi").select(*names).toDF(*docs.columns)
