@@ -39,7 +39,7 @@ def _block_edges(m: Model) -> DataFrame:
 
 
 # C: filters
-add("c1_point_lookup", lambda m: m.symbols.filter("id = 'economy/Brand#17/f1.ts::red_widget_1#interface' or sym_key = 1").select("id", "kind"), "SELECT id, kind FROM symbols WHERE sym_key = 1")
+add("c1_point_lookup", lambda m: m.symbols.filter("sym_key = 1").select("id", "kind"), "SELECT id, kind FROM symbols WHERE sym_key = 1")
 add("c2_search", lambda m: changes.search(m.symbols, query="RING", service="svc1", is_exported=True, limit=50).select("id", "name", "kind"), "SELECT id, name, kind FROM symbols WHERE lower(name) LIKE '%ring%' AND service = 'svc1' AND is_exported ORDER BY name, id LIMIT 50")
 add("c4_prefix_filter", lambda m: changes.search(m.symbols, file_path="ECONOMY/brand#1", limit=200).select("id", "name"), "SELECT id, name FROM symbols WHERE starts_with(lower(file_path), 'economy/brand#1') ORDER BY name, id LIMIT 200")
 add("c5_block_members", lambda m: prefix.within_prefixes(m.symbols, m.prefixes.filter("block_id like '%-brand1'"), path="file_path", fold=True).select("id"), "SELECT id FROM symbols s WHERE EXISTS (SELECT 1 FROM prefixes p WHERE p.block_id LIKE '%-brand1' AND starts_with(lower(s.file_path), lower(p.prefix)))")
@@ -90,7 +90,7 @@ add("d14_field_shape", _field_diff, """SELECT dto, field, type, problem FROM (
     LEFT JOIN (SELECT dto, lower(g_field) AS low, g_field, g_type FROM one QUALIFY row_number() OVER (PARTITION BY dto, lower(g_field) ORDER BY g_field) = 1) l ON l.dto = u.dto AND l.low = lower(u.field)))""",
     "one AS (SELECT dto, field AS g_field, min(type) AS g_type FROM fields_given GROUP BY dto, field)")
 add("d16_cross_block_consumers", lambda m: graph.cross_block_exports(m.edges, m.symbols, m.prefixes).select("id", "block_id", F.array_join("consumers", ",").alias("consumers")), "SELECT target AS id, target_block AS block_id, string_agg(DISTINCT source_block, ',' ORDER BY source_block) AS consumers FROM be WHERE source_block <> target_block AND target IN (SELECT id FROM symbols WHERE is_exported) GROUP BY 1, 2", _OWNER, _BLOCK_EDGES)
-add("d17_callers", lambda m: graph.callers(m.edges, m.symbols, "economy/Brand#17/f1.ts::red_widget_1#interface").select("direction", "id", "edge"), "SELECT 'caller' AS direction, source AS id, kind AS edge FROM edges WHERE target = 'economy/Brand#17/f1.ts::red_widget_1#interface' UNION ALL SELECT 'callee', target, kind FROM edges WHERE source = 'economy/Brand#17/f1.ts::red_widget_1#interface'")
+add("d17_callers", lambda m: graph.callers(m.edges, m.symbols, m.symbols.filter("sym_key = 20").first()["id"]).select("direction", "id", "edge"), "SELECT 'caller' AS direction, source AS id, kind AS edge FROM edges WHERE target = (SELECT id FROM symbols WHERE sym_key = 20) UNION ALL SELECT 'callee', target, kind FROM edges WHERE source = (SELECT id FROM symbols WHERE sym_key = 20)")
 add("d20_phase_progress", lambda m: delivery.phase_progress(m.phases, m.tasks).select("id", "total", "done", "cancelled", "percent"), "SELECT p.id, count(t.id) AS total, count(t.id) FILTER (t.status = 'done') AS done, count(t.id) FILTER (t.status = 'cancelled') AS cancelled, CAST(coalesce(round(100.0 * count(t.id) FILTER (t.status = 'done') / nullif(count(t.id) FILTER (t.status <> 'cancelled'), 0)), 0) AS INT) AS percent FROM phases p LEFT JOIN tasks t ON t.phase_id = p.id GROUP BY p.id")
 add("d21_children", lambda m: m.blocks.alias("c").join(m.blocks.alias("p"), F.col("c.parent_id") == F.col("p.id")).select(F.col("p.id").alias("parent"), F.col("c.id").alias("child")), "SELECT p.id AS parent, c.id AS child FROM blocks c JOIN blocks p ON c.parent_id = p.id")
 
