@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archgraph.functions import paths, types
-from archgraph.operators import changes, delivery, drift, graph, prefix, routes, telemetry
+from archgraph.operators import changes, delivery, drift, graph, prefix, propose, review, routes, telemetry
 from archgraph.plans.model import Model, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,6 +188,14 @@ add("h21_open_questions", lambda m: delivery.open_questions(m.scenarios, m.tasks
 add("e25_gates", lambda m: delivery.gate(m.phases, m.tasks, _all(m), m.scenarios), "SELECT p.id, coalesce(t.ok, true) AS tasks_ok, d.ok AS drift_ok, q.ok AS quality_ok, coalesce(t.ok, true) AND d.ok AND q.ok AS may_complete FROM phases p LEFT JOIN (SELECT phase_id, bool_and(status IN ('done', 'cancelled')) AS ok FROM tasks GROUP BY 1) t ON t.phase_id = p.id, (SELECT count(*) FILTER (severity = 'error') = 0 AS ok FROM found) d, (SELECT count(*) FILTER (priority = 'must' AND status = 'failing') = 0 AS ok FROM scenarios) q", _OWNER, _BLOCK_EDGES, _ALL)
 add("h25_keywords", lambda m: m.tasks.select("id", F.col("title").rlike("urgent|high").alias("has_keyword")), "SELECT id, regexp_matches(title, 'urgent|high') AS has_keyword FROM tasks")
 
+_CHANGED = "file_path LIKE '%f1.ts'"
+add("h14_proposal", lambda m: propose.propose(m.symbols, max_blocks=40))
+add("h19_practice_review", lambda m: review.practice_review(m.files.filter("path like '%f1.ts'"), m.symbols, m.edges, m.prefixes, m.tests, _all(m)), f"SELECT DISTINCT 'architecture' AS dimension, file_path AS subject FROM symbols s WHERE {_CHANGED} AND NOT EXISTS (SELECT 1 FROM prefixes p WHERE starts_with(s.file_path, p.prefix)) UNION ALL SELECT DISTINCT 'drift', affected_file FROM found WHERE affected_file IN (SELECT file_path FROM symbols WHERE {_CHANGED}) UNION ALL SELECT DISTINCT 'quality', scenario_id FROM tests t WHERE EXISTS (SELECT 1 FROM symbols s WHERE {_CHANGED} AND starts_with(s.file_path, t.prefix)) UNION ALL SELECT 'coupling', file_path FROM (SELECT s.file_path, count(DISTINCT e.target) AS n FROM edges e JOIN symbols s ON s.id = e.source GROUP BY 1) WHERE n > 20 AND {_CHANGED} UNION ALL SELECT 'complexity', file_path FROM (SELECT file_path, count(*) AS n FROM symbols GROUP BY 1) WHERE n > 30 AND {_CHANGED}", _OWNER, _BLOCK_EDGES, _ALL)
+add("h20_release_check", lambda m: review.role_scenarios(m.scenarios), "SELECT id, category, status FROM scenarios WHERE priority = 'must' AND status <> 'passing'")
+add("h22_guidance", lambda m: review.guidance("small/Brand#2/f1.ts", m.prefixes, m.scenarios, m.decisions, _all(m), "security"), "SELECT 'block' AS kind, 'b-small-brand2' AS subject UNION ALL SELECT 'scenario', id FROM scenarios WHERE category = 'security' UNION ALL SELECT 'decision', decision_id FROM decisions WHERE contains('small/brand#2/f1.ts', lower(prefix)) OR contains(lower(prefix), 'small/brand#2/f1.ts') UNION ALL SELECT 'finding', kind FROM found WHERE affected_file = 'small/Brand#2/f1.ts'", _OWNER, _BLOCK_EDGES, _ALL)
+add("h23_unmapped_folders", lambda m: review.unmapped_folders(m.files, m.prefixes), "SELECT regexp_replace(path, '/[^/]+$', '') AS dir, count(*) AS n_files FROM (SELECT DISTINCT file_path AS path FROM symbols) f WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE starts_with(f.path, p.prefix)) GROUP BY 1")
+add("h28_saving", lambda m: review.saving(m.symbols.selectExpr("file_path as path", "end_line - start_line as tokens"), "large/Brand#1", 100), "SELECT sum(end_line - start_line)::BIGINT AS baseline, round((sum(end_line - start_line) - 100) / sum(end_line - start_line) * 100, 1) AS saved_percent FROM symbols WHERE starts_with(file_path, 'large/Brand#1/')")
+
 # S: functions
 add("s1_normalize_path", lambda m: m.prefixes.select("prefix", paths.normalize_path(F.concat("prefix", F.lit("**"))).alias("plain"), paths.normalize_path(F.concat("prefix", F.lit("**/*"))).alias("nested")), "SELECT prefix, regexp_replace(prefix || '**', '\\*+/?$', '') AS plain, regexp_replace(prefix || '**/*', '\\*+/?$', '') AS nested FROM prefixes")
 add("s3_under_prefix", lambda m: prefix.prefix_pairs(m.files, m.prefixes).filter(paths.under_prefix(F.col("path"), F.col("prefix"))).select("path", "block_id"), "SELECT f.path, p.block_id FROM (SELECT DISTINCT file_path AS path FROM symbols) f JOIN prefixes p ON f.path = rtrim(p.prefix, '/') OR starts_with(f.path, rtrim(p.prefix, '/') || '/')")
