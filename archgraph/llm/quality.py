@@ -33,6 +33,7 @@ class Config:
     dim: int = 12
     grams: tuple[int, ...] = (3, 4)
     epochs: int = 4
+    min_steps: int = 4000
     rate: float = 0.5
     max_rows: int = 6000
     max_bytes: int = 24_000_000
@@ -102,8 +103,9 @@ def fit(texts: list[str], labels: list[int], config: Config = Config()) -> Model
         ids, where = np.unique(np.r_[buckets, pairs], return_inverse=True)
         n = np.bincount(where, weights=np.r_[times, np.ones(len(pairs))])
         docs.append((ids, (n / n.sum()).astype(np.float32)))
-    step, steps = 0, config.epochs * len(docs)
-    for _ in range(config.epochs):
+    epochs = max(config.epochs, -(-config.min_steps // len(docs)))  # a small sample is gone through more often
+    step, steps = 0, epochs * len(docs)
+    for _ in range(epochs):
         for i in rng.permutation(len(docs)):
             rate = np.float32(config.rate * (1 - step / steps))
             step += 1

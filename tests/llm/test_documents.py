@@ -177,7 +177,7 @@ def test_quality_on_held_out_rows(spark):
 
 
 def test_folded_scores_equal_the_averages():
-    model = quality.fit(["good fine text here", "bad bad bad"] * 20, [1, 0] * 20, quality.Config(bits=12, epochs=2))
+    model = quality.fit(["good fine text here", "bad bad bad"] * 20, [1, 0] * 20, quality.Config(bits=12, epochs=2, min_steps=80))
     words = "some fine bad text".split()
     buckets, offsets, hashes = quality.word_features(words, model.config)
     every = np.r_[buckets, quality.pair_buckets(hashes, 12)]
