@@ -104,6 +104,38 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_links_against_brute_force(spark):
+    r = random.Random(3)
+    vocab = ["".join(r.choice("etaoinshrdlucmfw") for _ in range(r.randint(2, 10))) for _ in range(3000)]
+    pairs = []
+    for n in range(8, 41, 4):
+        for share in (0.01, 0.05, 0.1, 0.2):
+            for _ in range(12):
+                a = [r.choice(vocab) for _ in range(n)]
+                b = list(a)
+                for j in r.sample(range(n), max(1, round(n * share))):
+                    b[j] = r.choice(vocab)
+                pairs.append((" ".join(a), " ".join(b)))
+    some = ["Quarterly statement of earnings", "Quarterly statemment of earnings", "私たちは毎日新しい本を図書館で読みます", "私たちは毎日新しい本を図書室で読みます"]
+    pairs += [tuple(some[:2]), tuple(some[2:])]
+    docs = [(2 * i + j, x) for i, p in enumerate(pairs) for j, x in enumerate(p)]
+    left = {g["doc_id"]: g["text"] for g in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    near = [distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9 for a, b in pairs]
+    found = [left[2 * i + 1] == "" for i in range(len(pairs))]
+    assert np.mean([f for f, n in zip(found, near, strict=True) if n]) >= 0.99
+    assert not any(f for f, n in zip(found, near, strict=True) if not n)
+    assert found[-2:] == [True, True]
+
+
 def test_line_simhash(spark):
     rows = [(i, " ".join(f"t{(i * j) % 97}" for j in range(n))) for i, n in enumerate([1, 2, 5, 60, 255, 256, 700, 2000])]
     got = dict(line_dedup.simhash(spark.createDataFrame(rows, "k long, norm string"), ["k"]).collect())
