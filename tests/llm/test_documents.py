@@ -142,6 +142,12 @@ def test_lines_that_differ_in_digits_are_verified(spark):
     assert got == "\n".join(text.split("\n")[:2])
 
 
+def test_lines_without_words_drop_as_exact_copies(spark):
+    text = "+--------+--------+--------+\n| a |\n+--------+--------+--------+\n+------+----------+--------+\n| a |"
+    got = line_dedup.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
+    assert got == "+--------+--------+--------+\n| a |\n+------+----------+--------+\n| a |"
+
+
 def test_line_simhash(spark):
     rows = [(i, " ".join(f"t{(i * j) % 97}" for j in range(n))) for i, n in enumerate([1, 2, 5, 60, 255, 256, 700, 2000])]
     got = dict(line_dedup.simhash(spark.createDataFrame(rows, "k long, norm string"), ["k"]).collect())
