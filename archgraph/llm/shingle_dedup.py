@@ -1,0 +1,93 @@
+"""Near-duplicates by exact similarity of shingle sets, with MinHash bands for candidates.
+
+Documents whose sets of shingles have a Jaccard similarity of the bound or more link. Candidates
+agree in one of 10 bands of 3 MinHash values, which pairs of similarity 0.8 do with a chance of
+1 - (1 - 0.8 ** 3) ** 10 = 0.999; each is then verified on the whole sets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .base import components, settle
+
+BANDS, ROWS = 10, 3
+_DRAWS = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
+
+
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """XXH64 values (seed 42) of the set of shingles, sorted; words and short texts as in :func:`.simhash_dedup.fingerprint`."""
+    w = (text or "").encode().lower().split()
+    if not w:
+        return np.empty(0, np.uint64)
+    runs = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in runs), np.uint64))
+
+
+def _bands(h: np.ndarray) -> list[int]:
+    """A key for each band; a set without shingles has none."""
+    if not len(h):
+        return []
+    low = np.full(BANDS * ROWS, ~np.uint64(0))
+    for i in range(0, len(h), 1 << 14):
+        x = (h[i : i + (1 << 14), None] ^ _DRAWS[0]) * (_DRAWS[1] | np.uint64(1))
+        low = np.minimum(low, (x ^ (x >> np.uint64(29))).min(0))
+    return [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(low.reshape(BANDS, ROWS))]
+
+
+def keep_similar(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """One row of ``docs`` of each group that links of ``similarity`` or more connect, all columns as they are.
+
+    The row that stays is chosen as in :func:`.simhash_dedup.keep_one`; texts with equal sets, also
+    empty ones, link.
+    """
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    d = docs.toDF(*names)  # names that can't clash, whatever the columns of docs are called
+    doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    marked = settle(d.withColumn("_row", F.monotonically_increasing_id()), "marked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, len(b), 500):
+                part = b.slice(i, 500)
+                sets = [shingles(s, words) for s in part.column(1).to_pylist()]
+                sig = [xxhash.xxh3_128_hexdigest(h.tobytes()) for h in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sig), pa.array([len(h) for h in sets], pa.int64()), pa.array([_bands(h) for h in sets], pa.list_(pa.int64())), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["_row", "sig", "n", "bands", "set"])
+
+    sets = settle(marked.select("_row", text.alias("t")).mapInArrow(run, "_row long, sig string, n long, bands array<long>, set array<long>"), "sets")
+    keys = marked.select("_row", doc_id.alias("id"), F.xxhash64(text).alias("h"))
+    rows = sets.select("_row", "sig").join(keys, "_row")
+    # of each set its best row; null ids last, so that they stay only where there is no other
+    best = F.struct(F.col("id").isNull(), "id", "h", "_row")
+    distinct = settle(rows.groupBy("sig").agg(F.min(best).alias("best"), F.min("_row").alias("node")), "distinct")
+    own = distinct.select(F.col("node").alias("_row"))
+    each = sets.select("_row", "n", F.explode("bands").alias("key")).join(own, "_row")
+    heads = "min(struct(_row, n)) over (partition by key) as head", "count(*) over (partition by key) as members"
+    shared = settle(each.selectExpr("key", "_row as id", "n", *heads).filter("members > 1").selectExpr("key", "id", "n", "head._row as hid", "head.n as hn", "members"), "bands")
+
+    def alike(a: str, b: str) -> Column:
+        return F.least(a, b) >= F.greatest(a, b) * F.lit(similarity) - 1e-9
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        t = pairs.join(sets.select(F.col("_row").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("_row").alias("v"), F.col("set").alias("b")), "v")
+        both = F.size(F.array_intersect("a", "b"))
+        return settle(t.filter(both >= (F.size("a") + F.size("b") - both) * F.lit(similarity) - 1e-9).select("u", "v"), name)
+
+    # each member of a band with the least one; then those that this leaves in different groups with each other
+    stars = shared.filter(alike("n", "hn") & (F.col("id") != F.col("hid"))).select(F.col("hid").alias("u"), F.col("id").alias("v")).distinct()
+    edges = verified(stars, "edges")
+    groups = settle(components(edges).toDF("id", "group"), "groups")
+    more = settle(shared.filter("members > 2").select("key", "id", "n").join(groups, "id", "left").select("key", "id", "n", F.coalesce("group", "id").alias("group")), "more")
+    left, right = more.toDF("key", "u", "nu", "gu"), more.toDF("key", "v", "nv", "gv")
+    rest = settle(left.join(right, "key").filter((F.col("gu") < F.col("gv")) & alike("nu", "nv")).select("u", "v").distinct(), "rest")
+    if not rest.isEmpty():
+        groups = settle(components(edges.unionByName(verified(rest, "extra"))).toDF("id", "group"), "groups")
+    named = distinct.join(groups, distinct["node"] == groups["id"], "left").select("best", F.coalesce("group", "node").alias("group"))
+    kept = settle(named.groupBy("group").agg(F.min("best").alias("best")).select(F.col("best._row").alias("_row")), "kept")
+    return marked.join(kept, "_row", "left_semi").select(*names).toDF(*docs.columns)
