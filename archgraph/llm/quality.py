@@ -168,7 +168,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, config: Config = Config(), label: str = "quality") -> Model:
     """Fit on the labelled rows that are not held out, at most ``config.max_rows`` rows and ``config.max_bytes`` bytes.
 
-    The sample is taken by the order of a hash of the id, in whole texts. Rows with a null id or
+    The sample is taken by the order of a hash of the id, in whole texts; a text that does not fit is passed over. Rows with a null id or
     label are not used; of an id with several labels the largest counts, of one with several
     texts the least. Without labelled rows every score is 0.5.
     """
@@ -179,9 +179,9 @@ def train(docs: DataFrame, labels: DataFrame, config: Config = Config(), label:
     sizes = sorted(rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.octet_length("text").alias("n")).collect())
     total, ids = 0, []
     for _, doc_id, n in sizes:
+        if total + n > config.max_bytes:
+            continue
         total += n
-        if total > config.max_bytes:
-            break
         ids.append(doc_id)
     got: list = []
     if ids:

@@ -220,6 +220,15 @@ def test_quality_on_held_out_rows(spark):
     assert (quality.train(docs, labels.limit(0), config).logits == 0).all()
 
 
+def test_a_text_beyond_the_bound_does_not_end_the_sample(spark):
+    docs, labels = [(i, f"good fine text {i}" if i % 2 else f"bad poor junk {i}") for i in range(60)], [(i, i % 2) for i in range(60)]
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    first = labels.filter(~quality.held_out()).orderBy(F.xxhash64("doc_id")).first()["doc_id"]
+    big = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("long "), 1000)).otherwise(F.col("text")))
+    model = quality.train(big, labels, quality.Config(max_bytes=3000, bits=12, epochs=2, min_steps=80))
+    assert (model.logits != 0).any()
+
+
 def test_folded_scores_equal_the_averages():
     model = quality.fit(["good fine text here", "bad bad bad"] * 20, [1, 0] * 20, quality.Config(bits=12, epochs=2, min_steps=80))
     words = "some fine bad text".split()
