@@ -26,7 +26,7 @@ RELATIONS = {
         SELECT DISTINCT s.id AS source, t.id AS target,
                CASE b.l_returnflag || b.l_linestatus WHEN 'AF' THEN 'imports' WHEN 'RF' THEN 'calls' WHEN 'NO' THEN 'uses_type' WHEN 'NF' THEN 'renders' WHEN 'AO' THEN 'extends' ELSE 'implements' END AS kind
         FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey JOIN {symbols} s ON s.sym_key = a.l_partkey JOIN {symbols} t ON t.sym_key = b.l_partkey
-        WHERE a.l_linenumber = 1 AND b.l_linenumber > 1 AND a.l_orderkey % 5 = 0""",
+        WHERE a.l_linenumber = 1 AND b.l_linenumber > 1""",
     "blocks": """
         SELECT DISTINCT 'b-' || lower(p_type) AS id, 1 AS level, CASE WHEN 1 = 0 THEN '' END AS parent_id, CASE WHEN p_type < 'M' THEN DATE '2024-01-10' END AS last_synced FROM {part} WHERE p_type <> 'PROMO'
         UNION ALL SELECT DISTINCT 'b-' || lower(p_type) || '-' || lower(replace(p_brand, '#', '')), 2, 'b-' || lower(p_type), DATE '2024-01-20' FROM {part} WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#13') AND p_type <> 'PROMO'
@@ -53,7 +53,7 @@ RELATIONS = {
                CASE o_custkey % 8 WHEN 0 THEN 'b-economy' WHEN 1 THEN 'b-small' WHEN 2 THEN 'b-large' WHEN 3 THEN 'b-ghost' WHEN 4 THEN 'b-unknown' WHEN 5 THEN 'b-medium' WHEN 6 THEN 'b-standard' END AS block_id,
                lower(o_orderpriority) AS title, o_orderkey AS task_key
         FROM {orders}""",
-    "task_refs": "SELECT 'task-' || l_orderkey AS task_id, CASE WHEN l_linenumber % 5 = 0 THEN 'nowhere.ts' ELSE s.file_path END AS path FROM {lineitem} l JOIN {symbols} s ON s.sym_key = l.l_partkey WHERE l_orderkey % 3 = 0",
+    "task_refs": "SELECT 'task-' || l_orderkey AS task_id, CASE WHEN l_linenumber % 5 = 0 THEN 'nowhere.ts' ELSE s.file_path END AS path FROM {lineitem} l JOIN {symbols} s ON s.sym_key = l.l_partkey",
     "task_scenarios": "SELECT 'task-' || doc_id AS task_id, 'QS-' || doc_id AS scenario_id FROM {documents} WHERE doc_id % 2 = 0",
     "scenarios": """
         SELECT 'QS-' || d.doc_id AS id, CASE d.doc_id % 5 WHEN 0 THEN 'security' WHEN 1 THEN 'performance' WHEN 2 THEN 'reliability' WHEN 3 THEN 'accessibility' ELSE 'maintainability' END AS category,
@@ -72,8 +72,8 @@ RELATIONS = {
         SELECT 'call-' || page_id AS call_id, '/' || upper(split_part(url, '/', 4)) || '/' || split_part(url, '/', 5) AS url, CASE page_id % 3 WHEN 0 THEN 'get' WHEN 1 THEN 'POST' ELSE 'DELETE' END AS method, 'web' || (page_id % 2) AS service FROM {pages}""",
     "files_old": "SELECT source || '/' || doc_id || '.' || lang AS path, sha256_16(text) AS content_hash FROM {documents} WHERE doc_id % 7 <> 0",
     "files_new": "SELECT source || '/' || doc_id || '.' || lang AS path, CASE WHEN doc_id % 5 = 0 THEN sha256_16(text || '!') ELSE sha256_16(text) END AS content_hash FROM {documents} WHERE doc_id % 11 <> 0",
-    "fields_used": "SELECT 'dto' || (c_custkey % 9) AS dto, c_mktsegment || (c_custkey % 4) AS field, CASE c_custkey % 5 WHEN 0 THEN 'string' WHEN 1 THEN 'number' WHEN 2 THEN 'boolean' ELSE 'Thing' END AS type, c_custkey % 6 = 0 AS optional FROM {customer} WHERE c_custkey < 90",
-    "fields_given": "SELECT 'dto' || (s_suppkey % 9) AS dto, CASE WHEN s_suppkey % 2 = 0 THEN c_mktsegment ELSE lower(c_mktsegment) END || (c_custkey % 4) AS field, CASE s_suppkey % 3 WHEN 0 THEN 'Guid' WHEN 1 THEN 'int' ELSE 'bool' END AS type FROM {supplier} JOIN {customer} ON c_custkey % 40 = s_suppkey WHERE c_custkey < 200",
+    "fields_used": "SELECT 'dto' || (c_custkey % 9) AS dto, c_mktsegment || (c_custkey % 4) AS field, CASE c_custkey % 5 WHEN 0 THEN 'string' WHEN 1 THEN 'number' WHEN 2 THEN 'boolean' ELSE 'Thing' END AS type, c_custkey % 6 = 0 AS optional FROM {customer}",
+    "fields_given": "SELECT 'dto' || (s_suppkey % 9) AS dto, CASE WHEN s_suppkey % 2 = 0 THEN c_mktsegment ELSE lower(c_mktsegment) END || (c_custkey % 4) AS field, CASE s_suppkey % 3 WHEN 0 THEN 'Guid' WHEN 1 THEN 'int' ELSE 'bool' END AS type FROM {supplier} JOIN (SELECT * FROM {customer} CROSS JOIN (SELECT count(*) AS n FROM {supplier}) k) c ON c_custkey % n = s_suppkey % n",
 }
 
 
