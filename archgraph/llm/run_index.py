@@ -9,13 +9,16 @@ with an equal anchor are put together in chunks of bounded size, in the order of
 chunk gets an r-index: the run-length Burrows-Wheeler transform with the suffix array sampled at
 the ends of runs. From these samples alone follow, for each position in the order of the text,
 its neighbour in the suffix array and the length of their match; matches of ``length`` or more
-are followed to the earliest position, and all later ones are marked.
+are followed to the earliest position, and all later ones are marked. An anchor with more contexts
+than an index takes gets several: its windows are parted by the place of the anchor in them and by
+the bytes that all windows of such a part have in common, again and again until each part fits.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import forget, segments, settle
+from .base import forget, settle
 
-#: Bytes of a chunk's text, about, and contexts of one anchor that an index takes.
-CHUNK, MANY = 1_000_000, 6000
+#: Bytes of a chunk's text, about, and contexts of one key that an index takes.
+CHUNK, MANY = 1_000_000, 4000
 #: Bytes of a text whose anchors are found at a time; rows that a task dedupes before they are shuffled.
 BLOCK, ROWS = 4_000_000, 1_000_000
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -131,6 +134,18 @@ def _anchor_hashes(raw: bytes, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _least(h: np.ndarray, w: int) -> np.ndarray:
+    """The place of the leftmost least hash, by its upper 40 bits, in each window of ``w`` hashes; at most 2 ** 24 hashes."""
+    low = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)
+    span = 1
+    while 2 * span <= w:  # least of spans of doubling width; two of them cover a window
+        low = np.minimum(low[:-span], low[span:])
+        span *= 2
+    if span < w:
+        low = np.minimum(low[: len(low) - (w - span)], low[w - span :])
+    return (low & np.uint64(0xFFFFFF)).astype(np.int64)
+
+
 def contexts(raw: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor hash, context hash, first window, windows) of the contexts of a text, which part its windows."""
     out = []
@@ -138,11 +153,10 @@ def contexts(raw: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray, n
     for s in range(0, max(0, len(raw) - length + 1), BLOCK):
         part = raw[s : s + BLOCK + length - 1]
         h = _anchor_hashes(part, k)
-        at = np.lib.stride_tricks.sliding_window_view(h, w).argmin(1)
-        at += np.arange(len(at))
+        at = _least(h, w)
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         n = np.diff(np.r_[first, len(at)])
-        x = np.fromiter((xxhash.xxh64_intdigest(part[f : f + c + length - 1]) for f, c in zip(first.tolist(), n.tolist(), strict=True)), np.uint64, len(first))
+        x = np.fromiter((xxhash.xxh64_intdigest(part[f:e]) for f, e in zip(first.tolist(), (first + n + (length - 1)).tolist(), strict=True)), np.uint64, len(first))
         out.append((h[at[first]].view(np.int64), x.view(np.int64), first + s, n))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 4
 
@@ -169,8 +183,9 @@ def _extract(length: int, k: int):
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
+            held.sort(key=lambda t: (t[2][0], t[3][0]))  # whole texts, so that the stable sort keeps the order of the corpus
             a, x, doc, row, p, c = (np.concatenate(col) for col in zip(*held, strict=True))
-            order = np.lexsort((p, row, doc, x, a))
+            order = np.lexsort((x, a))
             a, x, doc, row, p, c = (v[order] for v in (a, x, doc, row, p, c))
             new = np.r_[True, (a[1:] != a[:-1]) | (x[1:] != x[:-1])]
             yield _batch(_ROW, a[new], x[new], doc[new], row[new], p[new], c[new])
@@ -199,39 +214,58 @@ def _extract(length: int, k: int):
 
 def _settle_equal(length: int, many: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(kind, a, doc, row, s, e): kind 0 a span to remove; 1 or 2 the first of several contexts of an anchor, 2 where there are many."""
-        names = ["kind", "a", "doc", "row", "s", "e"]
-        spans: list = []
-
-        def contexts_only() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                is_span = b.column(5).to_numpy() < 0
-                if is_span.any():
-                    _, x, doc, row, p, _ = (c.to_numpy()[is_span] for c in b.columns)
-                    spans.append(_batch(names, np.zeros(len(x)), np.zeros(len(x)), doc, row, p, x))
-                yield b.filter(pa.array(~is_span))
+        """(kind, a, doc, row, s, e): kind 0 a span to remove; 1 the first of several contexts of a key; 2 the same beyond ``many``.
 
-        out: list = []
-        n = 0
-        for (a,), (x, doc, row, p, c) in segments(contexts_only(), 1):
-            yield from spans
-            spans.clear()
-            if len(x) == 1:
+        Rows come sorted by key, context and corpus order. Of the last key of a batch only its
+        first row and that of its last context are carried on, whatever the number of its rows.
+        """
+        names = ["kind", "a", "doc", "row", "s", "e"]
+        # the open key: its value, distinct contexts so far, whether its first row is still held back, that row, the last context's first row
+        open_a = None
+        distinct, waiting, last = 0, None, None
+        for b in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            is_span = cols[5] < 0
+            if is_span.any():
+                _, x, doc, row, p, _ = (c[is_span] for c in cols)
+                zero = np.zeros(len(x), np.int64)
+                yield _batch(names, zero, zero, doc, row, p, x)
+                cols = [c[~is_span] for c in cols]
+            if not len(cols[0]):
                 continue
-            new = np.r_[True, x[1:] != x[:-1]]
+            if last is not None:
+                cols = [np.r_[v, c] for v, c in zip(last, cols, strict=True)]  # that row again, as a base to compare with
+            a, x, doc, row, p, c = cols
+            n = len(a)
+            new_a = np.r_[True, a[1:] != a[:-1]]
+            new = np.r_[True, new_a[1:] | (x[1:] != x[:-1])]
+            key = np.cumsum(new_a) - 1
+            nth = np.cumsum(new) - 1
+            starts = np.flatnonzero(new_a)
+            nth -= nth[starts][key]  # contexts of the key before this one, in this batch
+            carried = open_a is not None and a[0] == open_a
+            if carried:
+                nth[key == 0] += distinct - 1
+            total = nth[np.r_[starts[1:], n] - 1] + 1  # of each key, so far
             e = p + c + length - 1
-            kind = np.zeros(len(x), np.int64)
-            if (m := int(new.sum())) > 1:
-                kind[new] = 2 if m > many else 1
-            keep = (kind > 0) | ~_same_as_first(new, doc, row, p)
-            out.append((kind[keep], np.full(int(keep.sum()), a), doc[keep], row[keep], p[keep], e[keep]))
-            n += len(x)
-            if n > 50_000:
-                yield _batch(names, *(np.concatenate(v) for v in zip(*out, strict=True)))
-                out, n = [], 0
-        yield from spans
-        if out:
-            yield _batch(names, *(np.concatenate(v) for v in zip(*out, strict=True)))
+            kind = np.where(nth < many, 1, 2)
+            shown = new & (total > 1)[key]
+            repeats = ~new & ~_same_as_first(new, doc, row, p)
+            if last is not None:
+                shown[0] = False  # shown, or held back, before
+            if carried and waiting is not None and total[0] > 1:
+                yield _batch(names, np.ones(1, np.int64), *(np.array([v]) for v in waiting))
+                waiting = None
+            kind[repeats] = 0
+            keep = shown | repeats
+            if keep.any():
+                yield _batch(names, *(v[keep] for v in (kind, a, doc, row, p, e)))
+            tail = starts[-1]
+            if not (carried and tail == 0):
+                waiting = tuple(int(v[tail]) for v in (a, doc, row, p, e)) if total[-1] == 1 else None
+            open_a, distinct = int(a[-1]), int(total[-1])
+            at = int(np.flatnonzero(new)[-1])
+            last = tuple(int(v[at]) for v in cols)
 
     return run
 
@@ -281,14 +315,32 @@ def _take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in (kind, a, doc, row, s)), pa.array(raw, pa.binary())], ["kind", "a", "doc", "row", "s", "text"])
 
 
-def _windows(length: int):
+def _split(length: int, k: int, level: int):
+    """Rows as of :func:`_extract` for the parts of contexts (doc, row, s, text): windows with the anchor in one of 2 ** level ranges of places.
+
+    Windows that are equal have the anchor at the same place, so they are in parts of one range,
+    which have in common all bytes that its windows share; a hash of these is the new key.
+    """
+    places = length - k + 1
+    width = -(-places // (1 << level))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(w1, w2, doc, row, s): each window of contexts by two hashes."""
         for b in batches:
+            out = []
             for doc, row, s, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                every = [raw[i : i + length] for i in range(len(raw) - length + 1)]
-                w1, w2 = (np.array([xxhash.xxh64_intdigest(x, seed) for x in every], np.uint64).view(np.int64) for seed in (1, 2))
-                yield _batch(["w1", "w2", "doc", "row", "s"], w1, w2, np.full(len(w1), doc), np.full(len(w1), row), np.arange(s, s + len(w1)))
+                q = int(_least(_anchor_hashes(raw[:length], k), places)[0])
+                c = len(raw) - length + 1
+                first = 0
+                while first < c:  # windows from first on, with the anchor at place q - first
+                    lo = (q - first) // width * width
+                    hi = min(lo + width, places) - 1
+                    end = min(c, q - lo + 1)
+                    core = raw[q - lo : q - hi + length]
+                    key = xxhash.xxh64_intdigest(core, 1 + lo)
+                    out.append((key - (1 << 63), xxhash.xxh64_intdigest(raw[first : end + length - 1]) - (1 << 63), doc, row, s + first, end - first))
+                    first = end
+            if out:
+                yield _batch(_ROW, *(np.array(v, np.int64) for v in zip(*out, strict=True)))
 
     return run
 
@@ -299,28 +351,43 @@ def repeated_spans(docs: DataFrame, length: int = 100, k: int = 32, many: int =
     ``doc`` is the doc_id, the least long for a null one, ``row`` xxhash64 of the text. A span
     goes if each of its bytes is in a passage of ``length`` bytes that also starts earlier: in a
     document with a smaller id (null first), in one of equal id and smaller ``row``, or before in
-    the same document. Rows that repeat both id and text count as one document. Anchors with more
-    than ``many`` contexts are resolved window by window instead of by an index.
+    the same document. Rows that repeat both id and text count as one document. Contexts of an
+    anchor with more than ``many`` of them are parted into several indexes by :func:`_split`, at
+    most seven times; single windows, the last parts, are all settled by their hashes.
     """
     if not k <= length - 8:
         raise ValueError("the k-grams must be shorter than the passages")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = _keyed(docs).filter(F.octet_length("text") >= length)
-    rows = d.mapInArrow(_extract(length, k), "a long, x long, doc long, row long, p long, c long")
-    rows = rows.repartition(n, "a").sortWithinPartitions("a", "x", "doc", "row", "p")
-    found = settle(rows.mapInArrow(_settle_equal(length, many), "kind long, a long, doc long, row long, s long, e long"), "found", "kind")
-    spans = found.filter("kind = 0").select("doc", "row", "s", "e")
-    items = settle(found.filter("kind > 0").groupBy("doc", "row").agg(F.collect_list(F.struct("kind", "a", "s", "e")).alias("items")), "items")
-    text = d.join(items.toDF("doc_", "row_", "items"), (F.col("doc") == F.col("doc_")) & (F.col("row") == F.col("row_"))).dropDuplicates(["doc", "row"])
-    taken = settle(text.select("doc", "row", "text", "items").mapInArrow(_take, "kind long, a long, doc long, row long, s long, text binary"), "taken", "kind")
-    forget(items)
-    few = taken.filter("kind = 1").select("a", "doc", "row", "s", "text").repartition(n, "a").sortWithinPartitions("a", "doc", "row", "s")
+    row = "a long, x long, doc long, row long, p long, c long"
+
+    def settled(rows: DataFrame) -> DataFrame:
+        rows = rows.repartition(n, "a").sortWithinPartitions("a", "x", "doc", "row", "p")
+        return settle(rows.mapInArrow(_settle_equal(length, many), "kind long, a long, doc long, row long, s long, e long"), "found", "kind")
+
+    def texts(found: DataFrame) -> DataFrame:
+        """The contexts of kinds 1 and 2 with their bytes; a key with any of kind 2 is hot as a whole."""
+        hot = found.filter("kind = 2").select("a").distinct().withColumn("hot", F.lit(1))
+        listed = found.filter("kind > 0").select("a", "doc", "row", "s", "e").join(hot, "a", "left").withColumn("kind", F.coalesce("hot", F.lit(0)).cast("long") + 1)
+        items = settle(listed.groupBy("doc", "row").agg(F.collect_list(F.struct("kind", "a", "s", "e")).alias("items")), "items")
+        text = d.join(items.toDF("doc_", "row_", "items"), (F.col("doc") == F.col("doc_")) & (F.col("row") == F.col("row_"))).dropDuplicates(["doc", "row"])
+        out = settle(text.select("doc", "row", "text", "items").mapInArrow(_take, "kind long, a long, doc long, row long, s long, text binary"), "taken", "kind")
+        forget(items)
+        return out
+
+    found = settled(d.mapInArrow(_extract(length, k), row))
+    spans, few = [], []
+    for level in range(1, (length - k).bit_length() + 2):
+        spans.append(found.filter("kind = 0").select("doc", "row", "s", "e"))
+        taken = texts(found)
+        few.append(taken.filter("kind = 1").select("a", "doc", "row", "s", "text"))
+        hot = taken.filter("kind = 2")
+        if hot.isEmpty():
+            break
+        found = settled(hot.select("doc", "row", "s", "text").mapInArrow(_split(length, k, level), row))
+    few = reduce(DataFrame.unionByName, few).repartition(n, "a").sortWithinPartitions("a", "doc", "row", "s")
     late = few.mapInArrow(_resolve(length), "doc long, row long, s long, e long")
-    # anchors with more contexts than an index takes: each window by itself, the first by a partial aggregation
-    every = settle(taken.filter("kind = 2").select("doc", "row", "s", "text").mapInArrow(_windows(length), "w1 long, w2 long, doc long, row long, s long"), "windows")
-    first = settle(every.groupBy("w1", "w2").agg(F.min(F.struct("doc", "row", "s")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("w1", "w2", "first"), "first")
-    more = every.join(first, ["w1", "w2"]).filter(F.struct("doc", "row", "s") != F.col("first")).select("doc", "row", "s", (F.col("s") + length).alias("e"))
-    return spans.unionByName(late).unionByName(more)
+    return reduce(DataFrame.unionByName, spans).unionByName(late)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def check(spark, rows, length, **k):
         assert bytes(r["kept"]) == kept
 
 
-@pytest.mark.parametrize("many", [6000, 1])
+@pytest.mark.parametrize("many", [6000, 3, 1])
 def test_against_brute_force(spark, many):
     r = random.Random(3)
     base = ["".join(r.choice("abcdé ") for _ in range(r.randint(50, 400))) for _ in range(12)]
@@ -64,3 +64,34 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted((r["doc_id"], r["n_removed"]) for r in run_index.strip_repeats(docs).collect())
     assert got == [(1, 0), (1, 0), (2, len(text))]
     assert run_index.strip_repeats(docs.limit(0)).count() == 0
+
+
+def test_passage_across_the_blocks_of_a_long_text(spark):
+    r = random.Random(5)
+    passage = "".join(r.choice("bcdfg") for _ in range(400))
+    filler = lambda n: "".join(f"{r.getrandbits(64):016x}" for _ in range(n // 16))
+    long = filler(run_index.BLOCK - 208) + passage + filler(300_000)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in run_index.strip_repeats(spark.createDataFrame([(1, passage), (2, long), (3, long[-1000:])], "doc_id long, text string")).collect()}
+    assert got == {1: (400, 0, 0), 2: (len(long), 400, 1), 3: (1000, 1000, 1)}
+
+
+def test_equal_rows_settle_alike_however_they_come_in_batches():
+    r = random.Random(8)
+    rows = sorted((r.randint(0, 30), r.randint(0, 5), r.randint(0, 9), 0, r.randint(0, 2), 1) for _ in range(900))
+    rows += [(7, 3, 2, 4, 60 + i, -1) for i in range(5)]
+
+    def result(cuts, many):
+        parts = [rows[i:j] for i, j in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+        out = run_index._settle_equal(10, many)(run_index._batch(run_index._ROW, *np.array(p).T) for p in parts if p)
+        return sorted(tuple(x) for b in out for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
+
+    whole = {}
+    for a, x, doc, row, p, c in rows[:900]:
+        whole.setdefault(a, {}).setdefault(x, []).append((doc, row, p, p + c + 9))
+    for many in (2, 100):
+        want = [(0, 0, 2, 4, 60 + i, 3) for i in range(5)]
+        for a, by in whole.items():
+            for nth, (_, occ) in enumerate(sorted(by.items())):
+                want += [(1 if nth < many else 2, a, *occ[0])] * (len(by) > 1) + [(0, a, *o) for o in occ if o != occ[0]]
+        for cuts in ([], [1], sorted(r.sample(range(900), 40)), range(1, 900)):
+            assert result(cuts, many) == sorted(want)
