@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding by a rank file (operator 10).
 
-Pre-tokens that are tokens of the rank file encode as such; the others go to length-bucketed
-padded matrices, where every row merges its leftmost pair of least rank each round.
+Pre-tokens, the matches of any pattern, that are tokens of the rank file encode as such; the
+others go to length-bucketed padded matrices, where every row merges its leftmost pair of least
+rank each round.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .matrix_bpe import MatrixMerger, PairTable, Units, portions
+from .matrix_bpe import BYTE_LEVEL, MatrixMerger, PairTable, Units, portions
 
 _WORKER: dict = {}
 
@@ -35,7 +36,9 @@ class Codec:
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], r, r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         columns = [np.array(x, np.int32) for x in zip(*pairs, strict=True)] if pairs else [np.empty(0, np.int32)] * 4
         self.merger = MatrixMerger([self.ranks[bytes([b])] for b in range(256)], PairTable(*columns))
-        self.units = Units(regex.compile(pattern).findall, self._ids, ())
+        find = regex.compile(pattern)
+        # whole matches, whatever groups the pattern has
+        self.units = Units(lambda s: [m.group() for m in find.finditer(s)] if find.groups else find.findall(s), self._ids, (), cuts=pattern == BYTE_LEVEL)
 
     def _ids(self, pieces: list[str]) -> list[tuple[int, ...]]:
         raw = [p.encode() for p in pieces]

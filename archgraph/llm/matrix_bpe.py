@@ -12,7 +12,7 @@ NONE = np.int32(2**31 - 1)
 LONG = 192
 #: Cells of one matrix at most.
 CELLS = 1_000_000
-#: Entries of a worker's tables; a full table starts anew.
+#: Entries of a generation of a worker's tables.
 ENTRIES = 300_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -136,41 +136,76 @@ class MatrixMerger:
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _PLAIN = re.compile("[^\\sɐ-\U0010ffff]+")
-#: The byte-level pattern for text below U+0250, where Python's classes tell letters and numbers.
+#: The byte-level pattern for pre-tokens (fixed value); only under this one may texts be cut at spaces.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for text below U+0250, where Python's classes tell letters and numbers.
 _LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_²³¹¼½¾]+| ?[\d²³¹¼½¾]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
+class Table(dict):
+    """A bounded table of two generations: a full one becomes the old one, and what is looked up there moves on."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.old: dict = {}
+
+    def turn(self) -> None:
+        if len(self) > ENTRIES:
+            self.old = dict(self)
+            self.clear()
+
+    def unknown(self, keys: Iterable) -> list:
+        """The keys that neither generation has; those of the old one are taken over."""
+        new = [k for k in keys if k not in self]
+        if not self.old:
+            return new
+        get, out = self.old.get, []
+        for k in new:
+            v = get(k, self)
+            if v is self:
+                out.append(k)
+            else:
+                self[k] = v
+        return out
+
+
 class Units:
     """Values of texts, each the sum of the values of their pre-tokens.
 
-    A text is cut at single spaces between two non-space characters. No pre-token of the
-    byte-level pattern reaches over such a cut, since a single space joins what follows it; so
-    the value of a unit depends on the unit alone. Units and pre-tokens are kept in tables of
+    With ``cuts``, for which ``split`` must be the byte-level pattern, a text is cut at single
+    spaces between two non-space characters. No pre-token of that pattern reaches over such a
+    cut, since a single space joins what follows it; so the value of a unit depends on the unit
+    alone. With any other pattern a text is one unit. Units and pre-tokens are kept in tables of
     bounded size, and new ones are split and merged together, a batch at a time.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], value: Callable[[list[str]], list], zero, special: str = "") -> None:
-        self.split, self.value, self.zero, self.special = split, value, zero, special
-        self.units: dict = {}
-        self.pieces: dict = {}
+    def __init__(self, split: Callable[[str], list[str]], value: Callable[[list[str]], list], zero, cuts: bool = False, special: Iterable[str] = ()) -> None:
+        self.split, self.value, self.zero, self.cuts = split, value, zero, cuts
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.words = cuts and not any(s.strip().isalpha() for s in special)  # no special string lies in a word of letters
+        self.units, self.pieces = Table(), Table()
 
     def _value(self, piece_lists: Iterable[list[str]]) -> list:
         lists = list(piece_lists)
-        todo = [p for p in {p for x in lists for p in x} if p not in self.pieces]
+        todo = self.pieces.unknown({p for x in lists for p in x})
         if todo:
             self.pieces.update(zip(todo, self.value(todo), strict=True))
         get = self.pieces.__getitem__
-        return [sum(map(get, x), self.zero) for x in lists]
+        return [get(x[0]) if len(x) == 1 else sum(map(get, x), self.zero) for x in lists]
 
     def _learn(self, todo: list[str]) -> None:
-        plain, odd = [], []
+        words, plain, odd = [], [], []
         for u in todo:
-            if not u or u[0].isspace() or u[-1].isspace():
+            if self.words and u.isalpha() and u.isascii():
+                words.append(u)  # one pre-token as it is
+            elif not u or u[0].isspace() or u[-1].isspace():
                 self.units[u] = None  # what it is depends on its neighbours
-            elif _PLAIN.fullmatch(u) and not (self.special and self.special in u):
+            elif _PLAIN.fullmatch(u) and not (self.special and self.special.search(u)):
                 plain.append(u)
             else:
                 odd.append(u)
+        if words:
+            self.units.update(zip(words, self.value([" " + u for u in words]), strict=True))
         lists: list[list[str]] = []
         if plain:
             for p in _LATIN.findall("\n " + "\n ".join(plain)):
@@ -186,12 +221,12 @@ class Units:
 
     def batch(self, texts: list[str]) -> list[list]:
         """Of each text the values of its units, in order."""
+        self.units.turn()
+        self.pieces.turn()
+        if not self.cuts:
+            return [[v] for v in self._value(map(self.split, texts))]
         cut = [s.split(" ") for s in texts]
-        for table in (self.units, self.pieces):
-            if len(table) > ENTRIES:
-                table.clear()
-        todo = set().union(*[c[1:] for c in cut])
-        self._learn([u for u in todo if u not in self.units])
+        self._learn(self.units.unknown(set().union(*[c[1:] for c in cut])))
         firsts = self._value([self.split(c[0]) for c in cut])
         get, out = self.units.__getitem__, []
         for s, c, f in zip(texts, cut, firsts, strict=True):
@@ -203,7 +238,7 @@ class Units:
 
     def _recut(self, s: str) -> list:
         c = _CUT.split(s)
-        self._learn([u for u in set(c[1:-1]) if u not in self.units])
+        self._learn(self.units.unknown(set(c[1:-1])))
         row = [self._exact(c[0]), *map(self.units.__getitem__, c[1:-1])]
         return row if len(c) == 1 else [*row, self._exact(" " + c[-1])]
 

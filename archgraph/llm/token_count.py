@@ -43,6 +43,9 @@ class Vocabulary:
         self.merger = MatrixMerger([vocab[c] for c, _ in sorted(chars.items(), key=lambda x: x[1])], PairTable(*ids))
         special = {t["content"] for t in j["added_tokens"]}
         self.special = sorted(special)
+        pre = j.get("pre_tokenizer") or {}
+        # texts may be cut at spaces if pre-tokens are those of the byte-level pattern on the text as it is
+        self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not j.get("normalizer")
         self.tokens = [self.to_bytes(s) for s in vocab if s not in special]
 
 
@@ -57,12 +60,13 @@ def counts(path: str, whole: frozenset[bytes], texts: list[str]) -> list[int]:
     if path not in _WORKER:
         from tokenizers import Tokenizer
 
-        v, pre = Vocabulary(path), Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        v, library = Vocabulary(path), Tokenizer.from_file(path)
+        pre, normal = library.pre_tokenizer.pre_tokenize_str, library.normalizer.normalize_str if library.normalizer else str
         cut = re.compile("(" + "|".join(map(re.escape, v.special)) + ")") if v.special else None
 
         def split(s: str) -> list:
             parts = cut.split(s) if cut else [s]  # odd ones are special strings
-            return [x for i, p in enumerate(parts) for x in ([p] if i % 2 else [v.to_bytes(t) for t, _ in pre(p)])]
+            return [x for i, p in enumerate(parts) for x in ([p] if i % 2 else [v.to_bytes(t) for t, _ in pre(normal(p))])]
 
         def value(pieces: list) -> list[int]:
             raw = [p if isinstance(p, bytes) else p.encode() for p in pieces]
@@ -72,7 +76,7 @@ def counts(path: str, whole: frozenset[bytes], texts: list[str]) -> list[int]:
                 out[i] = len(ids)
             return out
 
-        _WORKER[path] = Units(split, value, 0, v.special[0] if v.special else "")
+        _WORKER[path] = Units(split, value, 0, v.cuts, v.special)
     return [sum(row) for row in _WORKER[path].batch(texts)]
 
 

@@ -1,12 +1,13 @@
 import base64
 import hashlib
+import json
 import random
 
 import public_tokenizers as P
 import tiktoken
 from tokenizers import Tokenizer
 
-from archgraph.llm import bpe, token_count
+from archgraph.llm import bpe, matrix_bpe, token_count
 from archgraph.llm.matrix_bpe import portions
 
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_multi_50k.tiktoken")
@@ -60,3 +61,29 @@ def test_frames_with_nulls_repeats_and_clashing_columns(spark):
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(r["ids"]), hashlib.sha256(",".join(map(str, r["ids"])).encode()).hexdigest(), hashlib.sha256(s.encode()).hexdigest())
     assert sorted(r["text"] for r in bpe.decode_ids(out, RANKS, P.PATTERN).collect()) == sorted(s or "" for _, s, _ in rows)
     assert token_count.token_counts(docs.limit(0), JSON).count() == bpe.encode_documents(docs.limit(0), RANKS, P.PATTERN).count() == 0
+
+
+def test_other_patterns_and_settings_give_the_library_s_ids(tmp_path, monkeypatch):
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    some = [*texts()[:600], "a 2024 b", "x1y 22  z"]
+    for pattern in (r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\s+", r"(a|b)c?|\s?\S|\s", r"\S+\s*|\s+"):
+        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        c = bpe.Codec(RANKS, pattern)
+        assert c.encode(some) == [enc.encode_ordinary(s) for s in some]
+    with open(JSON, encoding="utf-8") as f:
+        j = json.load(f)
+    j["pre_tokenizer"] |= {"add_prefix_space": True}
+    j["normalizer"] = {"type": "Lowercase"}
+    j["added_tokens"].append({**j["added_tokens"][0], "id": 7, "content": "!hello"})
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(j, f)
+    v = token_count.Vocabulary(path)
+    assert not v.cuts and token_count.Vocabulary(JSON).cuts
+
+
+def test_small_tables_change_nothing(monkeypatch):
+    monkeypatch.setattr(matrix_bpe, "ENTRIES", 50)
+    enc, c, some = library(), bpe.Codec(RANKS, P.PATTERN), texts()[:900]
+    assert [i for j in range(0, 900, 90) for i in c.encode(some[j : j + 90])] == [enc.encode_ordinary(s) for s in some]
