@@ -27,7 +27,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines"))
-    out = dedup_lines(docs, similarity=0.8, min_chars=20)
+    out = dedup_lines(docs, similarity=0.8)
     left = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n")))
     return out.select("doc_id", "n_lines", left.alias("n_left"), F.octet_length("text").alias("bytes_left"), F.sha2("text", 256).alias("text_sha256"))
 

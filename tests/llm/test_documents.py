@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -100,7 +101,7 @@ def test_line_dedup(spark):
     out = line_dedup.dedup_lines(docs)
     assert out.columns == docs.columns
     got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
-    assert got == sorted([(1, rows[0][1]), (2, "short\nA line of its own that nobody repeats"), (3, ""), (4, None), (5, ""), (6, long), (7, "\n"), (8, "12 bottles of beer on a wall"), (9, "repeats twice in itself, twice"), (9, "repeats twice in itself, twice")], key=str)
+    assert got == sorted([(1, rows[0][1]), (2, "A line of its own that nobody repeats"), (3, ""), (4, None), (5, ""), (6, long), (7, "\n"), (8, "12 bottles of beer on a wall"), (9, "repeats twice in itself, twice"), (9, "repeats twice in itself, twice")], key=str)
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
@@ -145,15 +146,58 @@ def test_lines_that_differ_in_digits_are_verified(spark):
 def test_lines_without_words_drop_as_exact_copies(spark):
     text = "+--------+--------+--------+\n| a |\n+--------+--------+--------+\n+------+----------+--------+\n| a |"
     got = line_dedup.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
-    assert got == "+--------+--------+--------+\n| a |\n+------+----------+--------+\n| a |"
-
-
-def test_line_simhash(spark):
-    rows = [(i, " ".join(f"t{(i * j) % 97}" for j in range(n))) for i, n in enumerate([1, 2, 5, 60, 255, 256, 700, 2000])]
-    got = dict(line_dedup.simhash(spark.createDataFrame(rows, "k long, norm string"), ["k"]).collect())
-    for k, text in rows:
-        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in text.split(" ")]
-        assert got[k] == sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(63))
+    assert got == "+--------+--------+--------+\n| a |\n+------+----------+--------+"
+
+
+def test_dropped_lines_of_the_corpus_equal_the_closure_of_candidates(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60)
+    docs = docs.unionByName(spark.createDataFrame([(-1, "All rights reserved\n\n \nPage one of it"), (-2, "all rights RESERVED.\n"), (None, "Page one of it")], docs.schema)).cache()
+    got = {(r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(docs).collect()}
+    norm = lambda x: " ".join(regex.sub(r"[^\p{L}\p{M}\p{N}]+", " ", x.lower()).split()) or ("\n" + " ".join(x.split()) if x.strip() else "")
+    rows = sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"]))
+    first, group = {}, {}
+    for r in rows:
+        for x in r["text"].split("\n"):
+            first.setdefault(norm(x), len(first))
+    some = [x for x in first if len(x) >= 20 and x[0] != "\n"]
+    root = {x: x for x in first}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def within(a, b, most):
+        if abs(len(a) - len(b)) > most:
+            return False
+        row = np.arange(len(b) + 1)
+        y = np.frombuffer(b.encode("utf-32-le"), np.uint32)
+        for i, c in enumerate(np.frombuffer(a.encode("utf-32-le"), np.uint32), 1):
+            best = np.minimum(row[1:] + 1, row[:-1] + (y != c))
+            new = np.r_[i, best]
+            row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+            if row.min() > most:
+                return False
+        return row[-1] <= most
+
+    some.sort(key=len)
+    for i, a in enumerate(some):
+        for b in some[i + 1 :]:
+            if len(a) < 0.8 * len(b) - 1e-9:
+                break
+            if set(a.split()) & set(b.split()) and within(a, b, int(0.2 * len(b) + 1e-9)):
+                x, y = sorted((find(a), find(b)), key=first.get)
+                root[y] = x
+    seen, want = set(), set()
+    for r in rows:
+        kept = []
+        for x in r["text"].split("\n"):
+            if not norm(x) or find(norm(x)) not in seen:
+                kept.append(x)
+                if norm(x):
+                    seen.add(find(norm(x)))
+        want.add((r["doc_id"], "\n".join(kept)))
+    assert len(got & want) >= 0.97 * len(want)
 
 
 def expected_targets(sizes, share=1.5, cap=2.0):
