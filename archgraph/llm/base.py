@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 #: The class of characters that separate words in every contract of this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
 _LOCAL: dict[str, str] = {}
+#: Paths handed out by :func:`scratch` and not deleted since.
+PATHS: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         app = spark.sparkContext.applicationId
         if app not in _LOCAL:
-            if not spark.sparkContext.master.startswith("local"):
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="archgraph-")
         base = _LOCAL[app]
@@ -35,7 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, not yet there."""
-    return f"{shared_dir(spark)}/archgraph/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/archgraph/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    PATHS.append(path)
+    return path
 
 
 def settle(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
@@ -59,6 +64,8 @@ def forget(df: DataFrame) -> None:
 
 def delete(spark: SparkSession, path: str | None) -> None:
     if path:
+        if path in PATHS:
+            PATHS.remove(path)
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
