@@ -1,4 +1,4 @@
-"""Changed sets, snapshots and name resolution (A12, A17, A18, B13, C2-C5, G2-G8, G14 precedence, H29)."""
+"""Changed sets, snapshots and name resolution."""
 
 from __future__ import annotations
 
@@ -75,11 +75,40 @@ def keep_statuses(old: DataFrame, new: DataFrame, default: str) -> DataFrame:
 def resolve_names(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """(ref_id, id): candidates of each reference (ref_id, name, scope, file_path) by bare name.
 
-    Those in its own declaring scope if there are any, else those in its file, else all. The best
-    tier comes from an aggregation by reference, so that no window holds a popular name's rows.
+    Those in its own declaring scope if there are any, else those in its file, else all. Each
+    step is an equi-join on what is still open, so that a popular name meets all its symbols only
+    for references without a nearer one. A reference is one row.
     """
-    s = symbols.select("id", "name", F.col("scope").alias("s_scope"), F.col("file_path").alias("s_file"))
-    tier = F.when((F.col("s_file") == F.col("file_path")) & F.col("s_scope").eqNullSafe(F.col("scope")) & F.col("scope").isNotNull(), 1).when(F.col("s_file") == F.col("file_path"), 2).otherwise(3)
-    hits = refs.join(s, "name").select("ref_id", "id", tier.alias("tier"))
-    best = hits.groupBy("ref_id").agg(F.min("tier").alias("tier"))
-    return hits.join(best, ["ref_id", "tier"]).select("ref_id", "id")
+    s = symbols.select("id", "name", F.col("scope").alias("scope"), "file_path")
+    own = refs.join(s, ["name", "file_path", "scope"]).select("ref_id", "id")
+    left = refs.join(own.select("ref_id"), "ref_id", "left_anti")
+    near = left.join(s.drop("scope"), ["name", "file_path"]).select("ref_id", "id")
+    far = left.join(near.select("ref_id"), "ref_id", "left_anti").join(s.select("id", "name"), "name").select("ref_id", "id")
+    return own.unionByName(near).unionByName(far)
+
+
+def sensitive_files(files: DataFrame) -> DataFrame:
+    """Changed files(path) that look like secrets."""
+    # fixed values: the five patterns
+    patterns = [r"\.env", r"secrets?\.", r"credentials", r"\.pem$", r"\.key$"]
+    return files.filter(F.col("path").rlike("|".join(patterns)))
+
+
+def file_class(path: Column) -> Column:
+    """C20: test, code or other by the ending; a test is no code file."""
+    return F.when(path.rlike(r"\.(test|spec)\.(ts|tsx|js|jsx)$"), "test").when(path.rlike(r"\.(ts|tsx|js|jsx)$"), "code").otherwise("other")
+
+
+def run_totals(runs: DataFrame) -> DataFrame:
+    """The sums of all number columns over the runs, 0 without any."""
+    return runs.agg(*[F.coalesce(F.sum(f.name), F.lit(0)).alias(f.name) for f in runs.schema if f.dataType.typeName() in ("long", "integer", "double")])
+
+
+def decisions_for(decisions: DataFrame, block: str | None = None, file: str | None = None) -> DataFrame:
+    """decisions(decision_id, blocks, files) of a block, or with an affected file that contains ``file`` ignoring case; each once."""
+    hit = F.lit(False)
+    if block is not None:
+        hit = hit | F.array_contains("blocks", block)
+    if file is not None:
+        hit = hit | F.exists("files", lambda f: F.lower(f).contains(file.lower()))
+    return decisions.filter(hit).dropDuplicates(["decision_id"])

@@ -118,3 +118,39 @@ def open_questions(s: DataFrame, tasks: DataFrame, blocks: DataFrame, prefixes:
         .unionByName(tasks.filter("block_id is null and status <> 'cancelled'").select(*ask("unplaced task", F.col("id"))))
         .unionByName(findings.select(*ask("drift", F.col("kind"))).distinct())
     )
+
+
+#: Words in a task's title that call for a decision record.
+ARCHITECTURAL = ["auth", "database", "middleware", "validation", "caching", "dependency injection", "error handling"]
+
+
+def decision_reminder(tasks: DataFrame, decisions: DataFrame, words: list[str] = ARCHITECTURAL) -> DataFrame:
+    """Tasks whose title contains one of the words, ignoring case; none where more than one decision is recorded."""
+    few = decisions.agg(F.count("*").alias("_n")).filter("_n <= 1")  # one row or none
+    hit = F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower("title"), w))
+    return tasks.filter(hit).join(F.broadcast(few.select(F.lit(1))), how="left_semi")
+
+
+def status_counts(tasks: DataFrame, s: DataFrame) -> DataFrame:
+    """Tasks done, in progress and blocked, scenarios passing, failing and untested, in one row."""
+    t = tasks.agg(*[F.count_if(F.col("status") == x).alias(x.replace("-", "_")) for x in ("done", "in-progress", "blocked")])
+    return t.crossJoin(s.agg(*[F.count_if(F.col("status") == x).alias(x) for x in ("passing", "failing", "untested")]))
+
+
+def complete_phase(phases: DataFrame, gates: DataFrame, phase_id: str, now: Column) -> DataFrame:
+    """phases(id, phase_number, status, started_at, completed_at) with the phase complete and the planned one of the next number begun, if its gate is open.
+
+    A new snapshot; it replaces the old one as a whole. ``gates`` is of :func:`gate`.
+    """
+    this = phases.agg(F.max(F.when(F.col("id") == phase_id, F.col("phase_number") + 1)).alias("_next"))
+    open_ = gates.agg(F.bool_or((F.col("id") == phase_id) & F.col("may_complete")).alias("_open"))
+    p = phases.crossJoin(this).crossJoin(open_)  # one row each
+    ends = F.coalesce("_open", F.lit(False)) & (F.col("id") == phase_id)
+    starts = F.coalesce("_open", F.lit(False)) & (F.col("phase_number") == F.col("_next")) & (F.col("status") == "planned")
+    return p.select("id", "phase_number", F.when(ends, "complete").when(starts, "in-progress").otherwise(F.col("status")).alias("status"), F.when(starts, now).otherwise(F.col("started_at")).alias("started_at"), F.when(ends, now).otherwise(F.col("completed_at")).alias("completed_at"))
+
+
+def linked_scenarios(s: DataFrame, tests: DataFrame) -> DataFrame:
+    """Scenarios with a linked test, with these sorted."""
+    linked = tests.groupBy(F.col("scenario_id").alias("id")).agg(F.sort_array(F.collect_list("prefix")).alias("linked_tests"))
+    return s.join(linked, "id").filter(F.size("linked_tests") > 0)

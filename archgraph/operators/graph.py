@@ -115,3 +115,31 @@ def boundaries(edges: DataFrame, components: DataFrame) -> DataFrame:
     e = edges.filter("kind = 'renders'").join(s, "source", "left").join(t, "target", "left").filter(F.col("source_client").isNotNull() | F.col("target_client").isNotNull())
     e = e.select("source", "target", F.coalesce("source_client", F.lit(False)).alias("from_client"), F.coalesce("target_client", F.lit(False)).alias("to_client"))
     return e.filter("from_client <> to_client").select("source", "target", F.when(F.col("to_client"), "valid").otherwise("violation").alias("verdict"))
+
+
+def component_graph(edges: DataFrame, components: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(id, file_path, name, is_client, children, parents): every component with the sorted names that it renders and that render it."""
+    e = component_edges(edges, components)
+    name = symbols.select("id", "name")
+    kids = e.join(name.toDF("target", "n"), "target").groupBy(F.col("source").alias("id")).agg(F.sort_array(F.collect_set("n")).alias("children"))
+    up = e.join(name.toDF("source", "n"), "source").groupBy(F.col("target").alias("id")).agg(F.sort_array(F.collect_set("n")).alias("parents"))
+    none = F.array().cast("array<string>")
+    return components.select("id", "file_path", "is_client").join(name, "id").join(kids, "id", "left").join(up, "id", "left").select("id", "file_path", "name", "is_client", F.coalesce("children", none).alias("children"), F.coalesce("parents", none).alias("parents"))
+
+
+def file_symbols(symbols: DataFrame, prefix: str) -> DataFrame:
+    """(file_path, symbols): the sorted symbols of each file under ``prefix``, ignoring case; shown where no edges are known."""
+    s = symbols.filter(F.lower("file_path").startswith(prefix.lower()))
+    return s.groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("name", "kind", "is_exported"))).alias("symbols"))
+
+
+def server_imports(edges: DataFrame, symbols: DataFrame, components: DataFrame, changed: DataFrame) -> DataFrame:
+    """(file, imports): changed files(path) with a client component, and the files of server actions that they import from.
+
+    ``components`` needs is_client and is_server_action.
+    """
+    clients = components.filter("is_client").join(symbols.select("id", F.col("file_path").alias("file")), "id").select("file").join(changed.select(F.col("path").alias("file")), "file", "left_semi").distinct()
+    actions = components.filter("is_server_action").select(F.col("id").alias("target"))
+    e = edges.filter("kind = 'imports'").join(actions, "target", "left_semi")
+    s, t = symbols.select(F.col("id").alias("source"), F.col("file_path").alias("file")), symbols.select(F.col("id").alias("target"), F.col("file_path").alias("imports"))
+    return e.join(s, "source").join(clients, "file", "left_semi").join(t, "target").select("file", "imports").distinct()

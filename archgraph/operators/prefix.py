@@ -7,7 +7,7 @@ empty prefix included), but it plans as a hash or merge join whatever the size o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,8 +31,8 @@ def prefix_pairs(items: DataFrame, prefixes: DataFrame, path: str = "path", pref
 def longest_prefix_join(items: DataFrame, prefixes: DataFrame, path: str = "path", prefix: str = "prefix", owner: str = "block_id", keep_unmatched: bool = False) -> DataFrame:
     """Each distinct path with the owner of its longest prefix, the smallest owner on a tie."""
     paths = items.select(path).filter(F.col(path).isNotNull()).distinct()
-    w = Window.partitionBy(path).orderBy(F.length(prefix).desc(), F.col(owner).asc())
-    best = prefix_pairs(paths, prefixes.select(owner, prefix), path, prefix).withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(path, owner)
+    longest = F.min(F.struct(-F.length(prefix), owner))  # an aggregate with a map side, where a window would sort all pairs
+    best = prefix_pairs(paths, prefixes.select(owner, prefix), path, prefix).groupBy(path).agg(longest.alias("_best")).select(path, F.col(f"_best.{owner}").alias(owner))
     return paths.join(best, path, "left") if keep_unmatched else best
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os.path
 import re
+from itertools import chain, count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,80 +12,106 @@ from pyspark.sql import functions as F
 from archgraph.operators.prefix import longest_prefix_join
 
 # Folder names that say nothing, and such that say something only as the last one.
-EMPTY_NAMES = frozenset({"src", "source", "packages"})
-WEAK_NAMES = frozenset({"app", "lib", "apps"})
+EMPTY_NAMES = {"src", "source", "packages"}
+WEAK_NAMES = {"app", "lib", "apps"}
 
 
-def folder_counts(files: DataFrame) -> dict[str, int]:
-    """Files of each folder, with its last slash. Only folders come to the driver, which are far fewer than files."""
-    return {r["dir"]: r["count"] for r in files.groupBy(F.regexp_extract("path", "^(.*/)?", 0).alias("dir")).count().collect()}
+class FolderTree:
+    """Files under each folder, as one aggregate over folders and all that hold them; it stays distributed.
+
+    Only the folder at the root and the large children of a folder that is to be split come to the driver.
+    """
+
+    def __init__(self, files: DataFrame) -> None:
+        folders = files.groupBy(F.regexp_extract("path", "^(.*/)?", 0).alias("dir")).agg(F.count("*").alias("n"))
+        self.ends = folders.agg(F.min("dir").alias("low"), F.max("dir").alias("high"), F.sum("n").alias("n"))
+        parts = F.split("dir", "/")
+        folder = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.struct(F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")).alias("folder"), F.concat(F.array_join(F.slice(parts, F.lit(1), i - 1), "/"), F.when(i > 1, "/").otherwise("")).alias("parent")))
+        self.levels = folders.filter("dir <> ''").select(F.explode(folder).alias("f"), "n").groupBy("f.parent", "f.folder").agg(F.sum("n").alias("n"))
+
+    def root(self) -> tuple[str, int] | None:
+        """The deepest folder that holds all files, with their number."""
+        r = self.ends.first()
+        if r["low"] is None:
+            return None
+        shared = os.path.commonprefix([r["low"], r["high"]])
+        return shared[: shared.rfind("/") + 1], r["n"]
+
+    def children(self, parent: str, least: int, most: int) -> list[tuple[str, int]]:
+        """The folders in ``parent`` with ``least`` files or more, by name; one above ``most`` of them tells that they are too many."""
+        rows = self.levels.filter((F.col("parent") == parent) & (F.col("n") >= least)).orderBy("folder").limit(most + 1)
+        return [(r["folder"], r["n"]) for r in rows.collect()]
+
+
+class CountedFolders(FolderTree):
+    """The same for folder counts that are at hand."""
+
+    def __init__(self, folders: dict[str, int]) -> None:
+        self.folders = folders
+
+    def root(self) -> tuple[str, int] | None:
+        shared = os.path.commonprefix(list(self.folders))
+        return (shared[: shared.rfind("/") + 1], sum(self.folders.values())) if self.folders else None
+
+    def children(self, parent: str, least: int, most: int) -> list[tuple[str, int]]:
+        sums: dict[str, int] = {}
+        for folder, n in self.folders.items():
+            if folder.startswith(parent) and folder != parent:
+                child = folder[: folder.index("/", len(parent)) + 1]
+                sums[child] = sums.get(child, 0) + n
+        return sorted((c, n) for c, n in sums.items() if n >= least)
 
 
-def cluster(folders: dict[str, int], max_blocks: int = 12, min_files: int = 3) -> list[str]:
+def cluster(folders: dict[str, int] | FolderTree, max_blocks: int = 12, min_files: int = 3) -> list[str]:
     """Prefixes that cover all files: the one with most files splits into its large children, as long as all fit.
 
-    A tie goes to the prefix found first; a parent stays only while files are left in it.
+    A tie goes to the prefix found first; a parent stays only while files are left in it. A
+    prefix is split once at most, since what is left in it afterwards lies in small folders.
     """
-    if not folders:
+    tree = folders if isinstance(folders, FolderTree) else CountedFolders(folders)
+    start = tree.root()
+    if start is None:
         return []
-    names = sorted(folders)
-    root = names[0]
-    while any(not n.startswith(root) for n in names):
-        root = root[: root.rstrip("/").rfind("/") + 1]
-    found = [root]
-
-    def owned(prefixes: list[str]) -> dict[str, list[str]]:
-        out: dict[str, list[str]] = {p: [] for p in prefixes}
-        for n in names:
-            if fits := [p for p in prefixes if n.startswith(p)]:
-                out[max(fits, key=len)].append(n)
-        return out
-
-    while len(found) < max_blocks:
-        options = []
-        for p, mine in owned(found).items():
-            sizes: dict[str, int] = {}
-            for n in mine:
-                if child := re.match(r"[^/]*/", n[len(p) :]):
-                    sizes[p + child[0]] = sizes.get(p + child[0], 0) + folders[n]
-            children = [c for c, k in sizes.items() if k >= min_files]
-            if children:
-                options.append((sum(folders[n] for n in mine), p, children))
-        if not options:
+    held = dict([start])  # files that are a prefix's own
+    whole: dict[str, list[tuple[str, int]]] = {}  # its children, while it is not split
+    new = [start[0]]
+    while len(held) < max_blocks:
+        whole.update((p, found) for p in new if (found := tree.children(p, min_files, max_blocks)))
+        if not whole:
             break
-        _, parent, children = max(options, key=lambda o: o[0])
-        if len(found) + len(children) > max_blocks:
+        largest = max((p for p in held if p in whole), key=held.__getitem__)
+        split = whole.pop(largest)
+        if len(held) + len(split) > max_blocks:
             break
-        found += [c for c in children if c not in found]
-        if not owned(found)[parent]:
-            found.remove(parent)
-    return found
+        held |= dict(split)
+        held[largest] -= sum(n for _, n in split)
+        if not held[largest]:
+            del held[largest]
+        new = [c for c, _ in split]
+    return list(held)
 
 
 def kebab(text: str) -> str:
-    return re.sub(r"[^a-z0-9]+", "-", re.sub(r"([a-z0-9])([A-Z])", r"\1-\2", text).lower()).strip("-")
+    """Words, also those that only a capital begins, in lower case with hyphens."""
+    return "-".join(re.findall("[a-z0-9]+", re.sub("(?<=[a-z0-9])(?=[A-Z])", "-", text).lower()))
 
 
 def block_ids(prefixes: list[str], service: str) -> dict[str, str]:
     """An id of each prefix from its last two telling names; repeats get a number."""
-    used: set[str] = set()
-    out = {}
-    for p in prefixes:
-        parts = [x for x in p.split("/") if x]
-        telling = [x for i, x in enumerate(parts) if x.lower() not in EMPTY_NAMES and not (x.lower() in WEAK_NAMES and i < len(parts) - 1)]
-        base = "-".join(filter(None, map(kebab, telling[-2:]))) or kebab(service) or "root"
-        name, n = base, 2
-        while name in used:
-            name, n = f"{base}-{n}", n + 1
-        used.add(name)
-        out[p] = name
-    return out
+    ids: dict[str, str] = {}
+    for prefix in prefixes:
+        *above, last = list(filter(None, prefix.split("/"))) or [""]
+        telling = [x for x in above if x.lower() not in EMPTY_NAMES | WEAK_NAMES] + [x for x in [last] if x.lower() not in EMPTY_NAMES]
+        plain = "-".join(x for x in map(kebab, telling[-2:]) if x) or kebab(service) or "root"
+        taken = set(ids.values())
+        ids[prefix] = next(x for x in chain([plain], (f"{plain}-{i}" for i in count(2))) if x not in taken)
+    return ids
 
 
 def propose(symbols: DataFrame, service: str = "main", max_blocks: int = 12, min_files: int = 3) -> DataFrame:
     """(block_id, prefix, n_files, confidence): high from three times ``min_files`` files on, medium from ``min_files``."""
     files = symbols.select(F.col("file_path").alias("path")).distinct()
-    ids = block_ids(cluster(folder_counts(files), max_blocks, min_files), service)
+    ids = block_ids(cluster(FolderTree(files), max_blocks, min_files), service)
     prefixes = symbols.sparkSession.createDataFrame([(i, p) for p, i in ids.items()], "block_id string, prefix string")
     n = longest_prefix_join(files, prefixes).groupBy("block_id").agg(F.count("*").alias("n_files"))
     sure = F.when(F.col("n_files") >= 3 * min_files, "high").when(F.col("n_files") >= min_files, "medium").otherwise("low")

@@ -1,34 +1,54 @@
-"""Route-pattern join (D13) and contracts (H7 endpoint part, H8, E18)."""
+"""Route-pattern join (D13) and contracts."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from archgraph.functions import types
 from archgraph.functions.paths import is_catch_all, is_param, split_segments, strip_query
 
 
-def _fits(route: str, url: str) -> Column:
-    """Segment by segment: a placeholder on either side fits anything, the rest ignoring case."""
-    pair = F.zip_with(route, url, lambda r, u: is_param(r) | is_param(u) | (F.lower(r) == F.lower(u)))
-    return F.forall(pair, lambda x: F.coalesce(x, F.lit(False)))
+def _mask(segs: str) -> Column:
+    """A character for each segment, 1 for a placeholder."""
+    return F.array_join(F.transform(segs, lambda s: F.when(is_param(s), "1").otherwise("0")), "")
+
+
+def _literals(segs: str, *masks: str) -> Column:
+    """The segments in lower case, with a star where one of the masks has a placeholder."""
+
+    def at(s: Column, i: Column) -> Column:
+        free = [F.substr(F.col(m), i + 1, F.lit(1)) == "1" for m in masks]
+        return F.when(free[0] | free[1], "*").otherwise(F.lower(s))
+
+    return F.array_join(F.transform(segs, at), "/")
 
 
 def route_match_join(routes: DataFrame, calls: DataFrame, route: str = "route_path", url: str = "url") -> DataFrame:
     """Each row of ``routes`` with each row of ``calls`` whose URL it serves. Column names must differ.
 
-    Routes without a catch-all join on their number of segments; a catch-all matches by the
-    segments before it, so such routes join on each length from that number on. Distinct paths
-    and URLs are matched first, and the rows joined to the matches by equality.
+    A placeholder on either side fits any segment, other segments match ignoring case, and a
+    catch-all takes the rest of a URL, none included. Which places are free depends only on
+    the masks of placeholders, of which few occur: for each two masks of one length the
+    distinct paths and URLs join by equality on the segments that neither leaves free. The
+    rows are joined to the matches by equality, too.
     """
     r = routes.select(route).distinct().withColumn("_segs", split_segments(F.col(route)))
     first = F.array_position(F.transform("_segs", is_catch_all), F.lit(True)).cast("int")
-    r = r.withColumn("_head", F.when(first > 0, F.slice("_segs", F.lit(1), first - 1)).otherwise(F.col("_segs"))).withColumn("_open", first > 0)
+    r = r.select(route, (first > 0).alias("_open"), F.when(first > 0, F.slice("_segs", F.lit(1), first - 1)).otherwise(F.col("_segs")).alias("_head"))
+    r = r.withColumn("_n", F.size("_head")).withColumn("_rm", _mask("_head"))
     u = calls.select(url).distinct().withColumn("_us", split_segments(strip_query(F.col(url))))
-    closed = r.filter("not _open").join(u, F.size("_segs") == F.size("_us")).filter(_fits("_segs", "_us"))
-    lengths = u.select("*", F.explode(F.sequence(F.lit(0), F.size("_us"))).alias("_n"))
-    open_ = r.filter("_open").join(lengths, F.size("_head") == F.col("_n")).withColumn("_us", F.expr("slice(_us, 1, _n)")).filter(_fits("_head", "_us"))
-    pairs = closed.select(route, url).unionByName(open_.select(route, url)).distinct()
+    shapes = r.select("_open", "_n", "_rm").distinct()
+    # each URL as a whole, and cut to each length that a route has before its catch-all
+    whole = u.select(url, F.lit(False).alias("_open"), "_us")
+    heads = shapes.filter("_open").select("_n").distinct()
+    cut = u.join(heads, F.size("_us") >= F.col("_n")).select(url, F.lit(True).alias("_open"), F.expr("slice(_us, 1, _n)").alias("_us"))
+    u = whole.unionByName(cut).withColumn("_n", F.size("_us")).withColumn("_um", _mask("_us"))
+    kind = ["_open", "_n"]
+    both = shapes.join(u.select(*kind, "_um").distinct(), kind)
+    left = r.join(both, [*kind, "_rm"]).withColumn("_key", _literals("_head", "_rm", "_um"))
+    right = u.join(both, [*kind, "_um"]).withColumn("_key", _literals("_us", "_rm", "_um"))
+    pairs = left.select(route, *kind, "_rm", "_um", "_key").join(right.select(url, *kind, "_rm", "_um", "_key"), [*kind, "_rm", "_um", "_key"]).select(route, url).distinct()
     return routes.join(pairs, route).join(calls, url)
 
 
@@ -55,3 +75,34 @@ def endpoint_violations(routes: DataFrame, calls: DataFrame, methods: DataFrame)
     per = hit.groupBy("call_id").agg(F.bool_or(ok).alias("allowed"))
     out = calls.select("call_id", "url", "method").join(per, "call_id", "left").filter(~F.coalesce("allowed", F.lit(False)))
     return out.join(any_api, how="left_semi").select("call_id", "url", "method", F.when(F.col("allowed").isNull(), "unknown endpoint").otherwise("method not allowed").alias("problem"))
+
+
+def field_diff(used: DataFrame, given: DataFrame) -> DataFrame:
+    """(dto, field, type, problem) of consumer fields(dto, field, type, optional) against the provider's (dto, field, type).
+
+    A field is looked for by its exact name, then ignoring case. Missing ones are a problem unless
+    optional; one found otherwise may differ in casing, in type category, or in both.
+    """
+    used = used.distinct()
+    one = given.groupBy("dto", F.col("field").alias("g_field")).agg(F.min("type").alias("g_type"))
+    exact = used.join(one, (used["dto"] == one["dto"]) & (used["field"] == one["g_field"]), "left").drop(one["dto"])
+    low = one.groupBy(F.col("dto").alias("l_dto"), F.lower("g_field").alias("l_low")).agg(F.min(F.struct("g_field", "g_type")).alias("l"))
+    j = exact.join(low, (F.col("dto") == F.col("l_dto")) & (F.lower("field") == F.col("l_low")), "left")
+    got, kind = F.coalesce("g_field", "l.g_field"), F.coalesce("g_type", "l.g_type")
+    categories = F.create_map(*(F.lit(x) for kv in types.CATEGORY.items() for x in kv))
+    wrong = types.conflict(categories[F.col("type")], categories[kind])
+    found = F.when(got.isNull(), F.when(~F.col("optional"), F.array(F.lit("missing")))).otherwise(F.array_compact(F.array(F.when(got != F.col("field"), F.lit("casing")), F.when(wrong, F.lit("type")))))
+    return j.select("dto", "field", "type", F.explode(found).alias("problem"))
+
+
+def sole_producer(producers: DataFrame, keys: list[str]) -> DataFrame:
+    """of producers(keys.., service, dto) the one of each key; keys with several different DTOs are left out."""
+    return producers.groupBy(*keys).agg(F.min(F.struct("service", "dto")).alias("p"), F.countDistinct("dto").alias("n")).filter("n = 1").select(*keys, "p.service", "p.dto")
+
+
+def contract_fields(hits: DataFrame, used: DataFrame, given: DataFrame) -> DataFrame:
+    """H7: (call_id, dto, field, problem): field differences of allowed calls, hits(call_id, service, dto, expected), against the DTO of their one producer."""
+    known = sole_producer(hits, ["call_id", "expected"])
+    shown = given.toDF("dto", "field", "type").join(known.select("dto").distinct(), "dto", "left_semi")
+    wanted = used.withColumnRenamed("dto", "expected").join(known.select("expected", "dto").distinct(), "expected").select("dto", "field", "type", "optional")
+    return known.select("call_id", "dto").join(field_diff(wanted, shown), "dto").select("call_id", "dto", "field", "problem")

@@ -51,8 +51,15 @@ add("c14_scenarios", lambda m: delivery.scenarios(m.scenarios, category="securit
 add("c15_open_phases", lambda m: m.phases.filter("status <> 'complete'").select("id", "phase_number"), "SELECT id, phase_number FROM phases WHERE status <> 'complete'")
 add("c17_relevant", lambda m: delivery.relevant(m.scenarios, "performance").select("id"), "SELECT id FROM scenarios WHERE category = 'performance'")
 add("c18_role_focus", lambda m: delivery.in_focus(m.scenarios, ["security", "reliability"]).select("id"), "SELECT id FROM scenarios WHERE category IN ('security', 'reliability') OR priority = 'must'")
-add("c19_sensitive_names", lambda m: m.files_new.filter(F.col("path").rlike(r"(?i)(^|/)\.env|secret|credential|\.pem$|src1[0-3]/")).select("path"), "SELECT path FROM files_new WHERE regexp_matches(path, '(?i)(^|/)\\.env|secret|credential|\\.pem$|src1[0-3]/')")
-add("c20_code_or_test", lambda m: m.files_new.select("path", F.when(F.col("path").rlike(r"[05]\.en$"), "test").when(F.col("path").rlike(r"\.(en|fr)$"), "code").otherwise("other").alias("class")), "SELECT path, CASE WHEN regexp_matches(path, '[05]\\.en$') THEN 'test' WHEN regexp_matches(path, '\\.(en|fr)$') THEN 'code' ELSE 'other' END AS class FROM files_new")
+_NAMED = "named AS (SELECT path || CASE length(path) % 7 WHEN 0 THEN '.env' WHEN 1 THEN '.test.ts' WHEN 2 THEN '.tsx' WHEN 3 THEN '/secret.js' WHEN 4 THEN '.spec.jsx' WHEN 5 THEN '.key' ELSE '' END AS path FROM files_new)"
+
+
+def _named(m: Model) -> DataFrame:
+    return m.files_new.selectExpr("path || CASE length(path) % 7 WHEN 0 THEN '.env' WHEN 1 THEN '.test.ts' WHEN 2 THEN '.tsx' WHEN 3 THEN '/secret.js' WHEN 4 THEN '.spec.jsx' WHEN 5 THEN '.key' ELSE '' END AS path")
+
+
+add("c19_sensitive_names", lambda m: changes.sensitive_files(_named(m)), "SELECT path FROM named WHERE regexp_matches(path, '\\.env|secrets?\\.|credentials|\\.pem$|\\.key$')", _NAMED)
+add("c20_code_or_test", lambda m: _named(m).select("path", changes.file_class(F.col("path")).alias("class")), "SELECT path, CASE WHEN regexp_matches(path, '\\.(test|spec)\\.(ts|tsx|js|jsx)$') THEN 'test' WHEN regexp_matches(path, '\\.(ts|tsx|js|jsx)$') THEN 'code' ELSE 'other' END AS class FROM named", _NAMED)
 add("c22_testable", lambda m: m.scenarios.filter("verification in ('automatic', 'semi-automatic') and has_tests").select("id"), "SELECT id FROM scenarios WHERE verification IN ('automatic', 'semi-automatic') AND has_tests")
 
 # D: joins
@@ -68,22 +75,8 @@ _SEGS = "segs AS (SELECT route_id, route_path, list_filter(string_split(route_pa
 add("d13_route_match", lambda m: routes.route_match_join(m.api_routes.select("route_id", "route_path"), m.api_calls.select("call_id", "url")).select("route_id", "call_id"), "SELECT route_id, call_id FROM served WHERE route_id IN (SELECT route_id FROM api_routes) AND call_id IN (SELECT call_id FROM api_calls)", _SEGS)
 
 
-def _field_diff(m: Model) -> DataFrame:
-    """Consumer fields against the provider's of the same DTO: missing, casing, type."""
-    used, given = m.fields_used.distinct(), m.fields_given.select("dto", F.col("field").alias("g_field"), F.col("type").alias("g_type")).distinct()
-    one = given.groupBy("dto", "g_field").agg(F.min("g_type").alias("g_type"))
-    exact = used.join(one, (used["dto"] == one["dto"]) & (used["field"] == one["g_field"]), "left").drop(one["dto"])
-    low = one.groupBy(F.col("dto").alias("l_dto"), F.lower("g_field").alias("l_low")).agg(F.min(F.struct("g_field", "g_type")).alias("l"))
-    j = exact.join(low, (F.col("dto") == F.col("l_dto")) & (F.lower("field") == F.col("l_low")), "left")
-    got, kind = F.coalesce("g_field", "l.g_field"), F.coalesce("g_type", "l.g_type")
-    types_ = F.create_map(*(F.lit(x) for kv in types.CATEGORY.items() for x in kv))
-    wrong = types.conflict(types_[F.col("type")], types_[kind])
-    found = F.when(got.isNull(), F.when(~F.col("optional"), F.array(F.lit("missing")))).otherwise(F.array_compact(F.array(F.when(got != F.col("field"), F.lit("casing")), F.when(wrong, F.lit("type")))))
-    return j.select("dto", "field", "type", F.explode(found).alias("problem"))
-
-
 _CATEGORY = "CASE x WHEN 'string' THEN 'string' WHEN 'Guid' THEN 'string' WHEN 'number' THEN 'number' WHEN 'int' THEN 'number' WHEN 'boolean' THEN 'boolean' WHEN 'bool' THEN 'boolean' END"
-add("d14_field_shape", _field_diff, """SELECT dto, field, type, problem FROM (
+add("d14_field_shape", lambda m: routes.field_diff(m.fields_used, m.fields_given), """SELECT dto, field, type, problem FROM (
     SELECT dto, field, type, unnest(CASE WHEN got IS NULL THEN CASE WHEN optional THEN [] ELSE ['missing'] END ELSE list_filter([CASE WHEN got <> field THEN 'casing' END, CASE WHEN tc <> gc THEN 'type' END], lambda z: z IS NOT NULL) END) AS problem FROM (
     SELECT u.*, coalesce(e.g_field, l.g_field) AS got, (SELECT """ + _CATEGORY + """ FROM (SELECT u.type AS x)) AS tc, (SELECT """ + _CATEGORY + """ FROM (SELECT coalesce(e.g_type, l.g_type) AS x)) AS gc
     FROM (SELECT DISTINCT * FROM fields_used) u LEFT JOIN one e ON e.dto = u.dto AND e.g_field = u.field
@@ -186,7 +179,33 @@ add("h15_task_inference", _inferred, "SELECT id, status, CASE WHEN rule = 1 THEN
 add("h16_apply_inferred", lambda m: delivery.apply_inferred(m.tasks.withColumn("completed_at", F.lit(None).cast("timestamp")), _inferred(m), F.lit("2024-02-01").cast("timestamp")).groupBy("status").agg(F.count("*").alias("n"), F.count("completed_at").alias("completed")), "SELECT status, count(*) AS n, sum(c)::BIGINT AS completed FROM (SELECT coalesce(i.inferred, t.status) AS status, (i.inferred IS NOT DISTINCT FROM 'done')::INT AS c FROM tasks t LEFT JOIN (SELECT id, CASE WHEN rule = 1 THEN 'in-progress' WHEN rule = 2 AND t = n THEN 'done' WHEN rule = 2 THEN 'in-progress' WHEN rule = 3 THEN 'done' END AS inferred FROM ruled) i ON i.id = t.id) GROUP BY 1", *_INFER)
 add("h21_open_questions", lambda m: delivery.open_questions(m.scenarios, m.tasks, m.blocks, m.prefixes, _all(m)), "SELECT 'scenario' AS topic, id AS subject FROM scenarios WHERE status IN ('untested', 'failing') UNION ALL SELECT 'empty block', id FROM blocks WHERE id NOT IN (SELECT block_id FROM prefixes) UNION ALL SELECT 'unplaced task', id FROM tasks WHERE block_id IS NULL AND status <> 'cancelled' UNION ALL SELECT DISTINCT 'drift', kind FROM found", _OWNER, _BLOCK_EDGES, _ALL)
 add("e25_gates", lambda m: delivery.gate(m.phases, m.tasks, _all(m), m.scenarios), "SELECT p.id, coalesce(t.ok, true) AS tasks_ok, d.ok AS drift_ok, q.ok AS quality_ok, coalesce(t.ok, true) AND d.ok AND q.ok AS may_complete FROM phases p LEFT JOIN (SELECT phase_id, bool_and(status IN ('done', 'cancelled')) AS ok FROM tasks GROUP BY 1) t ON t.phase_id = p.id, (SELECT count(*) FILTER (severity = 'error') = 0 AS ok FROM found) d, (SELECT count(*) FILTER (priority = 'must' AND status = 'failing') = 0 AS ok FROM scenarios) q", _OWNER, _BLOCK_EDGES, _ALL)
-add("h25_keywords", lambda m: m.tasks.select("id", F.col("title").rlike("urgent|high").alias("has_keyword")), "SELECT id, regexp_matches(title, 'urgent|high') AS has_keyword FROM tasks")
+_TITLED = "titled AS (SELECT id, title || CASE task_key % 4 WHEN 0 THEN ' Database' WHEN 1 THEN ' error handling' ELSE '' END AS title FROM tasks)"
+
+
+def _titled(m: Model) -> DataFrame:
+    return m.tasks.selectExpr("id", "title || CASE task_key % 4 WHEN 0 THEN ' Database' WHEN 1 THEN ' error handling' ELSE '' END AS title")
+
+
+add("h25_keywords", lambda m: delivery.decision_reminder(_titled(m), m.decisions.filter("decision_id = 'ADR-3'")), "SELECT id, title FROM titled WHERE (contains(lower(title), 'auth') OR contains(lower(title), 'database') OR contains(lower(title), 'middleware') OR contains(lower(title), 'validation') OR contains(lower(title), 'caching') OR contains(lower(title), 'dependency injection') OR contains(lower(title), 'error handling')) AND (SELECT count(*) FROM decisions WHERE decision_id = 'ADR-3') <= 1", _TITLED)
+add("c7_linked_scenarios", lambda m: delivery.linked_scenarios(m.scenarios, m.tests).select("id", F.array_join("linked_tests", ",").alias("linked_tests")), "SELECT s.id, string_agg(t.prefix, ',' ORDER BY t.prefix) AS linked_tests FROM scenarios s JOIN tests t ON t.scenario_id = s.id GROUP BY 1")
+_LISTED = "listed AS (SELECT decision_id, list(prefix) AS files, list('b-' || right(decision_id, 1)) AS blocks FROM decisions GROUP BY 1)"
+
+
+def _listed(m: Model) -> DataFrame:
+    return m.decisions.groupBy("decision_id").agg(F.collect_list("prefix").alias("files"), F.collect_list(F.concat(F.lit("b-"), F.right("decision_id", F.lit(1)))).alias("blocks"))
+
+
+add("c8_decisions_of_block", lambda m: changes.decisions_for(_listed(m), block="b-4").select("decision_id"), "SELECT decision_id FROM listed WHERE list_contains(blocks, 'b-4')", _LISTED)
+add("c9_decisions_of_file", lambda m: changes.decisions_for(_listed(m), block="b-5", file="Small/brand#1").select("decision_id"), "SELECT DISTINCT decision_id FROM listed WHERE list_contains(blocks, 'b-5') OR len(list_filter(files, lambda f: contains(lower(f), 'small/brand#1'))) > 0", _LISTED)
+_PARTS = "parts AS (SELECT id, is_client, kind = 'function' AND NOT is_client AS is_server_action FROM symbols WHERE kind IN ('component', 'function', 'hook'))"
+add("d18_server_imports", lambda m: graph.server_imports(m.edges, m.symbols, m.symbols.filter("kind in ('component', 'function', 'hook')").selectExpr("id", "is_client", "kind = 'function' and not is_client as is_server_action"), m.files), "SELECT DISTINCT s.file_path AS file, t.file_path AS imports FROM edges e JOIN symbols s ON s.id = e.source JOIN symbols t ON t.id = e.target JOIN parts c ON c.id = e.target WHERE e.kind = 'imports' AND c.is_server_action AND s.file_path IN (SELECT file_path FROM symbols JOIN parts USING (id) WHERE parts.is_client)", _PARTS)
+add("h10_file_symbols", lambda m: graph.file_symbols(m.symbols, "LARGE/Brand#1").select("file_path", F.array_join(F.transform("symbols", lambda x: F.concat_ws(":", x["name"], x["kind"], x["is_exported"].cast("string"))), ",").alias("symbols")), "SELECT file_path, string_agg(name || ':' || kind || ':' || is_exported::VARCHAR, ',' ORDER BY name, kind) AS symbols FROM symbols WHERE starts_with(lower(file_path), 'large/brand#1') GROUP BY 1")
+add("h11_component_graph", lambda m: graph.component_graph(m.edges, m.components, m.symbols).select("id", "name", "is_client", F.array_join("children", ",").alias("children"), F.array_join("parents", ",").alias("parents")), "SELECT c.id, s.name, c.is_client, coalesce((SELECT string_agg(DISTINCT t.name, ',' ORDER BY t.name) FROM rendered r JOIN symbols t ON t.id = r.target WHERE r.source = c.id), '') AS children, coalesce((SELECT string_agg(DISTINCT t.name, ',' ORDER BY t.name) FROM rendered r JOIN symbols t ON t.id = r.source WHERE r.target = c.id), '') AS parents FROM components c JOIN symbols s ON s.id = c.id", "rendered AS (SELECT * FROM edges WHERE kind = 'renders' AND source IN (SELECT id FROM components) AND target IN (SELECT id FROM components))")
+add("e20_status_counts", lambda m: delivery.status_counts(m.tasks, m.scenarios), "SELECT *, (SELECT count(*) FROM scenarios WHERE status = 'passing') AS passing, (SELECT count(*) FROM scenarios WHERE status = 'failing') AS failing, (SELECT count(*) FROM scenarios WHERE status = 'untested') AS untested FROM (SELECT count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'in-progress') AS in_progress, count(*) FILTER (status = 'blocked') AS blocked FROM tasks)")
+add("e24_run_totals", lambda m: changes.run_totals(m.symbols.groupBy("service").agg(F.count("*").alias("symbols"), F.countDistinct("file_path").alias("files"))), "SELECT sum(symbols)::BIGINT AS symbols, sum(files)::BIGINT AS files FROM (SELECT service, count(*) AS symbols, count(DISTINCT file_path) AS files FROM symbols GROUP BY 1)")
+add("f12_sole_producer", lambda m: routes.sole_producer(m.api_routes.selectExpr("route_path", "service", "service as dto"), ["route_path"]), "SELECT route_path, min(service) AS service, min(service) AS dto FROM api_routes GROUP BY 1 HAVING count(DISTINCT service) = 1")
+_STARTED = "started AS (SELECT id, phase_number, status, NULL::DATE AS started_at, NULL::DATE AS completed_at FROM phases)"
+add("h24_complete_phase", lambda m: delivery.complete_phase(m.phases.selectExpr("id", "phase_number", "status", "cast(null as date) as started_at", "cast(null as date) as completed_at"), m.phases.selectExpr("id", "phase_number < 6 as may_complete"), "phase-1996", F.lit("2024-02-01").cast("date")), "SELECT id, phase_number, CASE WHEN id = 'phase-1996' THEN 'complete' WHEN id = 'phase-1997' THEN 'in-progress' ELSE status END AS status, CASE WHEN id = 'phase-1997' THEN DATE '2024-02-01' END AS started_at, CASE WHEN id = 'phase-1996' THEN DATE '2024-02-01' END AS completed_at FROM started", _STARTED)
 
 _CHANGED = "file_path LIKE '%f1.ts'"
 add("h14_proposal", lambda m: propose.propose(m.symbols, max_blocks=40))

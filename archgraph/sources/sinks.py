@@ -20,18 +20,18 @@ def export(activity: DataFrame, path: str, form: str) -> None:
         raise ValueError(form)
 
 
-def markdown_table(rows: DataFrame, limit: int = 50) -> str:
-    """The first rows as a Markdown table; bars and line breaks in cells are escaped."""
+def markdown_table(rows: DataFrame, limit: int | None = None) -> str:
+    """All rows, or the first ``limit``, as a Markdown table; bars and line breaks in cells are escaped."""
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
-    return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in rows.limit(limit).collect()]) + "\n"
+    return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in (rows if limit is None else rows.limit(limit)).collect()]) + "\n"
 
 
-def html_report(title: str, sections: dict[str, DataFrame], limit: int = 50) -> str:
+def html_report(title: str, sections: dict[str, DataFrame], limit: int | None = None) -> str:
     """A self-contained page; each section's last column is drawn as a bar, relative to the section's largest."""
     parts = []
     for name, df in sections.items():
-        rows = df.limit(limit).collect()
+        rows = (df if limit is None else df.limit(limit)).collect()
         numbers = [r[-1] for r in rows if isinstance(r[-1], (int, float))]
         top = max(numbers, default=0) or 1
         body = "".join("<tr>" + "".join(f"<td>{html.escape('' if v is None else str(v))}</td>" for v in r) + (f'<td><div style="background:#48c;height:1em;width:{100 * max(0, r[-1]) / top:.0f}px"></div></td>' if isinstance(r[-1], (int, float)) else "<td></td>") + "</tr>" for r in rows)

@@ -152,3 +152,58 @@ def test_streaming_day_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert values(spark.table("days"), "day", "n", "cost") == [("2024-01-01", 2, 2.5), ("2024-01-02", 1, 2.0)]
+
+
+@pytest.mark.parametrize(("text", "name", "category"), [("Promise<{ a: string }>", None, None), ("[A, B]", None, None), ("Map<string, List<Foo>>", "Map", None), ("Array<Foo | undefined>", "Foo", "array<?>"), ("List<>", "List", "array<?>"), ("(A | B)[]", None, "array<?>"), ("ns.Foo[][]", "Foo", "array<array<?>>"), ("null", None, None), ("Task<", "Task", None), (">", None, None)])
+def test_odd_types(text, name, category):
+    assert (types.type_name(text), types.type_category(text)) == (name, category)
+
+
+def test_sole_producers_and_contract_fields(spark):
+    hits = spark.createDataFrame([("c1", "s1", "User", "UserView"), ("c2", "s1", "User", "UserView"), ("c2", "s2", "Other", "UserView")], "call_id string, service string, dto string, expected string")
+    used = spark.createDataFrame([("UserView", "Name", "string", False), ("UserView", "age", "string", False), ("UserView", "gone", "string", False), ("UserView", "maybe", "string", True)], "dto string, field string, type string, optional boolean")
+    given = spark.createDataFrame([("User", "name", "string"), ("User", "age", "int"), ("Other", "gone", "string")], "dto string, field string, type string")
+    assert values(routes.sole_producer(hits, ["call_id"]), "call_id", "dto") == [("c1", "User")]
+    assert values(routes.contract_fields(hits, used, given), "call_id", "field", "problem") == [("c1", "Name", "casing"), ("c1", "age", "type"), ("c1", "gone", "missing")]
+
+
+def test_route_masks_on_either_side_and_many_rows(spark):
+    import random
+
+    r = random.Random(4)
+    part = lambda: r.choice(["a", "B", "b", ":x", "{y}", "c"])
+    rs = sorted({"/" + "/".join(part() for _ in range(r.randint(0, 3))) + r.choice(["", "", "/*rest"]) for _ in range(60)})
+    us = sorted({"/" + "/".join(part() for _ in range(r.randint(0, 4))) + r.choice(["", "?q=1"]) for _ in range(80)})
+    free = lambda s: s[0] in ":*{"
+
+    def fits(route, url):
+        a, b = [s for s in route.split("/") if s], [s for s in url.split("?")[0].split("/") if s]
+        if a and a[-1] == "*rest":
+            a = a[:-1]
+            b = b[: len(a)] if len(b) >= len(a) else None
+        return b is not None and len(a) == len(b) and all(free(x) or free(y) or x.lower() == y.lower() for x, y in zip(a, b, strict=True))
+
+    got = routes.route_match_join(spark.createDataFrame([(x,) for x in rs], "route_path string"), spark.createDataFrame([(x,) for x in us], "url string"))
+    assert values(got, "route_path", "url") == sorted((a, b) for a in rs for b in us if fits(a, b))
+
+
+def test_folder_trees_from_rows_and_from_counts_agree(spark):
+    from archgraph.operators import propose
+
+    paths = [f"src/{a}/{b}/f{i}.ts" for a, n in (("x", 7), ("y", 3), ("z", 1)) for b in ("p", "q") for i in range(n)] + ["src/top.ts", "src/x/own.ts"]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    counts = {}
+    for p in paths:
+        d = p[: p.rfind("/") + 1]
+        counts[d] = counts.get(d, 0) + 1
+    for most in (2, 3, 5, 12):
+        assert propose.cluster(propose.FolderTree(files), most) == propose.cluster(counts, most)
+    assert propose.cluster(propose.FolderTree(files.limit(0))) == []
+
+
+def test_phase_completion_needs_an_open_gate(spark):
+    p = spark.createDataFrame([("a", 1, "in-progress", None, None), ("b", 2, "planned", None, None), ("c", 3, "planned", None, None)], "id string, phase_number int, status string, started_at string, completed_at string")
+    gates = spark.createDataFrame([("a", True), ("b", False)], "id string, may_complete boolean")
+    done = delivery.complete_phase(p, gates, "a", F.lit("now"))
+    assert sorted(map(tuple, done.collect())) == [("a", 1, "complete", None, "now"), ("b", 2, "in-progress", "now", None), ("c", 3, "planned", None, None)]
+    assert sorted(map(tuple, delivery.complete_phase(p, gates, "b", F.lit("now")).collect())) == sorted(map(tuple, p.collect()))
