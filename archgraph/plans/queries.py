@@ -204,8 +204,8 @@ add("h11_component_graph", lambda m: graph.component_graph(m.edges, m.components
 add("e20_status_counts", lambda m: delivery.status_counts(m.tasks, m.scenarios), "SELECT *, (SELECT count(*) FROM scenarios WHERE status = 'passing') AS passing, (SELECT count(*) FROM scenarios WHERE status = 'failing') AS failing, (SELECT count(*) FROM scenarios WHERE status = 'untested') AS untested FROM (SELECT count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'in-progress') AS in_progress, count(*) FILTER (status = 'blocked') AS blocked FROM tasks)")
 add("e24_run_totals", lambda m: changes.run_totals(m.symbols.groupBy("service").agg(F.count("*").alias("symbols"), F.countDistinct("file_path").alias("files"))), "SELECT sum(symbols)::BIGINT AS symbols, sum(files)::BIGINT AS files FROM (SELECT service, count(*) AS symbols, count(DISTINCT file_path) AS files FROM symbols GROUP BY 1)")
 add("f12_sole_producer", lambda m: routes.sole_producer(m.api_routes.selectExpr("route_path", "service", "service as dto"), ["route_path"]), "SELECT route_path, min(service) AS service, min(service) AS dto FROM api_routes GROUP BY 1 HAVING count(DISTINCT service) = 1")
-_STARTED = "started AS (SELECT id, phase_number, status, NULL::DATE AS started_at, NULL::DATE AS completed_at FROM phases)"
-add("h24_complete_phase", lambda m: delivery.complete_phase(m.phases.selectExpr("id", "phase_number", "status", "cast(null as date) as started_at", "cast(null as date) as completed_at"), m.phases.selectExpr("id", "phase_number < 6 as may_complete"), "phase-1996", F.lit("2024-02-01").cast("date")), "SELECT id, phase_number, CASE WHEN id = 'phase-1996' THEN 'complete' WHEN id = 'phase-1997' THEN 'in-progress' ELSE status END AS status, CASE WHEN id = 'phase-1997' THEN DATE '2024-02-01' END AS started_at, CASE WHEN id = 'phase-1996' THEN DATE '2024-02-01' END AS completed_at FROM started", _STARTED)
+_STARTED = "started AS (SELECT id, phase_number, status, NULL::VARCHAR AS started_at, NULL::VARCHAR AS completed_at FROM phases)"
+add("h24_complete_phase", lambda m: delivery.complete_phase(m.phases.selectExpr("id", "phase_number", "status", "cast(null as string) as started_at", "cast(null as string) as completed_at"), m.phases.selectExpr("id", "phase_number < 6 as may_complete"), "phase-1996", F.lit("2024-02-01")), "SELECT id, phase_number, CASE WHEN id = 'phase-1996' THEN 'complete' WHEN id = 'phase-1997' THEN 'in-progress' ELSE status END AS status, CASE WHEN id = 'phase-1997' THEN '2024-02-01' END AS started_at, CASE WHEN id = 'phase-1996' THEN '2024-02-01' END AS completed_at FROM started", _STARTED)
 
 _CHANGED = "file_path LIKE '%f1.ts'"
 add("h14_proposal", lambda m: propose.propose(m.symbols, max_blocks=40))
