@@ -15,6 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text of documents by byte_bpe_50k.json; a null text counts as empty."""
     import public_tokenizers
 
     from .token_count import token_counts
@@ -33,24 +34,28 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at cosine 0.95 or more among all embeddings, with the component of each; vectors without a direction link with nothing."""
     from .vector_dedup import Config, near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"), Config(threshold=0.95))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of every text of documents over shingles of four words, with components of links within four bits."""
     from .simhash_dedup import simhash_components
 
     return simhash_components(table(spark, sf_dir, "documents"), threshold=4, words=4)
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text of documents and of its edited form, with their likeness; null texts count as empty."""
     from .fingerprints import edited_fingerprints
 
     return edited_fingerprints(table(spark, sf_dir, "documents"), radius=3)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a mix of 150 % of all words takes of each document, by the sources' weights."""
     from .mixing import mix
 
     m = mix(table(spark, sf_dir, "documents"), share=1.5, cap=2.0)
@@ -58,12 +63,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back, repeated payloads as revisits; a null html is empty."""
     from .warc import archive_pages
 
     return archive_pages(table(spark, sf_dir, "pages"), min_dedup=0).drop("intact")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every text of documents by a classifier that has not seen the held-out labels."""
     from .quality import quality_scores, train
 
     docs = table(spark, sf_dir, "documents")
@@ -71,12 +78,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of documents in passages of 100 bytes that also start earlier; null texts count as empty."""
     from .run_index import strip_repeats
 
     return strip_repeats(table(spark, sf_dir, "documents"), length=100)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text of documents by byte_bpe_multi_50k.tiktoken, decoded again; null texts count as empty."""
     import public_tokenizers
 
     from .bpe import encode_documents
