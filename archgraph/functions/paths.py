@@ -11,6 +11,11 @@ def normalize_path(path: Column) -> Column:
     return F.regexp_replace(path, r"\*+/?$", "")
 
 
+def search_prefix(path: Column) -> Column:
+    """A searched path without its trailing glob, slash and all: ``src/**/*`` is ``src/`` where :func:`normalize_path` leaves ``src/**/``."""
+    return F.regexp_replace(path, r"\*\*?/?\*?$", "")
+
+
 def under_prefix(path: Column, prefix: Column) -> Column:
     """S3: on a segment boundary, unlike :func:`matches_prefix`; an empty prefix holds everything."""
     bare = F.regexp_replace(F.regexp_replace(prefix, r"/?\*+/?$", ""), "/$", "")

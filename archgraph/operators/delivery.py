@@ -109,14 +109,25 @@ def apply_inferred(tasks: DataFrame, inferred: DataFrame, now: Column) -> DataFr
     return t.withColumn("completed_at", F.when(F.col("inferred") == "done", now).otherwise(F.col("completed_at"))).withColumn("status", F.coalesce("inferred", "status")).drop("inferred")
 
 
-def open_questions(s: DataFrame, tasks: DataFrame, blocks: DataFrame, prefixes: DataFrame, findings: DataFrame) -> DataFrame:
-    """(topic, subject): scenarios not passing, blocks without a prefix, tasks of no block, open findings by kind."""
-    ask = lambda topic, c: [F.lit(topic).alias("topic"), c.cast("string").alias("subject")]
+def open_questions(s: DataFrame, tests: DataFrame, phases: DataFrame, tasks: DataFrame, blocks: DataFrame, prefixes: DataFrame, findings: DataFrame, now_only: bool = True) -> DataFrame:
+    """(topic, subject) in seven topics; a finding is a row, its kind the subject.
+
+    Untested or failing scenarios by priority, scenarios without a row in tests(scenario_id), blocks
+    without a prefix or, of blocks(id, description), a description, findings, and of the phase in
+    progress tasks(criteria) that lack criteria and are not done, none with ``now_only`` off.
+    """
+    ask = lambda topic, c="id": [F.lit(topic).alias("topic"), F.col(c).cast("string").alias("subject")]
+    bad = s.filter(F.col("status").isin("untested", "failing"))
+    here = phases.filter("status = 'in-progress'").agg(F.min(F.struct("phase_number", "id")).alias("p")).select(F.col("p.id").alias("phase_id"))
+    vague = tasks.filter("status <> 'done' and coalesce(size(criteria), 0) <= 0").join(here, "phase_id", "left_semi")
     return (
-        s.filter(F.col("status").isin("untested", "failing")).select(*ask("scenario", F.col("id")))
-        .unionByName(blocks.join(prefixes.select(F.col("block_id").alias("id")), "id", "left_anti").select(*ask("empty block", F.col("id"))))
-        .unionByName(tasks.filter("block_id is null and status <> 'cancelled'").select(*ask("unplaced task", F.col("id"))))
-        .unionByName(findings.select(*ask("drift", F.col("kind"))).distinct())
+        bad.filter("priority = 'must'").select(*ask("must-have scenario"))
+        .unionByName(bad.filter("priority = 'should'").select(*ask("should-have scenario")))
+        .unionByName(s.join(tests.select(F.col("scenario_id").alias("id")), "id", "left_anti").select(*ask("scenario without tests")))
+        .unionByName(blocks.join(prefixes.select(F.col("block_id").alias("id")), "id", "left_anti").select(*ask("block without code")))
+        .unionByName(blocks.filter("trim(coalesce(description, '')) = ''").select(*ask("block without description")))
+        .unionByName(findings.select(*ask("drift", "kind")))
+        .unionByName((vague if now_only else vague.limit(0)).select(*ask("task without criteria")))
     )
 
 
@@ -154,3 +165,18 @@ def linked_scenarios(s: DataFrame, tests: DataFrame) -> DataFrame:
     """Scenarios with a linked test, with these sorted."""
     linked = tests.groupBy(F.col("scenario_id").alias("id")).agg(F.sort_array(F.collect_list("prefix")).alias("linked_tests"))
     return s.join(linked, "id").filter(F.size("linked_tests") > 0)
+
+
+def select_phases(phases: DataFrame, phase_id: str | None = None, status: str | None = None, include_completed: bool = False) -> DataFrame:
+    """The phase of an id, else those of a status, else all that are not complete, or all."""
+    if phase_id is not None:
+        return phases.filter(F.col("id") == phase_id)
+    if status is not None:
+        return phases.filter(F.col("status") == status)
+    return phases if include_completed else phases.filter("status <> 'complete'")
+
+
+def testable(s: DataFrame, tests: DataFrame, ids: list[str] | None = None) -> DataFrame:
+    """Scenarios with a row in tests(scenario_id): those of the ids if any are given, else those verified by machine, wholly or in part."""
+    chosen = F.col("id").isin(*ids) if ids else F.col("verification").isin("automatic", "semi-automatic")
+    return s.filter(chosen).join(tests.select(F.col("scenario_id").alias("id")), "id", "left_semi")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archgraph.operators.graph import block_edges
@@ -103,3 +103,23 @@ def scope_counts(findings: DataFrame, changed: DataFrame) -> DataFrame:
     return f.agg(F.count_if("hit").alias("kept"), F.count_if(F.col("hit").isNull() & F.col("affected_file").isNotNull()).alias("other_files"), F.count_if(F.col("affected_file").isNull()).alias("non_file"))
 
 
+
+
+# fixed values: prefixes of files that belong to the framework, by project type
+_NEXT = [".next/", "next.config", "src/app/layout.", "src/app/page.", "src/app/not-found.", "src/app/loading.", "src/app/error.", "src/app/global-error.", "src/middleware.", "app/layout.", "app/page.", "app/not-found.", "app/loading.", "app/error.", "app/global-error.", "middleware."]
+_DOTNET = ["Program.", "Startup.", "bin/", "obj/", "Properties/", "Migrations/", "wwwroot/"]
+FRAMEWORK_FILES = {
+    "nextjs-app-router": _NEXT,
+    "react-vite": ["src/main.", "src/App.", "vite.config"],
+    "api-service": ["src/index.", "src/app.", "src/server."],
+    "angular-app": [".angular/", "src/environments/", "src/main.ts", "src/index.html", "src/styles.", "angular.json"],
+    "dotnet-webapi": _DOTNET,
+    "fullstack-nextjs-dotnet": ["frontend/" + p for p in _NEXT] + ["api/" + p for p in _DOTNET],
+    "unity-game": ["Library/", "Temp/", "Logs/", "UserSettings/", "Packages/", "ProjectSettings/", "Assets/Plugins/", "obj/", "bin/"],
+}
+
+
+def ignored_prefixes(spark: SparkSession, project_type: str | None = None, own: list[str] = ()) -> DataFrame:
+    """(prefix) of the files that :func:`undocumented` passes over: those of the project type, and the user's own."""
+    rows = sorted({*FRAMEWORK_FILES.get(project_type, []), *own})
+    return spark.createDataFrame([(p,) for p in rows], "prefix string")

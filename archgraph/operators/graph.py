@@ -143,3 +143,18 @@ def server_imports(edges: DataFrame, symbols: DataFrame, components: DataFrame,
     e = edges.filter("kind = 'imports'").join(actions, "target", "left_semi")
     s, t = symbols.select(F.col("id").alias("source"), F.col("file_path").alias("file")), symbols.select(F.col("id").alias("target"), F.col("file_path").alias("imports"))
     return e.join(s, "source").join(clients, "file", "left_semi").join(t, "target").select("file", "imports").distinct()
+
+
+def select_components(components: DataFrame, prefix: str | None = None, client_only: bool = False, with_state: bool = False) -> DataFrame:
+    """components(file_path, is_client, has_state) under a prefix, ignoring case, in the client, with state; all that is asked for."""
+    if prefix is not None:
+        components = components.filter(F.lower("file_path").startswith(prefix.lower()))
+    if client_only:
+        components = components.filter("is_client")
+    return components.filter("has_state") if with_state else components
+
+
+def dashboard(symbols: DataFrame, edges: DataFrame, activity: DataFrame) -> DataFrame:
+    """One row: symbols, files, services, edges and the time of the last activity."""
+    s = symbols.agg(F.count("*").alias("symbols"), F.countDistinct("file_path").alias("files"), F.countDistinct("service").alias("services"))
+    return s.crossJoin(edges.agg(F.count("*").alias("edges"))).crossJoin(activity.agg(F.max("recorded_at").alias("last_at")))  # one row each

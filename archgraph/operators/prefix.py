@@ -52,3 +52,14 @@ def within_prefixes(items: DataFrame, prefixes: DataFrame, path: str = "path", p
     """The rows of ``items`` whose path starts with one of the prefixes at least."""
     hit = prefix_pairs(items.select(path).distinct(), prefixes.select(prefix).distinct(), path, prefix, fold).select(path).distinct()
     return items.join(hit, path, "left_semi")
+
+
+def first_prefix_join(items: DataFrame, prefixes: DataFrame, order: str = "ord", path: str = "path", prefix: str = "prefix", owner: str = "block_id") -> DataFrame:
+    """D3: each distinct path with the owner of the first prefix, by ``order``, that it starts with, however long; the smallest owner on a tie.
+
+    For blocks in the order in which they are declared. Where that order is not meant,
+    :func:`longest_prefix_join` gives a result that does not depend on it.
+    """
+    paths = items.select(path).filter(F.col(path).isNotNull()).distinct()
+    pairs = prefix_pairs(paths, prefixes.select(owner, prefix, order), path, prefix)
+    return pairs.groupBy(path).agg(F.min(F.struct(order, owner)).alias("_first")).select(path, F.col(f"_first.{owner}").alias(owner))

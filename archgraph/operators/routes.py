@@ -106,3 +106,13 @@ def contract_fields(hits: DataFrame, used: DataFrame, given: DataFrame) -> DataF
     shown = given.toDF("dto", "field", "type").join(known.select("dto").distinct(), "dto", "left_semi")
     wanted = used.withColumnRenamed("dto", "expected").join(known.select("expected", "dto").distinct(), "expected").select("dto", "field", "type", "optional")
     return known.select("call_id", "dto").join(field_diff(wanted, shown), "dto").select("call_id", "dto", "field", "problem")
+
+
+def select_routes(routes: DataFrame, service: str | None = None, prefix: str | None = None, kind: str | None = None) -> DataFrame:
+    """Routes of a service, kind and path prefix, ignoring case, by path then kind."""
+    for name, value in (("service", service), ("kind", kind)):
+        if value is not None:
+            routes = routes.filter(F.col(name) == value)
+    if prefix is not None:
+        routes = routes.filter(F.lower("route_path").startswith(prefix.lower()))
+    return routes.orderBy("route_path", "kind")

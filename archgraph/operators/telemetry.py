@@ -56,3 +56,21 @@ def latest_quality(activity: DataFrame) -> DataFrame:
     """of each model the latest row with a drift count, by a partial aggregation instead of a sort."""
     r = activity.filter("drift_count is not null").groupBy("model").agg(F.max(F.struct("recorded_at", "id", "drift_count")).alias("r"))
     return r.select("model", F.col("r.recorded_at").alias("recorded_at"), F.col("r.drift_count").alias("drift_count"))
+
+
+def quality_trend(activity: DataFrame, n: int = 50) -> DataFrame:
+    """the latest rows with a drift count or a count of passed tests; ties by id."""
+    return recent(activity.filter("drift_count is not null or test_pass_count is not null"), n)
+
+
+#: Columns of an activity that :func:`record` fills where they are given.
+FACTS = ("action", "task_id", "phase_id", "duration_ms", "drift_count", "drift_errors", "test_pass_count", "test_fail_count", "lint_clean", "typecheck_clean")
+
+
+def record(activity: DataFrame, enabled: bool, tool_name: str, now: Column, **facts) -> DataFrame:
+    """The activity with a row more, if recording is on. Facts that are no columns, or don't fit theirs, are left out, so a record never fails its caller."""
+    if not enabled:
+        return activity
+    given = {k: v for k, v in facts.items() if k in FACTS} | {"tool_name": tool_name}
+    row = activity.sparkSession.range(1).select(*[F.expr("uuid()").alias("id") if f.name == "id" and f.dataType.typeName() == "string" else (now if f.name == "recorded_at" else F.lit(given.get(f.name))).try_cast(f.dataType).alias(f.name) for f in activity.schema])
+    return activity.unionByName(row)

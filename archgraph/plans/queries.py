@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archgraph.functions import paths, types
-from archgraph.operators import changes, delivery, drift, graph, prefix, propose, review, routes, telemetry
+from archgraph.operators import changes, delivery, drift, graph, prefix, propose, report, review, routes, telemetry
 from archgraph.plans.model import Model, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,10 +45,10 @@ add("c4_prefix_filter", lambda m: changes.search(m.symbols, file_path="ECONOMY/b
 add("c5_block_members", lambda m: prefix.within_prefixes(m.symbols, m.prefixes.filter("block_id like '%-brand1'"), path="file_path", fold=True).select("id"), "SELECT id FROM symbols s WHERE EXISTS (SELECT 1 FROM prefixes p WHERE p.block_id LIKE '%-brand1' AND starts_with(lower(s.file_path), lower(p.prefix)))")
 add("c6_status_sets", lambda m: m.tasks.filter(~F.col("status").isin(*delivery.DONE)).select("id", "status"), "SELECT id, status FROM tasks WHERE status NOT IN ('done', 'cancelled')")
 add("c11_activity_filter", lambda m: telemetry.select(m.activity, since="2024-01-05", until="2024-01-20 12:00:00", model="m2", agent_role="r1").select("id", "tool_name"), "SELECT id, tool_name FROM activity WHERE recorded_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20 12:00:00' AND model = 'm2' AND agent_role = 'r1'")
-add("c12_route_filter", lambda m: m.api_routes.filter("service = 'svc0'").filter(F.lower("route_path").startswith("/fr")).select("route_path", "kind").orderBy("route_path", "kind"), "SELECT route_path, kind FROM api_routes WHERE service = 'svc0' AND starts_with(lower(route_path), '/fr')")
-add("c13_component_filter", lambda m: m.components.filter(F.col("is_client") & F.lower("file_path").startswith("large/")).select("id"), "SELECT id FROM components WHERE is_client AND starts_with(lower(file_path), 'large/')")
+add("c12_route_filter", lambda m: routes.select_routes(m.api_routes, service="svc0", prefix="/FR").select("route_path", "kind"), "SELECT route_path, kind FROM api_routes WHERE service = 'svc0' AND starts_with(lower(route_path), '/fr')")
+add("c13_component_filter", lambda m: graph.select_components(m.components, prefix="LARGE/", client_only=True).select("id"), "SELECT id FROM components WHERE is_client AND starts_with(lower(file_path), 'large/')")
 add("c14_scenarios", lambda m: delivery.scenarios(m.scenarios, category="security", priority="must").select("id", "status"), "SELECT id, status FROM scenarios WHERE category = 'security' AND priority = 'must'")
-add("c15_open_phases", lambda m: m.phases.filter("status <> 'complete'").select("id", "phase_number"), "SELECT id, phase_number FROM phases WHERE status <> 'complete'")
+add("c15_open_phases", lambda m: delivery.select_phases(m.phases).select("id", "phase_number"), "SELECT id, phase_number FROM phases WHERE status <> 'complete'")
 add("c17_relevant", lambda m: delivery.relevant(m.scenarios, "performance").select("id"), "SELECT id FROM scenarios WHERE category = 'performance'")
 add("c18_role_focus", lambda m: delivery.in_focus(m.scenarios, ["security", "reliability"]).select("id"), "SELECT id FROM scenarios WHERE category IN ('security', 'reliability') OR priority = 'must'")
 _NAMED = "named AS (SELECT path || CASE length(path) % 7 WHEN 0 THEN '.env' WHEN 1 THEN '.test.ts' WHEN 2 THEN '.tsx' WHEN 3 THEN '/secret.js' WHEN 4 THEN '.spec.jsx' WHEN 5 THEN '.key' ELSE '' END AS path FROM files_new)"
@@ -60,7 +60,7 @@ def _named(m: Model) -> DataFrame:
 
 add("c19_sensitive_names", lambda m: changes.sensitive_files(_named(m)), "SELECT path FROM named WHERE regexp_matches(path, '\\.env|secrets?\\.|credentials|\\.pem$|\\.key$')", _NAMED)
 add("c20_code_or_test", lambda m: _named(m).select("path", changes.file_class(F.col("path")).alias("class")), "SELECT path, CASE WHEN regexp_matches(path, '\\.(test|spec)\\.(ts|tsx|js|jsx)$') THEN 'test' WHEN regexp_matches(path, '\\.(ts|tsx|js|jsx)$') THEN 'code' ELSE 'other' END AS class FROM named", _NAMED)
-add("c22_testable", lambda m: m.scenarios.filter("verification in ('automatic', 'semi-automatic') and has_tests").select("id"), "SELECT id FROM scenarios WHERE verification IN ('automatic', 'semi-automatic') AND has_tests")
+add("c22_testable", lambda m: delivery.testable(m.scenarios, m.scenarios.filter("has_tests").selectExpr("id as scenario_id")).select("id"), "SELECT id FROM scenarios WHERE verification IN ('automatic', 'semi-automatic') AND has_tests")
 
 # D: joins
 add("d1_edge_endpoints", lambda m: graph.edge_endpoints(m.edges, m.symbols).select("source", "target", "kind", "source_file", "target_file"), "SELECT e.source, e.target, e.kind, s.file_path AS source_file, t.file_path AS target_file FROM edges e JOIN symbols s ON s.id = e.source JOIN symbols t ON t.id = e.target")
@@ -98,7 +98,7 @@ add("e9_pass_rate", lambda m: delivery.pass_rate(m.scenarios), "SELECT round(100
 add("e11_verification", lambda m: m.scenarios.groupBy("verification", "status").agg(F.count("*").alias("n")), "SELECT verification, status, count(*) AS n FROM scenarios GROUP BY 1, 2")
 add("e12_coupling", lambda m: graph.coupling(m.edges, m.symbols, 5), "SELECT file_path, count(DISTINCT target) AS targets FROM edges e JOIN symbols s ON s.id = e.source GROUP BY 1 HAVING count(DISTINCT target) > 5")
 add("e13_complexity", lambda m: graph.complexity(m.symbols, 2), "SELECT file_path, count(*) AS n_symbols FROM symbols GROUP BY 1 HAVING count(*) > 2")
-add("e14_dashboard", lambda m: m.symbols.agg(F.count("*").alias("symbols"), F.countDistinct("file_path").alias("files"), F.countDistinct("service").alias("services")).crossJoin(m.edges.agg(F.count("*").alias("edges"))).crossJoin(m.activity.agg(F.max("recorded_at").alias("last_at"))), "SELECT (SELECT count(*) FROM symbols) AS symbols, (SELECT count(DISTINCT file_path) FROM symbols) AS files, (SELECT count(DISTINCT service) FROM symbols) AS services, (SELECT count(*) FROM edges) AS edges, (SELECT max(recorded_at) FROM activity) AS last_at")
+add("e14_dashboard", lambda m: graph.dashboard(m.symbols, m.edges, m.activity), "SELECT (SELECT count(*) FROM symbols) AS symbols, (SELECT count(DISTINCT file_path) FROM symbols) AS files, (SELECT count(DISTINCT service) FROM symbols) AS services, (SELECT count(*) FROM edges) AS edges, (SELECT max(recorded_at) FROM activity) AS last_at")
 add("e15_kind_histogram", lambda m: graph.block_of_symbol(m.symbols, m.prefixes).join(m.symbols.select("id", "kind"), "id").groupBy("block_id", "kind").agg(F.count("*").alias("n")), "SELECT block_id, kind, count(*) AS n FROM symbols s JOIN owner o ON o.path = s.file_path GROUP BY 1, 2", _OWNER)
 add("e16_directions", lambda m: graph.direction_counts(_block_edges(m)), "SELECT block_id, sum(i)::BIGINT AS internal, sum(o)::BIGINT AS outbound, sum(n)::BIGINT AS inbound FROM (SELECT source_block AS block_id, (source_block = target_block)::INT AS i, (source_block <> target_block)::INT AS o, 0 AS n FROM be UNION ALL SELECT target_block, 0, 0, 1 FROM be WHERE source_block <> target_block) GROUP BY 1", _OWNER, _BLOCK_EDGES)
 add("e17_interfaces", lambda m: graph.derived_interfaces(_block_edges(m)).select("block_id", F.array_join("interfaces", ",").alias("interfaces")), "SELECT source_block AS block_id, string_agg(DISTINCT target_block, ',' ORDER BY target_block) AS interfaces FROM be WHERE source_block <> target_block GROUP BY 1", _OWNER, _BLOCK_EDGES)
@@ -177,7 +177,6 @@ _INFER = (
 )
 add("h15_task_inference", _inferred, "SELECT id, status, CASE WHEN rule = 1 THEN 'in-progress' WHEN rule = 2 AND t = n THEN 'done' WHEN rule = 2 THEN 'in-progress' ELSE 'done' END AS inferred, rule FROM ruled WHERE rule IS NOT NULL", *_INFER)
 add("h16_apply_inferred", lambda m: delivery.apply_inferred(m.tasks.withColumn("completed_at", F.lit(None).cast("timestamp")), _inferred(m), F.lit("2024-02-01").cast("timestamp")).groupBy("status").agg(F.count("*").alias("n"), F.count("completed_at").alias("completed")), "SELECT status, count(*) AS n, sum(c)::BIGINT AS completed FROM (SELECT coalesce(i.inferred, t.status) AS status, (i.inferred IS NOT DISTINCT FROM 'done')::INT AS c FROM tasks t LEFT JOIN (SELECT id, CASE WHEN rule = 1 THEN 'in-progress' WHEN rule = 2 AND t = n THEN 'done' WHEN rule = 2 THEN 'in-progress' WHEN rule = 3 THEN 'done' END AS inferred FROM ruled) i ON i.id = t.id) GROUP BY 1", *_INFER)
-add("h21_open_questions", lambda m: delivery.open_questions(m.scenarios, m.tasks, m.blocks, m.prefixes, _all(m)), "SELECT 'scenario' AS topic, id AS subject FROM scenarios WHERE status IN ('untested', 'failing') UNION ALL SELECT 'empty block', id FROM blocks WHERE id NOT IN (SELECT block_id FROM prefixes) UNION ALL SELECT 'unplaced task', id FROM tasks WHERE block_id IS NULL AND status <> 'cancelled' UNION ALL SELECT DISTINCT 'drift', kind FROM found", _OWNER, _BLOCK_EDGES, _ALL)
 add("e25_gates", lambda m: delivery.gate(m.phases, m.tasks, _all(m), m.scenarios), "SELECT p.id, coalesce(t.ok, true) AS tasks_ok, d.ok AS drift_ok, q.ok AS quality_ok, coalesce(t.ok, true) AND d.ok AND q.ok AS may_complete FROM phases p LEFT JOIN (SELECT phase_id, bool_and(status IN ('done', 'cancelled')) AS ok FROM tasks GROUP BY 1) t ON t.phase_id = p.id, (SELECT count(*) FILTER (severity = 'error') = 0 AS ok FROM found) d, (SELECT count(*) FILTER (priority = 'must' AND status = 'failing') = 0 AS ok FROM scenarios) q", _OWNER, _BLOCK_EDGES, _ALL)
 _TITLED = "titled AS (SELECT id, title || CASE task_key % 4 WHEN 0 THEN ' Database' WHEN 1 THEN ' error handling' ELSE '' END AS title FROM tasks)"
 
@@ -207,15 +206,90 @@ add("f12_sole_producer", lambda m: routes.sole_producer(m.api_routes.selectExpr(
 _STARTED = "started AS (SELECT id, phase_number, status, NULL::VARCHAR AS started_at, NULL::VARCHAR AS completed_at FROM phases)"
 add("h24_complete_phase", lambda m: delivery.complete_phase(m.phases.selectExpr("id", "phase_number", "status", "cast(null as string) as started_at", "cast(null as string) as completed_at"), m.phases.selectExpr("id", "phase_number < 6 as may_complete"), "phase-1996", F.lit("2024-02-01")), "SELECT id, phase_number, CASE WHEN id = 'phase-1996' THEN 'complete' WHEN id = 'phase-1997' THEN 'in-progress' ELSE status END AS status, CASE WHEN id = 'phase-1997' THEN '2024-02-01' END AS started_at, CASE WHEN id = 'phase-1996' THEN '2024-02-01' END AS completed_at FROM started", _STARTED)
 
-_CHANGED = "file_path LIKE '%f1.ts'"
 add("h14_proposal", lambda m: propose.propose(m.symbols, max_blocks=40))
-add("h19_practice_review", lambda m: review.practice_review(m.files.filter("path like '%f1.ts'"), m.symbols, m.edges, m.prefixes, m.tests, _all(m)), f"SELECT DISTINCT 'architecture' AS dimension, file_path AS subject FROM symbols s WHERE {_CHANGED} AND NOT EXISTS (SELECT 1 FROM prefixes p WHERE starts_with(s.file_path, p.prefix)) UNION ALL SELECT DISTINCT 'drift', affected_file FROM found WHERE affected_file IN (SELECT file_path FROM symbols WHERE {_CHANGED}) UNION ALL SELECT DISTINCT 'quality', scenario_id FROM tests t WHERE EXISTS (SELECT 1 FROM symbols s WHERE {_CHANGED} AND starts_with(s.file_path, t.prefix)) UNION ALL SELECT 'coupling', file_path FROM (SELECT s.file_path, count(DISTINCT e.target) AS n FROM edges e JOIN symbols s ON s.id = e.source GROUP BY 1) WHERE n > 20 AND {_CHANGED} UNION ALL SELECT 'complexity', file_path FROM (SELECT file_path, count(*) AS n FROM symbols GROUP BY 1) WHERE n > 30 AND {_CHANGED}", _OWNER, _BLOCK_EDGES, _ALL)
+add("h28_saving", lambda m: review.saving(m.symbols.selectExpr("file_path as path", "end_line - start_line as tokens"), "large/Brand#1", 100), "SELECT sum(end_line - start_line)::BIGINT AS baseline, round((sum(end_line - start_line) - 100) / sum(end_line - start_line) * 100, 1) AS saved_percent FROM symbols WHERE starts_with(file_path, 'large/Brand#1/')")
+
+_VIEWS = {
+    "changed": "SELECT DISTINCT file_path AS path, CASE length(file_path) % 5 WHEN 0 THEN 'deleted' WHEN 1 THEN 'added' ELSE 'modified' END AS status FROM symbols WHERE file_path LIKE '%f1.ts'",
+    "parts": "SELECT id, is_client, kind = 'function' AND NOT is_client AS is_server_action FROM symbols WHERE kind IN ('component', 'function', 'hook')",
+    "scenario_blocks": "SELECT 'QS-' || n_nationkey AS scenario_id, CASE n_nationkey % 3 WHEN 0 THEN 'b-small' WHEN 1 THEN 'b-large-brand1' ELSE 'b-none' END AS block_id FROM nation",
+    "open_routes": "SELECT route_path, kind, service = 'svc0' AS has_auth FROM api_routes",
+    "described": "SELECT id, CASE level WHEN 1 THEN 'x' ELSE ' ' END AS description FROM blocks",
+    "specified": "SELECT id, phase_id, status, task_key % 2 = 0 AS has_criteria FROM tasks",
+    "placed_decisions": "SELECT decision_id, prefix, CASE WHEN decision_id LIKE '%4' THEN 'b-small-brand2' END AS block_id FROM decisions",
+}
+
+
+def _view(m: Model, name: str) -> DataFrame:
+    text = _VIEWS[name]
+    needs = [n for n in ("symbols", "nation", "api_routes", "blocks", "tasks", "decisions") if f"FROM {n}" in text]
+    return m.spark.sql(text.replace(f"FROM {needs[0]}", "FROM {" + needs[0] + "}"), **{needs[0]: getattr(m, needs[0])})
+
+
+def _project(m: Model) -> review.Project:
+    views = [_view(m, n) for n in ("parts", "open_routes")]
+    return review.Project(m.symbols, m.edges, m.prefixes, m.interfaces, m.blocks, *views, m.scenarios, m.tests, _view(m, "scenario_blocks"), m.phases, m.tasks, _all(m), _view(m, "changed"))
+
+
+def _with(*names: str) -> list[str]:
+    return [_OWNER, _BLOCK_EDGES, _ALL, *(f"{n} AS ({_VIEWS[n]})" for n in names)]
+
+
+_KEPT = "kept AS (SELECT path FROM changed WHERE status <> 'deleted')"
+_UNDECLARED = "undeclared AS (SELECT DISTINCT source_file, source_block, target_block FROM be WHERE kind IN ('imports', 'calls', 'renders') AND source_block <> target_block AND NOT EXISTS (SELECT 1 FROM interfaces i WHERE i.block_id = be.source_block AND i.target = be.target_block))"
+add("h19_practice_review", lambda m: review.practice_review(_project(m), many_symbols=2, many_targets=5), """
+    SELECT 'architecture' AS dimension, 'warning' AS severity, 'unmapped file' AS kind, path AS subject FROM kept WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE starts_with(path, p.prefix))
+    UNION ALL SELECT DISTINCT 'architecture', 'error', 'undeclared interface', source_file || ' -> ' || target_block FROM undeclared WHERE source_file IN (SELECT path FROM kept)
+    UNION ALL SELECT DISTINCT 'security', 'warning', 'server import', s.file_path || ' -> ' || t.file_path FROM edges e JOIN symbols s ON s.id = e.source JOIN symbols t ON t.id = e.target
+        WHERE e.kind = 'imports' AND s.file_path IN (SELECT path FROM kept) AND e.target IN (SELECT id FROM parts WHERE is_server_action) AND s.file_path IN (SELECT file_path FROM symbols JOIN parts USING (id) WHERE parts.is_client)
+    UNION ALL SELECT 'testing', 'info', 'code without tests', count(*)::VARCHAR FROM kept HAVING count(*) > 0
+    UNION ALL SELECT 'testing', CASE WHEN status = 'passing' THEN 'warning' ELSE 'error' END, 'scenario at risk', id FROM scenarios sc WHERE priority IN ('must', 'should') AND (
+        EXISTS (SELECT 1 FROM tests t, kept WHERE t.scenario_id = sc.id AND starts_with(kept.path, t.prefix)) OR EXISTS (SELECT 1 FROM scenario_blocks b JOIN prefixes p ON p.block_id = b.block_id, kept WHERE b.scenario_id = sc.id AND starts_with(kept.path, p.prefix)))
+    UNION ALL SELECT 'documentation', severity, 'drift', count(*)::VARCHAR FROM found WHERE severity IN ('error', 'warning') GROUP BY severity
+    UNION ALL SELECT 'complexity', 'warning', 'many symbols', file_path FROM symbols WHERE file_path IN (SELECT path FROM kept) GROUP BY file_path HAVING count(*) > 2
+    UNION ALL SELECT 'complexity', 'warning', 'many targets', s.file_path FROM edges e JOIN symbols s ON s.id = e.source WHERE s.file_path IN (SELECT path FROM kept) GROUP BY s.file_path HAVING count(DISTINCT e.target) > 5""",
+    *_with("changed", "parts", "scenario_blocks"), _KEPT, _UNDECLARED)
+_DRIFT_ROWS = "SELECT 'drift' AS section, severity AS subject, count(*)::VARCHAR AS value FROM found GROUP BY severity"
+_SCENARIO_ROWS = "SELECT 'scenarios', id, status FROM scenarios"
+_CHANGED_ROWS = "SELECT 'changed files', path, status FROM changed"
+add("h20_security_reviewer", lambda m: review.role_check(_project(m), "security-reviewer"), f"""{_DRIFT_ROWS} UNION ALL {_SCENARIO_ROWS} WHERE category = 'security' OR priority = 'must' UNION ALL {_CHANGED_ROWS}
+    UNION ALL SELECT 'boundaries', 'client components', count(*)::VARCHAR FROM parts WHERE is_client UNION ALL SELECT 'boundaries', 'server actions', count(*)::VARCHAR FROM parts WHERE is_server_action
+    UNION ALL SELECT 'boundaries', 'edges across', count(*)::VARCHAR FROM edges e JOIN parts a ON a.id = e.source JOIN parts b ON b.id = e.target WHERE a.is_client <> b.is_client AND e.kind IN ('imports', 'calls', 'renders')
+    UNION ALL SELECT 'routes without auth', route_path, kind FROM open_routes WHERE kind = 'api-route' AND NOT has_auth""", *_with("changed", "parts", "open_routes"))
+add("h20_quality_guardian", lambda m: review.role_check(_project(m), "quality-guardian"), f"{_DRIFT_ROWS} UNION ALL {_SCENARIO_ROWS} UNION ALL SELECT 'verification', verification || ' / ' || status, count(*)::VARCHAR FROM scenarios GROUP BY verification, status", *_with())
+add("h20_architect", lambda m: review.role_check(_project(m), "architect"), f"{_DRIFT_ROWS} UNION ALL SELECT 'blocks', id, NULL FROM blocks UNION ALL SELECT DISTINCT 'undeclared interfaces', source_block, target_block FROM undeclared", *_with(), _UNDECLARED)
+add("h20_phase_manager", lambda m: review.role_check(_project(m), "phase-manager"), f"""{_DRIFT_ROWS} UNION ALL SELECT 'phase', id, 'in-progress' FROM phases WHERE status = 'in-progress' UNION ALL SELECT 'tasks', id, status FROM tasks WHERE phase_id IN (SELECT id FROM phases WHERE status = 'in-progress')
+    UNION ALL SELECT 'progress', status, count(*)::VARCHAR FROM tasks WHERE phase_id IN (SELECT id FROM phases WHERE status = 'in-progress') GROUP BY status UNION ALL {_CHANGED_ROWS}
+    UNION ALL SELECT 'gate', 'must-have scenarios', CASE WHEN count(*) FILTER (status = 'failing') = 0 THEN 'ready' ELSE 'blocked' END FROM scenarios WHERE priority = 'must' HAVING count(*) > 0
+    UNION ALL SELECT 'gate', id, status FROM scenarios WHERE priority = 'must' AND status <> 'passing' AND EXISTS (SELECT 1 FROM scenarios WHERE priority = 'must' AND status = 'failing')""", *_with("changed"))
+add("h20_code_reviewer", lambda m: review.role_check(_project(m), "code-reviewer"), "SELECT 'changed files' AS section, path AS subject, status AS value FROM changed UNION ALL SELECT 'affected blocks', path, block_id FROM owner WHERE path IN (SELECT path FROM kept) UNION ALL SELECT 'unmapped files', path, NULL FROM kept WHERE path NOT IN (SELECT path FROM owner)", *_with("changed"), _KEPT)
+add("h20_custom_role", lambda m: review.role_check(_project(m), "gardener", ["accessibility"]), f"{_DRIFT_ROWS} UNION ALL {_SCENARIO_ROWS} WHERE category = 'accessibility' OR priority = 'must'", *_with())
 add("h20_release_check", lambda m: review.role_scenarios(m.scenarios), "SELECT id, category, status FROM scenarios WHERE priority = 'must' AND status <> 'passing'")
-add("h22_guidance", lambda m: review.guidance("small/Brand#2/f1.ts", m.prefixes, m.scenarios, m.decisions, _all(m), "security"), "SELECT 'block' AS kind, 'b-small-brand2' AS subject UNION ALL SELECT 'scenario', id FROM scenarios WHERE category = 'security' UNION ALL SELECT 'decision', decision_id FROM decisions WHERE contains('small/brand#2/f1.ts', lower(prefix)) OR contains(lower(prefix), 'small/brand#2/f1.ts') UNION ALL SELECT 'finding', kind FROM found WHERE affected_file = 'small/Brand#2/f1.ts'", _OWNER, _BLOCK_EDGES, _ALL)
+add("h21_open_questions", lambda m: delivery.open_questions(m.scenarios, m.tests, m.phases, _view(m, "specified").selectExpr("*", "if(has_criteria, array('x'), array()) as criteria"), _view(m, "described"), m.prefixes, _all(m)), """
+    SELECT 'must-have scenario' AS topic, id AS subject FROM scenarios WHERE priority = 'must' AND status IN ('untested', 'failing') UNION ALL SELECT 'should-have scenario', id FROM scenarios WHERE priority = 'should' AND status IN ('untested', 'failing')
+    UNION ALL SELECT 'scenario without tests', id FROM scenarios WHERE id NOT IN (SELECT scenario_id FROM tests) UNION ALL SELECT 'block without code', id FROM blocks WHERE id NOT IN (SELECT block_id FROM prefixes)
+    UNION ALL SELECT 'block without description', id FROM described WHERE trim(description) = '' UNION ALL SELECT 'drift', kind FROM found
+    UNION ALL SELECT 'task without criteria', id FROM specified WHERE status <> 'done' AND NOT has_criteria AND phase_id IN (SELECT id FROM phases WHERE status = 'in-progress')""", *_with("described", "specified"))
+add("h22_guidance", lambda m: review.guidance(_project(m), "small/Brand#2/f1.ts", _view(m, "placed_decisions"), "security"), """
+    SELECT 'block' AS kind, 'b-small-brand2' AS subject UNION ALL SELECT 'interface', target FROM interfaces WHERE block_id = 'b-small-brand2' UNION ALL SELECT 'nearby', name FROM (SELECT name FROM symbols WHERE starts_with(file_path, 'small/Brand#2/') ORDER BY kind, name, id LIMIT 20)
+    UNION ALL SELECT 'scenario', id FROM scenarios WHERE category = 'security' UNION ALL SELECT 'task', id FROM tasks WHERE block_id = 'b-small-brand2' AND status IN ('todo', 'in-progress')
+    UNION ALL SELECT DISTINCT 'decision', decision_id FROM placed_decisions WHERE contains('small/Brand#2/f1.ts', prefix) OR contains(prefix, 'small/Brand#2/f1.ts') OR block_id = 'b-small-brand2'
+    UNION ALL SELECT 'finding', kind FROM found WHERE affected_file = 'small/Brand#2/f1.ts' OR affected_block = 'b-small-brand2'""", *_with("placed_decisions"))
+add("h23_document_proposals", lambda m: review.document_proposals(_project(m)), """
+    SELECT 'unmapped folder' AS kind, regexp_replace(path, '[^/]*$', '') AS subject, count(*)::VARCHAR AS detail FROM kept WHERE path NOT IN (SELECT path FROM owner) GROUP BY 2
+    UNION ALL SELECT 'interface', target, string_agg(DISTINCT source_block, ',' ORDER BY source_block) FROM be WHERE source_block <> target_block AND target IN (SELECT id FROM symbols WHERE is_exported) AND target_file IN (SELECT path FROM kept) GROUP BY target
+    UNION ALL SELECT DISTINCT 'emptied prefix', p.prefix, p.block_id FROM prefixes p, changed c WHERE c.status = 'deleted' AND starts_with(c.path, p.prefix) AND NOT EXISTS (SELECT 1 FROM symbols s WHERE starts_with(lower(s.file_path), lower(p.prefix)))""", *_with("changed"), _KEPT)
 add("h23_unmapped_folders", lambda m: review.unmapped_folders(m.files, m.prefixes), "SELECT regexp_replace(path, '/[^/]+$', '') AS dir, count(*) AS n_files FROM (SELECT DISTINCT file_path AS path FROM symbols) f WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE starts_with(f.path, p.prefix)) GROUP BY 1")
-add("h28_saving", lambda m: review.saving(m.symbols.selectExpr("file_path as path", "end_line - start_line as tokens"), "large/Brand#1", 100), "SELECT sum(end_line - start_line)::BIGINT AS baseline, round((sum(end_line - start_line) - 100) / sum(end_line - start_line) * 100, 1) AS saved_percent FROM symbols WHERE starts_with(file_path, 'large/Brand#1/')")
+add("d19_undeclared_use", lambda m: review.undeclared_use(_project(m)), "SELECT * FROM undeclared", _OWNER, _BLOCK_EDGES, _UNDECLARED)
+add("h27_drift_summary", lambda m: report.drift_summary(_all(m)), "SELECT 'total' AS \"by\", 'all' AS key, count(*) AS n FROM found UNION ALL SELECT 'severity', severity, count(kind) FROM (SELECT unnest(['info', 'warning', 'error']) AS severity) s LEFT JOIN found USING (severity) GROUP BY severity UNION ALL SELECT 'kind', kind, count(*) FROM found GROUP BY kind UNION ALL SELECT 'block', coalesce(affected_block, '(unassigned)'), count(*) FROM found GROUP BY 2", *_with())
+add("h27_plan_totals", lambda m: report.plan_totals(m.phases, m.tasks), "SELECT (SELECT count(*) FROM phases) AS phases, (SELECT count(*) FROM phases WHERE status = 'complete') AS complete, count(*) AS tasks, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'blocked') AS blocked, count(*) FILTER (status = 'cancelled') AS cancelled FROM tasks")
+add("h27_activity_by_role", lambda m: report.activity_by(m.activity, "agent_role"), "SELECT coalesce(agent_role, '(unknown)') AS key, count(*) AS activities, coalesce(sum(total_tokens), 0)::BIGINT AS tokens, round(coalesce(sum(cost_usd), 0), 4) AS cost FROM activity GROUP BY 1")
+add("f5_quality_trend", lambda m: telemetry.quality_trend(m.activity.withColumn("test_pass_count", F.expr("if(id % 3 = 0, id, null)"))).select("id", "drift_count"), "SELECT id, drift_count FROM activity WHERE drift_count IS NOT NULL OR id % 3 = 0 ORDER BY recorded_at DESC, id DESC LIMIT 50")
+add("d3_first_prefix", lambda m: prefix.first_prefix_join(m.files, m.prefixes.withColumn("ord", F.length("block_id"))), "SELECT path, block_id FROM (SELECT f.path, p.block_id, row_number() OVER (PARTITION BY f.path ORDER BY length(p.block_id), p.block_id) AS r FROM (SELECT DISTINCT file_path AS path FROM symbols) f JOIN prefixes p ON starts_with(f.path, p.prefix)) WHERE r = 1")
+add("c16_ignored", lambda m: drift.undocumented(m.symbols, m.prefixes, drift.ignored_prefixes(m.spark, "react-vite", ["promo/Brand#1"])).select("affected_file"), "SELECT DISTINCT file_path AS affected_file FROM symbols s WHERE NOT starts_with(file_path, 'promo/Brand#1') AND NOT EXISTS (SELECT 1 FROM prefixes p WHERE starts_with(s.file_path, p.prefix))")
 
 # S: functions
+add("s2_search_prefix", lambda m: m.prefixes.select("prefix", paths.search_prefix(F.concat("prefix", F.lit("**/*"))).alias("nested"), paths.search_prefix(F.concat("prefix", F.lit("*"))).alias("plain")), "SELECT prefix, regexp_replace(prefix || '**/*', '\\*\\*?/?\\*?$', '') AS nested, regexp_replace(prefix || '*', '\\*\\*?/?\\*?$', '') AS plain FROM prefixes")
 add("s1_normalize_path", lambda m: m.prefixes.select("prefix", paths.normalize_path(F.concat("prefix", F.lit("**"))).alias("plain"), paths.normalize_path(F.concat("prefix", F.lit("**/*"))).alias("nested")), "SELECT prefix, regexp_replace(prefix || '**', '\\*+/?$', '') AS plain, regexp_replace(prefix || '**/*', '\\*+/?$', '') AS nested FROM prefixes")
 add("s3_under_prefix", lambda m: prefix.prefix_pairs(m.files, m.prefixes).filter(paths.under_prefix(F.col("path"), F.col("prefix"))).select("path", "block_id"), "SELECT f.path, p.block_id FROM (SELECT DISTINCT file_path AS path FROM symbols) f JOIN prefixes p ON f.path = rtrim(p.prefix, '/') OR starts_with(f.path, rtrim(p.prefix, '/') || '/')")
 add("s9_strip_query", lambda m: m.pages.select("page_id", paths.strip_query(F.col("url")).alias("bare")), "SELECT page_id, regexp_extract(url, '^[^?#]*') AS bare FROM pages")

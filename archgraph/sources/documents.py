@@ -5,11 +5,15 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable
+from typing import NamedTuple
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from archgraph.functions.types import unwrapped
+from archgraph.sources.extract import SYMBOL
+
 BLOCK = "id string, name string, level int, parent_id string, responsibility string, code_paths array<string>, interfaces array<string>, service string"
 SCENARIO = "id string, name string, category string, priority string, verification string, status string, linked_code array<string>, linked_tests array<string>, linked_blocks array<string>"
 PHASE = "id string, name string, phase_number int, status string, description string"
@@ -102,11 +106,33 @@ def blocks_yaml(rows: Iterable[dict]) -> str:
     return yaml.safe_dump({"schema_version": 1, "blocks": list(rows)}, sort_keys=False, allow_unicode=True)
 
 
-def roslyn(spark: SparkSession, path: str) -> DataFrame:
-    """Symbols of exported analyser output, one JSON object a line with an array ``symbols``."""
-    kind = "struct<id:string,name:string,qualifiedName:string,kind:string,filePath:string,startLine:long,endLine:long,isExported:boolean,returnType:string>"
-    return spark.read.schema(f"symbols array<{kind}>").json(path).select(F.explode("symbols").alias("s")).select("s.*")
-
-
-def dumps(rows: Iterable[dict]) -> str:
-    return json.dumps(list(rows), indent=2, default=str)
+class Analysis(NamedTuple):
+    symbols: DataFrame
+    edges: DataFrame
+    routes: DataFrame
+    changed: DataFrame
+    removed: DataFrame
+
+
+def roslyn(spark: SparkSession, path: str) -> Analysis:
+    """What an exported analyser run says, one JSON object a line.
+
+    Symbols, edges between ids and routes with the name of their response type, null where that is not
+    told or no single type; and the files that were read again or are gone. Lists that are missing are empty.
+    """
+    symbol = "struct<id:string,name:string,qualifiedName:string,kind:string,filePath:string,startLine:long,endLine:long,signature:string,returnType:string,docComment:string,isExported:boolean,isAsync:boolean>"
+    route = "struct<routePath:string,httpMethods:array<string>,handlerSymbolId:string,hasAuth:boolean,responseType:string>"
+    edge = "struct<sourceSymbolId:string,targetSymbolId:string,kind:string>"
+    raw = spark.read.schema(f"symbols array<{symbol}>, dependencies array<{edge}>, routes array<{route}>, changedFiles array<string>, removedFiles array<string>").json(path)
+    each = lambda c: raw.select(F.explode(c).alias("x"))
+    take = lambda df, **names: df.select(*[F.col(f"x.{there}").alias(here) for here, there in names.items()])
+    names = [c.split(" ")[0] for c in SYMBOL.split(", ")][:-1]
+    symbols = take(each("symbols"), **{n: re.sub(r"_(\w)", lambda m: m[1].upper(), n) for n in names}).withColumn("language", F.lit("csharp"))
+    routes = take(each("routes"), route_path="routePath", methods="httpMethods", handler="handlerSymbolId", has_auth="hasAuth", response="responseType")
+    return Analysis(
+        symbols,
+        take(each("dependencies"), source="sourceSymbolId", target="targetSymbolId", kind="kind"),
+        routes.withColumn("response_type", unwrapped(F.col("response"))).drop("response"),
+        each("changedFiles").toDF("path"),
+        each("removedFiles").toDF("path"),
+    )

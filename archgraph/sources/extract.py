@@ -1,4 +1,4 @@
-"""Symbols, references, routes and calls from source text.
+"""Symbols, references, routes and calls from source text.
 
 Python is parsed by the standard ``ast`` module and so is exact. Go and TypeScript are read by
 declaration patterns over lines, since no parser for them is at hand: declarations split over
@@ -9,6 +9,9 @@ several lines and those inside template strings can be missed. All extractors ar
 from __future__ import annotations
 
 import ast
+import json
+import os
+import posixpath
 import re
 from collections.abc import Iterator
 
@@ -17,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archgraph.functions.paths import app_route, content_hash
+from archgraph.sources.csharp import csharp_routes, csharp_symbols
+from archgraph.sources.source_text import Lines, closing, masked, statements
 
 #: Folders that hold no sources of the project.
 IGNORED = r"(^|/)(node_modules|\.venv|venv|__pycache__|\.git|dist|build|\.next|bin|obj|\.tox|\.mypy_cache|site-packages)(/|$)"
@@ -35,6 +40,44 @@ def scan(spark: SparkSession, root: str, language: str, service: str = "main") -
     return files.filter(~F.col("path").rlike(IGNORED) & ~F.col("path").endswith(".d.ts")).withColumns({"content_hash": content_hash(F.col("content")), "language": F.lit(language), "service": F.lit(service)})
 
 
+def tsconfig_scan(spark: SparkSession, root: str, service: str = "main") -> DataFrame:
+    """A4: :func:`scan` of the TypeScript files that ``tsconfig.json`` under ``root`` and the projects it refers to name, all of them without one.
+
+    Files, include and exclude patterns count, by their folders; a project that can't be read names nothing.
+    """
+    named, left_out, todo, seen = [], [], [""], set()
+    while todo:
+        folder = todo.pop()
+        file = os.path.join(root, folder) if folder.endswith(".json") else os.path.join(root, folder, "tsconfig.json")
+        if file in seen:
+            continue
+        seen.add(file)
+        try:
+            with open(file, encoding="utf-8") as f:
+                text = re.sub(r",(\s*[}\]])", r"\1", re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", f.read(), flags=re.S))
+            config = json.loads(text)
+        except (OSError, ValueError):
+            continue
+        base = os.path.relpath(os.path.dirname(file), root).replace(os.sep, "/")
+        at = lambda p: posixpath.normpath(posixpath.join(base, p))  # noqa: E731, B023
+        refers = [r["path"] for r in config.get("references", []) if isinstance(r, dict) and "path" in r]
+        todo += [at(r) for r in refers]
+        if "include" in config or "files" in config or not refers:
+            named += [at(p) for p in config.get("files", []) + config.get("include", [] if "files" in config else ["**/*"])]
+        left_out += [at(p) for p in config.get("exclude", [])]
+    files = scan(spark, root, "typescript", service)
+    held = lambda patterns: F.col("path").rlike("|".join(f"(?:{_glob(p)})" for p in sorted(set(patterns))))
+    files = files.filter(held(named)) if named else files
+    return files.filter(~held(left_out)) if left_out else files
+
+
+def _glob(pattern: str) -> str:
+    """The regular expression of a glob; one without a wildcard in its last part holds a folder too."""
+    part = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    said = "".join(part.get(x) or re.escape(x) for x in re.findall(r"\*\*/|\*\*|[*?]|[^*?]+", pattern.removeprefix("./")))
+    return "^" + (".*" if pattern in (".", "./") else said) + ("$" if "*" in pattern.rsplit("/", 1)[-1] else "(?:/.*)?$")
+
+
 def language_of(names: list[str]) -> str:
     """A5: the language of a project by the names of its files, in order of precedence."""
     has = lambda p: any(re.search(p, n) for n in names)
@@ -135,26 +178,27 @@ def python_routes(path: str, content: str) -> list[tuple]:
 _GO = re.compile(r"^func\s+(?:\(\s*\w*\s*\*?(?P<recv>\w+)[^)]*\)\s*)?(?P<func>\w+)\s*(?:\[[^\]]*\])?(?P<sig>\([^{]*)|^type\s+(?P<type>\w+)\s*(?:\[[^\]]*\])?\s+(?P<what>struct|interface)?|^(?P<decl>const|var)\s+(?P<names>\w+(?:\s*,\s*\w+)*)", re.M)
 
 
-def _end_line(content: str, at: int) -> int:
-    """The line of the brace that closes the first one opened on the line at ``at``, else that line."""
-    line_end = content.find("\n", at)
-    line_end = len(content) if line_end < 0 else line_end
-    opened = content.find("{", at, line_end)
-    if opened < 0:
-        return content.count("\n", 0, at) + 1
-    depth = 0
-    for m in re.finditer(r'"(?:\\.|[^"\\\n])*"|`[^`]*`|//[^\n]*|/\*.*?\*/|[{}]', content[opened:], re.S):
-        depth += (m[0] == "{") - (m[0] == "}")
-        if depth == 0 and m[0] == "}":
-            return content.count("\n", 0, opened + m.start()) + 1
-    return content.count("\n") + 1
+def _end_line(plain: str, at: int, lines: Lines) -> int:
+    """The last line of the declaration at ``at`` of masked text: of its first braces outside of parentheses, else of its line."""
+    depth, i = 0, at
+    for m in re.compile(r"[(){};\n]").finditer(plain, at):
+        i, c = m.start(), m[0]
+        if c in "()":
+            depth = max(0, depth + (1 if c == "(" else -1))
+        elif depth:
+            continue
+        elif c == "{":
+            return lines.of(min(closing(plain, i, len(plain)), max(len(plain) - 1, 0)))
+        elif c != "\n" or not re.search(r"(=>|[=,(&|?:])\s*$", plain[at:i]):
+            return lines.of(i)
+    return lines.of(max(len(plain) - 1, at))
 
 
 def go_symbols(path: str, content: str) -> list[tuple]:
     """Functions, methods as ``Receiver.Name``, structs as classes, interfaces, types, constants and variables; exported by upper case."""
-    out = []
-    for m in _GO.finditer(content):
-        lines = (content.count("\n", 0, m.start()) + 1, _end_line(content, m.start()))
+    out, plain, at = [], masked(content, "go"), Lines(content)
+    for m in _GO.finditer(plain):
+        lines = (at.of(m.start()), _end_line(plain, m.start(), at))
         if m["func"]:
             q = f"{m['recv']}.{m['func']}" if m["recv"] else m["func"]
             out.append(_row(path, q, "function", lines, "go", m["func"][0].isupper(), m["sig"].strip()))
@@ -164,6 +208,12 @@ def go_symbols(path: str, content: str) -> list[tuple]:
         else:
             kind = "constant" if m["decl"] == "const" else "variable"
             out += [_row(path, n, kind, lines, "go", n[0].isupper()) for n in re.split(r"\s*,\s*", m["names"])]
+    for m in re.finditer(r"^(const|var|type)\s*\(", plain, re.M):
+        for s in re.finditer(r"^[ \t]+(\w+(?:\s*,\s*\w+)*)(?:\s*\[[^\]]*\])?[ \t]*(struct|interface)?", plain[: closing(plain, m.end() - 1, len(plain))][m.end() :], re.M):
+            first = at.of(m.end() + s.start(1))
+            for n in re.split(r"\s*,\s*", s[1]):
+                kind = {"const": "constant", "var": "variable"}.get(m[1]) or {"struct": "class", "interface": "interface"}.get(s[2], "type")
+                out.append(_row(path, n, kind, (first, first), "go", n[0].isupper()))
     return out
 
 
@@ -178,8 +228,9 @@ def typescript_symbols(path: str, content: str) -> list[tuple]:
     are contexts by ``createContext``, functions by an arrow, else constants or variables.
     """
     out, markup = [], path.endswith("x") and re.search(r"<[A-Za-z]", content) is not None
-    for m in _TS.finditer(content):
-        lines = (content.count("\n", 0, m.start()) + 1, _end_line(content, m.start()))
+    plain, at = masked(content, "typescript"), Lines(content)
+    for m in _TS.finditer(plain):
+        lines = (at.of(m.start()), _end_line(plain, m.end("var") if m["var"] else m.end("func") if m["func"] else m.start(), at))
         shown, name = bool(m["export"]), m["func"] or m["cls"] or m["intf"] or m["alias"] or m["enum"] or m["var"]
         callable_ = m["func"] or (m["var"] and re.search(r"=\s*(async\s*)?(\([^=]*\)|\w+)\s*(:[^=]+)?=>|=\s*(memo|forwardRef)\(|=\s*React\.(memo|forwardRef)\(", m["init"]))
         if callable_:
@@ -189,11 +240,42 @@ def typescript_symbols(path: str, content: str) -> list[tuple]:
         else:
             kind = "class" if m["cls"] else "interface" if m["intf"] else "type" if m["alias"] else "enum"
         out.append(_row(path, name, kind, lines, "typescript", shown, (m["sig"] or "").strip() or None, None, None, bool(m["async"]) or bool(m["var"] and "async" in m["init"])))
+        if m["cls"]:
+            out += _class_members(path, content, name, m.end(), shown)
         if m["intf"]:
             body = "\n".join(content.split("\n")[lines[0] : max(lines[0], lines[1] - 1)])
             for f in _FIELD.finditer(body):
-                at = lines[0] + 1 + body.count("\n", 0, f.start("name"))
-                out.append(_row(path, f"{name}.{f['name']}", "variable", (at, at), "typescript", shown, "optional" if f["opt"] else None, f["type"].strip()))
+                line = lines[0] + 1 + body.count("\n", 0, f.start("name"))
+                out.append(_row(path, f"{name}.{f['name']}", "variable", (line, line), "typescript", shown, "optional" if f["opt"] else None, f["type"].strip()))
+    return out
+
+
+_MEMBER = re.compile(r"\s*(?:@[\w$.]+(?:\([^()]*\))?\s*)*(?P<mods>(?:(?:public|private|protected|static|readonly|abstract|override|async|declare|get|set)\s+)*)\*?\s*(?P<name>#?[A-Za-z_$][\w$]*)[?!]?\s*(?P<next>[(<:=;]|$)")
+
+
+def _class_members(path: str, content: str, name: str, at: int, shown: bool) -> list[tuple]:
+    """Methods and properties of the class whose head ends at ``at``; private ones are not exported."""
+    plain, lines = masked(content, "typescript"), Lines(content)
+    opened = plain.find("{", at - 1)
+    if opened < 0:
+        return []
+    out, seen = [], set()
+    for s in statements(plain, opened + 1, closing(plain, opened, len(plain))):
+        # without semicolons several properties are in one statement
+        head, begin = plain[s.start : s.head_end], s.start
+        for line in re.split(r"(?<=\n)", head) if "(" not in head or "=" in head.partition("(")[0] else [head]:
+            m = _MEMBER.match(line)
+            if m and line.strip():
+                mods, first = set(m["mods"].split()), lines.of(begin + m.start("name"))
+                method = m["next"] in ("(", "<") or re.search(r"=\s*(?:async\s*)?\([^()]*\)\s*(?::[^=]+)?=>", line)
+                kind, private = ("function" if method else "variable"), "private" in mods or m["name"].startswith("#")
+                if (m["name"], kind) not in seen and m["name"] not in ("if", "for", "while", "return"):
+                    seen.add((m["name"], kind))
+                    q = f"{name}.{m['name']}"
+                    last = lines.of(max(s.end - 1, begin)) if line is head or s.body >= 0 else first
+                    told = re.match(r"\s*([^=;{\n]+)", line[m.end() :]) if m["next"] == ":" else None
+                    out.append(_row(path, q, kind, (first, last), "typescript", shown and not private, None, told[1].strip() if told else None, None, "async" in mods))
+            begin += len(line)
     return out
 
 
@@ -226,10 +308,11 @@ def go_routes(path: str, content: str) -> list[tuple]:
     return out
 
 
-SYMBOLS = {"python": python_symbols, "go": go_symbols, "typescript": typescript_symbols}
+SYMBOLS = {"python": python_symbols, "go": go_symbols, "typescript": typescript_symbols, "csharp": csharp_symbols}
 
 
-def _each(files: DataFrame, f, schema: str) -> DataFrame:
+def each(files: DataFrame, f, schema: str) -> DataFrame:
+    """The rows that ``f(path, content)`` gives for each of files(path, content); rows without either give none."""
     names = [x.split(" ")[0] for x in re.split(r",\s*", schema)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,23 +324,25 @@ def _each(files: DataFrame, f, schema: str) -> DataFrame:
 
 
 def symbols(files: DataFrame, language: str) -> DataFrame:
-    """Symbols of files(path, content) in python, go or typescript; rows without path or content give none."""
-    return _each(files, SYMBOLS[language], SYMBOL)
+    """Symbols of files(path, content) in a language of EXTENSION; rows without path or content give none."""
+    return each(files, SYMBOLS[language], SYMBOL)
 
 
 def references(files: DataFrame) -> DataFrame:
     """References by name of Python files, for :func:`archgraph.operators.changes.resolve_names`."""
-    return _each(files, python_references, REFERENCE)
+    return each(files, python_references, REFERENCE)
 
 
 def routes(files: DataFrame, language: str) -> DataFrame:
-    """Routes of Python or Go files."""
-    return _each(files, {"python": python_routes, "go": go_routes}[language], ROUTE)
+    """Routes of Python, Go or C# files; the response type is null but for C#."""
+    if language == "csharp":
+        return each(files, csharp_routes, ROUTE + ", response_type string")
+    return each(files, {"python": python_routes, "go": go_routes}[language], ROUTE).withColumn("response_type", F.lit(None).cast("string"))
 
 
 def calls(files: DataFrame) -> DataFrame:
     """Outbound HTTP calls of TypeScript files."""
-    return _each(files, api_calls, "url string, method string, file_path string, line long, expected_type string")
+    return each(files, api_calls, "url string, method string, file_path string, line long, expected_type string")
 
 
 def app_routes(files: DataFrame) -> DataFrame:
