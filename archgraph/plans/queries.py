@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from archgraph.functions import paths, types
 from archgraph.operators import changes, delivery, drift, graph, prefix, propose, report, review, routes, telemetry
 from archgraph.plans.model import Model, sql
+from archgraph.sources import documents, edges, extract
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -297,3 +298,66 @@ add("s14_symbol_id", lambda m: m.symbols.select("id", paths.symbol_path(F.col("i
 add("s17_slug", lambda m: m.benchmark.select("item_id", paths.slug(F.col("text")).alias("slug")), "SELECT item_id, substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 30) AS slug FROM benchmark")
 add("s21_content_hash", lambda m: m.documents.select("doc_id", paths.content_hash(F.col("text")).alias("hash")), "SELECT doc_id, substr(sha256(text), 1, 16) AS hash FROM documents")
 add("s23_directory", lambda m: m.files.select("path", paths.directory(F.col("path")).alias("dir")), "SELECT DISTINCT file_path AS path, regexp_replace(file_path, '/[^/]+$', '') AS dir FROM symbols")
+
+# A, B: sources, a file or two of each row of part; @k stands for its key, @s for its size and ~ for a line break
+_SOURCES = {
+    "csharp": ["N@k.cs", 'namespace N@s;~[Route("api/r@k")]~public class C@kController : ControllerBase, IThing@k~{~    public int Size { get; set; }~    [HttpGet("{id}")] [Authorize]~    public Task<Dto@k> Make@k(Arg@k a) { return Help@k(a); }~    private Dto@k Help@k(Arg@k a) { return new Dto@k(); }~}~public record Dto@k(int Id);~public interface IThing@k { }~'],
+    "python": ["m@k.py", 'class A@k(B@k):~    def m@k(self, x: T@k):~        return f@k(x)~~@app.get("/p@k/{id}")~async def f@k(id: int, user = Depends(auth)):~    return 1~class B@k: pass~'],
+    "go": ["m@k.go", 'package a~type S@k struct {~    Base@k~}~type Base@k struct {~}~func (s *S@k) Run@k(i Base@k) error {~    return help@k(i)~}~func help@k(i Base@k) error { return nil }~func routes() {~    g := r.Group("/g@k")~    g.GET("/x", h@k)~}~'],
+    "typescript": ["src/m@k.tsx", '"use client";~import { Kit@k } from "./kit@k";~export function Page@k(p: Props@k) {~  const [a, b] = useState(0);~  load@k();~  return <Kit@k a={a} />;~}~interface Props@k { a: string }~async function load@k() { return api.get<Dto@k>("/u@k/x"); }~'],
+    "kit": ["src/kit@k.tsx", "export const Kit@k = (p: any) => <div/>;~"],
+    "package": ["m@k/package.json", '{"dependencies": {"lib@k": "1"}, "devDependencies": {"dev@k": "@s"}}'],
+    "project": ["m@k.csproj", '<Project><PackageReference Include="Nu@k" Version="@s" /></Project>'],
+}
+
+
+def _said(text: str) -> str:
+    """SQL for a text of :data:`_SOURCES`."""
+    return f"replace(replace(replace('{text}', '@k', cast(p_partkey as string)), '@s', cast(p_size as string)), '~', chr(10))"
+
+
+def _files(m: Model, *names: str) -> DataFrame:
+    made = [m.part.selectExpr(f"{_said(path)} as path", f"{_said(text)} as content") for path, text in (_SOURCES[n] for n in names)]
+    return made[0] if len(made) == 1 else made[0].unionByName(made[1])
+
+
+def _of_part(columns: str, *rows: str) -> str:
+    """SQL of ``rows`` for each row of part, the values of a row separated by bars."""
+    names = columns.split()
+    value = lambda v, n: "NULL" if v == "-" else v if n in ("start_line", "end_line", "line") or v in ("true", "false") else _said(v)
+    return " UNION ALL ".join("SELECT " + ", ".join(f"{value(v, n)} AS {n}" for n, v in zip(names, r.split("|"), strict=True)) + " FROM part" for r in rows)
+
+
+_SYMBOL = "id kind start_line end_line is_exported"
+
+
+def _symbols(language: str, *more: str) -> Callable[[Model], DataFrame]:
+    return lambda m: extract.symbols(_files(m, language, *more), language).select(*_SYMBOL.split())
+
+
+def _edges(language: str, *more: str) -> Callable[[Model], DataFrame]:
+    return lambda m: edges.edges(edges.references(f := _files(m, language, *more), language), extract.symbols(f, language))
+
+
+add("b1_typescript_symbols", _symbols("typescript", "kit"), _of_part(_SYMBOL, "src/m@k.tsx::Page@k#component|component|3|7|true", "src/m@k.tsx::Props@k#interface|interface|8|8|false", "src/m@k.tsx::load@k#function|function|9|9|false", "src/kit@k.tsx::Kit@k#component|component|1|1|true"))
+add("b4_csharp_symbols", _symbols("csharp"), _of_part(_SYMBOL, "N@k.cs::N@s.C@kController#class|class|3|9|true", "N@k.cs::N@s.C@kController.Size#variable|variable|5|5|true", "N@k.cs::N@s.C@kController.Make@k#function|function|7|7|true", "N@k.cs::N@s.C@kController.Help@k#function|function|8|8|false", "N@k.cs::N@s.Dto@k#class|class|10|10|true", "N@k.cs::N@s.IThing@k#interface|interface|11|11|true"))
+add("b6_python_symbols", _symbols("python"), _of_part(_SYMBOL, "m@k.py::A@k#class|class|1|3|true", "m@k.py::A@k.m@k#function|function|2|3|true", "m@k.py::f@k#function|function|6|7|true", "m@k.py::B@k#class|class|8|8|true"))
+add("b7_go_symbols", _symbols("go"), _of_part(_SYMBOL, "m@k.go::S@k#class|class|2|4|true", "m@k.go::Base@k#class|class|5|6|true", "m@k.go::S@k.Run@k#function|function|7|9|true", "m@k.go::help@k#function|function|10|10|false", "m@k.go::routes#function|function|11|14|false"))
+_EDGE = "source target kind"
+add("b8_typescript_edges", _edges("typescript", "kit"), _of_part(_EDGE, *(f"src/m@k.tsx::{a}|src/kit@k.tsx::Kit@k#component|imports" for a in ("Page@k#component", "Props@k#interface", "load@k#function")), "src/m@k.tsx::Page@k#component|src/m@k.tsx::load@k#function|calls", "src/m@k.tsx::Page@k#component|src/kit@k.tsx::Kit@k#component|renders", "src/m@k.tsx::Page@k#component|src/m@k.tsx::Props@k#interface|uses_type"))
+add("b9_csharp_edges", _edges("csharp"), _of_part(_EDGE, "N@k.cs::N@s.C@kController#class|N@k.cs::N@s.IThing@k#interface|implements", "N@k.cs::N@s.C@kController.Make@k#function|N@k.cs::N@s.C@kController.Help@k#function|calls", "N@k.cs::N@s.C@kController.Help@k#function|N@k.cs::N@s.Dto@k#class|uses_type"))
+add("b11_python_edges", _edges("python"), _of_part(_EDGE, "m@k.py::A@k#class|m@k.py::B@k#class|extends", "m@k.py::A@k.m@k#function|m@k.py::f@k#function|calls"))
+add("b12_go_edges", _edges("go"), _of_part(_EDGE, "m@k.go::S@k#class|m@k.go::Base@k#class|extends", "m@k.go::S@k.Run@k#function|m@k.go::help@k#function|calls", "m@k.go::S@k.Run@k#function|m@k.go::Base@k#class|uses_type", "m@k.go::help@k#function|m@k.go::Base@k#class|uses_type"))
+add("b14_components", lambda m: edges.components(_files(m, "typescript", "kit")).select("id", "is_client", "has_state", "props"), _of_part("id is_client has_state props", "src/m@k.tsx::Page@k#component|true|true|Props@k", "src/kit@k.tsx::Kit@k#component|false|false|any"))
+_ROUTED = "route_path method has_auth response_type"
+
+
+def _routes(language: str) -> Callable[[Model], DataFrame]:
+    return lambda m: extract.routes(_files(m, language), language).select("route_path", F.array_join("methods", ",").alias("method"), "has_auth", "response_type")
+
+
+add("b17_csharp_routes", _routes("csharp"), _of_part(_ROUTED, "/api/r@k/{id}|GET|true|Dto@k"))
+add("b19_python_routes", _routes("python"), _of_part(_ROUTED, "/p@k/{id}|GET|true|-"))
+add("b20_go_routes", _routes("go"), _of_part(_ROUTED, "/g@k/x|GET|false|-"))
+add("b21_api_calls", lambda m: extract.calls(_files(m, "typescript")), _of_part("url method file_path line expected_type", "/u@k/x|GET|src/m@k.tsx|9|Dto@k"))
+add("a7_packages", lambda m: documents.packages(_files(m, "package", "project")), _of_part("name version source service", "lib@k|1|npm|main", "dev@k|@s|npm-dev|main", "Nu@k|@s|nuget|main"))
