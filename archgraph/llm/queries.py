@@ -93,6 +93,20 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all documents towards the benchmark's texts and the ranks of the drawn quarter."""
+    from .resample import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, least_words=20, buckets=10_000, seed=7)
+
+
+def op13_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten Lloyd rounds with eight centroids over all embeddings of 64 components."""
+    from .lloyd import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3)
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
@@ -104,8 +118,57 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_run_index": op9_run_index,
     "op10_bpe": op10_bpe,
+    "op12_resample": op12_resample,
+    "op13_lloyd": op13_lloyd,
 }
 
+
+def _lloyd_sql(k: int = 8, rounds: int = 10, seed: int = 3, dims: int = 64) -> str:
+    """Each round as a materialised query over the one before."""
+    near = """SELECT i, x, unnest(list_transform(list_sort(list(struct_pack(d := list_sum(list_transform(list_zip(x, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c := c)))[1:1], lambda b: b), recursive := true)
+        FROM v, c{r} GROUP BY i, x"""
+    parts = [
+        f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda a: CAST(floor(CAST(a AS DOUBLE) * 1024) AS BIGINT)) AS x FROM embeddings
+        WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda a: a IS NOT NULL AND isfinite(CAST(a AS DOUBLE)))) = {dims})""",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, x) - 1 AS INT) AS c, x AS m FROM (SELECT sha256('{seed}:' || vec_id) AS h, x FROM v ORDER BY h, x LIMIT {k}))",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"n{r} AS MATERIALIZED ({near.format(r=r)})")
+        if r < rounds:
+            parts.append(f"""s{r} AS MATERIALIZED (SELECT c, g, CAST(sum(x[g]) AS BIGINT) AS s, count(*) AS n FROM n{r}, range(1, {dims + 1}) AS t(g) GROUP BY c, g),
+            f{r} AS MATERIALIZED (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY g) AS m FROM s{r} GROUP BY c),
+            c{r + 1} AS MATERIALIZED (SELECT c, coalesce(f{r}.m, c{r}.m) AS m FROM c{r} LEFT JOIN f{r} USING (c))""")
+    return ",\n        ".join(parts) + f"""
+        SELECT vec_id, c AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(m, ',')) AS centroid_sha256
+        FROM n{rounds} JOIN v USING (i) JOIN c{rounds} USING (c)"""
+
+
+_RESAMPLE_SQL = """
+        WITH crc AS MATERIALIZED (SELECT list(e ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS e FROM range(256) AS r(b))),
+        words AS MATERIALIZED (
+            SELECT d, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM (SELECT true AS d, doc_id, text FROM documents UNION ALL SELECT false, item_id, text FROM benchmark)),
+        numbered AS MATERIALIZED (SELECT row_number() OVER () AS i, * FROM words),
+        feats AS MATERIALIZED (SELECT d, i, unnest(w || list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1])) AS f FROM numbered),
+        dict AS MATERIALIZED (SELECT f, count(*) FILTER (d) AS s, count(*) FILTER (NOT d) AS t FROM feats GROUP BY f),
+        hashed AS MATERIALIZED (
+            SELECT f, s, dict.t AS t, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(octet_length(encode(f))), lambda j: CAST('0x' || substr(hex(encode(f)), 2 * j + 1, 2) AS BIGINT))),
+                   lambda x, y: xor(x >> 8, crc.t[1 + CAST((xor(x, y)) & 255 AS BIGINT)])), 4294967295) % 10000 AS b
+            FROM dict, crc),
+        buckets AS MATERIALIZED (SELECT b, CAST(sum(s) AS BIGINT) AS s, CAST(sum(t) AS BIGINT) AS t FROM hashed GROUP BY b),
+        gains AS MATERIALIZED (SELECT b, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST((SELECT sum(s) FROM buckets) + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST((SELECT sum(t) FROM buckets) + 10000 AS DOUBLE)))) AS BIGINT) AS g FROM buckets),
+        sums AS (SELECT i, CAST(sum(g) AS BIGINT) AS total FROM feats JOIN hashed USING (f) JOIN gains USING (b) WHERE d GROUP BY i),
+        weighed AS (
+            SELECT doc_id, len(w) AS n, CAST(greatest(2 * len(w) - 1, 0) AS BIGINT) AS n_features,
+                   CASE WHEN total IS NULL THEN 0 ELSE (total - ((total % (2 * len(w) - 1)) + 2 * len(w) - 1) % (2 * len(w) - 1)) // (2 * len(w) - 1) END AS weight,
+                   CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+            FROM numbered LEFT JOIN sums USING (i) WHERE d),
+        scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM weighed),
+        placed AS (SELECT *, row_number() OVER (ORDER BY n >= 20 DESC, score DESC, doc_id NULLS LAST) AS place, count(*) FILTER (n >= 20) OVER () AS fit FROM scored)
+        SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN place <= 25 * fit // 100 THEN place END AS rank FROM placed
+"""
+
 #: DuckDB SQL where SQL can express the query; tests hold the others against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": """
@@ -118,4 +181,6 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
         FROM b
     """,
+    "op12_resample": _RESAMPLE_SQL,
+    "op13_lloyd": _lloyd_sql(),
 }
