@@ -9,11 +9,14 @@ hash of the id turns weights into a sample without replacement.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +24,8 @@ from .base import forget, settle
 
 #: Lower-cases A-Z and turns every ASCII byte that is neither letter nor digit to a space; bytes of other characters stay.
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
-#: Words of texts that are counted together in one task.
-CHUNK = 1 << 20
+#: Bytes of texts that are counted together in one task, and of texts for each shard of features, about.
+CHUNK = 3 << 20
 
 
 class _Numbers(dict):
@@ -34,14 +37,16 @@ class _Numbers(dict):
 
 
 class Features:
-    """Distinct words and pairs of neighbours of some texts, and which of them each text holds."""
+    """Distinct words and pairs of neighbours of some texts, in the order of their bytes, and which of them each text holds."""
 
     def __init__(self, texts: list[bytes | None]) -> None:
         number = _Numbers()
         ids = [np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in ((t or b"").translate(_CLEAN).split() for t in texts)]
         self.n_words = np.array([len(x) for x in ids], np.int64)
-        self.words = list(number)
-        self.tokens = np.concatenate([np.empty(0, np.int64), *ids])
+        self.words = sorted(number)
+        rank = np.empty(len(number), np.int64)
+        rank[np.fromiter(map(number.__getitem__, self.words), np.int64, len(number))] = np.arange(len(number))
+        self.tokens = rank[np.concatenate([np.empty(0, np.int64), *ids])]
         self.text = np.repeat(np.arange(len(texts)), self.n_words)
         inner = np.flatnonzero(self.text[1:] == self.text[:-1])
         pairs, self.of_pair = np.unique(self.tokens[inner] * max(len(number), 1) + self.tokens[inner + 1], return_inverse=True)
@@ -57,28 +62,36 @@ class Features:
         """How often each of :meth:`strings` occurs."""
         return np.concatenate([np.bincount(self.tokens, minlength=len(self.words)), np.bincount(self.of_pair, minlength=len(self.first))])
 
+    def shards(self, n: int) -> np.ndarray:
+        """A number below ``n`` for each of :meth:`strings`, by the words in it."""
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
+        both = h[self.first] * np.uint64(0x9E3779B97F4A7C15) + h[self.second]
+        both = (both ^ (both >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return ((np.concatenate([h, both]) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
     def total(self, gain: np.ndarray) -> np.ndarray:
         """Of each text the sum of ``gain``, given for :meth:`strings`, over its features."""
-        n, k = len(self.n_words), len(self.words)
-        out = np.zeros(n, np.int64)
-        np.add.at(out, self.text, gain[:k][self.tokens])
-        np.add.at(out, self.pair_text, gain[k:][self.of_pair])
-        return out
+        k, sums = len(self.words), np.zeros(len(self.n_words), np.int64)
+        for text, value in ((self.text, gain[:k][self.tokens]), (self.pair_text, gain[k:][self.of_pair])):
+            heads = np.flatnonzero(np.diff(text, prepend=-1))
+            if len(heads):
+                sums[text[heads]] += np.add.reduceat(value, heads)
+        return sums
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], column: int, bytes_each: int = CHUNK * 6) -> Iterator[list[pa.RecordBatch]]:
-    """Batches cut and put together to portions of about ``bytes_each`` bytes of text."""
+def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches cut and put together to portions of about ``CHUNK`` bytes of text."""
     held, size = [], 0
     for b in batches:
-        lengths = np.cumsum([len(x) if x is not None else 0 for x in b.column(column).to_pylist()])
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < b.num_rows:
-            before = lengths[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(lengths, before + bytes_each - size, side="right")))
+            before = int(ends[at - 1]) if at else 0
+            to = min(b.num_rows, max(at + 1, int(np.searchsorted(ends, before + CHUNK - size, side="right"))))
             held.append(b.slice(at, to - at))
-            size += int(lengths[to - 1] - before)
+            size += int(ends[to - 1]) - before
             at = to
-            if size >= bytes_each:
+            if size >= CHUNK:
                 yield held
                 held, size = [], 0
     if held:
@@ -86,16 +99,58 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int, bytes_each: int = CH
 
 
 def feature_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """(feature, n): how often each distinct feature occurs in all texts. Tasks count before the shuffle."""
+    """(feature, n): how often each distinct feature occurs in all texts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A task counts some megabytes of texts at a time and deals the distinct strings, sorted and
+    compressed together, to shards by a hash; a shard adds up its strings. No string is hot, since
+    a task sends each one once.
+    """
+    spark = texts.sparkSession
+    n = max(1, math.ceil((texts.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) / CHUNK))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in _chunks(batches, 0):
             f = Features([t for b in some for t in b.column(0).to_pylist()])
-            names, n = f.strings(), f.counts()
-            for at in range(0, len(names), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 50_000], pa.binary()), pa.array(n[at : at + 50_000])], ["feature", "n"])
+            names, counts, shard = np.array(f.strings(), object), f.counts(), f.shards(n)
+            order = np.argsort(shard, kind="stable")
+            cuts = np.searchsorted(shard[order], np.arange(n + 1)).tolist()
+            for s in range(n):
+                mine = order[cuts[s] : cuts[s + 1]]
+                if len(mine):
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_packed(b"\n".join(names[mine].tolist()))], pa.binary()), pa.array([_packed(counts[mine].tobytes())], pa.binary())], ["shard", "features", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_shard(batches):
+            parts = [pa.array(_unpacked(r[0]).split(b"\n"), pa.binary()) for r in rows]
+            counts = pa.array(np.frombuffer(b"".join(_unpacked(r[1]) for r in rows), np.int64))
+            total = pa.table({"feature": pa.chunked_array(parts), "n": counts}).group_by("feature", use_threads=False).aggregate([("n", "sum")])
+            yield from total.rename_columns(["feature", "n"]).to_batches(max_chunksize=50_000)
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(deal, "shard int, features binary, counts binary")
+    return dealt.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(add, "feature binary, n long")
+
+
+def _packed(b: bytes) -> bytes:
+    return len(b).to_bytes(8, "little") + pa.compress(b, codec="zstd", asbytes=True)
 
-    return texts.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "feature binary, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+
+def _unpacked(b: bytes) -> bytes:
+    return pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, bytes]]]:
+    """(features, counts) of the rows of each shard."""
+    held, last = [], None
+    for b in batches:
+        for s, f, c in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            if s != last and held:
+                yield held
+                held = []
+            last = s
+            held.append((f.as_py(), c.as_py()))
+    if held:
+        yield held
 
 
 def bucket_counts(features: DataFrame, buckets: int) -> DataFrame:
