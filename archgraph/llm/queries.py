@@ -93,6 +93,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those whose crc32(doc_id) mod 7 is not 2."""
+    from .lm_score import score_texts
+
+    learn = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 != 2
+    out = score_texts(table(spark, sf_dir, "documents"), learn)
+    return out.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of all documents towards the benchmark's texts and the ranks of the drawn quarter."""
     from .resample import resample
@@ -118,6 +127,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_run_index": op9_run_index,
     "op10_bpe": op10_bpe,
+    "op11_lm_score": op11_lm_score,
     "op12_resample": op12_resample,
     "op13_lloyd": op13_lloyd,
 }
