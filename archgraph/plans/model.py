@@ -69,7 +69,7 @@ RELATIONS = {
         WHERE lang <> 'en' OR seg <> '[...rest]'""",
     "route_methods": "SELECT route_id, 'GET' AS method FROM {api_routes} WHERE route_path NOT LIKE '%7' UNION ALL SELECT route_id, 'POST' FROM {api_routes} WHERE route_path LIKE '%5'",
     "api_calls": """
-        SELECT 'call-' || page_id AS call_id, '/' || upper(split_part(url, '/', 4)) || '/' || split_part(url, '/', 5) AS url, CASE page_id % 3 WHEN 0 THEN 'get' WHEN 1 THEN 'POST' ELSE 'DELETE' END AS method, 'web' || (page_id % 2) AS service FROM {pages}""",
+        SELECT 'call-' || page_id AS call_id, '/' || upper(split_part(url, '/', 4)) || '/' || split_part(url, '/', 5) AS url, CASE page_id % 3 WHEN 0 THEN 'get' WHEN 1 THEN 'POST' ELSE 'DELETE' END AS method, 'web' || (page_id % 2) AS service, 'web' || (page_id % 2) || '/c' || (page_id % 40) || '.ts' AS file_path FROM {pages}""",
     "files_old": "SELECT source || '/' || doc_id || '.' || lang AS path, sha256_16(text) AS content_hash FROM {documents} WHERE doc_id % 7 <> 0",
     "files_new": "SELECT source || '/' || doc_id || '.' || lang AS path, CASE WHEN doc_id % 5 = 0 THEN sha256_16(text || '!') ELSE sha256_16(text) END AS content_hash FROM {documents} WHERE doc_id % 11 <> 0",
     "fields_used": "SELECT 'dto' || (c_custkey % 9) AS dto, c_mktsegment || (c_custkey % 4) AS field, CASE c_custkey % 5 WHEN 0 THEN 'string' WHEN 1 THEN 'number' WHEN 2 THEN 'boolean' ELSE 'Thing' END AS type, c_custkey % 6 = 0 AS optional FROM {customer}",

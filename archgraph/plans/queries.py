@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archgraph.functions import paths, types
-from archgraph.operators import changes, delivery, drift, graph, prefix, propose, report, review, routes, telemetry
+from archgraph.operators import changes, containment, delivery, drift, graph, prefix, propose, report, review, routes, telemetry
 from archgraph.plans.model import Model, sql
+from archgraph.shared import settle
 from archgraph.sources import documents, edges, extract
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,6 +128,7 @@ add("g8_merge_changes", lambda m: changes.merge_changes(m.files_old.selectExpr("
 
 # H: analyses
 _FINDING = "SELECT '{}' AS kind, '{}' AS severity, {} AS affected_block, {} AS affected_file, {} AS detail FROM "
+_VIOLATIONS = "violations AS (SELECT u.call_id, u.url, u.method, CASE WHEN count(s.route_id) = 0 THEN 'unknown endpoint' ELSE 'method not allowed' END AS problem FROM api_calls u LEFT JOIN served s ON s.call_id = u.call_id GROUP BY 1, 2, 3 HAVING NOT coalesce(bool_or(NOT EXISTS (SELECT 1 FROM route_methods r WHERE r.route_id = s.route_id) OR EXISTS (SELECT 1 FROM route_methods r WHERE r.route_id = s.route_id AND upper(r.method) = upper(u.method))) FILTER (s.route_id IS NOT NULL), false))"
 _H = {
     "h1": _FINDING.format("undocumented_module", "warning", "NULL::VARCHAR", "path", "NULL::VARCHAR") + "(SELECT DISTINCT file_path AS path FROM symbols) f WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE starts_with(f.path, p.prefix)) AND NOT starts_with(path, 'promo/Brand#1') AND NOT starts_with(path, 'promo/Brand#2/f3')",
     "h2": _FINDING.format("missing_module", "warning", "block_id", "prefix", "NULL::VARCHAR") + "prefixes p WHERE NOT EXISTS (SELECT 1 FROM symbols s WHERE starts_with(lower(s.file_path), lower(p.prefix)))",
@@ -148,17 +150,24 @@ for _h, _run in _RUN.items():
     add(f"{_h}_{_NAMES[_h]}", _run, _H[_h], *((_OWNER, _BLOCK_EDGES) if _h == "h3" else ()))
 
 
-def _all(m: Model) -> DataFrame:
-    return drift.union(*(run(m) for run in _RUN.values()))
+def _contracts(m: Model) -> DataFrame:
+    return drift.contract_findings(routes.endpoint_violations(m.api_routes, m.api_calls, m.route_methods), m.api_calls)
 
 
-_ALL = "found AS (" + " UNION ALL ".join(f"({q})" for q in _H.values()) + ")"
-add("g1_all_findings", _all, "SELECT * FROM found", _OWNER, _BLOCK_EDGES, _ALL)
-add("e6_severity_counts", lambda m: drift.severity_counts(_all(m)), "SELECT severity, count(kind) AS n FROM (SELECT unnest(['info', 'warning', 'error']) AS severity) s LEFT JOIN found USING (severity) GROUP BY 1", _OWNER, _BLOCK_EDGES, _ALL)
-add("e21_by_kind", lambda m: _all(m).groupBy("kind").agg(F.count("*").alias("n")), "SELECT kind, count(*) AS n FROM found GROUP BY 1", _OWNER, _BLOCK_EDGES, _ALL)
-add("a25_threshold", lambda m: drift.at_least(_all(m), "warning").groupBy("severity").agg(F.count("*").alias("n")), "SELECT severity, count(*) AS n FROM found WHERE severity IN ('warning', 'error') GROUP BY 1", _OWNER, _BLOCK_EDGES, _ALL)
-add("c21_scope", lambda m: drift.scope_counts(_all(m), m.files.filter("path like '%f1.ts'")), "SELECT count(*) FILTER (affected_file LIKE '%f1.ts') AS kept, count(*) FILTER (affected_file NOT LIKE '%f1.ts') AS other_files, count(*) FILTER (affected_file IS NULL) AS non_file FROM found", _OWNER, _BLOCK_EDGES, _ALL)
-add("h7_endpoint_violations", lambda m: routes.endpoint_violations(m.api_routes, m.api_calls, m.route_methods), "SELECT u.call_id, u.url, u.method, CASE WHEN count(s.route_id) = 0 THEN 'unknown endpoint' ELSE 'method not allowed' END AS problem FROM api_calls u LEFT JOIN served s ON s.call_id = u.call_id GROUP BY 1, 2, 3 HAVING NOT coalesce(bool_or(NOT EXISTS (SELECT 1 FROM route_methods r WHERE r.route_id = s.route_id) OR EXISTS (SELECT 1 FROM route_methods r WHERE r.route_id = s.route_id AND upper(r.method) = upper(u.method))) FILTER (s.route_id IS NOT NULL), false)", _SEGS)
+def _all(m: Model) -> DataFrame:
+    """Findings of all detectors, made and written once for each model."""
+    if "findings" not in m.__dict__:
+        m.findings = settle(drift.detect(m.symbols, m.edges, m.prefixes, m.interfaces, ignored=_ignored(m), tests=m.tests, decisions=m.decisions, packages=m.packages, trivial=["red.gear"], contracts=_contracts(m)), "findings")
+    return m.findings
+
+
+_ALL_OF = (_OWNER, _BLOCK_EDGES, _SEGS, _VIOLATIONS, "found AS (" + " UNION ALL ".join(f"({q})" for q in [*_H.values(), _FINDING.format("contract_violation", "warning", "NULL::VARCHAR", "file_path", "call_id || ': ' || problem") + "violations JOIN api_calls USING (call_id)"]) + ")")
+add("g1_all_findings", _all, "SELECT * FROM found", *_ALL_OF)
+add("e6_severity_counts", lambda m: drift.severity_counts(_all(m)), "SELECT severity, count(kind) AS n FROM (SELECT unnest(['info', 'warning', 'error']) AS severity) s LEFT JOIN found USING (severity) GROUP BY 1", *_ALL_OF)
+add("e21_by_kind", lambda m: _all(m).groupBy("kind").agg(F.count("*").alias("n")), "SELECT kind, count(*) AS n FROM found GROUP BY 1", *_ALL_OF)
+add("a25_threshold", lambda m: drift.at_least(_all(m), "warning").groupBy("severity").agg(F.count("*").alias("n")), "SELECT severity, count(*) AS n FROM found WHERE severity IN ('warning', 'error') GROUP BY 1", *_ALL_OF)
+add("c21_scope", lambda m: drift.scope_counts(_all(m), m.files.filter("path like '%f1.ts'")), "SELECT count(*) FILTER (affected_file LIKE '%f1.ts') AS kept, count(*) FILTER (affected_file NOT LIKE '%f1.ts') AS other_files, count(*) FILTER (affected_file IS NULL) AS non_file FROM found", *_ALL_OF)
+add("h7_endpoint_violations", lambda m: routes.endpoint_violations(m.api_routes, m.api_calls, m.route_methods), "SELECT * FROM violations", _SEGS, _VIOLATIONS)
 add("h8_contracts", lambda m: routes.contracts(m.api_routes, m.api_calls, m.route_methods).select("route_id", "route_path", "producer", F.array_join("consumers", ",").alias("consumers")), "SELECT a.route_id, a.route_path, a.service AS producer, coalesce(string_agg(DISTINCT s.service, ',' ORDER BY s.service) FILTER (NOT EXISTS (SELECT 1 FROM route_methods r WHERE r.route_id = a.route_id) OR EXISTS (SELECT 1 FROM route_methods r WHERE r.route_id = a.route_id AND upper(r.method) = upper(s.method))), '') AS consumers FROM api_routes a LEFT JOIN served s ON s.route_id = a.route_id GROUP BY 1, 2, 3", _SEGS)
 add("h9_traversal", lambda m: graph.traverse(m.edges, m.symbols, "large/Brand#1/", 3), "SELECT b AS file, CAST(min(d) AS INT) AS depth FROM walk GROUP BY 1",
     "fe AS (SELECT DISTINCT s.file_path AS a, t.file_path AS b, regexp_replace(s.file_path, '/[^/]+$', '') AS dir FROM edges e JOIN symbols s ON s.id = e.source JOIN symbols t ON t.id = e.target WHERE s.file_path <> t.file_path)",
@@ -178,7 +187,7 @@ _INFER = (
 )
 add("h15_task_inference", _inferred, "SELECT id, status, CASE WHEN rule = 1 THEN 'in-progress' WHEN rule = 2 AND t = n THEN 'done' WHEN rule = 2 THEN 'in-progress' ELSE 'done' END AS inferred, rule FROM ruled WHERE rule IS NOT NULL", *_INFER)
 add("h16_apply_inferred", lambda m: delivery.apply_inferred(m.tasks.withColumn("completed_at", F.lit(None).cast("timestamp")), _inferred(m), F.lit("2024-02-01").cast("timestamp")).groupBy("status").agg(F.count("*").alias("n"), F.count("completed_at").alias("completed")), "SELECT status, count(*) AS n, sum(c)::BIGINT AS completed FROM (SELECT coalesce(i.inferred, t.status) AS status, (i.inferred IS NOT DISTINCT FROM 'done')::INT AS c FROM tasks t LEFT JOIN (SELECT id, CASE WHEN rule = 1 THEN 'in-progress' WHEN rule = 2 AND t = n THEN 'done' WHEN rule = 2 THEN 'in-progress' WHEN rule = 3 THEN 'done' END AS inferred FROM ruled) i ON i.id = t.id) GROUP BY 1", *_INFER)
-add("e25_gates", lambda m: delivery.gate(m.phases, m.tasks, _all(m), m.scenarios), "SELECT p.id, coalesce(t.ok, true) AS tasks_ok, d.ok AS drift_ok, q.ok AS quality_ok, coalesce(t.ok, true) AND d.ok AND q.ok AS may_complete FROM phases p LEFT JOIN (SELECT phase_id, bool_and(status IN ('done', 'cancelled')) AS ok FROM tasks GROUP BY 1) t ON t.phase_id = p.id, (SELECT count(*) FILTER (severity = 'error') = 0 AS ok FROM found) d, (SELECT count(*) FILTER (priority = 'must' AND status = 'failing') = 0 AS ok FROM scenarios) q", _OWNER, _BLOCK_EDGES, _ALL)
+add("e25_gates", lambda m: delivery.gate(m.phases, m.tasks, _all(m), m.scenarios), "SELECT p.id, coalesce(t.ok, true) AS tasks_ok, d.ok AS drift_ok, q.ok AS quality_ok, coalesce(t.ok, true) AND d.ok AND q.ok AS may_complete FROM phases p LEFT JOIN (SELECT phase_id, bool_and(status IN ('done', 'cancelled')) AS ok FROM tasks GROUP BY 1) t ON t.phase_id = p.id, (SELECT count(*) FILTER (severity = 'error') = 0 AS ok FROM found) d, (SELECT count(*) FILTER (priority = 'must' AND status = 'failing') = 0 AS ok FROM scenarios) q", *_ALL_OF)
 _TITLED = "titled AS (SELECT id, title || CASE task_key % 4 WHEN 0 THEN ' Database' WHEN 1 THEN ' error handling' ELSE '' END AS title FROM tasks)"
 
 
@@ -197,6 +206,16 @@ def _listed(m: Model) -> DataFrame:
 
 add("c8_decisions_of_block", lambda m: changes.decisions_for(_listed(m), block="b-4").select("decision_id"), "SELECT decision_id FROM listed WHERE list_contains(blocks, 'b-4')", _LISTED)
 add("c9_decisions_of_file", lambda m: changes.decisions_for(_listed(m), block="b-5", file="Small/brand#1").select("decision_id"), "SELECT DISTINCT decision_id FROM listed WHERE list_contains(blocks, 'b-5') OR len(list_filter(files, lambda f: contains(lower(f), 'small/brand#1'))) > 0", _LISTED)
+_FILED = "filed AS (SELECT decision_id, CASE WHEN right(decision_id, 1) IN ('0', '3') THEN substr(prefix, 3) ELSE replace(prefix, 'SMALL/', 'small/') END AS prefix, CASE WHEN decision_id LIKE '%4' THEN 'b-small-brand2' END AS block_id FROM decisions UNION ALL SELECT 'ADR-F' || sym_key, 'old/' || file_path || '.bak', NULL FROM symbols WHERE sym_key % 97 = 0)"
+
+
+def _filed(m: Model) -> DataFrame:
+    return m.spark.sql(_FILED[len("filed AS (") : -1].replace("FROM decisions", "FROM {decisions}").replace("FROM symbols", "FROM {symbols}"), decisions=m.decisions, symbols=m.symbols)
+
+
+add("d22_relevant_decisions", lambda m: containment.relevant_decisions(m.files, _filed(m), prefix.longest_prefix_join(m.files, m.prefixes)), "SELECT DISTINCT f.path, d.decision_id FROM (SELECT DISTINCT file_path AS path FROM symbols) f LEFT JOIN owner o ON o.path = f.path JOIN filed d ON contains(f.path, d.prefix) OR contains(d.prefix, f.path) OR d.block_id = o.block_id", _OWNER, _FILED)
+add("c9_decisions_of_all_paths", lambda m: containment.decisions_of_paths(m.symbols.select(F.explode(F.array("file_path", paths.directory(F.col("file_path")), F.substring("file_path", 1, 9))).alias("path")), _filed(m).groupBy("decision_id").agg(F.collect_list("prefix").alias("files"))), "SELECT DISTINCT path, decision_id FROM (SELECT file_path AS path FROM symbols UNION SELECT regexp_replace(file_path, '/[^/]+$', '') FROM symbols UNION SELECT substr(file_path, 1, 9) FROM symbols) p JOIN filed d ON contains(lower(d.prefix), lower(p.path))", _FILED)
+add("h18_scoped_findings", lambda m: drift.in_scope(_all(m), m.files.filter("path like '%f1.ts'")), "SELECT * FROM found WHERE affected_file IN (SELECT file_path FROM symbols WHERE file_path LIKE '%f1.ts')", *_ALL_OF)
 _PARTS = "parts AS (SELECT id, is_client, kind = 'function' AND NOT is_client AS is_server_action FROM symbols WHERE kind IN ('component', 'function', 'hook'))"
 add("d18_server_imports", lambda m: graph.server_imports(m.edges, m.symbols, m.symbols.filter("kind in ('component', 'function', 'hook')").selectExpr("id", "is_client", "kind = 'function' and not is_client as is_server_action"), m.files), "SELECT DISTINCT s.file_path AS file, t.file_path AS imports FROM edges e JOIN symbols s ON s.id = e.source JOIN symbols t ON t.id = e.target JOIN parts c ON c.id = e.target WHERE e.kind = 'imports' AND c.is_server_action AND s.file_path IN (SELECT file_path FROM symbols JOIN parts USING (id) WHERE parts.is_client)", _PARTS)
 add("h10_file_symbols", lambda m: graph.file_symbols(m.symbols, "LARGE/Brand#1").select("file_path", F.array_join(F.transform("symbols", lambda x: F.concat_ws(":", x["name"], x["kind"], x["is_exported"].cast("string"))), ",").alias("symbols")), "SELECT file_path, string_agg(name || ':' || kind || ':' || is_exported::VARCHAR, ',' ORDER BY name, kind) AS symbols FROM symbols WHERE starts_with(lower(file_path), 'large/brand#1') GROUP BY 1")
@@ -233,7 +252,7 @@ def _project(m: Model) -> review.Project:
 
 
 def _with(*names: str) -> list[str]:
-    return [_OWNER, _BLOCK_EDGES, _ALL, *(f"{n} AS ({_VIEWS[n]})" for n in names)]
+    return [*_ALL_OF, *(f"{n} AS ({_VIEWS[n]})" for n in names)]
 
 
 _KEPT = "kept AS (SELECT path FROM changed WHERE status <> 'deleted')"
