@@ -31,9 +31,9 @@ def contained_pairs(texts: DataFrame, names: DataFrame, text_id: str = "text_id"
     t = texts.select(F.col(text_id).alias("_id"), F.col(text).alias("_text")).filter("_text is not null")
     n = names.select(F.col(name).alias("_name")).filter("_name <> ''").distinct()
     own = n.withColumn("_size", F.least(F.length("_name"), F.lit(GRAM)))
-    sizes = own.groupBy().agg(F.collect_set("_size").alias("_sizes"))  # one row with GRAM numbers at most
+    sizes = own.agg(F.collect_set("_size")).scalar()  # GRAM numbers at most
     of_name = own.select("_name", F.explode(_grams(F.col("_name"), F.col("_size"))).alias("_gram"))
-    postings = t.crossJoin(F.broadcast(sizes)).select("_id", "_text", F.explode("_sizes").alias("_size")).select("_id", F.explode(_grams(F.col("_text"), F.col("_size"))).alias("_gram"))
+    postings = t.select("_id", "_text", F.explode(sizes).alias("_size")).select("_id", F.explode(_grams(F.col("_text"), F.col("_size"))).alias("_gram"))
     in_use = postings.join(of_name.select("_gram").distinct(), "_gram", "left_semi")
     df = in_use.groupBy("_gram").agg(F.count("*").alias("_df"))
     # a gram that no text holds rules its name out

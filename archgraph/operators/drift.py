@@ -114,10 +114,10 @@ def prefix_hits(files: DataFrame, prefixes: DataFrame, ignored: DataFrame | None
     tagged = reduce(DataFrame.unionByName, [df.select(F.lit(tag).alias("tag"), F.lit(fold).alias("fold"), F.col("prefix"), owner.cast("string").alias("owner")) for tag, fold, df, owner in sets]).filter("prefix is not null")
     tagged = tagged.groupBy("tag", "fold", "prefix", "owner").agg(F.count("*").alias("rows"))
     keyed = tagged.withColumns({"key": F.when(F.col("fold"), F.lower("prefix")).otherwise(F.col("prefix")), "n": F.length("prefix")})
-    # one row: the (fold, length) that occur, and whether there is a block prefix; length 0 keeps every file
-    cuts = keyed.groupBy().agg(F.array_union(F.collect_set(F.struct("fold", "n")), F.array(F.struct(F.lit(False).alias("fold"), F.lit(0).alias("n")))).alias("cuts"), F.coalesce(F.bool_or(F.col("tag") == "block"), F.lit(False)).alias("any_prefix"))
-    cut = files.select("path").filter("path is not null").distinct().crossJoin(F.broadcast(cuts))
-    cut = cut.select("path", "any_prefix", F.explode(F.filter("cuts", lambda c: c["n"] <= F.length("path"))).alias("c")).select("path", "any_prefix", F.col("c.fold").alias("fold"), F.col("c.n").alias("n"))
+    # the few (fold, length) that occur, and whether there is a block prefix; length 0 keeps every file
+    cuts = keyed.agg(F.struct(F.array_union(F.collect_set(F.struct("fold", "n")), F.array(F.struct(F.lit(False).alias("fold"), F.lit(0).alias("n")))).alias("cuts"), F.coalesce(F.bool_or(F.col("tag") == "block"), F.lit(False)).alias("any_prefix"))).scalar()
+    cut = files.select("path").filter("path is not null").distinct().withColumn("k", cuts)
+    cut = cut.select("path", "k.any_prefix", F.explode(F.filter("k.cuts", lambda c: c["n"] <= F.length("path"))).alias("c")).select("path", "any_prefix", F.col("c.fold").alias("fold"), F.col("c.n").alias("n"))
     cut = cut.withColumn("key", F.when(F.col("fold"), F.expr("lower(substring(path, 1, n))")).otherwise(F.expr("substring(path, 1, n)")))
     met = cut.join(keyed, ["fold", "n", "key"], "left")
     side = lambda path, tag, prefix, owner, *rest: F.struct(*(c.alias(x) for x, c in zip(("path", "tag", "prefix", "owner", "any_prefix", "covered", "ignored", "best", "hit", "rows"), (path, tag, prefix, owner, *rest), strict=True)))

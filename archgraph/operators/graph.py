@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from archgraph.functions.paths import directory
-from archgraph.operators.prefix import longest_prefix_join
+from archgraph.operators.prefix import longest_prefix_join, prefix_pairs
+from archgraph.shared import settle, shared_dir
 
 
 def edge_endpoints(edges: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -80,26 +83,44 @@ def cross_block_exports(edges: DataFrame, symbols: DataFrame, prefixes: DataFram
     return e.groupBy(F.col("target").alias("id"), F.col("target_block").alias("block_id")).agg(F.sort_array(F.collect_set("source_block")).alias("consumers"))
 
 
-def traverse(edges: DataFrame, symbols: DataFrame, prefix: str, depth: int = 3, direction: str = "dependencies") -> DataFrame:
-    """H9: (file, depth): files reached from those under ``prefix`` within ``depth`` module steps, at their least depth.
+def module_steps(edges: DataFrame, symbols: DataFrame, direction: str = "dependencies") -> DataFrame:
+    """(a, b) of edges between different files, each pair once; ``direction`` is dependencies, dependents or both."""
+    e = edge_endpoints(edges, symbols).select(F.col("source_file").alias("a"), F.col("target_file").alias("b")).filter("a <> b").distinct()
+    back = e.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return {"dependencies": e, "dependents": back, "both": e.unionByName(back).distinct()}[direction]
+
+
+def traverse_all(edges: DataFrame, symbols: DataFrame, starts: DataFrame, depth: int = 3, direction: str = "dependencies") -> DataFrame:
+    """H9: (start, file, depth) for every start of ``starts(start, prefix)``: files reached from those under its prefixes, at their least depth.
 
     A step goes from a file along an edge to another file and on from all files of its directory.
     Breadth first, so a file reached at the last depth on one path is still expanded on a shorter
-    one. The frontier, not the graph, moves: each step is one join and one anti-join, for at most
-    five steps. ``direction`` is dependencies, dependents or both.
+    one. All starts move together. Each of at most five steps is one join and one anti-join over
+    written tables, so plans stay of one size whatever the depth and nothing runs twice. Case of
+    prefixes is ignored; null starts and prefixes reach nothing.
     """
     if not 1 <= depth <= 5:
         raise ValueError("depth must be 1 to 5")
-    e = edge_endpoints(edges, symbols).select(F.col("source_file").alias("a"), F.col("target_file").alias("b"))
-    e = {"dependencies": e, "dependents": e.select(F.col("b").alias("a"), F.col("a").alias("b")), "both": e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))}[direction]
-    e = e.filter("a <> b").distinct().withColumn("dir", directory(F.col("a")))
-    front = e.filter(F.lower("a").startswith(prefix.lower())).select("b").distinct()
-    seen = front.withColumn("depth", F.lit(1))
+    spark = edges.sparkSession
+    e = settle(module_steps(edges, symbols, direction), "steps")
+    steps = settle(e.select(directory(F.col("a")).alias("dir"), "b").distinct(), "directory-steps")
+    root = f"{shared_dir(spark)}/archgraph/{spark.sparkContext.applicationId}/reached-{uuid.uuid4().hex}"
+    begun = prefix_pairs(e.select("a").distinct(), starts.filter("start is not null").select("start", "prefix"), path="a", fold=True).select("start", "a").distinct()
+    kind = starts.schema["start"].dataType.simpleString()
+    begun.join(e, "a").select("start", F.col("b").alias("file")).distinct().write.parquet(f"{root}/depth=1")
+    seen = lambda: spark.read.schema(f"start {kind}, file string, depth int").option("basePath", root).parquet(root)
     for d in range(2, depth + 1):
-        dirs = front.select(directory(F.col("b")).alias("dir")).distinct()
-        front = e.join(dirs, "dir", "left_semi").select("b").distinct().join(seen.select("b"), "b", "left_anti")
-        seen = seen.unionByName(front.withColumn("depth", F.lit(d)))
-    return seen.select(F.col("b").alias("file"), "depth")
+        reached = seen()
+        dirs = reached.filter(F.col("depth") == d - 1).select("start", directory(F.col("file")).alias("dir")).distinct()
+        new = dirs.join(steps, "dir").select("start", F.col("b").alias("file")).distinct().join(reached.select("start", "file"), ["start", "file"], "left_anti")
+        new.write.parquet(f"{root}/depth={d}")
+    return seen()
+
+
+def traverse(edges: DataFrame, symbols: DataFrame, prefix: str, depth: int = 3, direction: str = "dependencies") -> DataFrame:
+    """H9: (file, depth) of :func:`traverse_all` from one prefix."""
+    starts = edges.sparkSession.createDataFrame([("one", prefix)], "start string, prefix string")
+    return traverse_all(edges, symbols, starts, depth, direction).select("file", "depth")
 
 
 def component_edges(edges: DataFrame, components: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from archgraph.shared import settle
+
 TABLES = tuple("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
 
 RELATIONS = {
@@ -81,7 +83,7 @@ class Model:
     """The relations of one data folder as DataFrames, each built when first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.dir, self._held = spark, sf_dir, {}
+        self.spark, self.dir, self._held, self._stored = spark, sf_dir, {}, set()
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self._held:
@@ -95,6 +97,12 @@ class Model:
                 raise AttributeError(name)
         return self._held[name]
 
+    def store(self, name: str) -> None:
+        """Write a relation that many parts of a plan read, as a project has it stored."""
+        if name not in self._stored:
+            self._held[name] = settle(getattr(self, name), name)
+            self._stored.add(name)
+
     @cached_property
     def files(self) -> DataFrame:
         return self.symbols.selectExpr("file_path as path").distinct()

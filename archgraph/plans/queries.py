@@ -172,6 +172,9 @@ add("h8_contracts", lambda m: routes.contracts(m.api_routes, m.api_calls, m.rout
 add("h9_traversal", lambda m: graph.traverse(m.edges, m.symbols, "large/Brand#1/", 3), "SELECT b AS file, CAST(min(d) AS INT) AS depth FROM walk GROUP BY 1",
     "fe AS (SELECT DISTINCT s.file_path AS a, t.file_path AS b, regexp_replace(s.file_path, '/[^/]+$', '') AS dir FROM edges e JOIN symbols s ON s.id = e.source JOIN symbols t ON t.id = e.target WHERE s.file_path <> t.file_path)",
     "walk(b, d) AS (SELECT DISTINCT b, 1 FROM fe WHERE starts_with(lower(a), 'large/brand#1/') UNION SELECT fe.b, walk.d + 1 FROM walk JOIN fe ON fe.dir = regexp_replace(walk.b, '/[^/]+$', '') WHERE walk.d < 3)")
+add("h9_all_blocks", lambda m: graph.traverse_all(m.edges, m.symbols, m.prefixes.select(F.col("block_id").alias("start"), "prefix"), 3), "SELECT start, b AS file, CAST(min(d) AS INT) AS depth FROM walk GROUP BY 1, 2",
+    "fe AS (SELECT DISTINCT s.file_path AS a, t.file_path AS b, regexp_replace(s.file_path, '/[^/]+$', '') AS dir FROM edges e JOIN symbols s ON s.id = e.source JOIN symbols t ON t.id = e.target WHERE s.file_path <> t.file_path)",
+    "walk(start, b, d) AS (SELECT DISTINCT p.block_id, b, 1 FROM fe JOIN prefixes p ON starts_with(lower(a), lower(p.prefix)) UNION SELECT walk.start, fe.b, walk.d + 1 FROM walk JOIN fe ON fe.dir = regexp_replace(walk.b, '/[^/]+$', '') WHERE walk.d < 3)")
 add("h12_boundaries", lambda m: graph.boundaries(m.edges, m.components), "SELECT source, target, CASE WHEN t THEN 'valid' ELSE 'violation' END AS verdict FROM (SELECT e.source, e.target, coalesce(a.is_client, false) AS s, coalesce(b.is_client, false) AS t FROM edges e LEFT JOIN components a ON a.id = e.source LEFT JOIN components b ON b.id = e.target WHERE e.kind = 'renders' AND (a.id IS NOT NULL OR b.id IS NOT NULL)) WHERE s <> t")
 
 
@@ -248,6 +251,7 @@ def _view(m: Model, name: str) -> DataFrame:
 
 def _project(m: Model) -> review.Project:
     views = [_view(m, n) for n in ("parts", "open_routes")]
+    m.store("edges")
     return review.Project(m.symbols, m.edges, m.prefixes, m.interfaces, m.blocks, *views, m.scenarios, m.tests, _view(m, "scenario_blocks"), m.phases, m.tasks, _all(m), _view(m, "changed"))
 
 
