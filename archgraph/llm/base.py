@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -71,6 +72,15 @@ def delete(spark: SparkSession, path: str | None) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of frames that nothing refers to any more.
+
+    It acts on the driver's garbage collection, which may be long in coming while jobs run on.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _digest(edges: DataFrame) -> tuple:
     r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
     return r["n"], r["h"]

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import forget, settle
+from .base import forget, release, settle
 from .ngram_trie import Trie, quantise, shares
 
 #: Tokens of a chunk, about, and of a shard; a word or pair that occurs more often is dealt to all shards.
@@ -379,9 +379,11 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     ready = settle(numbered(cut, words), "numbered")
     forget(cut)
     forget(words)
+    release(docs.sparkSession)
     hot["pair"], hot["pair_n"] = hot_pairs(ready, hot["u"], chunk)
     n = max(1, math.ceil((sums["t"] or 0) / chunk))
     found = settle(look_up(ready, n, hot, model is not None), "shares")
+    release(docs.sparkSession)
     if model:
         found.filter("trie is not null").select(F.col("part").alias("shard"), "trie").write.mode("overwrite").parquet(model)
     return _scores(ready, found, n, hot, total["n"] or 0, total["v"] or 0, texts).withColumnRenamed("k", id_col)
