@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -75,10 +76,13 @@ def delete(spark: SparkSession, path: str | None) -> None:
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of frames that nothing refers to any more.
 
-    It acts on the driver's garbage collection, which may be long in coming while jobs run on.
+    It acts on the driver's garbage collection, which may be long in coming while jobs run on. The
+    first round drops what Python held, the second what the JVM held for it.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def _digest(edges: DataFrame) -> tuple:
