@@ -78,13 +78,17 @@ def directory(path: Column) -> Column:
 
 
 def kebab(text: Column) -> Column:
-    """Lower case, other characters as single hyphens."""
+    """Words, also those that only a capital begins, in lower case with single hyphens."""
+    return _hyphened(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1-$2"))
+
+
+def _hyphened(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
 def slug(text: Column, size: int = 30) -> Column:
-    """A kebab-case id of bounded length."""
-    return F.substring(kebab(text), 1, size)
+    """An id of bounded length in lower case; capitals begin no word."""
+    return F.substring(_hyphened(text), 1, size)
 
 
 def age_in_days(now: Column, then: Column) -> Column:
@@ -102,6 +106,22 @@ def posix(path: Column) -> Column:
     return F.regexp_replace(path, r"\\", "/")
 
 
+def within(path: Column, root: str = "") -> Column:
+    """The normalised path below ``root``, null if it leaves it.
+
+    Forward slashes, without empty and ``.`` parts; ``..`` takes back the part before. Absolute
+    paths, and such with a drive letter, count only if they lie below ``root``.
+    """
+    plain = F.regexp_replace(path, r"\\", "/")
+    base = root.replace("\\", "/").rstrip("/")
+    rooted = plain.rlike("^(/|[A-Za-z]:)")
+    inside = F.startswith(plain, F.lit(base + "/")) & F.lit(base != "")
+    rest = F.when(rooted & inside, F.substring(plain, len(base) + 2, 1 << 20)).when(~rooted, plain)
+    step = lambda acc, p: F.when(acc.isNull(), acc).when(p != "..", F.array_append(acc, p)).when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.size(acc) - 1))
+    parts = F.filter(F.split(rest, "/"), lambda p: ~p.isin("", "."))
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+
+
 def git_status(code: Column) -> Column:
     """The name of a status letter, modified for any other."""
     c = F.substring(code, 1, 1)

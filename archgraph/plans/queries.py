@@ -229,7 +229,32 @@ add("f12_sole_producer", lambda m: routes.sole_producer(m.api_routes.selectExpr(
 _STARTED = "started AS (SELECT id, phase_number, status, NULL::VARCHAR AS started_at, NULL::VARCHAR AS completed_at FROM phases)"
 add("h24_complete_phase", lambda m: delivery.complete_phase(m.phases.selectExpr("id", "phase_number", "status", "cast(null as string) as started_at", "cast(null as string) as completed_at"), m.phases.selectExpr("id", "phase_number < 6 as may_complete"), "phase-1996", F.lit("2024-02-01")), "SELECT id, phase_number, CASE WHEN id = 'phase-1996' THEN 'complete' WHEN id = 'phase-1997' THEN 'in-progress' ELSE status END AS status, CASE WHEN id = 'phase-1997' THEN '2024-02-01' END AS started_at, CASE WHEN id = 'phase-1996' THEN '2024-02-01' END AS completed_at FROM started", _STARTED)
 
-add("h14_proposal", lambda m: propose.propose(m.symbols, max_blocks=40))
+_TREE = (
+    "services AS (SELECT DISTINCT {service} AS service, file_path AS path FROM symbols)",
+    "dirs AS (SELECT service, coalesce(nullif(regexp_extract(path, '^(.*/)?', 0), ''), '') AS dir, count(*) AS n FROM services GROUP BY 1, 2)",
+    "ups AS (SELECT service, n, unnest(list_transform(range(1, len(string_split(dir, '/'))), lambda i: [array_to_string(string_split(dir, '/')[1:i], '/') || '/', CASE WHEN i = 1 THEN '' ELSE array_to_string(string_split(dir, '/')[1:i - 1], '/') || '/' END])) AS f FROM dirs)",
+    "roots AS (SELECT service, max(root) AS root, sum(n) AS n FROM (SELECT d.service, d.n, r.root FROM dirs d, (SELECT service, dir AS root FROM dirs UNION SELECT service, f[1] FROM ups UNION SELECT service, f[2] FROM ups) r WHERE r.service = d.service AND NOT EXISTS (SELECT 1 FROM dirs o WHERE o.service = d.service AND NOT starts_with(o.dir, r.root)) QUALIFY row_number() OVER (PARTITION BY d.service, d.dir ORDER BY length(r.root) DESC) = 1) GROUP BY 1)",
+    "kids AS (SELECT service, f[2] AS parent, f[1] AS folder, sum(n) AS n FROM ups GROUP BY 1, 2, 3 HAVING sum(n) >= 3)",
+    "kin AS (SELECT service, parent, count(*) AS k, sum(n) AS taken FROM kids GROUP BY 1, 2)",
+    # each step splits the largest prefix of each service, as long as its children fit
+    "st AS (SELECT 0 AS step, service, 0::BIGINT AS i, root AS p, n::BIGINT AS own, false AS done FROM roots UNION ALL (WITH pick AS (SELECT s.service, s.p, s.own, k.k, k.taken FROM st s JOIN kin k ON k.service = s.service AND k.parent = s.p AND NOT s.done QUALIFY row_number() OVER (PARTITION BY s.service ORDER BY s.own DESC, s.i) = 1), fit AS (SELECT * FROM pick WHERE k + (SELECT count(*) FROM st c WHERE c.service = pick.service) <= {most}) SELECT s.step + 1, s.service, s.i, s.p, CASE WHEN s.p = f.p THEN s.own - f.taken ELSE s.own END, s.done OR s.p = f.p FROM st s JOIN fit f ON f.service = s.service WHERE s.p <> f.p OR s.own > f.taken UNION ALL SELECT (SELECT max(step) FROM st) + 1, f.service, 1000000 * ((SELECT max(step) FROM st) + 1) + row_number() OVER (PARTITION BY f.service ORDER BY c.folder), c.folder, c.n, false FROM fit f JOIN kids c ON c.service = f.service AND c.parent = f.p))",
+    "ended AS (SELECT * FROM st QUALIFY step = max(step) OVER (PARTITION BY service))",
+    "plain AS (SELECT *, list_filter(string_split(p, '/'), lambda x: x <> '') AS parts FROM ended)",
+    "telling AS (SELECT *, list_filter(list_transform(range(1, len(parts) + 1), lambda j: CASE WHEN lower(parts[j]) IN ('src', 'source', 'packages') OR j < len(parts) AND lower(parts[j]) IN ('app', 'lib', 'apps') THEN '' ELSE parts[j] END), lambda x: x <> '') AS t FROM plain)",
+    "ids AS (SELECT *, coalesce(nullif(array_to_string(list_filter(list_transform(t[-2:], lambda x: regexp_replace(lower(regexp_replace(regexp_replace(x, '([a-z0-9])([A-Z])', '\\1-\\2', 'g'), '[^a-zA-Z0-9]+', '-', 'g')), '^-+|-+$', '', 'g')), lambda x: x <> ''), '-'), ''), service) AS base FROM telling)",
+    "numbered AS (SELECT *, row_number() OVER (PARTITION BY service, base ORDER BY i) AS r FROM ids)",
+)
+
+
+def _tree(service: str, most: int) -> list[str]:
+    return [t.replace("{service}", service).replace("{most}", str(most)) for t in _TREE]
+
+
+_PROPOSED = "SELECT {} CASE WHEN r = 1 THEN base ELSE base || '-' || r END AS block_id, p AS prefix, own AS n_files, CASE WHEN own >= 9 THEN 'high' WHEN own >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM numbered"
+add("h14_proposal", lambda m: propose.propose(m.symbols, max_blocks=40), _PROPOSED.format(""), *_tree("'main'", 40))
+add("h13_service_clusters", lambda m: propose.propose_services(m.symbols, max_blocks=12).select("service", "block_id", "prefix", "n_files", "confidence"), _PROPOSED.format("service,"), *_tree("service", 12))
+add("s16_names", lambda m: m.blocks.select("id", propose.title_case(F.col("id")).alias("name"), paths.kebab(F.concat(F.lit("aB"), F.initcap("id"))).alias("kebab")), "SELECT id, array_to_string(list_transform(string_split(id, '-'), lambda w: upper(w[1]) || w[2:]), ' ') AS name, regexp_replace(lower(regexp_replace(regexp_replace('aB' || upper(id[1]) || lower(id[2:]), '([a-z0-9])([A-Z])', '\\1-\\2', 'g'), '[^a-zA-Z0-9]+', '-', 'g')), '^-+|-+$', '', 'g') AS kebab FROM blocks")
+add("s22_within", lambda m: m.pages.select("page_id", paths.within(F.regexp_replace("url", "^https?://", F.when(F.col("page_id") % 3 == 0, "../").when(F.col("page_id") % 3 == 1, "./a/../").otherwise("/root/b/")), "/root").alias("inside")), "SELECT page_id, CASE page_id % 3 WHEN 0 THEN NULL ELSE array_to_string(list_filter(string_split(CASE page_id % 3 WHEN 2 THEN 'b/' ELSE '' END || regexp_replace(url, '^https?://', ''), '/'), lambda x: x <> '' AND x <> '.'), '/') END AS inside FROM pages")
 add("h28_saving", lambda m: review.saving(m.symbols.selectExpr("file_path as path", "end_line - start_line as tokens"), "large/Brand#1", 100), "SELECT sum(end_line - start_line)::BIGINT AS baseline, round((sum(end_line - start_line) - 100) / sum(end_line - start_line) * 100, 1) AS saved_percent FROM symbols WHERE starts_with(file_path, 'large/Brand#1/')")
 
 _VIEWS = {

@@ -47,12 +47,17 @@ def test_sinks(spark, tmp_path):
         sinks.write_back(str(path), "tasks", "t2", status="done")
 
 
-def test_clusters_split_whole_or_not_at_all():
+def test_clusters_split_whole_or_not_at_all(spark):
     folders = {"src/": 1, "src/components/": 3, "src/lib/": 3, "src/hooks/": 3, "src/rare/": 1}
-    assert set(propose.cluster(folders)) == {"src/", "src/components/", "src/lib/", "src/hooks/"}
-    assert propose.cluster(folders, max_blocks=3) == ["src/"]
-    assert propose.cluster({"a/x/": 3, "a/y/": 3}) == ["a/x/", "a/y/"]
-    assert propose.cluster({}) == []
+
+    def clusters(counts, most=12):
+        files = spark.createDataFrame([("s", f"{d}f{i}") for d, n in counts.items() for i in range(n)], "service string, path string")
+        return [x["prefix"] for x in propose.cluster(files, most).orderBy("place").collect()]
+
+    assert set(clusters(folders)) == {"src/", "src/components/", "src/lib/", "src/hooks/"}
+    assert clusters(folders, 3) == ["src/"]
+    assert clusters({"a/x/": 3, "a/y/": 3}) == ["a/x/", "a/y/"]
+    assert clusters({}) == []
     assert propose.block_ids(["src/lib/", "packages/core/src/lib/", "src/"], "My App") == {"src/lib/": "lib", "packages/core/src/lib/": "core-lib", "src/": "my-app"}
 
 

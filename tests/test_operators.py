@@ -187,20 +187,6 @@ def test_route_masks_on_either_side_and_many_rows(spark):
     assert values(got, "route_path", "url") == sorted((a, b) for a in rs for b in us if fits(a, b))
 
 
-def test_folder_trees_from_rows_and_from_counts_agree(spark):
-    from archgraph.operators import propose
-
-    paths = [f"src/{a}/{b}/f{i}.ts" for a, n in (("x", 7), ("y", 3), ("z", 1)) for b in ("p", "q") for i in range(n)] + ["src/top.ts", "src/x/own.ts"]
-    files = spark.createDataFrame([(p,) for p in paths], "path string")
-    counts = {}
-    for p in paths:
-        d = p[: p.rfind("/") + 1]
-        counts[d] = counts.get(d, 0) + 1
-    for most in (2, 3, 5, 12):
-        assert propose.cluster(propose.FolderTree(files), most) == propose.cluster(counts, most)
-    assert propose.cluster(propose.FolderTree(files.limit(0))) == []
-
-
 def test_phase_completion_needs_an_open_gate(spark):
     p = spark.createDataFrame([("a", 1, "in-progress", None, None), ("b", 2, "planned", None, None), ("c", 3, "planned", None, None)], "id string, phase_number int, status string, started_at string, completed_at string")
     gates = spark.createDataFrame([("a", True), ("b", False)], "id string, may_complete boolean")

@@ -6,7 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from archgraph.operators import containment, drift, graph
+from archgraph.functions import paths
+from archgraph.operators import containment, drift, graph, propose
 
 
 def plan(df) -> str:
@@ -156,3 +157,83 @@ def test_traversal_plan_does_not_grow_with_depth(spark, project):
     assert scans(graph.traverse(edges, s, "App", 5)) == scans(graph.traverse(edges, s, "App", 2)) <= 2
     with pytest.raises(ValueError):
         graph.traverse(edges, s, "App", 6)
+
+
+# proposals
+
+
+def greedy(files, most, least):
+    """Prefixes with their own files, one split after another."""
+    dirs = [f[: f.rfind("/") + 1] for f in set(files)]
+    if not dirs:
+        return []
+    root = dirs[0]
+    while not all(d.startswith(root) for d in dirs):
+        root = root[: root.rstrip("/").rfind("/") + 1]
+    held, done = {root: len(dirs)}, set()
+    while len(held) < most:
+        best = None
+        for p, own in held.items():
+            kids = {}
+            for d in dirs:
+                if p not in done and d.startswith(p) and d != p:
+                    k = d[: d.index("/", len(p)) + 1]
+                    kids[k] = kids.get(k, 0) + 1
+            kids = {k: n for k, n in sorted(kids.items()) if n >= least}
+            if kids and (best is None or own > best[1]):
+                best = p, own, kids
+        if best is None or len(held) + len(best[2]) > most:
+            break
+        p, own, kids = best
+        done.add(p)
+        held |= kids
+        held[p] -= sum(kids.values())
+        if not held[p]:
+            del held[p]
+    return list(held.items())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_clusters_equal_the_greedy_splits(spark, seed):
+    r = random.Random(seed)
+    rows = []
+    for service in ("one", "two", "flat", "chain"):
+        for i in range(160):
+            depth = {"flat": 0, "chain": 5}.get(service, r.randrange(6))
+            parts = ["src", "deep", "er"][: r.choice([0, 3])] if service == "two" else []
+            parts += ["x"] * depth if service == "chain" and i % 3 else [r.choice(["a", "b", "a-b", "c"][: r.choice([1, 2, 4])]) for _ in range(depth)]
+            rows.append((service, "/".join([*parts, f"f{i}"])))
+    files = spark.createDataFrame(rows + rows[:9], "service string, path string")
+    for most, least in ((1, 3), (2, 1), (5, 3), (12, 3), (40, 2)):
+        got = {}
+        for x in propose.cluster(files, most, least).orderBy("service", "place").collect():
+            got.setdefault(x["service"], []).append((x["prefix"], x["n_files"]))
+        assert got == {s: greedy([p for t, p in rows if t == s], most, least) for s in ("one", "two", "flat", "chain")}, (most, least)
+
+
+def test_clusters_of_nothing_and_ids_by_service(spark):
+    assert propose.cluster(spark.createDataFrame([], "service string, path string")).collect() == []
+    rows = [(s, f"packages/{d}/src/lib/f{i}.ts") for s in ("One", None) for d in ("coreApi", "x/coreApi") for i in range(9)] + [("One", None)]
+    got = propose.propose_services(spark.createDataFrame(rows, "service string, file_path string")).collect()
+    assert sorted((x["service"], x["block_id"], x["name"], x["confidence"]) for x in got) == sorted((s, i, n, "high") for s in ("One",) for i, n in (("core-api-lib", "Core Api Lib"), ("core-api-lib-2", "Core Api Lib 2")))
+
+
+def test_number_of_jobs_does_not_grow_with_the_blocks(spark):
+    files = spark.range(4000).selectExpr("'s' as service", "concat('d', id % 40, '/e', id % 7, '/f', id) as path")
+    sc = spark.sparkContext
+
+    def jobs(most):
+        sc.setJobGroup(f"cluster{most}", "")
+        n = propose.cluster(files, most).count()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        return n, len(sc.statusTracker().getJobIdsForGroup(f"cluster{most}"))
+
+    (n, few), (m, more) = jobs(41), jobs(280)
+    assert n == 40 and m > 200 and more <= few + 2
+
+
+def test_names_and_paths(spark):
+    texts = spark.createDataFrame([("coreApi",), ("HTTPServer v2",), ("--",), ("",), (None,)], "t string")
+    assert [x[0] for x in texts.select(paths.kebab(F.col("t"))).collect()] == ["core-api", "httpserver-v2", "", "", None]
+    got = spark.createDataFrame([("a/../b//./c",), ("../x",), ("a/../../x",), ("/root/x/../y",), ("/root/../x",), ("/rooted/x",), ("C:\\x",), ("a\\b",), ("",), (None,)], "p string").select(paths.within(F.col("p"), "/root/"))
+    assert [x[0] for x in got.collect()] == ["b/c", None, None, "y", None, None, None, "a/b", "", None]
