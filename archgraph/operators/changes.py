@@ -48,11 +48,12 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"))
 
 
-def delete_scope(symbols: DataFrame, edges: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Symbols and edges without the symbols of ``files(file_path, service, language)`` at either end."""
+def delete_scope(symbols: DataFrame, edges: DataFrame, files: DataFrame, components: DataFrame | None = None) -> tuple[DataFrame, ...]:
+    """Symbols, edges and, if given, components without the symbols of ``files(file_path, service, language)``, of edges at either end."""
     gone = symbols.join(files, ["file_path", "service", "language"], "left_semi").select("id")
     kept = edges.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(gone.withColumnRenamed("id", "target"), "target", "left_anti")
-    return symbols.join(gone, "id", "left_anti"), kept
+    rest = (components.join(gone, "id", "left_anti"),) if components is not None else ()
+    return symbols.join(gone, "id", "left_anti"), kept, *rest
 
 
 def prune_services(symbols: DataFrame, keep: list[str]) -> DataFrame:
@@ -72,19 +73,39 @@ def keep_statuses(old: DataFrame, new: DataFrame, default: str) -> DataFrame:
     return new.join(o, "id", "left").withColumn("status", F.coalesce(F.when(F.col("_old") != default, F.col("_old")), "status")).drop("_old")
 
 
-def resolve_names(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(ref_id, id): candidates of each reference (ref_id, name, scope, file_path) by bare name.
+_TIERS = (("scope", ["name", "file_path", "scope"]), ("file", ["name", "file_path"]), ("any", ["name"]))
+
 
-    Those in its own declaring scope if there are any, else those in its file, else all. Each
-    step is an equi-join on what is still open, so that a popular name meets all its symbols only
-    for references without a nearer one. A reference is one row.
+def resolve_tiers(refs: DataFrame, symbols: DataFrame, salt: int = 8) -> DataFrame:
+    """(ref_id, name, file_path, scope, tier, n): by which tier each reference (ref_id, name, scope, file_path) resolves, and to how many symbols.
+
+    Those in its own declaring scope if there are any, else those in its file, else all of the
+    name. A set of candidates is one row, its key and size, so that a name with a third of the
+    symbols is one row here too and references keep their number. References are salted, so that
+    those to one name are dealt to ``salt`` tasks. Unresolved ones are left out; a null scope is
+    the top level, a null name resolves to nothing.
     """
-    s = symbols.select("id", "name", F.col("scope").alias("scope"), "file_path")
-    own = refs.join(s, ["name", "file_path", "scope"]).select("ref_id", "id")
-    left = refs.join(own.select("ref_id"), "ref_id", "left_anti")
-    near = left.join(s.drop("scope"), ["name", "file_path"]).select("ref_id", "id")
-    far = left.join(near.select("ref_id"), "ref_id", "left_anti").join(s.select("id", "name"), "name").select("ref_id", "id")
-    return own.unionByName(near).unionByName(far)
+    top = F.coalesce("scope", F.lit(""))
+    salted = lambda df: df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    s = symbols.select("name", "file_path", top.alias("scope"))
+    out = refs.select("ref_id", "name", "file_path", top.alias("scope")).withColumn("_salt", F.pmod(F.xxhash64("ref_id"), F.lit(salt)).cast("int"))
+    for tier, keys in _TIERS:
+        out = out.join(salted(s.groupBy(*keys).agg(F.count("*").alias(f"_{tier}"))), [*keys, "_salt"], "left")
+    n = F.coalesce(*(f"_{t}" for t, _ in _TIERS))
+    tier = F.coalesce(*(F.when(F.col(f"_{t}").isNotNull(), t) for t, _ in _TIERS))
+    return out.filter(n.isNotNull()).select("ref_id", "name", "file_path", "scope", tier.alias("tier"), n.alias("n"))
+
+
+def expand_resolved(resolved: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(ref_id, id) of references of :func:`resolve_tiers`, one row for each candidate; filter ``resolved`` first."""
+    s = symbols.select("id", "name", "file_path", F.coalesce("scope", F.lit("")).alias("scope"))
+    parts = [resolved.filter(F.col("tier") == tier).join(s.select("id", *keys), keys).select("ref_id", "id") for tier, keys in _TIERS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def resolve_names(refs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(ref_id, id): candidates of each reference (ref_id, name, scope, file_path) by bare name, as :func:`resolve_tiers` says."""
+    return expand_resolved(resolve_tiers(refs, symbols), symbols)
 
 
 def sensitive_files(files: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ over the relations of :mod:`archgraph.plans.model`.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +15,11 @@ from pyspark.sql import functions as F
 
 from archgraph.functions import paths, types
 from archgraph.operators import changes, containment, delivery, drift, graph, prefix, propose, report, review, routes, telemetry
+from archgraph.plans import state
 from archgraph.plans.model import Model, sql
-from archgraph.shared import settle
+from archgraph.shared import settle, shared_dir
 from archgraph.sources import documents, edges, extract
+from archgraph.streaming import activity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -126,6 +130,60 @@ add("g6_delete_scope", lambda m: changes.delete_scope(m.symbols, m.edges, m.symb
 add("g7_prune", lambda m: changes.prune_services(m.symbols, ["svc0", "svc2"]).select("id"), "SELECT id FROM symbols WHERE service IN ('svc0', 'svc2')")
 add("g8_merge_changes", lambda m: changes.merge_changes(m.files_old.selectExpr("path", "'committed' as status"), m.files_new.selectExpr("path", "'uncommitted' as status")), "SELECT path, max(status) AS status FROM (SELECT path, 'committed' AS status FROM files_old UNION ALL SELECT path, 'uncommitted' FROM files_new) GROUP BY 1")
 
+def _state(m: Model) -> state.ProjectState:
+    """A first index of all files, then one of the files under large/, of whose symbols a third is no more and one is new for each that stays with an odd key."""
+    s = state.ProjectState(m.spark, f"{shared_dir(m.spark)}/archgraph/state-{uuid.uuid4().hex}")
+    own = m.symbols.select(F.col("id").alias("source"), "service", "language")
+    index = lambda symbols: (symbols, m.edges.join(own.join(symbols.select(F.col("id").alias("source")), "source", "left_semi"), "source"), symbols.filter("kind in ('component', 'function', 'hook')").select("id", "service", "language", "is_client"))
+    files = m.symbols.select("file_path", "service", "language").distinct()
+    state.apply_index(s, files, *index(m.symbols))
+    now = m.symbols.filter("file_path like 'large/%' and sym_key % 3 <> 0")
+    state.apply_index(s, files.filter("file_path like 'large/%'"), *index(now.unionByName(now.filter("sym_key % 2 = 1").withColumn("id", F.concat("id", F.lit("2"))))))
+    return s
+
+
+_LEFT = "left_ids AS (SELECT id FROM symbols WHERE NOT (file_path LIKE 'large/%' AND sym_key % 3 = 0))"
+_NOW = "now_symbols AS (SELECT * FROM symbols WHERE id IN (SELECT id FROM left_ids) UNION ALL SELECT * REPLACE (id || '2' AS id) FROM symbols WHERE file_path LIKE 'large/%' AND sym_key % 3 <> 0 AND sym_key % 2 = 1)"
+add("a17_state_symbols", lambda m: _state(m).read("symbols").select("id", "service", "language", "kind"), "SELECT id, service, language, kind FROM now_symbols", _LEFT, _NOW)
+add("a18_state_edges", lambda m: _state(m).read("edges").select("source", "target", "kind", "service"), "SELECT e.source, e.target, e.kind, s.service FROM edges e JOIN symbols s ON s.id = e.source WHERE e.source IN (SELECT id FROM left_ids) AND (e.target IN (SELECT id FROM left_ids) OR s.file_path LIKE 'large/%')", _LEFT)
+
+
+def _deleted(m: Model) -> state.ProjectState:
+    s = _state(m)
+    state.delete_files(s, m.symbols.filter("file_path like 'small/%'").select("file_path", "service", "language").distinct())
+    return s
+
+
+add("g6_state_components", lambda m: _deleted(m).read("components").select("id", "service", "is_client"), "SELECT id, service, is_client FROM now_symbols WHERE kind IN ('component', 'function', 'hook') AND file_path NOT LIKE 'small/%'", _LEFT, _NOW)
+
+
+def _streamed(m: Model) -> DataFrame:
+    """The old files as one micro-batch, the new ones and marks for those that are gone as the next, after a restart."""
+    root = f"{shared_dir(m.spark)}/archgraph/changes-{uuid.uuid4().hex}"
+    gone = m.files_old.join(m.files_new, "path", "left_anti").select("path", F.lit(None).cast("string").alias("content_hash"))
+    for n, files in ((1, m.files_old), (2, m.files_new.unionByName(gone))):
+        files.withColumn("batch", F.lit(n).cast("long")).write.mode("append").parquet(f"{root}/in")
+        stream = activity.read_activity(m.spark, f"{root}/in", "path string, content_hash string, batch long")
+        activity.changed_files(stream).writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    return m.spark.read.parquet(f"{root}/out").filter("batch = 2").select("path", "change")
+
+
+add("h29_streamed_changes", _streamed, f"SELECT coalesce(o.path, n.path) AS path, {_STATUS} AS change FROM files_old o FULL JOIN files_new n ON o.path = n.path")
+_REFS = "refs AS (SELECT l_orderkey * 10 + l_linenumber AS ref_id, CASE l_linenumber % 3 WHEN 0 THEN 'fn' ELSE 'fn' || (l_partkey % 50) END AS name, s.file_path, CASE WHEN l_linenumber % 2 = 0 THEN s.kind END AS scope FROM lineitem l JOIN symbols s ON s.sym_key = l_suppkey)"
+_DECLARED = "declared AS (SELECT id, CASE WHEN sym_key % 3 = 0 THEN 'fn' ELSE 'fn' || (sym_key % 50) END AS name, file_path, CASE WHEN sym_key % 4 > 0 THEN kind END AS scope FROM symbols)"
+
+
+def _part_of(m: Model, text: str, **frames: DataFrame) -> DataFrame:
+    body = text[text.index("(") + 1 : -1]
+    for name in frames:
+        body = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", body)
+    return m.spark.sql(body, **frames)
+
+
+_TIERED = "keyed AS (SELECT ref_id, name, file_path, coalesce(scope, '') AS scope FROM refs), held AS (SELECT id, name, file_path, coalesce(scope, '') AS scope FROM declared), per AS (SELECT k.*, (SELECT count(*) FROM held h WHERE h.name = k.name AND h.file_path = k.file_path AND h.scope = k.scope) AS a, (SELECT count(*) FROM held h WHERE h.name = k.name AND h.file_path = k.file_path) AS b, (SELECT count(*) FROM held h WHERE h.name = k.name) AS c FROM keyed k)"
+add("b13_resolve", lambda m: changes.resolve_tiers(_part_of(m, _REFS, lineitem=m.lineitem, symbols=m.symbols), _part_of(m, _DECLARED, symbols=m.symbols)).select("ref_id", "tier", "n"), "SELECT ref_id, CASE WHEN a > 0 THEN 'scope' WHEN b > 0 THEN 'file' ELSE 'any' END AS tier, CASE WHEN a > 0 THEN a WHEN b > 0 THEN b ELSE c END AS n FROM per WHERE c > 0", _REFS, _DECLARED, _TIERED)
+add("b13_near_symbols", lambda m: changes.expand_resolved(changes.resolve_tiers(_part_of(m, _REFS, lineitem=m.lineitem, symbols=m.symbols), _part_of(m, _DECLARED, symbols=m.symbols)).filter("tier <> 'any'"), _part_of(m, _DECLARED, symbols=m.symbols)), "SELECT ref_id, id FROM per JOIN held ON held.name = per.name AND held.file_path = per.file_path AND (a = 0 OR held.scope = per.scope) WHERE b > 0", _REFS, _DECLARED, _TIERED)
+
 # H: analyses
 _FINDING = "SELECT '{}' AS kind, '{}' AS severity, {} AS affected_block, {} AS affected_file, {} AS detail FROM "
 _VIOLATIONS = "violations AS (SELECT u.call_id, u.url, u.method, CASE WHEN count(s.route_id) = 0 THEN 'unknown endpoint' ELSE 'method not allowed' END AS problem FROM api_calls u LEFT JOIN served s ON s.call_id = u.call_id GROUP BY 1, 2, 3 HAVING NOT coalesce(bool_or(NOT EXISTS (SELECT 1 FROM route_methods r WHERE r.route_id = s.route_id) OR EXISTS (SELECT 1 FROM route_methods r WHERE r.route_id = s.route_id AND upper(r.method) = upper(u.method))) FILTER (s.route_id IS NOT NULL), false))"

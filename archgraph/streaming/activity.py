@@ -1,7 +1,10 @@
-"""Streaming forms of the activity log. Extensions: the inventory has no streaming operator."""
+"""Streaming forms of the activity log and of the changed set. Extensions: the inventory has no streaming operator."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,3 +23,31 @@ def daily(activity: DataFrame, lateness: str = "1 day") -> DataFrame:
 def incremental(changes: DataFrame, apply, checkpoint: str):
     """H29 as a stream: ``apply(batch, id)`` for each micro-batch of changed files, once."""
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+
+
+def changed_files(files: DataFrame) -> DataFrame:
+    """G3, G4, H29 as a stream: (path, change, batch) of files(path, content_hash, batch), a null hash saying that the file is gone.
+
+    The state of a path is its last hash. A path first seen is added, another hash is modified, the
+    same one unchanged, and a mark for a known path removed, after which it is unknown again; a mark
+    for an unknown one says nothing. Of several rows of a path in one micro-batch those of the
+    largest ``batch`` number decide, and of these the largest hash. Rows without a path are dropped.
+    State and offsets are in the query's checkpoint, so a restart goes on where it ended.
+    """
+
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last = max(((b, h is not None, h or "") for part in rows for h, b in zip(part["content_hash"], part["batch"], strict=True)), default=None)
+        old = state.get[0] if state.exists else None
+        batch, there, new = last
+        if there:
+            change = "added" if old is None else "modified" if old != new else "unchanged"
+            state.update((new,))
+        elif old is not None:
+            change = "removed"
+            state.remove()
+        else:
+            return
+        yield pd.DataFrame({"path": [key[0]], "change": [change], "batch": [batch]})
+
+    keyed = files.filter("path is not null").groupBy("path")
+    return keyed.applyInPandasWithState(step, "path string, change string, batch long", "content_hash string", "append", "NoTimeout")
