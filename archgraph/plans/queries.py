@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archgraph.functions import paths, types
-from archgraph.operators import changes, containment, delivery, drift, graph, prefix, propose, report, review, routes, telemetry
+from archgraph.operators import changes, containment, delivery, drift, graph, indexed, median, prefix, propose, report, review, routes, telemetry
 from archgraph.plans import state
 from archgraph.plans.model import Model, sql
 from archgraph.shared import settle, shared_dir
@@ -93,6 +93,29 @@ add("d17_callers", lambda m: graph.callers(m.edges, m.symbols, m.symbols.filter(
 add("d20_phase_progress", lambda m: delivery.phase_progress(m.phases, m.tasks).select("id", "total", "done", "cancelled", "percent"), "SELECT p.id, count(t.id) AS total, count(t.id) FILTER (t.status = 'done') AS done, count(t.id) FILTER (t.status = 'cancelled') AS cancelled, CAST(coalesce(round(100.0 * count(t.id) FILTER (t.status = 'done') / nullif(count(t.id) FILTER (t.status <> 'cancelled'), 0)), 0) AS INT) AS percent FROM phases p LEFT JOIN tasks t ON t.phase_id = p.id GROUP BY p.id")
 add("d21_children", lambda m: m.blocks.alias("c").join(m.blocks.alias("p"), F.col("c.parent_id") == F.col("p.id")).select(F.col("p.id").alias("parent"), F.col("c.id").alias("child")), "SELECT p.id AS parent, c.id AS child FROM blocks c JOIN blocks p ON c.parent_id = p.id")
 
+
+def _tables(m: Model) -> indexed.GraphTables:
+    return indexed.GraphTables(m.symbols, m.edges)
+
+
+def _bucketed(m: Model) -> DataFrame:
+    t = _tables(m)
+    return graph.edge_endpoints(t.by_source, t.symbols).select("source", "target", "kind", "source_file", "target_file")
+
+
+add("d1_bucketed_endpoints", _bucketed, "SELECT e.source, e.target, e.kind, s.file_path AS source_file, t.file_path AS target_file FROM edges e JOIN symbols s ON s.id = e.source JOIN symbols t ON t.id = e.target")
+add("e19_bucketed_in_degree", lambda m: _tables(m).in_degree(), "SELECT target AS id, count(*) AS n FROM edges GROUP BY 1")
+
+
+def _found(m: Model, **tests) -> DataFrame:
+    path = f"{shared_dir(m.spark)}/archgraph/search-{uuid.uuid4().hex}"
+    indexed.build_search_index(m.symbols, path)
+    return indexed.find_symbols(m.spark, path, **tests).select("id", "name", "kind")
+
+
+add("c2_indexed_search", lambda m: _found(m, query="RING", service="svc1", is_exported=True), "SELECT id, name, kind FROM symbols WHERE contains(lower(name), 'ring') AND service = 'svc1' AND is_exported")
+add("c4_indexed_prefix", lambda m: _found(m, file_path="ECONOMY/brand#1"), "SELECT id, name, kind FROM symbols WHERE starts_with(lower(file_path), 'economy/brand#1')")
+
 # E: aggregations
 add("e1_totals", lambda m: telemetry.totals(m.activity), "SELECT count(*) AS n, coalesce(sum(total_tokens), 0)::BIGINT AS tokens, round(coalesce(sum(cost_usd), 0), 4) AS cost, min(recorded_at) AS first_at, max(recorded_at) AS last_at FROM activity")
 for _by, _key in (("model", "coalesce(model, '(none)')"), ("task", "coalesce(task_id, '(none)')"), ("phase", "coalesce(phase_id, '(none)')"), ("tool", "tool_name"), ("day", "strftime(recorded_at, '%Y-%m-%d')")):
@@ -110,6 +133,7 @@ add("e16_directions", lambda m: graph.direction_counts(_block_edges(m)), "SELECT
 add("e17_interfaces", lambda m: graph.derived_interfaces(_block_edges(m)).select("block_id", F.array_join("interfaces", ",").alias("interfaces")), "SELECT source_block AS block_id, string_agg(DISTINCT target_block, ',' ORDER BY target_block) AS interfaces FROM be WHERE source_block <> target_block GROUP BY 1", _OWNER, _BLOCK_EDGES)
 add("e19_in_degree", lambda m: graph.in_degree(m.edges), "SELECT target AS id, count(*) AS n FROM edges GROUP BY 1")
 add("e22_median", lambda m: m.activity.groupBy("tool_name").agg(F.median("duration_ms").alias("median"), F.count("*").alias("n")), "SELECT tool_name, median(duration_ms) AS median, count(*) AS n FROM activity GROUP BY 1")
+add("e22_exact_median", lambda m: median.exact_median(m.activity, ["tool_name", "model"], "duration_ms", small=50), "SELECT tool_name, model, median(duration_ms) AS median, count(*) AS n FROM activity GROUP BY 1, 2")
 add("e23_saving", lambda m: m.activity.select("id", F.when(F.col("input_tokens") > 0, F.round((F.col("input_tokens") - F.col("drift_count")) / F.col("input_tokens") * 100, 1)).alias("saving")), "SELECT id, CASE WHEN input_tokens > 0 THEN round((input_tokens - drift_count) / input_tokens * 100, 1) END AS saving FROM activity")
 add("e26_next_number", lambda m: delivery.next_number(m.phases.filter("phase_number < 99")), "SELECT coalesce(max(phase_number) + 1, 0) AS next_number FROM phases WHERE phase_number < 99")
 
