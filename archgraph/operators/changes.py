@@ -73,6 +73,29 @@ def keep_statuses(old: DataFrame, new: DataFrame, default: str) -> DataFrame:
     return new.join(o, "id", "left").withColumn("status", F.coalesce(F.when(F.col("_old") != default, F.col("_old")), "status")).drop("_old")
 
 
+def refresh(old: DataFrame, new: DataFrame, blocks: DataFrame, default: str = "todo") -> DataFrame:
+    """tasks(id, status, completed_at, block_id) read anew, with what the old ones had got to.
+
+    An old status other than ``default`` comes back with its completed_at. Tasks whose block is no
+    more lose the reference and have ``orphaned``; what the documents no longer hold goes.
+    """
+    o = old.filter(F.col("status") != default).select("id", F.col("status").alias("_status"), F.col("completed_at").alias("_at"))
+    known = blocks.select(F.col("id").alias("block_id"), F.lit(True).alias("_known")).distinct()
+    j = new.join(o, "id", "left").join(known, "block_id", "left")
+    lost = F.col("block_id").isNotNull() & F.col("_known").isNull()
+    values = {"status": F.coalesce("_status", "status"), "completed_at": F.when(F.col("_status").isNotNull(), F.col("_at")).otherwise(F.col("completed_at")), "block_id": F.when(~lost, F.col("block_id"))}
+    return j.select(*(values.get(c, F.col(c)).alias(c) for c in new.columns), lost.alias("orphaned"))
+
+
+def ranked(df: DataFrame, *order: Column | str, limit: int = 200, offset: int = 0) -> DataFrame:
+    """a page of at most ``limit`` rows after ``offset`` in the order given, with their ``rank`` from 1 on.
+
+    Both bound what the ranking window sees, so it may be of one task.
+    """
+    page = df.orderBy(*order).limit(offset + limit)
+    return page.withColumn("rank", F.row_number().over(Window.orderBy(*order))).filter(F.col("rank") > offset)
+
+
 _TIERS = (("scope", ["name", "file_path", "scope"]), ("file", ["name", "file_path"]), ("any", ["name"]))
 
 

@@ -102,10 +102,22 @@ def sole_producer(producers: DataFrame, keys: list[str]) -> DataFrame:
 
 def contract_fields(hits: DataFrame, used: DataFrame, given: DataFrame) -> DataFrame:
     """H7: (call_id, dto, field, problem): field differences of allowed calls, hits(call_id, service, dto, expected), against the DTO of their one producer."""
-    known = sole_producer(hits, ["call_id", "expected"])
-    shown = given.toDF("dto", "field", "type").join(known.select("dto").distinct(), "dto", "left_semi")
-    wanted = used.withColumnRenamed("dto", "expected").join(known.select("expected", "dto").distinct(), "expected").select("dto", "field", "type", "optional")
-    return known.select("call_id", "dto").join(field_diff(wanted, shown), "dto").select("call_id", "dto", "field", "problem")
+    known = sole_producer(hits, ["call_id", "expected"]).withColumn("pair", F.concat_ws(" > ", "expected", "dto"))
+    pairs = known.select("expected", "dto", "pair").distinct()  # each two types are compared once, however many calls they have
+    wanted = used.withColumnRenamed("dto", "expected").join(pairs.select("expected", "pair"), "expected").select(F.col("pair").alias("dto"), "field", "type", "optional")
+    shown = given.select("dto", "field", "type").join(pairs.select("dto", "pair"), "dto").select(F.col("pair").alias("dto"), "field", "type")
+    found = field_diff(wanted, shown).withColumnRenamed("dto", "pair")
+    # a type without any known field says nothing
+    seen = shown.select(F.col("dto").alias("pair")).distinct()
+    return known.select("call_id", "dto", "pair").join(found.join(seen, "pair", "left_semi"), "pair").select("call_id", "dto", "field", "problem")
+
+
+def allowed_hits(routes: DataFrame, calls: DataFrame, methods: DataFrame) -> DataFrame:
+    """(call_id, service, dto, expected): calls(.., expected) that a route(.., dto) serves by their method, both types being known."""
+    api = routes.filter("kind = 'api-route' and dto is not null").select("route_id", "route_path", F.col("service").alias("producer"), "dto")
+    m = methods.groupBy("route_id").agg(F.collect_set(F.upper("method")).alias("methods"))
+    hit = route_match_join(api, calls.filter("expected is not null").select("call_id", "url", "method", "expected")).join(m, "route_id", "left")
+    return hit.filter(F.col("methods").isNull() | F.array_contains("methods", F.upper("method"))).select("call_id", F.col("producer").alias("service"), "dto", "expected")
 
 
 def select_routes(routes: DataFrame, service: str | None = None, prefix: str | None = None, kind: str | None = None) -> DataFrame:

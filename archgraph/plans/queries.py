@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archgraph.functions import paths, types
-from archgraph.operators import changes, containment, delivery, drift, graph, indexed, median, prefix, propose, report, review, routes, telemetry
+from archgraph.operators import changes, containment, delivery, drift, graph, indexed, median, prefix, propose, records, report, review, routes, telemetry
 from archgraph.plans import state
 from archgraph.plans.model import Model, sql
 from archgraph.shared import settle, shared_dir
@@ -198,7 +198,7 @@ _DECLARED = "declared AS (SELECT id, CASE WHEN sym_key % 3 = 0 THEN 'fn' ELSE 'f
 
 
 def _part_of(m: Model, text: str, **frames: DataFrame) -> DataFrame:
-    body = text[text.index("(") + 1 : -1]
+    body = text[text.index("(") + 1 : -1].replace("{", "{{").replace("}", "}}")
     for name in frames:
         body = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", body)
     return m.spark.sql(body, **frames)
@@ -419,6 +419,31 @@ add("f5_quality_trend", lambda m: telemetry.quality_trend(m.activity.withColumn(
 add("d3_first_prefix", lambda m: prefix.first_prefix_join(m.files, m.prefixes.withColumn("ord", F.length("block_id"))), "SELECT path, block_id FROM (SELECT f.path, p.block_id, row_number() OVER (PARTITION BY f.path ORDER BY length(p.block_id), p.block_id) AS r FROM (SELECT DISTINCT file_path AS path FROM symbols) f JOIN prefixes p ON starts_with(f.path, p.prefix)) WHERE r = 1")
 add("c16_ignored", lambda m: drift.undocumented(m.symbols, m.prefixes, drift.ignored_prefixes(m.spark, "react-vite", ["promo/Brand#1"])).select("affected_file"), "SELECT DISTINCT file_path AS affected_file FROM symbols s WHERE NOT starts_with(file_path, 'promo/Brand#1') AND NOT EXISTS (SELECT 1 FROM prefixes p WHERE starts_with(s.file_path, p.prefix))")
 
+_REFRESHED = "fresh AS (SELECT id, 'todo' AS status, NULL::VARCHAR AS completed_at, CASE WHEN task_key % 4 = 0 THEN 'b-unknown' ELSE block_id END AS block_id FROM tasks WHERE task_key % 13 <> 0)"
+add("a12_refresh", lambda m: changes.refresh(m.tasks.withColumn("completed_at", F.when(F.col("status") == "done", F.col("title"))), m.tasks.filter("task_key % 13 <> 0").selectExpr("id", "'todo' as status", "cast(null as string) as completed_at", "if(task_key % 4 = 0, 'b-unknown', block_id) as block_id"), m.blocks), "SELECT f.id, t.status, CASE WHEN t.status = 'done' THEN t.title END AS completed_at, CASE WHEN f.block_id IN (SELECT id FROM blocks) THEN f.block_id END AS block_id, f.block_id IS NOT NULL AND f.block_id NOT IN (SELECT id FROM blocks) AS orphaned FROM fresh f JOIN tasks t ON t.id = f.id", _REFRESHED)
+add("a23_log", lambda m: drift.replace_unresolved(_all(m).withColumn("resolution", F.when(F.col("kind") == "stale_adr", "accepted")), _all(m).filter("severity <> 'info'")).groupBy("kind", "resolution").agg(F.count("*").alias("n")), "SELECT kind, resolution, count(*) AS n FROM (SELECT kind, 'accepted' AS resolution FROM found WHERE kind = 'stale_adr' UNION ALL SELECT kind, NULL FROM found WHERE severity <> 'info') GROUP BY 1, 2", *_ALL_OF)
+_OUTCOMES = "outcomes AS (SELECT 'QS-' || doc_id AS scenario_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'passed' WHEN toxic = 1 THEN 'missing' ELSE 'failed' END AS outcome FROM labels UNION ALL SELECT 'QS-' || doc_id, 'passed' FROM labels WHERE doc_id % 3 = 0)"
+add("h26_verified", lambda m: review.verified(m.scenarios, _part_of(m, _OUTCOMES, labels=m.labels)).select("id", "status"), "SELECT s.id, CASE WHEN r.ok THEN 'passing' WHEN NOT r.ok THEN 'failing' ELSE s.status END AS status FROM scenarios s LEFT JOIN (SELECT scenario_id, bool_and(outcome = 'passed') AS ok FROM outcomes WHERE outcome <> 'missing' GROUP BY 1) r ON r.scenario_id = s.id", _OUTCOMES)
+add("h30_record", lambda m: telemetry.record(m.activity, True, "sync", F.lit("2024-03-01").cast("timestamp"), task_id="t3", drift_count=4, unknown=1, duration_ms="no number").groupBy("tool_name", "task_id").agg(F.count("*").alias("n"), F.max("drift_count").alias("drift"), F.count("duration_ms").alias("timed")), "SELECT tool_name, task_id, count(*) AS n, max(drift_count) AS drift, count(duration_ms) AS timed FROM (SELECT tool_name, task_id, drift_count, duration_ms FROM activity UNION ALL SELECT 'sync', 't3', 4, NULL) GROUP BY 1, 2")
+add("h31_records", lambda m: records.update_task(records.delete_phase(m.phases, records.delete_tasks(m.tasks.withColumn("completed_at", F.lit(None).cast("timestamp")), ["task-1", "task-none"])[0], "phase-1998")[1], "task-2", "done", F.lit("2024-02-01").cast("timestamp")).select("id", "status", F.col("completed_at").isNotNull().alias("completed")), "SELECT id, CASE WHEN id = 'task-2' THEN 'done' ELSE status END AS status, id = 'task-2' AS completed FROM tasks WHERE id <> 'task-1' AND phase_id <> 'phase-1998'")
+_APP = "app_files AS (SELECT CASE WHEN page_id % 5 = 0 THEN '' ELSE 'src/' END || 'app/' || CASE page_id % 4 WHEN 0 THEN '(shop)/' WHEN 1 THEN '[lang]/' ELSE '' END || split_part(url, '/', 4) || '/' || CASE page_id % 3 WHEN 0 THEN '[...all]/' ELSE '' END || CASE page_id % 7 WHEN 0 THEN 'page.tsx' WHEN 1 THEN 'layout.jsx' WHEN 2 THEN 'helper.ts' ELSE 'route.ts' END AS path, CASE WHEN page_id % 2 = 0 THEN 'export async function GET() {} ' ELSE '' END || CASE WHEN page_id % 3 = 0 THEN 'export const DELETE = 1; export function POSTED() {}' ELSE '' END AS content FROM pages)"
+add("b15_app_routes", lambda m: extract.app_routes(_part_of(m, _APP, pages=m.pages)).select("path", "route_path", "kind", F.array_join("methods", ",").alias("methods")), """SELECT path, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace('/' || regexp_replace(path, '^(src/)?app/', ''), '/[^/]+$', ''), '/\\([^/]*\\)', '', 'g'), '\\[\\.\\.\\.([^\\]]+)\\]', '*\\1', 'g'), '\\[([^\\]]+)\\]', ':\\1', 'g'), ''), '/') AS route_path,
+    CASE WHEN path LIKE '%/route.ts' THEN 'api-route' WHEN path LIKE '%/page.tsx' THEN 'page' ELSE 'layout' END AS kind,
+    CASE WHEN path LIKE '%/route.ts' THEN array_to_string(list_filter([CASE WHEN contains(content, 'GET') THEN 'GET' END, CASE WHEN contains(content, 'DELETE') THEN 'DELETE' END], lambda x: x IS NOT NULL), ',') ELSE '' END AS methods FROM app_files WHERE path NOT LIKE '%/helper.ts'""", _APP)
+add("s24_app_route", lambda m: _part_of(m, _APP, pages=m.pages).select("path").distinct().select("path", paths.app_route(F.col("path")).alias("route")), "SELECT DISTINCT path, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace('/' || regexp_replace(path, '^(src/)?app/', ''), '/[^/]+$', ''), '/\\([^/]*\\)', '', 'g'), '\\[\\.\\.\\.([^\\]]+)\\]', '*\\1', 'g'), '\\[([^\\]]+)\\]', ':\\1', 'g'), ''), '/') AS route FROM app_files", _APP)
+add("f10_ranked_routes", lambda m: changes.ranked(m.api_routes, "service", F.col("route_path").desc(), "route_id", limit=40, offset=5).select("rank", "route_id"), "SELECT rank, route_id FROM (SELECT CAST(row_number() OVER (ORDER BY service, route_path DESC, route_id) AS INT) AS rank, route_id FROM api_routes) WHERE rank BETWEEN 6 AND 45")
+add("f10_ranked_tasks", lambda m: changes.ranked(m.tasks, F.col("block_id").asc_nulls_last(), F.col("status").desc(), "task_key", limit=200).select("rank", "id"), "SELECT CAST(row_number() OVER (ORDER BY block_id NULLS LAST, status DESC, task_key) AS INT) AS rank, id FROM tasks QUALIFY rank <= 200")
+add("d19_scenarios_at_risk", lambda m: review.at_risk(_project(m), m.files.filter("path like '%f1.ts'")).select("id", "status"), "SELECT id, status FROM scenarios sc WHERE priority IN ('must', 'should') AND (EXISTS (SELECT 1 FROM tests t, symbols f WHERE t.scenario_id = sc.id AND f.file_path LIKE '%f1.ts' AND starts_with(f.file_path, t.prefix)) OR EXISTS (SELECT 1 FROM scenario_blocks b JOIN prefixes p ON p.block_id = b.block_id, symbols f WHERE b.scenario_id = sc.id AND f.file_path LIKE '%f1.ts' AND starts_with(f.file_path, p.prefix)))", f"scenario_blocks AS ({_VIEWS['scenario_blocks']})")
+_HITS = "typed_hits AS (SELECT s.call_id, r.service, 'dto' || (length(r.route_path) % 9) AS dto, 'dto' || (CAST(substr(s.call_id, 6) AS BIGINT) % 9) AS expected FROM served s JOIN api_routes r ON r.route_id = s.route_id WHERE NOT EXISTS (SELECT 1 FROM route_methods x WHERE x.route_id = s.route_id) OR EXISTS (SELECT 1 FROM route_methods x WHERE x.route_id = s.route_id AND upper(x.method) = upper(s.method)))"
+add("h7_contract_fields", lambda m: routes.contract_fields(routes.allowed_hits(m.api_routes.withColumn("dto", F.concat(F.lit("dto"), F.length("route_path") % 9)), m.api_calls.withColumn("expected", F.expr("concat('dto', cast(substring(call_id, 6) as bigint) % 9)")), m.route_methods), m.fields_used, m.fields_given), """SELECT call_id, dto, field, problem FROM (
+    SELECT p.call_id, p.dto, u.field, unnest(CASE WHEN got IS NULL THEN CASE WHEN optional THEN [] ELSE ['missing'] END ELSE list_filter([CASE WHEN got <> field THEN 'casing' END, CASE WHEN tc <> gc THEN 'type' END], lambda z: z IS NOT NULL) END) AS problem
+    FROM known_hits p JOIN compared u ON u.expected = p.expected AND u.dto = p.dto)""", _SEGS, _HITS,
+    "known_hits AS (SELECT call_id, expected, min(dto) AS dto FROM typed_hits GROUP BY 1, 2 HAVING count(DISTINCT dto) = 1)",
+    "one AS (SELECT dto, field AS g_field, min(type) AS g_type FROM fields_given GROUP BY dto, field)",
+    "compared AS (SELECT k.expected, k.dto, u.field, u.optional, coalesce(e.g_field, l.g_field) AS got, (SELECT " + _CATEGORY + " FROM (SELECT u.type AS x)) AS tc, (SELECT " + _CATEGORY + """ FROM (SELECT coalesce(e.g_type, l.g_type) AS x)) AS gc
+    FROM (SELECT DISTINCT expected, dto FROM known_hits WHERE dto IN (SELECT dto FROM one)) k JOIN (SELECT DISTINCT * FROM fields_used) u ON u.dto = k.expected LEFT JOIN one e ON e.dto = k.dto AND e.g_field = u.field
+    LEFT JOIN (SELECT dto, lower(g_field) AS low, g_field, g_type FROM one QUALIFY row_number() OVER (PARTITION BY dto, lower(g_field) ORDER BY g_field) = 1) l ON l.dto = k.dto AND l.low = lower(u.field))""")
+
 # S: functions
 add("s2_search_prefix", lambda m: m.prefixes.select("prefix", paths.search_prefix(F.concat("prefix", F.lit("**/*"))).alias("nested"), paths.search_prefix(F.concat("prefix", F.lit("*"))).alias("plain")), "SELECT prefix, regexp_replace(prefix || '**/*', '\\*\\*?/?\\*?$', '') AS nested, regexp_replace(prefix || '*', '\\*\\*?/?\\*?$', '') AS plain FROM prefixes")
 add("s1_normalize_path", lambda m: m.prefixes.select("prefix", paths.normalize_path(F.concat("prefix", F.lit("**"))).alias("plain"), paths.normalize_path(F.concat("prefix", F.lit("**/*"))).alias("nested")), "SELECT prefix, regexp_replace(prefix || '**', '\\*+/?$', '') AS plain, regexp_replace(prefix || '**/*', '\\*+/?$', '') AS nested FROM prefixes")

@@ -123,3 +123,28 @@ def test_tiers_of_nulls_and_repeats(spark):
     got = {r["ref_id"]: (r["tier"], r["n"]) for r in changes.resolve_tiers(refs, symbols).collect()}
     assert got == {1: ("scope", 1), 2: ("scope", 1), 3: ("file", 2), 4: ("any", 3)}
     assert rows(changes.resolve_names(refs, symbols)) == [(1, "2"), (2, "1"), (3, "1"), (3, "2"), (4, "1"), (4, "2"), (4, "3")]
+
+
+def test_refresh_keeps_states_and_clears_lost_blocks(spark):
+    t = "id string, status string, completed_at string, block_id string, title string"
+    old = spark.createDataFrame([("1", "done", "d1", "a", "x"), ("2", "todo", None, "a", "x"), ("gone", "done", "d", "a", "x"), ("3", "blocked", None, "b", "x")], t)
+    new = spark.createDataFrame([("1", "todo", None, "z", "y"), ("2", "in-progress", "c", "a", "y"), ("3", "todo", "c", None, "y"), ("4", "todo", None, "b", "y")], t)
+    blocks = spark.createDataFrame([("a",), ("a",), ("b",)], "id string")
+    assert rows(changes.refresh(old, new, blocks)) == [("1", "done", "d1", None, "y", True), ("2", "in-progress", "c", "a", "y", False), ("3", "blocked", None, None, "y", False), ("4", "todo", None, "b", "y", False)]
+    assert rows(changes.refresh(old.limit(0), new.limit(0), blocks)) == []
+
+
+def test_ranked_pages(spark):
+    df = spark.createDataFrame([(i, i % 3) for i in range(20)], "id int, k int")
+    got = changes.ranked(df, F.col("k").desc(), "id", limit=4, offset=5).orderBy("rank").collect()
+    assert [(r["rank"], r["k"], r["id"]) for r in got] == [(6, 2, 17), (7, 1, 1), (8, 1, 4), (9, 1, 7)]
+    assert changes.ranked(df, "id", limit=5, offset=20).collect() == []
+
+
+def test_contract_fields_compare_each_pair_of_types_by_itself(spark):
+    from archgraph.operators import routes
+
+    hits = spark.createDataFrame([("c1", "s", "Out", "A"), ("c2", "s", "Out", "B"), ("c3", "s", "Unknown", "A"), ("c4", "s", "Out", "A"), ("c4", "t", "Other", "A")], "call_id string, service string, dto string, expected string")
+    used = spark.createDataFrame([("A", "id", "string", False), ("B", "Name", "string", False), ("B", "extra", "number", True)], "dto string, field string, type string, optional boolean")
+    given = spark.createDataFrame([("Out", "id", "int"), ("Out", "name", "Guid")], "dto string, field string, type string")
+    assert rows(routes.contract_fields(hits, used, given)) == [("c1", "Out", "id", "type"), ("c2", "Out", "Name", "casing")]
