@@ -5,9 +5,10 @@ every shard each vector gets edges to near ones, pruned so that an edge is dropp
 neighbour is nearer to its end. The adjacency lists of a vector's shards are united. For the
 search each vector goes to the shards of its nearest clusters, walks greedily from the shard's
 medoid along the graph and then expands through everything within a widened range. What it finds
-is verified by the cosine in double precision. An audit compares queries that have links with brute
-force and widens the routing until the recall is met; where all clusters are not enough or no query
-has a link, the vectors of each cell are compared one by one.
+is verified by the cosine in double precision. An audit compares sampled vectors, and copies of them
+turned a little more than half way to the threshold's angle, with brute force. The copies, which
+always have a link, are searched like any vector and are in no result. Beam and routing widen until
+the recall is met; only where all clusters are not enough are the vectors of each cell compared one by one.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import components, settle, spanning_labels
+from .base import components, forget, settle, spanning_labels
 
 
 @dataclass(frozen=True)
@@ -38,10 +39,8 @@ class Config:
     beam: int = 24
     slack: float = 0.1
     probes: int = 3
-    audit: int = 64
-    max_audit: int = 4096
-    all_clusters: int = 64
-    recall: float = 0.9
+    audit: int = 128
+    recall: float = 0.95
 
 
 def _units(v: pa.Array) -> np.ndarray:
@@ -61,6 +60,17 @@ def fit_clusters(x: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> np.nd
     return c
 
 
+def turned(x: np.ndarray, threshold: float, seed: int = 2) -> np.ndarray:
+    """Unit vectors ``x``, each turned in a random direction by 0.1 to 0.9 of the threshold's angle."""
+    rng = np.random.default_rng(seed)
+    r = rng.normal(size=x.shape)
+    r -= (r * x).sum(1, keepdims=True) * x
+    size = np.linalg.norm(r, axis=1, keepdims=True)
+    r = np.where(size > 1e-9, r / np.maximum(size, 1e-9), 0.0)  # one component leaves no direction
+    angle = rng.uniform(0.1, 0.9, (len(x), 1)) * np.arccos(threshold)
+    return np.cos(angle) * x + np.sin(angle) * r
+
+
 def build_graph(x: np.ndarray, config: Config) -> np.ndarray:
     """Adjacency (n x degree, padded by -1) of the unit vectors of a shard, robustly pruned."""
     n, m = len(x), min(len(x) - 1, 2 * config.degree)
@@ -151,12 +161,14 @@ def _route(centres: np.ndarray, blocks: np.ndarray, chunks: np.ndarray, probes:
             mix = (nid.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
             rows = []
             for role in (0, 1) if build else (0, 1, 2):
+                asked = np.flatnonzero(nid < 0) if role < 2 else np.empty(0, np.int64)  # audit queries are no nodes
                 for j in (role,) if role < 2 else range(probes):
                     if j >= order.shape[1]:
                         continue
                     c = order[:, j]
                     # nodes stay in one block and meet all chunks of queries; queries the other way round
-                    times = (np.ones(len(c), np.int64) if build else chunks[c]) if role < 2 else blocks[c]
+                    times = (np.ones(len(c), np.int64) if build else chunks[c]).copy() if role < 2 else blocks[c].copy()
+                    times[asked] = 0
                     i = np.repeat(np.arange(len(c)), times)
                     k = np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
                     own = mix[i] % (blocks if role < 2 else chunks)[c[i]].astype(np.uint64)
@@ -227,13 +239,15 @@ def _search(config: Config, exact: bool = False):
             adj = reachable(owner[here], by_id[at[here]], len(node), medoid)
             found = range_search(x[ask], points, adj, medoid, config)
         found &= (nid[ask][:, None] != ids[None, :]) & (role[node] == 0)[None, :]
+        audit = nid[ask] < 0
         q, links = found.any(1), found @ n[node]
         if not q.any():
             return none
-        label_q, label_n = spanning_labels(found[q])
-        has = found.any(0)
-        u, root = np.r_[nid[ask][q], ids[has]], ids[np.r_[label_q, label_n[has]]]
-        more = np.r_[links[q], np.zeros(int(has.sum()), np.int64)]
+        own, checked = q & ~audit, nid[ask][q & audit]
+        label_q, label_n = spanning_labels(found[own])
+        has = found[own].any(0)
+        u, root = np.r_[nid[ask][own], ids[has], checked], np.r_[ids[np.r_[label_q, label_n[has]]], checked]
+        more = np.r_[links[own], np.zeros(int(has.sum()), np.int64), links[q & audit]]
         return pa.table({"nid": pa.array(u), "links": pa.array(more), "root": pa.array(root)})
 
     return run
@@ -261,9 +275,8 @@ def near_vectors(vectors: DataFrame, config: Config = Config()) -> DataFrame:
     null, empty, zero or hold nulls or non-finite numbers link with nothing; vectors of different
     lengths don't link. Equal vectors are one node of the graph and count with their number. A
     null vec_id takes the component of its links and is not kept. An empty table gives no rows.
-    audit_recall is the mean share of its links that the search found for each audited query that has
-    any; more are tried, ``config.max_audit`` at most, until ``config.audit`` of them do. It is null
-    if none has links and not every pair was compared.
+    audit_recall is the mean share of the links that the search found, over ``config.audit`` sampled
+    vectors that have any and as many turned copies of them.
     """
     v = F.col("embedding").cast("array<double>")
     fine = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
@@ -289,23 +302,21 @@ def near_vectors(vectors: DataFrame, config: Config = Config()) -> DataFrame:
     done = out.join(per, ["k1", "k2"], "left")
     own = F.col("fine") & F.col("known")
     done = done.select("vec_id", F.when(own, F.col("n_links")).otherwise(0).cast("long").alias("n_links"), F.when(own, F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
-    return done.select("*", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"), F.lit(None if None in recall else float(min(recall))).cast("double").alias("audit_recall"))
+    return done.select("*", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"), F.lit(float(min(recall))).alias("audit_recall"))
 
 
-def _links(d: DataFrame, config: Config) -> tuple[DataFrame, DataFrame, float | None]:
+def _links(d: DataFrame, config: Config) -> tuple[DataFrame, DataFrame, float]:
     """((nid, links), edges(u, v), recall) of distinct vectors d(nid, n, v) of one length."""
-    total = d.count()
+    spark, total = d.sparkSession, d.count()
     some = d.orderBy(F.xxhash64("nid")).limit(config.sample).toArrow()
     x, ids = _units(_column(some, "v")), some.column("nid").to_numpy()
     k = int(min(len(x), config.max_clusters, max(1, -(-total // config.shard))))
     centres = fit_clusters(x, k)
     audit = min(len(x), config.audit)
-    while True:  # until enough of the queries have links
-        truth = d.mapInArrow(_brute(x[:audit], ids[:audit], config.threshold), "nid long, links long").groupBy("nid").agg(F.sum("links").alias("t")).filter("t > 0")
-        truth = settle(truth, "audit")
-        if audit >= min(len(x), config.max_audit) or truth.count() >= config.audit:
-            break
-        audit = min(len(x), config.max_audit, 8 * audit)
+    copies = turned(x[:audit], config.threshold)
+    queries, names = np.concatenate([x[:audit], copies]), np.concatenate([ids[:audit], -1 - np.arange(audit)])
+    asked = spark.createDataFrame([(int(i), 0, v) for i, v in zip(names[audit:], copies.tolist(), strict=True)], "nid long, n long, v array<double>")
+    truth = settle(d.mapInArrow(_brute(queries, names, config.threshold), "nid long, links long").groupBy("nid").agg(F.sum("links").alias("t")).filter("t > 0"), "audit")
     ones = np.ones(k, np.int64)
     size = np.zeros(k, np.int64)
     own = d.mapInArrow(_route(centres, ones, ones, 0, True), _CELL).filter("role = 0").groupBy("cluster").count()
@@ -314,20 +325,20 @@ def _links(d: DataFrame, config: Config) -> tuple[DataFrame, DataFrame, float |
     blocks = np.maximum(1, -(-size // config.block))
     graph = d.mapInArrow(_route(centres, blocks, ones, 0, True), _CELL).groupBy("cluster", "block").applyInArrow(_build(config), "nid long, adj array<long>")
     graph = settle(graph.groupBy("nid").agg(F.array_distinct(F.flatten(F.collect_list("adj"))).alias("adj")), "graph")
-    probes, exact = min(k, config.probes), truth.isEmpty()
-    if exact and k <= config.all_clusters:
-        probes = k
+    probes, exact = min(k, config.probes), False
     while True:
         chunks = np.maximum(1, -(-size * probes // (2 * config.block)))
-        cells = d.mapInArrow(_route(centres, blocks, chunks, probes, False), _CELL)
+        cells = d.unionByName(asked).mapInArrow(_route(centres, blocks, chunks, probes, False), _CELL)
         cells = cells.join(graph, "nid", "left").withColumn("adj", F.when(F.col("role") < 2, F.col("adj")))
         hits = settle(cells.groupBy("cluster", "block", "chunk").applyInArrow(_search(config, exact), "nid long, links long, root long"), "hits")
         links = settle(hits.groupBy("nid").agg(F.sum("links").alias("links")), "links")
         recall = truth.join(links, "nid", "left").agg(F.avg(F.least("t", F.coalesce("links", F.lit(0))) / F.col("t"))).first()[0]
-        if exact and probes == k:
-            recall = 1.0  # every pair was compared
-        if exact and recall is None or recall is not None and recall >= config.recall:
+        if recall >= config.recall or exact:
+            forget(truth)
+            forget(graph)
             return links, hits.filter("nid <> root").select(F.col("nid").alias("u"), F.col("root").alias("v")), recall
-        exact = exact or probes == k
+        forget(hits)
+        forget(links)
+        exact = probes == k  # with all clusters asked the graph is not enough
         probes = min(k, 2 * probes)
         config = replace(config, beam=2 * config.beam)

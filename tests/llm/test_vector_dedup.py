@@ -61,7 +61,8 @@ def test_rare_links_are_found_and_audited(spark):
     x[699] = x[698] * 1.01 + 0.001
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = {g["vec_id"]: g for g in near_vectors(df, Config(audit=8, shard=100)).collect()}
-    assert (got[699]["n_links"], got[699]["component_id"], got[0]["audit_recall"]) == (1, 698, 1.0)
+    assert (got[699]["n_links"], got[699]["component_id"]) == (1, 698)
+    assert got[0]["audit_recall"] >= 0.95  # a number, though no sampled vector has a link
 
 
 def test_every_part_is_reachable_from_the_start():
@@ -73,3 +74,35 @@ def test_every_part_is_reachable_from_the_start():
                 seen.add(b)
                 todo.append(b)
     assert seen == set(range(6))
+
+
+def test_planted_links_come_through_the_graph(spark, monkeypatch):
+    """30,000 vectors in 75 clusters with 1,500 planted copies at cosines above 0.95: no cell is compared one by one."""
+    r = np.random.default_rng(6)
+    base = r.normal(size=(28_500, 32)) + 2 * r.normal(size=(60, 32))[r.integers(0, 60, 28_500)]
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    pick = r.choice(len(base), 1500, replace=False)
+    x = np.concatenate([base, vector_dedup.turned(base[pick], 0.955)])
+    search = vector_dedup._search
+
+    def by_graph(config, exact=False):
+        assert not exact
+        return search(config, exact)
+
+    monkeypatch.setattr(vector_dedup, "_search", by_graph)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = near_vectors(df, Config(shard=400)).toPandas().set_index("vec_id")
+    links = np.concatenate([((x[i : i + 2000] @ x.T) >= 0.95).sum(1) - 1 for i in range(0, len(x), 2000)])
+    has = np.flatnonzero(links)
+    assert len(has) >= 3000
+    found = np.minimum(got["n_links"].to_numpy()[has], links[has]) / links[has]
+    assert found.mean() >= 0.9 and got["audit_recall"].min() >= 0.9
+    assert (got["n_links"].sort_index().to_numpy() <= links).all()
+
+
+def test_turned_copies_stay_within_the_threshold():
+    x = np.random.default_rng(8).normal(size=(300, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cosine = (x * vector_dedup.turned(x, 0.95)).sum(1)
+    assert cosine.min() > 0.95 and cosine.max() < 1
+    assert np.isfinite(vector_dedup.turned(np.array([[1.0]]), 0.95)).all()
