@@ -8,6 +8,8 @@ import tempfile
 import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 _LOCAL: dict[str, str] = {}
 #: Paths handed out by :func:`scratch` and not deleted since.
 PATHS: list[str] = []
+_OWNER: ContextVar[list[str] | None] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def owned() -> Iterator[list[str]]:
+    """The list of the paths that :func:`scratch` hands out to this thread until the block ends; other runs have lists of their own."""
+    paths: list[str] = []
+    token = _OWNER.set(paths)
+    try:
+        yield paths
+    finally:
+        _OWNER.reset(token)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +56,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, not yet there."""
     path = f"{shared_dir(spark)}/archgraph/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     PATHS.append(path)
+    if (owner := _OWNER.get()) is not None:
+        owner.append(path)
     return path
 
 
