@@ -99,7 +99,8 @@ def pivot(size: list[int], share: list[float], last: bool, draws: Iterator[float
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, size, source, source_size, target, copies, text_hash) of every row of ``docs``.
 
-    ``size`` counts words, 0 for null or empty texts; such rows get no copies. ``copies`` is at
+    ``size`` counts words, 0 for null or empty texts; such rows get the whole copies of their
+    source, but none of the rounding. ``copies`` is at
     most ceil(cap). Null ids and null sources are values of their own. The draws depend on seed,
     source and the rows of a group, and groups on hashes of the rows, so that reruns agree
     whatever the partitioning; repeated rows are interchangeable. An empty table gives no rows.
