@@ -95,13 +95,24 @@ class EliasFano:
         out[some] = word * 64 + _select(~self.high[word], z - zeros[word]) - z
         return out
 
+    def _bounds(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last place, exclusive, of the values with high part ``h``: a run of ones between two zeros."""
+        start = self._bucket(h)
+        at = start + h
+        word, shift = at >> 6, at & 63
+        gap = ~(self.high[word] >> shift.astype(np.uint64))
+        run = np.bitwise_count((gap & (~gap + _ONE)) - _ONE).astype(np.int64)  # ones below the lowest zero
+        end, over = start + run, np.flatnonzero(shift + run >= 64)
+        end[over] = self._bucket(h[over] + 1)
+        return start, end
+
     def find(self, x: np.ndarray) -> np.ndarray:
         """Index of each value ``x``, the first one of equal values, or -1: the successor of x if it is x itself."""
         out = np.full(len(x), -1)
         most = len(self.high) * 64 - self.n  # zeros, that is high parts that end in the vector
         some = np.flatnonzero((x >> self.low_bits) < most) if self.n else np.empty(0, np.int64)
         h, low = x[some] >> self.low_bits, x[some].astype(np.uint64) & self.mask
-        lo, end = self._bucket(h), self._bucket(h + 1)
+        lo, end = self._bounds(h)
         hi, open_ = end.copy(), np.arange(len(some))
         while len(open_ := open_[lo[open_] < hi[open_]]):
             mid = (lo[open_] + hi[open_]) >> 1
@@ -155,26 +166,28 @@ class Trie:
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
     @staticmethod
-    def _base(level: EliasFano, first: np.ndarray) -> np.ndarray:
-        out, some = np.zeros(len(first), np.int64), first > 0
-        out[some] = level.get(first[some] - 1)
-        return out
+    def _search(level: EliasFano, pointer: EliasFano, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Place of each word among the children of its context, or -1. Neighbours with the same context share what it takes to get there."""
+        heads = np.flatnonzero(np.diff(context, prepend=-1))
+        of = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(context))))
+        first, end = pointer.get(context[heads]), pointer.get(context[heads] + 1)
+        base, some = np.zeros(len(heads), np.int64), first > 0
+        base[some] = level.get(first[some] - 1)
+        node = level.find(base[of] + word + 1)
+        return np.where(node < end[of], node, -1)
 
     def pair(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         """Node of each pair, or -1: v is searched among the successors of u."""
-        out, at = np.full(len(u), -1), self.words.find(u)
-        some = np.flatnonzero(at >= 0)
+        heads = np.flatnonzero(np.diff(u, prepend=-1))
+        at = np.repeat(self.words.find(u[heads]), np.diff(np.append(heads, len(u))))
+        out, some = np.full(len(u), -1), np.flatnonzero(at >= 0)
         if len(some):
-            base = self._base(self.pairs, self.to_pairs.get(at[some]))
-            node, end = self.pairs.find(base + v[some] + 1), self.to_pairs.get(at[some] + 1)
-            out[some] = np.where(node < end, node, -1)
+            out[some] = self._search(self.pairs, self.to_pairs, at[some], v[some])
         return out
 
     def triple(self, pair: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Node of each triple, or -1: w is searched among the successors of the node ``pair``."""
         out, some = np.full(len(pair), -1), np.flatnonzero(pair >= 0)
         if len(some) and self.triples.n:
-            base = self._base(self.triples, self.to_triples.get(pair[some]))
-            node, end = self.triples.find(base + w[some] + 1), self.to_triples.get(pair[some] + 1)
-            out[some] = np.where(node < end, node, -1)
+            out[some] = self._search(self.triples, self.to_triples, pair[some], w[some])
         return out
