@@ -211,3 +211,20 @@ def saving(files: DataFrame, prefix: str, answer_tokens: int) -> DataFrame:
     """(baseline, saved_percent) of an answer against reading files(path, tokens) under a prefix, on a segment boundary; null for no baseline."""
     base = F.coalesce(F.sum("tokens"), F.lit(0))
     return files.filter(under_prefix(F.col("path"), F.lit(prefix))).agg(base.alias("baseline"), F.when(base > 0, F.round((base - answer_tokens) / base * 100, 1)).alias("saved_percent"))
+
+
+def block_savings(files: DataFrame, prefixes: DataFrame, answers: DataFrame) -> DataFrame:
+    """(block_id, files, baseline, saved_percent) of each block of answers(block_id, tokens) against reading its files(path, tokens).
+
+    A file belongs to the block of the longest prefix that holds it on a segment boundary, of the
+    least block on a tie. Blocks without files have baseline 0 and no percentage; one of several
+    answers of a block is the smallest.
+    """
+    bare = F.regexp_replace(F.regexp_replace("prefix", r"/?\*+$", ""), "/$", "")
+    p = prefixes.select("block_id", bare.alias("bare"))
+    held = prefix_pairs(files.select("path").distinct(), p, prefix="bare").filter(under_prefix(F.col("path"), F.col("bare")))
+    own = held.groupBy("path").agg(F.min(F.struct(-F.length("bare"), "block_id")).alias("b")).select("path", F.col("b.block_id").alias("block_id"))
+    read = files.join(own, "path").groupBy("block_id").agg(F.count("*").alias("files"), F.sum("tokens").alias("read"))
+    asked = answers.groupBy("block_id").agg(F.min("tokens").alias("answer"))
+    base = F.coalesce("read", F.lit(0))
+    return asked.join(read, "block_id", "left").select("block_id", F.coalesce("files", F.lit(0)).alias("files"), base.alias("baseline"), F.when(base > 0, F.round((base - F.col("answer")) / base * 100, 1)).alias("saved_percent"))

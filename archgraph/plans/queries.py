@@ -339,6 +339,9 @@ add("s16_names", lambda m: m.blocks.select("id", propose.title_case(F.col("id"))
 add("s22_within", lambda m: m.pages.select("page_id", paths.within(F.regexp_replace("url", "^https?://", F.when(F.col("page_id") % 3 == 0, "../").when(F.col("page_id") % 3 == 1, "./a/../").otherwise("/root/b/")), "/root").alias("inside")), "SELECT page_id, CASE page_id % 3 WHEN 0 THEN NULL ELSE array_to_string(list_filter(string_split(CASE page_id % 3 WHEN 2 THEN 'b/' ELSE '' END || regexp_replace(url, '^https?://', ''), '/'), lambda x: x <> '' AND x <> '.'), '/') END AS inside FROM pages")
 add("h28_saving", lambda m: review.saving(m.symbols.selectExpr("file_path as path", "end_line - start_line as tokens"), "large/Brand#1", 100), "SELECT sum(end_line - start_line)::BIGINT AS baseline, round((sum(end_line - start_line) - 100) / sum(end_line - start_line) * 100, 1) AS saved_percent FROM symbols WHERE starts_with(file_path, 'large/Brand#1/')")
 
+add("h28_block_savings", lambda m: review.block_savings(m.symbols.groupBy(F.col("file_path").alias("path")).agg(F.sum(F.col("end_line") - F.col("start_line")).alias("tokens")), m.prefixes, m.blocks.select(F.col("id").alias("block_id"), F.length("id").alias("tokens"))), "SELECT b.id AS block_id, count(s.path) AS files, coalesce(sum(s.tokens), 0)::BIGINT AS baseline, CASE WHEN coalesce(sum(s.tokens), 0) > 0 THEN round((sum(s.tokens) - length(b.id)) / sum(s.tokens) * 100, 1) END AS saved_percent FROM blocks b LEFT JOIN sized s ON s.block_id = b.id GROUP BY b.id",
+    "sized AS (SELECT f.path, f.tokens, p.block_id FROM (SELECT file_path AS path, sum(end_line - start_line) AS tokens FROM symbols GROUP BY 1) f JOIN prefixes p ON f.path = rtrim(p.prefix, '/') OR starts_with(f.path, rtrim(p.prefix, '/') || '/') QUALIFY row_number() OVER (PARTITION BY f.path ORDER BY length(rtrim(p.prefix, '/')) DESC, p.block_id) = 1)")
+
 _VIEWS = {
     "changed": "SELECT DISTINCT file_path AS path, CASE length(file_path) % 5 WHEN 0 THEN 'deleted' WHEN 1 THEN 'added' ELSE 'modified' END AS status FROM symbols WHERE file_path LIKE '%f1.ts'",
     "parts": "SELECT id, is_client, kind = 'function' AND NOT is_client AS is_server_action FROM symbols WHERE kind IN ('component', 'function', 'hook')",

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from archgraph.functions import paths
-from archgraph.operators import containment, drift, graph, propose
+from archgraph.operators import containment, drift, graph, propose, review
 
 
 def plan(df) -> str:
@@ -237,3 +237,10 @@ def test_names_and_paths(spark):
     assert [x[0] for x in texts.select(paths.kebab(F.col("t"))).collect()] == ["core-api", "httpserver-v2", "", "", None]
     got = spark.createDataFrame([("a/../b//./c",), ("../x",), ("a/../../x",), ("/root/x/../y",), ("/root/../x",), ("/rooted/x",), ("C:\\x",), ("a\\b",), ("",), (None,)], "p string").select(paths.within(F.col("p"), "/root/"))
     assert [x[0] for x in got.collect()] == ["b/c", None, None, "y", None, None, None, "a/b", "", None]
+
+
+def test_a_block_is_measured_by_its_own_files(spark):
+    files = spark.createDataFrame([("src/routes/a", 10), ("src/routes2/b", 20), ("src/c", 40), ("top", 80)], "path string, tokens long")
+    prefixes = spark.createDataFrame([("all", ""), ("src", "src/**"), ("routes", "src/routes/"), ("routes", "src/routes"), ("none", "lib"), ("n", None)], "block_id string, prefix string")
+    answers = spark.createDataFrame([("all", 8), ("src", 30), ("routes", 20), ("routes", 5), ("none", 1)], "block_id string, tokens long")
+    assert rows(review.block_savings(files, prefixes, answers)) == [("all", 1, 80, 90.0), ("none", 0, 0, None), ("routes", 1, 10, 50.0), ("src", 2, 60, 50.0)]
