@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archgraph.functions.paths import directory
@@ -33,8 +33,8 @@ def block_edges(edges: DataFrame, symbols: DataFrame, prefixes: DataFrame) -> Da
     return edges.join(s, "source").join(t, "target")
 
 
-def callers(edges: DataFrame, symbols: DataFrame, symbol_id: str) -> DataFrame:
-    """(direction, id, name, kind) of the neighbours of one symbol."""
+def callers(edges: DataFrame, symbols: DataFrame, symbol_id: str | Column) -> DataFrame:
+    """(direction, id, name, kind) of the neighbours of one symbol; its id may be a scalar subquery."""
     s = symbols.select("id", "name")
     into = edges.filter(F.col("target") == symbol_id).select(F.lit("caller").alias("direction"), F.col("source").alias("id"), F.col("kind").alias("edge"))
     out = edges.filter(F.col("source") == symbol_id).select(F.lit("callee").alias("direction"), F.col("target").alias("id"), F.col("kind").alias("edge"))

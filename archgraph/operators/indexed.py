@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archgraph.operators.containment import GRAM, _grams
@@ -75,7 +75,7 @@ class GraphTables:
     def by_target(self) -> DataFrame:
         return self.spark.table(self.names["by_target"])
 
-    def neighbours(self, symbol_id: str) -> DataFrame:
+    def neighbours(self, symbol_id: str | Column) -> DataFrame:
         """(direction, id, name, kind) of the neighbours of one symbol; of each order of the edges one bucket is read."""
         into = self.by_target.filter(F.col("target") == symbol_id).select(F.lit("caller").alias("direction"), F.col("source").alias("id"), F.col("kind").alias("edge"))
         out = self.by_source.filter(F.col("source") == symbol_id).select(F.lit("callee").alias("direction"), F.col("target").alias("id"), F.col("kind").alias("edge"))

@@ -31,6 +31,12 @@ def totals(activity: DataFrame) -> DataFrame:
     return activity.agg(F.count("*").alias("n"), F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("tokens"), F.round(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 4).alias("cost"), F.min("recorded_at").alias("first_at"), F.max("recorded_at").alias("last_at"))
 
 
+def span(activity: DataFrame) -> DataFrame:
+    """:func:`totals` with ``days``, the whole days between the first and the last row; null without rows."""
+    days = F.floor((F.unix_timestamp("last_at") - F.unix_timestamp("first_at")) / 86400)
+    return totals(activity).withColumn("days", days)
+
+
 def grouped(activity: DataFrame, by: str) -> DataFrame:
     """Per key, (none) for null; sums of only nulls stay null."""
     key = F.date_format("recorded_at", "yyyy-MM-dd") if by == "day" else F.coalesce(F.col(KEYS[by]), F.lit("(none)"))

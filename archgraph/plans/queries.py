@@ -89,7 +89,7 @@ add("d14_field_shape", lambda m: routes.field_diff(m.fields_used, m.fields_given
     LEFT JOIN (SELECT dto, lower(g_field) AS low, g_field, g_type FROM one QUALIFY row_number() OVER (PARTITION BY dto, lower(g_field) ORDER BY g_field) = 1) l ON l.dto = u.dto AND l.low = lower(u.field)))""",
     "one AS (SELECT dto, field AS g_field, min(type) AS g_type FROM fields_given GROUP BY dto, field)")
 add("d16_cross_block_consumers", lambda m: graph.cross_block_exports(m.edges, m.symbols, m.prefixes).select("id", "block_id", F.array_join("consumers", ",").alias("consumers")), "SELECT target AS id, target_block AS block_id, string_agg(DISTINCT source_block, ',' ORDER BY source_block) AS consumers FROM be WHERE source_block <> target_block AND target IN (SELECT id FROM symbols WHERE is_exported) GROUP BY 1, 2", _OWNER, _BLOCK_EDGES)
-add("d17_callers", lambda m: graph.callers(m.edges, m.symbols, m.symbols.filter("sym_key = 20").first()["id"]).select("direction", "id", "edge"), "SELECT 'caller' AS direction, source AS id, kind AS edge FROM edges WHERE target = (SELECT id FROM symbols WHERE sym_key = 20) UNION ALL SELECT 'callee', target, kind FROM edges WHERE source = (SELECT id FROM symbols WHERE sym_key = 20)")
+add("d17_callers", lambda m: graph.callers(m.edges, m.symbols, m.symbols.filter("sym_key = 20").select("id").scalar()).select("direction", "id", "edge"), "SELECT 'caller' AS direction, source AS id, kind AS edge FROM edges WHERE target = (SELECT id FROM symbols WHERE sym_key = 20) UNION ALL SELECT 'callee', target, kind FROM edges WHERE source = (SELECT id FROM symbols WHERE sym_key = 20)")
 add("d20_phase_progress", lambda m: delivery.phase_progress(m.phases, m.tasks).select("id", "total", "done", "cancelled", "percent"), "SELECT p.id, count(t.id) AS total, count(t.id) FILTER (t.status = 'done') AS done, count(t.id) FILTER (t.status = 'cancelled') AS cancelled, CAST(coalesce(round(100.0 * count(t.id) FILTER (t.status = 'done') / nullif(count(t.id) FILTER (t.status <> 'cancelled'), 0)), 0) AS INT) AS percent FROM phases p LEFT JOIN tasks t ON t.phase_id = p.id GROUP BY p.id")
 add("d21_children", lambda m: m.blocks.alias("c").join(m.blocks.alias("p"), F.col("c.parent_id") == F.col("p.id")).select(F.col("p.id").alias("parent"), F.col("c.id").alias("child")), "SELECT p.id AS parent, c.id AS child FROM blocks c JOIN blocks p ON c.parent_id = p.id")
 
@@ -457,6 +457,13 @@ add("s17_slug", lambda m: m.benchmark.select("item_id", paths.slug(F.col("text")
 add("s21_content_hash", lambda m: m.documents.select("doc_id", paths.content_hash(F.col("text")).alias("hash")), "SELECT doc_id, substr(sha256(text), 1, 16) AS hash FROM documents")
 add("s23_directory", lambda m: m.files.select("path", paths.directory(F.col("path")).alias("dir")), "SELECT DISTINCT file_path AS path, regexp_replace(file_path, '/[^/]+$', '') AS dir FROM symbols")
 
+add("s6_json_strings", lambda m: m.activity.select("id", F.array_join(paths.json_strings(F.expr("CASE id % 3 WHEN 0 THEN concat('[\"', tool_name, '\", \"', coalesce(model, ''), '\"]') WHEN 1 THEN concat('[\"', tool_name) END")), "|").alias("items")), "SELECT id, CASE id % 3 WHEN 0 THEN tool_name || '|' || coalesce(model, '') ELSE '' END AS items FROM activity")
+add("s25_git_status", lambda m: m.documents.select("doc_id", paths.git_status(F.expr("substring('ADRMCT?R100', cast(doc_id % 8 as int) + 1, 4)")).alias("status")), "SELECT doc_id, CASE substr('ADRMCT?R', CAST(doc_id % 8 AS INT) + 1, 1) WHEN 'A' THEN 'added' WHEN '?' THEN 'added' WHEN 'D' THEN 'deleted' WHEN 'R' THEN 'renamed' ELSE 'modified' END AS status FROM documents")
+add("s27_total_tokens", lambda m: m.activity.select("id", telemetry.total_tokens(F.col("explicit_tokens"), F.col("input_tokens"), F.col("output_tokens")).alias("total")), "SELECT id, total_tokens AS total FROM activity")
+add("g9_unassigned_files", lambda m: prefix.longest_prefix_join(m.files, m.prefixes, keep_unmatched=True), "SELECT f.path, o.block_id FROM (SELECT DISTINCT file_path AS path FROM symbols) f LEFT JOIN owner o ON o.path = f.path", _OWNER)
+add("e2_span", lambda m: telemetry.span(m.activity.filter("tool_name <> 'view'")), "SELECT count(*) AS n, coalesce(sum(total_tokens), 0)::BIGINT AS tokens, round(coalesce(sum(cost_usd), 0), 4) AS cost, min(recorded_at) AS first_at, max(recorded_at) AS last_at, CAST(floor(date_diff('second', min(recorded_at), max(recorded_at)) / 86400) AS BIGINT) AS days FROM activity WHERE tool_name <> 'view'")
+add("d17_bucketed_neighbours", lambda m: _tables(m).neighbours(m.symbols.filter("sym_key = 20").select("id").scalar()).select("direction", "id", "edge"), "SELECT 'caller' AS direction, source AS id, kind AS edge FROM edges WHERE target = (SELECT id FROM symbols WHERE sym_key = 20) UNION ALL SELECT 'callee', target, kind FROM edges WHERE source = (SELECT id FROM symbols WHERE sym_key = 20)")
+
 # A, B: sources, a file or two of each row of part; @k stands for its key, @s for its size and ~ for a line break
 _SOURCES = {
     "csharp": ["N@k.cs", 'namespace N@s;~[Route("api/r@k")]~public class C@kController : ControllerBase, IThing@k~{~    public int Size { get; set; }~    [HttpGet("{id}")] [Authorize]~    public Task<Dto@k> Make@k(Arg@k a) { return Help@k(a); }~    private Dto@k Help@k(Arg@k a) { return new Dto@k(); }~}~public record Dto@k(int Id);~public interface IThing@k { }~'],
