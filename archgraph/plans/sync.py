@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archgraph.operators import delivery, review
+from archgraph.plans.state import ProjectState, apply_index
 from archgraph.sources import edges, extract, git
 
 
@@ -44,6 +45,19 @@ def index_services(spark: SparkSession, services: Iterable[tuple[str, str, str]]
     return Index(*(reduce(DataFrame.unionByName, frames) for frames in zip(*found, strict=True)), warnings)
 
 
+def store(index: Index, state: ProjectState, removed: DataFrame | None = None, components: DataFrame | None = None) -> int:
+    """Bring an index, of all files or of those that changed, into the stored state; returns its version.
+
+    ``removed(path, service, language)`` are files that are no more, ``components(id, service,
+    language, ..)`` those of the indexed files. One commit, see :func:`archgraph.plans.state.apply_index`.
+    """
+    of = lambda df: df.select(F.col("path").alias("file_path"), "service", "language")
+    files = of(index.files) if removed is None else of(index.files).unionByName(of(removed))
+    edges_ = index.edges.join(index.symbols.select(F.col("id").alias("source"), "language"), "source")
+    none = index.symbols.select("id", "service", "language").limit(0)
+    return apply_index(state, files.distinct(), index.symbols, edges_, none if components is None else components)
+
+
 class Synced(NamedTuple):
     counts: DataFrame
     findings: DataFrame

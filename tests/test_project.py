@@ -64,6 +64,27 @@ def test_services_and_sync(spark, repo, tmp_path):
     assert out.findings.count() == 0 and len(out.commit) == 40 and out.changed.count() == 3 and len(out.warnings) == 2
 
 
+def test_an_index_is_stored_and_changed_files_replace_theirs(spark, tmp_path):
+    from archgraph.plans.state import ProjectState
+
+    code = tmp_path / "code"
+    code.mkdir()
+    (code / "a.py").write_text("def f():\n    return g()\n\n\ndef g():\n    return 1\n")
+    (code / "b.py").write_text("def h():\n    return 2\n")
+    state = ProjectState(spark, f"file://{tmp_path}/state")
+    first = sync.index_services(spark, [("py", str(code), "python")])
+    assert sync.store(first, state) == 1
+    known = spark.createDataFrame(first.files.select("service", "path", "content_hash", "language").collect())
+    assert values(state.read("symbols"), "id") == [("a.py::f#function",), ("a.py::g#function",), ("b.py::h#function",)]
+    assert values(state.read("edges"), "source", "target") == [("a.py::f#function", "a.py::g#function")]
+    (code / "a.py").write_text("def f():\n    return 3\n")
+    (code / "b.py").unlink()
+    later = sync.index_services(spark, [("py", str(code), "python")], known)
+    gone = known.join(sync.index_services(spark, [("py", str(code), "python")]).files.select("path"), "path", "left_anti")
+    assert sync.store(later, state, gone) == 2
+    assert values(state.read("symbols"), "id") == [("a.py::f#function",)] and state.read("edges").count() == 0
+
+
 def test_tsconfig(spark, tmp_path):
     for name in ("src/a.ts", "src/deep/b.tsx", "src/a.test.ts", "lib/c.ts", "lib/skip/d.ts", "other/e.ts", "src/x.d.ts"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
