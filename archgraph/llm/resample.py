@@ -113,11 +113,9 @@ def feature_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
             f = Features([t for b in some for t in b.column(0).to_pylist()])
             names, counts, shard = np.array(f.strings(), object), f.counts(), f.shards(n)
             order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(n + 1)).tolist()
-            for s in range(n):
-                mine = order[cuts[s] : cuts[s + 1]]
-                if len(mine):
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_packed(b"\n".join(names[mine].tolist()))], pa.binary()), pa.array([_packed(counts[mine].tobytes())], pa.binary())], ["shard", "features", "counts"])
+            heads = np.flatnonzero(np.diff(shard[order], prepend=-1))  # of the shards that are there
+            for s, mine in zip(shard[order[heads]].tolist(), np.split(order, heads[1:]) if len(heads) else [], strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_packed(b"\n".join(names[mine].tolist()))], pa.binary()), pa.array([_packed(counts[mine].tobytes())], pa.binary())], ["shard", "features", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_shard(batches):
