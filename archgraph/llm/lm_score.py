@@ -64,6 +64,12 @@ def pair_hashes(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return _mix(_mix(u) ^ v.astype(np.uint64))
 
 
+def _runs(sorted_: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, start, end) of each run of equal values; the work is that of what is there, not of the shards there are."""
+    heads = np.flatnonzero(np.diff(sorted_, prepend=-1))
+    return list(zip(sorted_[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(sorted_)], strict=True)) if len(heads) else []
+
+
 class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
@@ -118,7 +124,7 @@ def chunks(docs: DataFrame, learn: Column, id_col: str, text_col: str, most: int
             for i in range(b.num_rows):
                 words = b.column(2)[i].as_py().lower().split()  # of bytes: A-Z and ASCII white space alone
                 words.append(_END)
-                ints.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+                ints.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
                 ids.append(b.column(0).slice(i, 1))
                 learns.append(b.column(1)[i].as_py())
                 size += len(words)
@@ -142,9 +148,8 @@ def word_counts(cut: DataFrame, n: int, most: int = CHUNK) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
             h, count = unpack(r["a"]), unpack(r["b"])
-            cuts = np.searchsorted(_shard(h.view(np.uint64), n), np.arange(n + 1)).tolist()
-            some = [s for s in range(n) if cuts[s] < cuts[s + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([r["chunk"]] * len(some), pa.int64()), *(pa.array([pack(x[cuts[s] : cuts[s + 1]]) for s in some], pa.binary()) for x in (h, count))], ["shard", "chunk", "h", "c"])
+            some = _runs(_shard(h.view(np.uint64), n))
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, *_ in some], pa.int64()), pa.array([r["chunk"]] * len(some), pa.int64()), *(pa.array([pack(x[a:b]) for _, a, b in some], pa.binary()) for x in (h, count))], ["shard", "chunk", "h", "c"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _grouped(batches, "shard"):
@@ -223,12 +228,11 @@ class Windows:
         more = np.isin(both, hot["pair"])[self.run_pair]
         of[more] = _shard(_mix(both[self.run_pair[more]] ^ self.w[more].astype(np.uint64)), n)
         order = np.argsort(of, kind="stable")
-        out, cuts = [], np.searchsorted(of[order], np.arange(n + 1)).tolist()
-        for s in range(n):
-            runs = order[cuts[s] : cuts[s + 1]]
-            if len(runs):
-                pairs, each = np.unique(self.run_pair[runs], return_counts=True)
-                out.append((s, runs, pairs, each))
+        out = []
+        for s, a, b in _runs(of[order]):
+            runs = order[a:b]
+            pairs, each = np.unique(self.run_pair[runs], return_counts=True)
+            out.append((s, runs, pairs, each))
         return out
 
 
@@ -294,8 +298,10 @@ def look_up(ready: DataFrame, n: int, hot: dict[str, np.ndarray], with_tries: bo
             first, of_u = np.unique(u, return_inverse=True)
             pair, of_pair = np.unique(of_u << 42 | v, return_inverse=True)  # a shard has far fewer than 2^21 different first words
             run, of_run = np.unique(np.repeat(of_pair, each).astype(np.uint64) << np.uint64(42) | w.astype(np.uint64), return_inverse=True)
+            del u, v, w
             at, word, count = (run >> np.uint64(42)).astype(np.int64), (run & np.uint64((1 << 42) - 1)).astype(np.int64), np.bincount(of_run, c, len(run)).astype(np.int64)
             pu, pv = first[pair >> 42], pair & ((1 << 42) - 1)
+            del run, pair, of_u, each, c
             made = _shard_trie(pu, pv, at, word, count, hot)
             trie = Trie(made)
             node = trie.pair(pu, pv)
@@ -303,7 +309,7 @@ def look_up(ready: DataFrame, n: int, hot: dict[str, np.ndarray], with_tries: bo
             share, weight = quantise(np.zeros(len(pu))), quantise(np.ones(len(pu)))
             share[there], weight[there] = trie.pair_share[node[there]], trie.back_off[node[there]]
             leaf = trie.triple(node[at], word)
-            third = quantise(np.zeros(len(run)))
+            third = quantise(np.zeros(len(word)))
             third[leaf >= 0] = trie.triple_share[leaf[leaf >= 0]]
             p = q = 0
             for i, (np_, nw) in enumerate(sizes):
