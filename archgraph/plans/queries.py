@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archgraph.functions import paths, types
+from archgraph.functions import text as texts
 from archgraph.operators import changes, containment, delivery, drift, graph, indexed, median, prefix, propose, records, report, review, routes, telemetry
 from archgraph.plans import state
 from archgraph.plans.model import Model, sql
 from archgraph.shared import settle, shared_dir
-from archgraph.sources import documents, edges, extract
+from archgraph.sources import documents, edges, extract, sinks
 from archgraph.streaming import activity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -458,6 +459,8 @@ add("s21_content_hash", lambda m: m.documents.select("doc_id", paths.content_has
 add("s23_directory", lambda m: m.files.select("path", paths.directory(F.col("path")).alias("dir")), "SELECT DISTINCT file_path AS path, regexp_replace(file_path, '/[^/]+$', '') AS dir FROM symbols")
 
 add("s6_json_strings", lambda m: m.activity.select("id", F.array_join(paths.json_strings(F.expr("CASE id % 3 WHEN 0 THEN concat('[\"', tool_name, '\", \"', coalesce(model, ''), '\"]') WHEN 1 THEN concat('[\"', tool_name) END")), "|").alias("items")), "SELECT id, CASE id % 3 WHEN 0 THEN tool_name || '|' || coalesce(model, '') ELSE '' END AS items FROM activity")
+add("s26_escaped", lambda m: m.pages.select("page_id", F.sha2(texts.escape_html(F.col("html")), 256).alias("as_html"), F.sha2(texts.escape_cell(F.concat_ws("|", "url", "html")), 256).alias("as_cell")), "SELECT page_id, sha256(replace(replace(replace(replace(replace(coalesce(html, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS as_html, sha256(replace(replace(concat_ws('|', url, html), '|', '\\|'), chr(10), ' ')) AS as_cell FROM pages")
+add("a20_markdown", lambda m: sinks.markdown_lines(m.activity.filter("tool_name = 'view'").select("id", "tool_name", "model")), "SELECT '| id | tool_name | model |' AS value UNION ALL SELECT '|---|---|---|' UNION ALL SELECT '| ' || id || ' | ' || tool_name || ' | ' || coalesce(model, '') || ' |' FROM activity WHERE tool_name = 'view'")
 add("s25_git_status", lambda m: m.documents.select("doc_id", paths.git_status(F.expr("substring('ADRMCT?R100', cast(doc_id % 8 as int) + 1, 4)")).alias("status")), "SELECT doc_id, CASE substr('ADRMCT?R', CAST(doc_id % 8 AS INT) + 1, 1) WHEN 'A' THEN 'added' WHEN '?' THEN 'added' WHEN 'D' THEN 'deleted' WHEN 'R' THEN 'renamed' ELSE 'modified' END AS status FROM documents")
 add("s27_total_tokens", lambda m: m.activity.select("id", telemetry.total_tokens(F.col("explicit_tokens"), F.col("input_tokens"), F.col("output_tokens")).alias("total")), "SELECT id, total_tokens AS total FROM activity")
 add("g9_unassigned_files", lambda m: prefix.longest_prefix_join(m.files, m.prefixes, keep_unmatched=True), "SELECT f.path, o.block_id FROM (SELECT DISTINCT file_path AS path FROM symbols) f LEFT JOIN owner o ON o.path = f.path", _OWNER)

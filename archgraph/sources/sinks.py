@@ -8,18 +8,32 @@ import tempfile
 
 import yaml
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from archgraph.functions.text import escape_cell
 
 
 def export(activity: DataFrame, path: str, form: str) -> None:
-    """Activity as json or csv files, quoted where a value holds a comma, quote or line break."""
+    """Activity as json, csv or Markdown files, csv quoted where a value holds a comma, quote or line break."""
     if form == "json":
         activity.write.mode("overwrite").json(path)
     elif form == "csv":
         activity.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    elif form == "markdown":
+        markdown_lines(activity).write.mode("overwrite").text(path)
     else:
         raise ValueError(form)
 
 
+def markdown_lines(rows: DataFrame) -> DataFrame:
+    """(value) the lines of a Markdown table of all rows, head first; partitions stand in order and none is brought to the driver."""
+    head = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
+    cells = F.array_join(F.array(*(escape_cell(F.col(f"`{c}`")) for c in rows.columns)), " | ")
+    lines = rows.select(F.concat(F.lit("| "), cells, F.lit(" |")).alias("value"), (F.monotonically_increasing_id() + len(head)).alias("at"))
+    top = rows.sparkSession.createDataFrame([(x, i) for i, x in enumerate(head)], "value string, at long")
+    return top.unionByName(lines).orderBy("at").select("value")
+
+
 def markdown_table(rows: DataFrame, limit: int | None = None) -> str:
     """All rows, or the first ``limit``, as a Markdown table; bars and line breaks in cells are escaped."""
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")

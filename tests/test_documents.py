@@ -71,3 +71,12 @@ def test_missing_runs_leave_the_status(spark):
     s = spark.createDataFrame([("A", "untested"), ("B", "passing"), ("C", "passing")], "id string, status string")
     r = spark.createDataFrame([("A", "passed"), ("B", "missing"), ("C", "passed"), ("C", "error")], "scenario_id string, outcome string")
     assert {x["id"]: x["status"] for x in review.verified(s, r).collect()} == {"A": "passing", "B": "passing", "C": "failing"}
+
+
+def test_markdown_lines_keep_their_order(spark, tmp_path):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else f"a|b\n{i}") for i in range(50)], "id int, `x y` string").repartition(4).sortWithinPartitions("id")
+    lines = [r["value"] for r in sinks.markdown_lines(df).collect()]
+    assert lines[:2] == ["| id | x y |", "|---|---|"] and sorted(lines[2:]) == sorted(f"| {i} | " + ("" if i % 5 == 0 else f"a\\|b {i}") + " |" for i in range(50))
+    sinks.export(df, f"{tmp_path}/md", "markdown")
+    assert spark.read.text(f"{tmp_path}/md").count() == 52
+    assert [r["value"] for r in sinks.markdown_lines(df.limit(0)).collect()] == ["| id | x y |", "|---|---|"]
