@@ -36,7 +36,7 @@ def activity_by(activity: DataFrame, column: str) -> DataFrame:
 
 
 def collect(blocks: DataFrame, findings: DataFrame, scenarios: DataFrame, phases: DataFrame, tasks: DataFrame, activity: DataFrame, now: Column) -> dict[str, DataFrame]:
-    """The sections by name, in order; :func:`archgraph.sources.sinks.html_report` draws them. Sections of no rows are empty, totals are one row."""
+    """The sections by name, in order; :func:`archgraph.sources.sinks.html_lines` draws them. Sections of no rows are empty, totals are one row."""
     failing = scenarios.filter("priority = 'must' and status = 'failing'").select("id").orderBy("id")
     return {
         "Blocks by age": delivery.staleness(blocks, now),

@@ -1,95 +1,16 @@
-"""Declared architecture from YAML, Markdown and manifests (A7-A11, A24, A26, S28). Small files, read on the driver."""
+"""Packages of manifests and the output of an external analyser."""
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Iterable
 from typing import NamedTuple
 
-import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archgraph.functions.types import unwrapped
 from archgraph.sources.extract import SYMBOL
 
-BLOCK = "id string, name string, level int, parent_id string, responsibility string, code_paths array<string>, interfaces array<string>, service string"
-SCENARIO = "id string, name string, category string, priority string, verification string, status string, linked_code array<string>, linked_tests array<string>, linked_blocks array<string>"
-PHASE = "id string, name string, phase_number int, status string, description string"
-TASK = "id string, phase_id string, title string, status string, block_id string, scenarios array<string>, criteria array<string>"
-DECISION = "decision_id string, title string, status string, date string, text string, affected_blocks array<string>, affected_files array<string>"
-_ID = {"block": r"[a-z0-9]+(-[a-z0-9]+)*", "scenario": r"[A-Z0-9]+-\d+", "decision": r"\d{3}-[a-z0-9-]+"}
-
-
-class Rejected(ValueError):
-    """A document that does not hold what it should."""
-
-
-def front_matter(text: str) -> tuple[dict, str]:
-    """(fields, body) of Markdown; no fields without a block between two lines of three hyphens at the start."""
-    m = re.match(r"---\r?\n(.*?)\r?\n---\r?\n?(.*)", text, re.S)
-    fields = yaml.safe_load(m[1]) if m else None
-    return (fields if isinstance(fields, dict) else {}), (m[2] if m else text)
-
-
-def _listed(text: str, name: str) -> list[dict]:
-    data = yaml.safe_load(text) or {}
-    rows = data.get(name, []) if isinstance(data, dict) else None
-    if not isinstance(rows, list) or not all(isinstance(r, dict) for r in rows):
-        raise Rejected(f"no list of {name}")
-    return rows
-
-
-def _known(kind: str, value) -> str:
-    if not isinstance(value, str) or not re.fullmatch(_ID[kind], value):
-        raise Rejected(f"bad {kind} id {value!r}")
-    return value
-
-
-def blocks(spark: SparkSession, text: str) -> DataFrame:
-    """Building blocks of level 1 to 3 with kebab-case ids."""
-    rows = []
-    for b in _listed(text, "blocks"):
-        if b.get("level", 1) not in (1, 2, 3):
-            raise Rejected(f"level of {b.get('id')}")
-        rows.append((_known("block", b.get("id")), b.get("name"), b.get("level", 1), b.get("parent_id"), b.get("responsibility"), b.get("code_paths") or [], b.get("interfaces") or [], b.get("service", "main")))
-    return spark.createDataFrame(rows, BLOCK)
-
-
-def scenarios(spark: SparkSession, text: str) -> DataFrame:
-    """Quality scenarios; categories of any kebab-case name stay."""
-    rows = [(_known("scenario", s.get("id")), s.get("name"), s.get("category"), s.get("priority", "should"), s.get("verification", "manual"), s.get("status", "untested"), s.get("linked_code") or [], s.get("linked_tests") or [], s.get("linked_blocks") or []) for s in _listed(text, "scenarios")]
-    return spark.createDataFrame(rows, SCENARIO)
-
-
-def plan(spark: SparkSession, phases: str, tasks: Iterable[str]) -> tuple[DataFrame, DataFrame, list[str]]:
-    """A10: (phases, tasks, warnings): a bad phases file raises, a bad task file is a warning."""
-    p = [(x.get("id"), x.get("name"), x.get("phase_number"), x.get("status", "planned"), x.get("description")) for x in _listed(phases, "phases")]
-    t, warnings = [], []
-    for text in tasks:
-        try:
-            phase = (yaml.safe_load(text) or {}).get("phase_id")
-            t += [(x["id"], phase, x.get("title"), x.get("status", "todo"), x.get("building_block"), x.get("quality_scenarios") or [], x.get("acceptance_criteria") or []) for x in _listed(text, "tasks")]
-        except (yaml.YAMLError, Rejected, KeyError, AttributeError) as e:
-            warnings.append(f"task file: {e}")
-    return spark.createDataFrame(p, PHASE), spark.createDataFrame(t, TASK), warnings
-
-
-def decisions(spark: SparkSession, texts: Iterable[str]) -> DataFrame:
-    """Decision records; the body is their text."""
-    rows = []
-    for text in texts:
-        f, body = front_matter(text)
-        rows.append((_known("decision", f.get("id")), f.get("title"), f.get("status", "proposed"), str(f.get("date") or ""), body.strip(), f.get("affected_blocks") or [], f.get("affected_files") or []))
-    return spark.createDataFrame(rows, DECISION)
-
-
-def role(text: str) -> dict:
-    """A role with a kebab-case id, its focus and the body as instructions."""
-    f, body = front_matter(text)
-    return f | {"role_id": _known("block", f.get("role_id")), "instructions": body.strip()}
-
 
 def packages(files: DataFrame, service: str = "main") -> DataFrame:
     """(name, version, source, service) of package.json and .csproj in files(path, content), by built-in functions."""
@@ -101,11 +22,6 @@ def packages(files: DataFrame, service: str = "main") -> DataFrame:
     return one("j.dependencies", "npm").unionByName(one("j.devDependencies", "npm-dev")).unionByName(cs.filter("name <> ''")).withColumn("service", F.lit(service)).distinct()
 
 
-def blocks_yaml(rows: Iterable[dict]) -> str:
-    """A proposal as a blocks document."""
-    return yaml.safe_dump({"schema_version": 1, "blocks": list(rows)}, sort_keys=False, allow_unicode=True)
-
-
 class Analysis(NamedTuple):
     symbols: DataFrame
     edges: DataFrame

@@ -1,16 +1,14 @@
-"""Reports and exports (A20-A22, S26). Files of rows are written by Spark; documents are made on the driver from aggregates."""
+"""Reports and exports (A20, A21, S26): rows and the lines of documents, all written by Spark."""
 
 from __future__ import annotations
 
 import html
-import os
-import tempfile
 
-import yaml
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from archgraph.functions.text import escape_cell
+from archgraph.functions.text import escape_cell, escape_html
 
 
 def export(activity: DataFrame, path: str, form: str) -> None:
@@ -34,37 +32,30 @@ def markdown_lines(rows: DataFrame) -> DataFrame:
     return top.unionByName(lines).orderBy("at").select("value")
 
 
-def markdown_table(rows: DataFrame, limit: int | None = None) -> str:
-    """All rows, or the first ``limit``, as a Markdown table; bars and line breaks in cells are escaped."""
-    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
-    lines = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
-    return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in (rows if limit is None else rows.limit(limit)).collect()]) + "\n"
+def html_lines(title: str, sections: dict[str, DataFrame]) -> DataFrame:
+    """(value) the lines of a self-contained page, a table for each section, in the order of its rows.
 
-
-def html_report(title: str, sections: dict[str, DataFrame], limit: int | None = None) -> str:
-    """A self-contained page; each section's last column is drawn as a bar, relative to the section's largest."""
+    A last column of numbers is drawn as a bar too, relative to the section's largest; null and
+    negative numbers have an empty one. Everything is escaped. A section without rows keeps its
+    head. No row is brought to the driver.
+    """
+    spark = next(iter(sections.values())).sparkSession if sections else SparkSession.active()
+    safe = lambda x: html.escape(str(x))
+    fixed = [(0, -1, f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{safe(title)}</title></head><body><h1>{safe(title)}</h1>')]
     parts = []
-    for name, df in sections.items():
-        rows = (df if limit is None else df.limit(limit)).collect()
-        numbers = [r[-1] for r in rows if isinstance(r[-1], (int, float))]
-        top = max(numbers, default=0) or 1
-        body = "".join("<tr>" + "".join(f"<td>{html.escape('' if v is None else str(v))}</td>" for v in r) + (f'<td><div style="background:#48c;height:1em;width:{100 * max(0, r[-1]) / top:.0f}px"></div></td>' if isinstance(r[-1], (int, float)) else "<td></td>") + "</tr>" for r in rows)
-        head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
-        parts.append(f"<h2>{html.escape(name)}</h2><table><tr>{head}<th></th></tr>{body}</table>")
-    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{"".join(parts)}</body></html>'
-
-
-def write_back(path: str, items: str, item_id: str, **fields) -> None:
-    """Set fields of one item of a list in a YAML file; the file is replaced as a whole or not at all."""
-    with open(path, encoding="utf-8") as f:
-        data = yaml.safe_load(f)
-    for item in data[items]:
-        if item.get("id") == item_id:
-            item.update(fields)
-            break
-    else:
-        raise KeyError(item_id)
-    fd, new = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)))
-    with os.fdopen(fd, "w", encoding="utf-8") as f:
-        yaml.safe_dump(data, f, sort_keys=False, allow_unicode=True)
-    os.replace(new, path)
+    for i, (name, df) in enumerate(sections.items(), 1):
+        fixed.append((i, -1, f"<h2>{safe(name)}</h2><table><tr>" + "".join(f"<th>{safe(c)}</th>" for c in df.columns) + "<th></th></tr>"))
+        fixed.append((i, (1 << 63) - 1, "</table>"))
+        cells = [F.concat(F.lit("<td>"), escape_html(F.col(f"`{c}`")), F.lit("</td>")) for c in df.columns]
+        bar = F.lit("<td></td>")
+        if isinstance(df.schema[-1].dataType, NumericType):
+            last = F.col(f"`{df.columns[-1]}`").cast("double")
+            top = df.agg(F.max(F.greatest(last, F.lit(0.0)))).scalar()
+            width = F.coalesce(F.round(F.lit(100.0) * F.greatest(last, F.lit(0.0)) / F.nullif(top, F.lit(0.0))), F.lit(0.0)).cast("int")
+            bar = F.when(last.isNull(), bar).otherwise(F.concat(F.lit('<td><div style="background:#48c;height:1em;width:'), width, F.lit('px"></div></td>')))
+        line = F.concat(F.lit("<tr>"), *cells, bar, F.lit("</tr>"))
+        parts.append(df.select(F.lit(i).alias("part"), F.monotonically_increasing_id().alias("at"), line.alias("value")))
+    out = spark.createDataFrame([*fixed, (len(sections) + 1, 0, "</body></html>")], "part int, at long, value string")
+    for part in parts:
+        out = out.unionByName(part)
+    return out.orderBy("part", "at").select("value")
