@@ -19,7 +19,7 @@ from archgraph.operators import changes, containment, delivery, drift, graph, in
 from archgraph.plans import state
 from archgraph.plans.model import Model, sql
 from archgraph.shared import settle, shared_dir
-from archgraph.sources import documents, edges, extract, sinks
+from archgraph.sources import declared, documents, edges, extract, sinks
 from archgraph.streaming import activity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -529,3 +529,59 @@ add("b19_python_routes", _routes("python"), _of_part(_ROUTED, "/p@k/{id}|GET|tru
 add("b20_go_routes", _routes("go"), _of_part(_ROUTED, "/g@k/x|GET|false|-"))
 add("b21_api_calls", lambda m: extract.calls(_files(m, "typescript")), _of_part("url method file_path line expected_type", "/u@k/x|GET|src/m@k.tsx|9|Dto@k"))
 add("a7_packages", lambda m: documents.packages(_files(m, "package", "project")), _of_part("name version source service", "lib@k|1|npm|main", "dev@k|@s|npm-dev|main", "Nu@k|@s|nuget|main"))
+
+
+# A: declared documents; files of some twenty items each are written out of table rows and read by the loaders
+def _yaml(rows: DataFrame, path: str, item: str, head: str = "''", tail: str = "''") -> DataFrame:
+    """files(path, content) of YAML lists; all arguments are SQL over ``rows``, head and tail the same for all rows of a path."""
+    lists = rows.select(F.expr(path).alias("path"), F.expr(item).alias("item"), F.expr(head).alias("head"), F.expr(tail).alias("tail")).groupBy("path", "head", "tail").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    return lists.select("path", F.concat("head", F.array_join("items", "\n"), "tail").alias("content"))
+
+
+def _block_files(m: Model) -> DataFrame:
+    item = """concat('- id: ', if(c_custkey % 7 = 0, 'C_', 'c-'), c_custkey, "\n  name: '", c_name, "'\n  level: ", 1 + c_custkey % 4,
+              if(c_custkey % 2 = 1, concat("\n  code_paths:\n  - 'src/", lower(c_mktsegment), "/**'\n  - lib/", c_custkey), ''), if(c_custkey % 3 = 0, "\n  service: svc", ''))"""
+    return _yaml(m.customer, "concat('arch/', c_custkey div 20, '.yaml')", item, r"'# what there is\nschema_version: 1\nblocks:\n'", r"if((c_custkey div 20) % 10 = 3, '\n  open: [', '')")
+
+
+def _rejected(got: declared.Loaded) -> DataFrame:
+    return got.rejected.select("path", "id", "reason")
+
+
+_AT = "'arch/' || (c_custkey // 20) || '.yaml' AS path"
+add("a8_blocks", lambda m: declared.blocks(_block_files(m)).rows.select("path", "id", "name", "level", F.array_join("code_paths", "|").alias("code_paths"), "service"), f"SELECT {_AT}, 'c-' || c_custkey AS id, c_name AS name, CAST(1 + c_custkey % 4 AS INT) AS level, CASE WHEN c_custkey % 2 = 1 THEN 'src/' || lower(c_mktsegment) || '/**|lib/' || c_custkey ELSE '' END AS code_paths, CASE WHEN c_custkey % 3 = 0 THEN 'svc' ELSE 'main' END AS service FROM customer WHERE (c_custkey // 20) % 10 <> 3 AND c_custkey % 7 <> 0 AND c_custkey % 4 <> 3")
+add("a8_rejected", lambda m: _rejected(declared.blocks(_block_files(m))), f"SELECT {_AT}, CASE WHEN c_custkey % 7 = 0 THEN 'C_' ELSE 'c-' END || c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'bad block id' ELSE 'bad level' END AS reason FROM customer WHERE (c_custkey // 20) % 10 <> 3 AND (c_custkey % 7 = 0 OR c_custkey % 4 = 3) UNION ALL SELECT DISTINCT {_AT}, CAST(NULL AS VARCHAR), 'not readable' FROM customer WHERE (c_custkey // 20) % 10 = 3")
+
+
+def _scenario_files(m: Model) -> DataFrame:
+    item = """concat(if(p_partkey % 6 = 0, '- id: qs-', '- id: QS-'), p_partkey, "\n  name: '", p_name, "'\n  category: ", lower(p_type), if(p_size % 2 = 0, "\n  priority: must", ''), if(p_size % 3 = 0, concat("\n  linked_code: ['", p_brand, "', b]"), ''))"""
+    return _yaml(m.part, "concat('quality/', p_partkey div 25, '.yaml')", item, r"'scenarios:\n'")
+
+
+add("a9_scenarios", lambda m: declared.scenarios(_scenario_files(m)).rows.select("id", "name", "category", "priority", "verification", "status", F.array_join("linked_code", "|").alias("linked_code")), "SELECT 'QS-' || p_partkey AS id, p_name AS name, lower(p_type) AS category, CASE WHEN p_size % 2 = 0 THEN 'must' ELSE 'should' END AS priority, 'manual' AS verification, 'untested' AS status, CASE WHEN p_size % 3 = 0 THEN p_brand || '|b' ELSE '' END AS linked_code FROM part WHERE p_partkey % 6 <> 0")
+
+
+def _task_files(m: Model) -> DataFrame:
+    item = """concat('- id: task-', o_orderkey, "\n  title: '", o_orderpriority, "'", if(o_orderstatus = 'F', "\n  status: done", ''), if(o_custkey % 2 = 0, concat("\n  building_block: b-", o_custkey % 8), ''))"""
+    return _yaml(m.orders, "concat('tasks/', o_orderkey div 30, '.yaml')", item, r"concat('phase_id: phase-', (o_orderkey div 30) % 5, if((o_orderkey div 30) % 9 = 4, '\ntasks: none\nrest:\n', '\ntasks:\n'))")
+
+
+add("a10_phases", lambda m: declared.phases(_yaml(m.nation, "concat('phases/', n_regionkey, '.yaml')", """concat('- id: phase-', n_nationkey, "\n  name: '", n_name, "'\n  phase_number: ", n_nationkey, if(n_nationkey % 2 = 0, "\n  status: complete", ''))""", r"'phases:\n'")).select("id", "name", "phase_number", "status"), "SELECT 'phase-' || n_nationkey AS id, n_name AS name, n_nationkey AS phase_number, CASE WHEN n_nationkey % 2 = 0 THEN 'complete' ELSE 'planned' END AS status FROM nation")
+add("a10_tasks", lambda m: declared.tasks(_task_files(m)).rows.select("id", "phase_id", "title", "status", "block_id"), "SELECT 'task-' || o_orderkey AS id, 'phase-' || ((o_orderkey // 30) % 5) AS phase_id, o_orderpriority AS title, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'todo' END AS status, CASE WHEN o_custkey % 2 = 0 THEN 'b-' || (o_custkey % 8) END AS block_id FROM orders WHERE (o_orderkey // 30) % 9 <> 4")
+add("a10_warnings", lambda m: _rejected(declared.tasks(_task_files(m))), "SELECT DISTINCT 'tasks/' || (o_orderkey // 30) || '.yaml' AS path, CAST(NULL AS VARCHAR) AS id, 'no list of tasks' AS reason FROM orders WHERE (o_orderkey // 30) % 9 = 4")
+add("a22_status_writeback", lambda m: declared.tasks(declared.with_statuses(_task_files(m), m.orders.filter("o_custkey % 3 = 0").select(F.concat(F.lit("task-"), "o_orderkey").alias("id"), F.lit("blocked").alias("status")), "tasks")).rows.select("path", "id", "phase_id", "title", "status"), "SELECT 'tasks/' || (o_orderkey // 30) || '.yaml' AS path, 'task-' || o_orderkey AS id, 'phase-' || ((o_orderkey // 30) % 5) AS phase_id, o_orderpriority AS title, CASE WHEN o_custkey % 3 = 0 THEN 'blocked' WHEN o_orderstatus = 'F' THEN 'done' ELSE 'todo' END AS status FROM orders WHERE (o_orderkey // 30) % 9 <> 4")
+
+
+def _decision_files(m: Model) -> DataFrame:
+    fields = r"""concat('---\nid: ', lpad(doc_id % 1000, 3, '0'), '-doc-', doc_id, "\ntitle: 'Of ", coalesce(replace(source, "'", "''"), ''), if(doc_id % 2 = 0, "'\naffected_files: [a/x.ts, 'b c/y.ts']\n---\n\n", "'\n---\n"), coalesce(text, ''), ' \n')"""
+    return m.documents.select(F.expr("concat('adr/', doc_id, '.md')").alias("path"), F.expr(f"if(doc_id % 20 = 0, coalesce(text, ''), {fields})").alias("content"))
+
+
+_TRIMMED = "sha256(trim(coalesce(text, ''), chr(32) || chr(9) || chr(13) || chr(10)))"
+add("a11_decisions", lambda m: declared.decisions(_decision_files(m)).rows.select("path", "decision_id", "title", "status", F.sha2("text", 256).alias("body"), F.array_join("affected_files", "|").alias("files")), f"SELECT 'adr/' || doc_id || '.md' AS path, lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || '-doc-' || doc_id AS decision_id, 'Of ' || coalesce(source, '') AS title, 'proposed' AS status, {_TRIMMED} AS body, CASE WHEN doc_id % 2 = 0 THEN 'a/x.ts|b c/y.ts' ELSE '' END AS files FROM documents WHERE doc_id % 20 <> 0")
+add("s28_front_matter", lambda m: _decision_files(m).withColumn("m", declared.front_matter(F.col("content"))).select("path", F.substring_index("m.fields", "\n", 1).alias("first"), F.sha2("m.body", 256).alias("body")), "SELECT 'adr/' || doc_id || '.md' AS path, CASE WHEN doc_id % 20 <> 0 THEN 'id: ' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || '-doc-' || doc_id END AS first, sha256(CASE WHEN doc_id % 20 = 0 THEN coalesce(text, '') ELSE CASE WHEN doc_id % 2 = 0 THEN chr(10) ELSE '' END || coalesce(text, '') || ' ' || chr(10) END) AS body FROM documents")
+add("a24_proposal_files", lambda m: declared.blocks(declared.blocks_files(m.blocks.selectExpr("concat(coalesce(parent_id, 'root'), '.yaml') as path", "id", "level", "parent_id"))).rows.select("path", "id", "level", "parent_id", "service"), "SELECT coalesce(parent_id, 'root') || '.yaml' AS path, id, level, parent_id, 'main' AS service FROM blocks")
+add("a26_roles", lambda m: declared.roles(m.supplier.selectExpr("concat('roles/', s_suppkey, '.md') as path", r"""concat('---\nrole_id: ', if(s_suppkey % 9 = 0, 'Role ', 'role-'), s_suppkey, "\nname: '", s_name, "'", if(s_suppkey % 2 = 0, '\nfocus: [security, cost]', ''), '\n---\n\nKeep to ', s_nationkey, '.\n') as content""")).rows.select("role_id", "name", F.array_join("focus", "|").alias("focus"), "instructions"), "SELECT 'role-' || s_suppkey AS role_id, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'security|cost' ELSE '' END AS focus, 'Keep to ' || s_nationkey || '.' AS instructions FROM supplier WHERE s_suppkey % 9 <> 0")
+_BAR = """'<td><div style="background:#48c;height:1em;width:' || CAST(round(100.0 * n / max(n) OVER ()) AS INT) || 'px"></div></td></tr>'"""
+add("a21_report_lines", lambda m: sinks.html_lines("Use & cost", {"By tool": m.activity.groupBy("tool_name").agg(F.count("*").alias("n")).orderBy("tool_name")}), f"""SELECT '<tr><td>' || tool_name || '</td><td>' || n || '</td>' || {_BAR} AS value FROM (SELECT tool_name, count(*) AS n FROM activity GROUP BY tool_name)
+    UNION ALL SELECT '<!DOCTYPE html><html><head><meta charset="utf-8"><title>Use &amp; cost</title></head><body><h1>Use &amp; cost</h1>' UNION ALL SELECT '<h2>By tool</h2><table><tr><th>tool_name</th><th>n</th><th></th></tr>' UNION ALL SELECT '</table>' UNION ALL SELECT '</body></html>'""")
