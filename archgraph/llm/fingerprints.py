@@ -9,6 +9,7 @@ bits: of two fingerprints that differ in r bits one block at least is equal.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -124,16 +125,51 @@ def near_counts(fps: DataFrame, radius: int = 3) -> DataFrame:
     return cells.mapInArrow(count, "fp long, n_near long").groupBy("fp").agg(F.sum("n_near").alias("n_near"))
 
 
-def _bucket(x: Column, bounds: list) -> Column:
-    """Number of bounds above x, by a balanced tree of comparisons; a null is below all."""
+def _bucket(before: list[Column]) -> Column:
+    """Number of bounds that stand before a row, by a balanced tree; ``before`` tells of each bound, in order, whether the row is before it."""
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(x >= F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return F.when(before[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return tree(0, len(bounds))
+    return tree(0, len(before))
+
+
+def _bounds(d: DataFrame, n: int) -> list[Column]:
+    """At most about 4 n bounds of rows d(doc_id, h) with a further hash r, ordered by descending doc_id, h and r, nulls last; each as whether a row is before it.
+
+    An id that holds a share of 1/n or more of the rows, null too, is cut by ranges of h, and rows that
+    agree in id and h, of as large a share, by ranges of r. h and r are hashes, so ranges of equal width serve.
+    """
+    total, nulls = d.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    found = d.select("doc_id").filter("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
+    times = Counter(int(x) for x in found)
+    parts: dict[int | None, int] = {v: m + 1 for v, m in times.items() if m > 1}
+    if n > 1 and nulls * n >= total > 0:
+        parts[None] = -(-nulls * n // total)
+    pairs: dict[int | None, dict[int, int]] = {}
+    if parts:
+        hot = F.col("doc_id").isin([v for v in parts if v is not None]) | (F.col("doc_id").isNull() if None in parts else F.lit(False))
+        for r in d.filter(hot).groupBy("doc_id", "h").count().filter(F.col("count") * n >= total).collect():  # at most n rows
+            pairs.setdefault(r["doc_id"], {})[r["h"]] = -(-r["count"] * n // total)
+    cuts = lambda m: [(1 << 63) - 1 - (i << 64) // m for i in range(1, m)]
+    id_, h, r = F.col("doc_id"), F.col("h"), F.col("r")
+    out: list[Column] = []
+    for v in sorted(times.keys() | parts.keys(), key=lambda v: (v is None, -(v or 0))):
+        first, same = (id_.isNotNull(), id_.isNull()) if v is None else (F.coalesce(id_ > v, F.lit(False)), id_.eqNullSafe(F.lit(v)))
+        if v in parts:
+            out.append(first)
+            inner = [((x, 1), h >= x) for x in cuts(parts[v])]
+            for x, m in pairs.get(v, {}).items():
+                inner.append(((x, 2), h > x))
+                inner += [((x, 1 + (y + (1 << 63) + 1) / (1 << 65)), (h > x) | ((h == x) & (r >= y))) for y in cuts(m)]
+                inner.append(((x, 1), h >= x))
+            out += [first | (same & c) for _, c in sorted(inner, key=lambda i: i[0], reverse=True)]
+        if v is not None:
+            out.append(first | same)
+    return out
 
 
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -141,15 +177,15 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
     Documents stand by descending doc_id, null ids last, ties by a hash of the text, descending;
     after the last comes the first. ``look`` = 1 marks a copy of the first row of the following
-    bucket at a bucket's end. Bounds come from approximate quantiles, so ids may be of any
-    spread; the driver holds one row for each bucket.
+    bucket at a bucket's end; where that row is repeated, its copies come along. doc_id must be a
+    number of whole value. Bounds come from approximate quantiles, so ids may be of any spread, and
+    ids or rows that repeat are parted too (:func:`_bounds`); the driver holds one row for each bucket.
     """
     spark = docs.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    found = docs.select("doc_id").filter("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    bounds = sorted({int(x) for x in found}, reverse=True)
-    d = d.withColumn("b", _bucket(F.col("doc_id"), bounds))
+    bounds = _bounds(d.select("doc_id", "h"), n)
+    d = d.withColumn("r", F.xxhash64(F.monotonically_increasing_id())).withColumn("b", _bucket(bounds)).drop("r")
     # the first row of a bucket: the largest id, a null being less than any
     first = sorted((r["b"], r["f"]) for r in d.groupBy("b").agg(F.max(F.struct("doc_id", "h")).alias("f")).collect())
     if not first:

@@ -24,12 +24,17 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each document its numbers of lines before and after, and the digest of what is left."""
+    """Of each document its numbers of lines before and after, and the digest of what is left.
+
+    A null text has null counts and a null digest; an empty one is of one blank line, which stays. Of a
+    text all of whose lines go no line is left, as none but a blank one could be.
+    """
     from .line_dedup import dedup_lines
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines"))
+    blank = F.col("text").rlike(r"(?:^|\n)\s*(?:\n|$)")  # has a blank line: it stays
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines"), blank.alias("has_blank"))
     out = dedup_lines(docs, similarity=0.8)
-    left = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n")))
+    left = F.when((F.col("text") == "") & ~F.col("has_blank"), 0).otherwise(F.size(F.split("text", "\n")))
     return out.select("doc_id", "n_lines", left.alias("n_left"), F.octet_length("text").alias("bytes_left"), F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from archgraph.llm import fingerprints, line_dedup, mixing, quality, simhash_dedup
+from archgraph.llm import fingerprints, line_dedup, mixing, quality, queries, simhash_dedup
 
 SF = "/root/testdata/sf0.01"
 
@@ -87,6 +88,44 @@ def test_edited_fingerprints(spark):
     assert fingerprints.edited_fingerprints(docs.limit(0)).count() == 0
 
 
+def test_fingerprints_equal_votes_counted_one_by_one(spark):
+    rows = [*corpus()[:40], (7001, "a a a b"), (7002, "b b b a"), (7003, " \n"), (7004, "é" * 90_000 + " x")]
+    got = {r["doc_id"]: r["fp"] for r in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), seed=5).collect()}
+    for i, text in rows:
+        votes = [0] * 64
+        for word in (text or "").split():
+            h = xxhash.xxh64_intdigest(word.encode(), 5)
+            votes = [v + (1 if h >> k & 1 else -1) for k, v in enumerate(votes)]
+        assert got[i] % (1 << 64) == sum(1 << k for k, v in enumerate(votes) if v > 0)
+
+
+def test_ids_and_rows_that_repeat_are_dealt_over_buckets(spark):
+    rows = [(i, f"text {i}") for i in range(300)] + [(150, f"other {i}") for i in range(300)] + [(None, "")] * 200 + [(None, None)] * 100 + [(40, "same")] * 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = fingerprints.with_next(docs, 16).withColumn("pid", F.spark_partition_id()).collect()
+    own = [r for r in got if not r["look"]]
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in own) == sorted((i is None, i or 0, t or "") for i, t in rows)
+    sizes = Counter(r["pid"] for r in own)
+    assert max(sizes.values()) <= 2.5 * len(rows) / 16 and {r["b"] for r in got if r["look"]} == {r["b"] for r in own}
+    seen = [(r["doc_id"], r["text"]) for b in sorted(sizes) for r in got if r["pid"] == b and not r["look"]]
+    place = [(i is None, -(i or 0)) for i, _ in seen]
+    assert place == sorted(place)
+    # after each bucket's last row stands the first one of the next bucket
+    follow = {}
+    for b in sorted(sizes):
+        follow[b] = next((r["doc_id"], r["text"]) for r in got if r["pid"] == b and r["look"])
+    firsts = {b: next((r["doc_id"], r["text"]) for r in got if r["pid"] == b and not r["look"]) for b in sorted(sizes)}
+    order = sorted(sizes)
+    assert [follow[b] for b in order] == [firsts[b] for b in [*order[1:], order[0]]]
+    assert fingerprints.edited_fingerprints(docs).count() == len(rows)
+
+
+def test_query_counts_lines_of_null_and_empty_texts(spark, tmp_path):
+    spark.createDataFrame([(1, None), (2, ""), (3, "A line that is said twice over"), (4, "a line that is said twice over!"), (5, "a line that is said twice over\n"), (None, "\n\n")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_lines"], r["n_left"], r["bytes_left"]) for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (None, None, None), 2: (1, 1, 0), 3: (1, 1, 30), 4: (1, 0, 0), 5: (2, 1, 0), None: (3, 3, 2)}
+
+
 def test_line_dedup(spark):
     long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(600))
     near = long.replace("wordcb ", "")
@@ -273,6 +312,31 @@ def test_a_text_beyond_the_bound_does_not_end_the_sample(spark):
     assert (model.logits != 0).any()
 
 
+def test_scores_equal_features_hashed_one_by_one():
+    model = quality.Model(config := quality.Config(bits=10), np.random.default_rng(3).normal(size=1 << 10))
+    mod, mix, base = 1 << 64, 0x9E3779B97F4A7C15, 0x100000001B3
+
+    def bucket(h):
+        h %= mod
+        return ((h ^ (h >> 29)) * mix % mod) >> (64 - config.bits)
+
+    def score(text):
+        found, before = [], None
+        for word in text.split():
+            a = [c + 1 for c in b"<" + word.encode() + b">"]
+            whole = sum(c * pow(base, k + 1, mod) for k, c in enumerate(a))
+            found.append(bucket(whole))
+            for n in config.grams:
+                found += [bucket(sum(c * pow(base, n - 1 - k, mod) for k, c in enumerate(a[i : i + n])) + n) for i in range(len(a) - n + 1)]
+            if before is not None:
+                found.append(bucket((whole - before) * base + 3))
+            before = whole
+        return 1 / (1 + np.exp(-np.mean(model.logits[found]))) if found else 0.5
+
+    texts = ["", "a", "one two one two two", "é 漢字 x-y " * 7, "  ", "long" * 500 + " tail"]
+    assert quality.Scorer(model)(texts) == pytest.approx([score(t) for t in texts])
+
+
 def test_folded_scores_equal_the_averages():
     model = quality.fit(["good fine text here", "bad bad bad"] * 20, [1, 0] * 20, quality.Config(bits=12, epochs=2, min_steps=80))
     words = "some fine bad text".split()
