@@ -25,6 +25,8 @@ WEIGHTS = (3, 1, 2)
 #: Rows of a group of the reduction tree, about.
 FAN = 2048
 _EPS = 1e-9
+#: Rows that one list of repeated rows is at most expanded to.
+_STEP = 1 << 16
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -96,24 +98,24 @@ def pivot(size: list[int], share: list[float], last: bool, draws: Iterator[float
     return out, held, p
 
 
-def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source, source_size, target, copies, text_hash) of every row of ``docs``.
+def _rounded(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, size, source, source_size, target, text_hash, times, whole, ones, copies): a row for each ``times`` rows that agree.
 
-    ``size`` counts words, 0 for null or empty texts; such rows get the whole copies of their
-    source, but none of the rounding. ``copies`` is at
-    most ceil(cap). Null ids and null sources are values of their own. The draws depend on seed,
-    source and the rows of a group, and groups on hashes of the rows, so that reruns agree
-    whatever the partitioning; repeated rows are interchangeable. An empty table gives no rows.
+    Of these ``ones`` take whole + 1 copies, one takes ``copies`` and the others ``whole``. Equal rows
+    are of equal size, so pairing them with each other leaves floor(times * share) ones and one
+    fraction; that fraction alone is rounded with other rows, and no group holds the repeats.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = settle(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("text_hash")), "sizes")
-    targets = settle(source_targets(rows, share, cap), "targets")  # joined by broadcast only if its files are small
+    rows = settle(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("text_hash")).groupBy("doc_id", "source", "size", "text_hash").agg(F.count("*").alias("times")), "sizes")
+    targets = settle(source_targets(rows.select("source", (F.col("size") * F.col("times")).alias("size")), share, cap), "targets")  # joined by broadcast only if its files are small
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     key = F.xxhash64(F.lit(seed), "doc_id", "text_hash", "size")
+    part = F.when(F.col("size") > 0, due - F.floor(due)).otherwise(0.0)
+    ones = F.least(F.floor(F.col("times") * part), F.col("times") - 1)
     groups = F.greatest(F.ceil(F.col("n") / FAN), F.lit(1))
     level = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).select(
-        "doc_id", rows["source"], "size", "text_hash", "source_size", "target", "n", key.alias("key"), F.floor(due).cast("int").alias("whole"), (due - F.floor(due)).alias("share"), groups.alias("groups"), F.pmod("key", groups).alias("g"))
+        "doc_id", rows["source"], "size", "text_hash", "source_size", "target", "n", key.alias("key"), "times", F.floor(due).cast("int").alias("whole"), ones.alias("ones"), (F.col("times") * part - ones).alias("share"), groups.alias("groups"), F.pmod("key", groups).alias("g"))
     most = targets.agg(F.max(F.ceil(F.col("n") / FAN))).first()[0] or 1
     names = level.columns
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in level.schema) + ", copies int"
@@ -141,7 +143,26 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 0, id
     result = done[0]
     for d in done[1:]:
         result = result.unionByName(d)
-    return result.select(F.col("doc_id").alias(id_col), "size", "source", "source_size", "target", "copies", "text_hash")
+    return result.select("doc_id", "size", "source", "source_size", "target", "text_hash", "times", "whole", "ones", "copies")
+
+
+def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, size, source, source_size, target, copies, text_hash) of every row of ``docs``.
+
+    ``size`` counts words, 0 for null or empty texts; such rows get the whole copies of their
+    source, but none of the rounding. ``copies`` is at
+    most ceil(cap). Null ids and null sources are values of their own. The draws depend on seed,
+    source and the rows of a group, and groups on hashes of the rows, so that reruns agree
+    whatever the partitioning; repeated rows are interchangeable, added up before they are
+    shuffled and told apart at the end. An empty table gives no rows.
+    """
+    r = _rounded(docs, share, cap, seed, id_col, text_col, source_col)
+    runs = F.array(F.struct((F.col("whole") + 1).alias("copies"), F.col("ones").alias("n")), F.struct("copies", F.lit(1).cast("long").alias("n")), F.struct(F.col("whole").alias("copies"), (F.col("times") - F.col("ones") - 1).alias("n")))
+    out = r.withColumn("run", F.explode(F.filter(runs, lambda x: x["n"] > 0)))
+    # in two steps, so that no list is long
+    out = out.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("run.n") - 1) / _STEP))))
+    out = out.withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("run.n") - F.col("i") * _STEP, F.lit(_STEP).cast("long")))))
+    return out.select(F.col("doc_id").alias(id_col), "size", "source", "source_size", "target", F.col("run.copies").alias("copies"), "text_hash")
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
@@ -151,14 +172,15 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     :func:`mix`; the columns must be named doc_id, text and source.
     """
     key = ["_id", "_source", "_hash"]
-    taken = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), "copies")
-    lists = taken.groupBy(*key).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies")).filter(F.col("_copies")[0] > 0)
+    most = F.greatest(F.when(F.col("ones") > 0, F.col("whole") + 1).otherwise(F.col("whole")), "copies")
+    taken = _rounded(docs, **options).filter(most > 0).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), "ones", "whole", "copies")
     names = [f"_c{i}" for i in range(len(docs.columns))]
     d = docs.toDF(*names)  # names that can't clash, whatever the columns of docs are called
     at = {c: F.col(names[docs.columns.index(c)]) for c in ("doc_id", "source", "text")}
     d = d.withColumns({"_id": at["doc_id"], "_source": at["source"], "_hash": F.xxhash64(F.coalesce(at["text"], F.lit("")))})
     d = d.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
-    t = lists.toDF(*[f"{c}_t" for c in lists.columns])
+    t = taken.toDF(*[f"{c}_t" for c in taken.columns])
+    n = F.when(F.col("_k") <= F.col("ones_t"), F.col("whole_t") + 1).when(F.col("_k") == F.col("ones_t") + 1, F.col("copies_t")).otherwise(F.col("whole_t"))
     on = [F.col(c).eqNullSafe(F.col(f"{c}_t")) for c in key]
-    out = d.join(t, on).withColumn("_n", F.col("_copies_t")[F.col("_k") - 1]).filter("_n > 0")
+    out = d.join(t, on).withColumn("_n", n).filter("_n > 0")
     return out.withColumn("_i", F.explode(F.sequence(F.lit(1), "_n"))).select(*names).toDF(*docs.columns)

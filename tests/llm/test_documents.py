@@ -277,6 +277,37 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == mixing.apply_mix(docs.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_are_mixed_as_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_STEP", 64)
+    r = random.Random(8)
+    rows = [(i, r.choice("ab"), " ".join(["w"] * r.randint(1, 9))) for i in range(400)] + [(None, "b", "x y z")] * 301 + [(5, "a", "")] * 70 + [(5, None, "one")] * 3
+    docs = spark.createDataFrame([(i, t, s, n) for n, (i, s, t) in enumerate(rows)], "doc_id long, text string, source string, ones int")
+    got = mixing.mix(docs).collect()
+    assert Counter((g["doc_id"], g["source"], g["size"]) for g in got) == Counter((i, s, len(t.split())) for i, s, t in rows)
+    sizes = Counter()
+    for _, s, t in rows:
+        sizes[s] += len(t.split())
+    for s, target in expected_targets(sizes).items():
+        mine = [g for g in got if g["source"] == s]
+        assert abs(sum(g["copies"] * g["size"] for g in mine) - target) <= 9 and all(0 <= g["copies"] <= 2 for g in mine)
+    same = Counter(g["copies"] for g in got if g["doc_id"] is None)
+    due = expected_targets(sizes)["b"] / sizes["b"]
+    assert abs(sum(c * n for c, n in same.items()) - 301 * due) <= 1 and max(same) - min(same) <= 1
+    assert sorted(map(str, mixing.mix(docs.repartition(5)).collect())) == sorted(map(str, got))
+    out = mixing.apply_mix(docs).collect()
+    assert Counter((x["doc_id"], x["source"], x["text"]) for x in out) == +_taken(rows, got)
+    assert max(Counter(x["ones"] for x in out).values()) <= 2
+
+
+def _taken(rows, got):
+    """Copies of each (id, source, text), by the mix."""
+    text = {(i, s, len(t.split())): t for i, s, t in rows}
+    out = Counter()
+    for g in got:
+        out[g["doc_id"], g["source"], text[g["doc_id"], g["source"], g["size"]]] += g["copies"]
+    return out
+
+
 def test_pivot_keeps_chances():
     n = np.zeros(4)
     for k in range(3000):
