@@ -1,6 +1,6 @@
 """Relations take all rows of their tables."""
 
-from archgraph.plans.model import Model
+from archgraph.plans.model import RELATIONS, Model
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,3 +14,16 @@ def test_relations_take_every_row(spark):
     assert m.task_refs.count() == m.lineitem.filter(m.lineitem["l_partkey"].isin(keys)).count()
     assert m.fields_used.count() == m.customer.count()
     assert m.fields_given.count() == m.customer.count()
+
+
+def test_given_fields_meet_by_equality(spark):
+    m = Model(spark, SF)
+    assert "NestedLoopJoin" not in m.fields_given._jdf.queryExecution().executedPlan().toString()
+    text = spark.sql(RELATIONS["fields_given"], supplier=m.supplier, customer=m.customer)
+    assert sorted(map(tuple, m.fields_given.collect())) == sorted(map(tuple, text.collect()))
+
+
+def test_given_fields_without_suppliers(spark):
+    m = Model(spark, SF)
+    m._held["supplier"] = m.supplier.limit(0)
+    assert m.fields_given.count() == 0
