@@ -193,3 +193,11 @@ def test_phase_completion_needs_an_open_gate(spark):
     done = delivery.complete_phase(p, gates, "a", F.lit("now"))
     assert sorted(map(tuple, done.collect())) == [("a", 1, "complete", None, "now"), ("b", 2, "in-progress", "now", None), ("c", 3, "planned", None, None)]
     assert sorted(map(tuple, delivery.complete_phase(p, gates, "b", F.lit("now")).collect())) == sorted(map(tuple, p.collect()))
+
+
+def test_contract_fields_compares_each_field_once(spark):
+    hits = spark.createDataFrame([(f"c{i}", "svc", "given", "wanted") for i in range(3)], "call_id string, service string, dto string, expected string")
+    used = spark.createDataFrame([("wanted", "Name", "string", False)] * 5, "dto string, field string, type string, optional boolean")
+    shown = spark.createDataFrame([("given", "name", "int")] * 7 + [("given", "name", "Guid")], "dto string, field string, type string")
+    got = routes.contract_fields(hits, used, shown)
+    assert sorted(map(tuple, got.collect())) == [(f"c{i}", "given", "Name", "casing") for i in range(3)]
