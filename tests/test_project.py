@@ -202,3 +202,25 @@ def test_token_count(spark):
     df = spark.createDataFrame([("a b c",), ("",), (None,)], "t string")
     got = [r[0] for r in df.select(tokens.token_count(F.col("t"), public.path("byte_bpe_50k.json"))).collect()]
     assert got[0] >= 3 and got[1:] == [0, None]
+
+
+def test_symbols_and_edges_come_from_many_tasks_and_one_parse(spark):
+    from archgraph.plans import queries
+    from archgraph.plans.model import Model
+    from archgraph.sources import edges, extract
+
+    m = Model(spark, "/root/testdata/sf0.001")
+    assert queries._files(m, "go").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    got = edges.edges(edges.references(f := queries._files(m, "go"), "go"), extract.symbols(f, "go"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "BroadcastHashJoin" not in plan
+    assert got.count() == 4 * m.part.count()
+
+
+def test_rows_of_a_batch_come_out_in_parts(spark, monkeypatch):
+    from archgraph.sources import extract
+
+    monkeypatch.setattr(extract, "FILES", 3)
+    files = spark.createDataFrame([(f"{i}", "x" if i % 4 else None) for i in range(10)], "path string, content string").coalesce(1)
+    got = extract.each(files, lambda p, c: [(p, c)] * 2, "a string, b string")
+    assert sorted(r["a"] for r in got.collect()) == sorted(2 * [str(i) for i in range(10) if i % 4])

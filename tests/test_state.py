@@ -148,3 +148,13 @@ def test_contract_fields_compare_each_pair_of_types_by_itself(spark):
     used = spark.createDataFrame([("A", "id", "string", False), ("B", "Name", "string", False), ("B", "extra", "number", True)], "dto string, field string, type string, optional boolean")
     given = spark.createDataFrame([("Out", "id", "int"), ("Out", "name", "Guid")], "dto string, field string, type string")
     assert rows(routes.contract_fields(hits, used, given)) == [("c1", "Out", "id", "type"), ("c2", "Out", "Name", "casing")]
+
+
+def test_only_hot_names_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(changes, "HOT", 100)
+    symbols = spark.range(300).selectExpr("cast(id as string) as id", "if(id % 3 = 0, 'get', concat('f', id)) as name", "'p' as file_path", "cast(null as string) as scope")
+    refs = spark.range(400).selectExpr("id as ref_id", "if(id % 2 = 0, 'get', concat('f', id)) as name", "'q' as file_path", "cast(null as string) as scope")
+    tiers = changes.resolve_tiers(refs, symbols)
+    assert {(r["name"], r["n"]) for r in tiers.collect()} == {("get", 100)} | {(f"f{i}", 1) for i in range(1, 300, 2) if i % 3}
+    assert tiers.count() == 200 + sum(1 for i in range(1, 300, 2) if i % 3)
+    assert "SortMergeJoin" in changes.resolve_tiers(refs, symbols)._jdf.queryExecution().executedPlan().toString()
