@@ -111,3 +111,14 @@ def test_markdown_lines_keep_their_order(spark, tmp_path):
     sinks.export(df, f"{tmp_path}/md", "markdown")
     assert spark.read.text(f"{tmp_path}/md").count() == 52
     assert [r["value"] for r in sinks.markdown_lines(df.limit(0)).collect()] == ["| id | x y |", "|---|---|"]
+
+
+def test_each_file_is_read_once_for_rows_and_quarantine(spark, monkeypatch):
+    monkeypatch.setattr(declared, "FILES", 2)
+    texts = ["phase_id: p\ntasks:\n- id: a\n- id: 7\n- {}\n", "tasks: none", "tasks: [", "", None, "- x", "tasks: []"]
+    files = spark.createDataFrame([(f"f{i}", t) for i, t in enumerate(texts)], "path string, content string").coalesce(1)
+    got = declared.tasks(files)
+    assert [(r["path"], r["id"], r["phase_id"]) for r in got.rows.collect()] == [("f0", "a", "p")]
+    want = [("f0", "7", "bad any id"), ("f0", None, "bad any id"), ("f1", None, "no list of tasks"), ("f2", None, "not readable"), ("f5", None, "no mapping")]
+    assert sorted(map(tuple, got.rejected.collect()), key=str) == sorted(want, key=str)
+    assert got.rejected._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
