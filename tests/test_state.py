@@ -158,3 +158,12 @@ def test_only_hot_names_are_salted(spark, monkeypatch):
     assert {(r["name"], r["n"]) for r in tiers.collect()} == {("get", 100)} | {(f"f{i}", 1) for i in range(1, 300, 2) if i % 3}
     assert tiers.count() == 200 + sum(1 for i in range(1, 300, 2) if i % 3)
     assert "SortMergeJoin" in changes.resolve_tiers(refs, symbols)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_id_is_broadcast_when_a_scope_goes(spark):
+    symbols = spark.createDataFrame([(f"s{i}", f"f{i % 3}", "svc", "go") for i in range(9)], "id string, file_path string, service string, language string")
+    edges = spark.createDataFrame([(f"s{i}", f"s{(i + 1) % 9}", "calls") for i in range(9)], "source string, target string, kind string")
+    kept, e = changes.delete_scope(symbols, edges, symbols.filter("file_path = 'f1'").select("file_path", "service", "language").distinct())
+    assert "BroadcastHashJoin [id" not in (plan := kept._jdf.queryExecution().executedPlan().toString()) and "SortMergeJoin [id" in plan
+    assert e._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") >= 2
+    assert rows(e.select("source", "target", "kind")) == [("s2", "s3", "calls"), ("s5", "s6", "calls"), ("s8", "s0", "calls")]
