@@ -27,3 +27,11 @@ def test_given_fields_without_suppliers(spark):
     m = Model(spark, SF)
     m._held["supplier"] = m.supplier.limit(0)
     assert m.fields_given.count() == 0
+
+
+def test_edges_are_dealt_out_before_repeats_go(spark):
+    m = Model(spark, SF)
+    plan = m.edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and plan.index("Aggregate") < plan.index("RepartitionByExpression")
+    text = spark.sql(RELATIONS["edges"], lineitem=m.lineitem, symbols=m.symbols)
+    assert m.edges.count() == text.count() and m.edges.exceptAll(text).isEmpty()
