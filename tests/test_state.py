@@ -105,6 +105,26 @@ def test_changed_files_as_a_stream_with_restarts(spark, tmp_path):
     assert rows(spark.read.parquet(f"{tmp_path}/out")) == sorted(want, key=repr)
 
 
+def test_streamed_paths_share_calls(spark, tmp_path):
+    schema = "path string, content_hash string, batch long"
+    got = {}
+    for groups in (1, 7, 1 << 14):
+        at = f"{tmp_path}/{groups}"
+        for n, hashes in ((1, {f"f{i}": "a" for i in range(60)}), (2, {f"f{i}": "b" if i % 3 else None for i in range(10, 70)}), (3, {f"f{i}": None for i in range(70)}), (4, {"f9": "a"})):
+            spark.createDataFrame([(p, h, n) for p, h in hashes.items()], schema).write.mode("append").parquet(f"{at}/in")
+            stream = activity.changed_files(activity.read_activity(spark, f"{at}/in", schema), groups)
+            q = stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start(f"{at}/out")
+            q.awaitTermination()
+            # as many keys in the state as there are groups at most, none without a path left
+            keys = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+            assert keys <= groups and (keys == 0) == (n == 3)
+        got[groups] = rows(spark.read.parquet(f"{at}/out"))
+    first = [(f"f{i}", "added", 1) for i in range(60)]
+    second = [(f"f{i}", "removed" if i % 3 == 0 else "modified", 2) for i in range(10, 60)] + [(f"f{i}", "added", 2) for i in range(60, 70) if i % 3]
+    third = [(f"f{i}", "removed", 3) for i in range(70) if i < 10 or i % 3]
+    assert got[1] == got[7] == got[1 << 14] == sorted([*first, *second, *third, ("f9", "added", 4)], key=repr)
+
+
 def test_a_name_with_a_third_of_the_symbols_stays_one_candidate_set(spark):
     symbols = spark.range(3000).selectExpr("concat('s', id) as id", "if(id % 3 = 0, 'get', concat('f', id)) as name", "concat('p', id % 50) as file_path", "if(id % 7 = 0, 'C', null) as scope")
     refs = spark.range(2000).selectExpr("id as ref_id", "if(id % 2 = 0, 'get', concat('f', id)) as name", "concat('q', id) as file_path", "cast(null as string) as scope")
