@@ -34,6 +34,8 @@ CHUNK = 1 << 20
 L2, L3 = 500.0, 4.0
 #: Numbers of what is no known word: an unknown word, two marks of a text's begin, nothing.
 UNKNOWN, BEGIN2, BEGIN1, NOTHING, FIRST = 0, 1, 2, 3, 4
+#: Places looked up at a time.
+PLACES = 1 << 17
 _END = b" "  # no word holds a space
 
 
@@ -70,6 +72,23 @@ def _runs(sorted_: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(sorted_[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(sorted_)], strict=True)) if len(heads) else []
 
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys and the place of each key among them, as np.unique has it with less memory."""
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    key = key[new]
+    of = np.empty(len(order), np.int32)  # of a chunk or shard
+    of[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return key, of
+
+
+def _sliced(find, *columns: np.ndarray) -> np.ndarray:
+    """``find`` of slices of PLACES places each, so that what it holds on the way is bounded."""
+    return np.concatenate([np.empty(0, np.int64), *(find(*(c[i : i + PLACES] for c in columns)) for i in range(0, len(columns[0]), PLACES))])
+
+
 class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
@@ -121,11 +140,12 @@ def chunks(docs: DataFrame, learn: Column, id_col: str, text_col: str, most: int
                 ["chunk", "ids", "n_words", "n_learn", "n_tokens", "a", "b", "c", "d"])
 
         for b in batches:
+            own = b.column(0).take(pa.array(range(b.num_rows), pa.int64()))  # a slice of the column itself holds the whole batch
             for i in range(b.num_rows):
                 words = b.column(2)[i].as_py().lower().split()  # of bytes: A-Z and ASCII white space alone
                 words.append(_END)
                 ints.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
-                ids.append(b.column(0).slice(i, 1))
+                ids.append(own.slice(i, 1))
                 learns.append(b.column(1)[i].as_py())
                 size += len(words)
                 if size >= most:
@@ -201,21 +221,22 @@ class Windows:
         n, learn = texts >> 1, (texts & 1).astype(bool)
         first = np.cumsum(n + 2) - (n + 2)
         own = np.append(np.array([UNKNOWN, BEGIN2, BEGIN1, NOTHING], np.int64), number)  # places of this chunk's words, after the marks
-        seq = np.empty(int((n + 2).sum()), np.int64)
+        seq = np.empty(int((n + 2).sum()), np.int32)
         inner = np.ones(len(seq), bool)
         seq[first], seq[first + 1], inner[first], inner[first + 1] = BEGIN2, BEGIN1, False, False
         seq[inner] = tokens + FIRST
-        seq = np.where(own[seq] == UNKNOWN, UNKNOWN, seq)
+        seq[own[seq] == UNKNOWN] = UNKNOWN
         self.seq, self.inner, self.first, self.n = seq, inner, first, n
-        u, v, w = seq, np.append(seq[1:], UNKNOWN), np.append(seq[2:], [NOTHING] * min(2, len(seq)))[: len(seq)]
-        w = np.where(w == UNKNOWN, NOTHING, w)
+        u, v, w = seq, np.append(seq[1:], np.int32(UNKNOWN)), np.append(seq[2:], np.full(min(2, len(seq)), NOTHING, np.int32))[: len(seq)]
+        w[w == UNKNOWN] = NOTHING
         w[first + n] = NOTHING
         v[first + n + 1] = UNKNOWN  # what follows a text's end
-        self.at = np.flatnonzero((u != UNKNOWN) & (v != UNKNOWN))  # the rest has no context to look up
-        pair, of = np.unique(u[self.at] << 32 | v[self.at], return_inverse=True)
-        run, self.of = np.unique(of << 32 | w[self.at], return_inverse=True)
+        self.at = np.flatnonzero((u != UNKNOWN) & (v != UNKNOWN)).astype(np.int32)  # the rest has no context to look up
+        pair, of = _distinct(u[self.at].astype(np.int64) << 32 | v[self.at])
+        run, self.of = _distinct(of.astype(np.int64) << 32 | w[self.at])
+        del of, v, w
         count = np.bincount(self.of, np.repeat(learn, n + 2)[self.at], len(run)).astype(np.int64)
-        self.run_pair, self.w, self.count = run >> 32, own[run & 0xFFFFFFFF], count
+        self.run_pair, self.w, self.count = (run >> 32).astype(np.int32), own[run & 0xFFFFFFFF], count
         self.u, self.v = own[pair >> 32], own[pair & 0xFFFFFFFF]
 
     def dealt(self, n: int, hot: dict[str, np.ndarray]) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -291,24 +312,24 @@ def look_up(ready: DataFrame, n: int, hot: dict[str, np.ndarray], with_tries: bo
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _grouped(batches, "shard"):
-            u, v, each, w, c = (np.concatenate([unpack(r[x]) for r in rows]) for x in "uvnwc")
             sizes = [(int.from_bytes(r["u"][:8], "little"), int.from_bytes(r["w"][:8], "little")) for r in rows]
             chunk = [r["chunk"] for r in rows]
-            del rows
-            first, of_u = np.unique(u, return_inverse=True)
-            pair, of_pair = np.unique(of_u << 42 | v, return_inverse=True)  # a shard has far fewer than 2^21 different first words
-            run, of_run = np.unique(np.repeat(of_pair, each).astype(np.uint64) << np.uint64(42) | w.astype(np.uint64), return_inverse=True)
-            del u, v, w
-            at, word, count = (run >> np.uint64(42)).astype(np.int64), (run & np.uint64((1 << 42) - 1)).astype(np.int64), np.bincount(of_run, c, len(run)).astype(np.int64)
+            column = lambda x, rows=rows: np.concatenate([unpack(r.pop(x)) for r in rows])
+            first, of_u = _distinct(column("u"))
+            pair, of_pair = _distinct(of_u.astype(np.int64) << 42 | column("v"))  # a shard has far fewer than 2^21 different first words
+            run, of_run = _distinct(np.repeat(of_pair, column("n")).astype(np.uint64) << np.uint64(42) | column("w").view(np.uint64))
+            at, word, count = (run >> np.uint64(42)).astype(np.int64), (run & np.uint64((1 << 42) - 1)).astype(np.int64), np.bincount(of_run, column("c"), len(run)).astype(np.int64)
             pu, pv = first[pair >> 42], pair & ((1 << 42) - 1)
-            del run, pair, of_u, each, c
+            del run, pair, of_u
             made = _shard_trie(pu, pv, at, word, count, hot)
             trie = Trie(made)
-            node = trie.pair(pu, pv)
+            node = _sliced(trie.pair, pu, pv)
             there = node >= 0
             share, weight = quantise(np.zeros(len(pu))), quantise(np.ones(len(pu)))
             share[there], weight[there] = trie.pair_share[node[there]], trie.back_off[node[there]]
-            leaf = trie.triple(node[at], word)
+            del pu, pv, there, count
+            leaf = _sliced(trie.triple, node[at], word)
+            del at, node
             third = quantise(np.zeros(len(word)))
             third[leaf >= 0] = trie.triple_share[leaf[leaf >= 0]]
             p = q = 0
@@ -338,20 +359,27 @@ def _scores(ready: DataFrame, found: DataFrame, n: int, hot: dict[str, np.ndarra
         for _, rows in _grouped(seen(), "chunk"):
             own, answers = rows[0], {r["part"]: r for r in rows[1:]}
             win, counts = _windows(own), np.append(np.zeros(FIRST, np.int64), unpack(own["b"]))
+            del rows, own["a"], own["c"]
             q2, b3, q3 = np.zeros(len(win.u)), np.ones(len(win.u)), np.zeros(len(win.w))
             for s, runs, pairs, _ in win.dealt(n, hot):
-                a = answers[s]
+                a = answers.pop(s)
                 q2[pairs], b3[pairs], q3[runs] = shares(unpack(a["a"])), shares(unpack(a["b"])), shares(unpack(a["c"]))
             # of each place of the padded texts what the run that starts there says
             size = len(win.seq)
             third, weight, second = np.zeros(size), np.ones(size), np.zeros(size)
             third[win.at], weight[win.at], second[win.at] = q3[win.of], b3[win.run_pair[win.of]], q2[win.run_pair[win.of]]
+            del q2, b3, q3, win.at, win.of, win.run_pair, win.u, win.v, win.w, win.count
             count = counts[win.seq]
             before = np.where(win.seq == BEGIN1, texts, count).astype(float)
             lower = L2 / (before + L2)
+            del before
             here = np.flatnonzero(win.inner)
             base = (count[here] + 1) / (tokens + 1 * (words + 1))
-            p = third[here - 2] + weight[here - 2] * (second[here - 1] + lower[here - 1] * base)
+            p = lower[here - 1] * base
+            p += second[here - 1]
+            p *= weight[here - 2]
+            p += third[here - 2]
+            del third, weight, second, lower
             heads = np.cumsum(win.n) - win.n
             yield pa.RecordBatch.from_arrays(
                 [pa.array(own["ids"], kind), pa.array((unpack(own["d"]) & 1).astype(bool)), pa.array(win.n), pa.array(np.add.reduceat((count[here] > 0).astype(np.int64), heads)), pa.array(np.full(len(win.n), tokens)), pa.array(np.add.reduceat(np.log10(base), heads)), pa.array(np.add.reduceat(np.log10(p), heads))],

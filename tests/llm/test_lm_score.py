@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from archgraph.llm.lm_score import L2, L3, pack, score_texts, unpack
+from archgraph.llm.lm_score import FIRST, L2, L3, Windows, pack, score_texts, unpack
 from archgraph.llm.ngram_trie import EliasFano, Trie, quantise, shares
 
 SCHEMA = "doc_id long, text string, part long, k string, a binary, learned int"
@@ -146,3 +147,15 @@ def test_packing():
     for a in (np.empty(0, np.int64), np.array([-1, 0, 1 << 62]), np.arange(1000)):
         assert (unpack(pack(a)) == a).all()
     assert (np.abs(shares(quantise(np.array([0.0, 1e-9, 0.3, 1.0]))) / np.array([1, 1e-9, 0.3, 1.0]) - [0, 1, 1, 1]) < 1e-3).all()
+
+
+def test_runs_of_a_chunk_take_bounded_memory():
+    rng = np.random.default_rng(1)
+    size = 200_000
+    number, tokens, texts = np.arange(FIRST, FIRST + 30_000), rng.integers(0, 30_000, size), np.full(size // 100, 100 * 2 + 1)
+    tracemalloc.start()
+    win = Windows(number, tokens, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert win.count.sum() == size + len(texts)  # each place but a text's last two starts a run of known words
+    assert peak < 95 * size
