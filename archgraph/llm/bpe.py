@@ -17,10 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import kept
 from .matrix_bpe import BYTE_LEVEL, MatrixMerger, PairTable, Units, portions
 
-_WORKER: dict = {}
-
 
 class Codec:
     """Encoder and decoder of one rank file with one pattern for pre-tokens."""
@@ -58,9 +57,7 @@ class Codec:
 
 def codec(path: str, pattern: str) -> Codec:
     """The codec of this process."""
-    if (path, pattern) not in _WORKER:
-        _WORKER[path, pattern] = Codec(path, pattern)
-    return _WORKER[path, pattern]
+    return kept(("bpe", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:

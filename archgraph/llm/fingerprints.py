@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import in_cells, segments, settle
+from .base import in_cells, kept, segments, settle
 from .matrix_bpe import portions
 
 #: Terms kept by a worker with their votes; a full table starts anew.
@@ -63,13 +63,8 @@ class Voter:
         return out
 
 
-_WORKER: dict[int, Voter] = {}
-
-
 def _voter(seed: int) -> Voter:
-    if seed not in _WORKER:
-        _WORKER[seed] = Voter(seed)
-    return _WORKER[seed]
+    return kept(("voter", seed), lambda: Voter(seed))
 
 
 def fingerprints(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .base import kept
 from .matrix_bpe import portions
 
 _MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
@@ -190,15 +191,17 @@ def train(docs: DataFrame, labels: DataFrame, config: Config = Config(), label:
     return fit([r["text"] for r in got], [min(1, max(0, r["y"])) for r in got], config)
 
 
-_WORKER: dict = {}
+#: Texts that are Python strings at a time.
+ROWS = 1024
 
 
-def _score(shared, texts: list[str | None]) -> np.ndarray:
+def _score(shared, column: pa.Array) -> np.ndarray:
     """Scores with the tables of this process, which serves one model at a time."""
-    if _WORKER.get("of") is not shared:
-        _WORKER.update(of=shared, scorer=Scorer(shared.value))
-    texts = [s or "" for s in texts]
-    return np.concatenate([np.empty(0), *(_WORKER["scorer"](texts[part]) for part in portions(texts))])
+    scorer, out = kept(("quality", shared), lambda: Scorer(shared.value)), [np.empty(0)]
+    for i in range(0, len(column), ROWS):
+        texts = [s or "" for s in column.slice(i, ROWS).to_pylist()]
+        out += [scorer(texts[part]) for part in portions(texts)]
+    return np.concatenate(out)
 
 
 def quality_scores(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -211,7 +214,7 @@ def quality_scores(docs: DataFrame, model: Model, threshold: float = 0.3) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_score(shared, b.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_score(shared, b.column(1)), pa.float64())], ["doc_id", "score"])
 
     src = docs.select("doc_id", "text")
     out = src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, score double")
@@ -224,6 +227,6 @@ def keep_quality(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(_score(shared, b.column(at).to_pylist()) >= threshold))
+            yield b.filter(pa.array(_score(shared, b.column(at)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -17,10 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import kept
 from .matrix_bpe import MatrixMerger, PairTable, Units, portions
 
-_WORKER: dict = {}
-
 
 def byte_of_char() -> dict[str, int]:
     """The byte behind each character of a byte-level vocabulary: printable Latin-1 stands for itself, the rest follows from U+0100."""
@@ -57,7 +56,8 @@ def whole_tokens(path: str) -> frozenset[bytes]:
 
 def counts(path: str, whole: frozenset[bytes], texts: list[str]) -> list[int]:
     """The number of tokens of each text, with the tables of this process."""
-    if path not in _WORKER:
+
+    def units() -> Units:
         from tokenizers import Tokenizer
 
         v, library = Vocabulary(path), Tokenizer.from_file(path)
@@ -76,8 +76,9 @@ def counts(path: str, whole: frozenset[bytes], texts: list[str]) -> list[int]:
                 out[i] = len(ids)
             return out
 
-        _WORKER[path] = Units(split, value, 0, v.cuts, v.special)
-    return [sum(row) for row in _WORKER[path].batch(texts)]
+        return Units(split, value, 0, v.cuts, v.special)
+
+    return [sum(row) for row in kept(("tokens", path), units).batch(texts)]
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ import public_tokenizers as P
 import tiktoken
 from tokenizers import Tokenizer
 
-from archgraph.llm import bpe, matrix_bpe, token_count
+from archgraph.llm import base, bpe, fingerprints, matrix_bpe, token_count
 from archgraph.llm.matrix_bpe import portions
 
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_multi_50k.tiktoken")
@@ -87,3 +87,11 @@ def test_small_tables_change_nothing(monkeypatch):
     monkeypatch.setattr(matrix_bpe, "ENTRIES", 50)
     enc, c, some = library(), bpe.Codec(RANKS, P.PATTERN), texts()[:900]
     assert [i for j in range(0, 900, 90) for i in c.encode(some[j : j + 90])] == [enc.encode_ordinary(s) for s in some]
+
+
+def test_a_worker_holds_the_tables_of_one_operator_at_a_time():
+    voter = fingerprints._voter(0)
+    assert fingerprints._voter(0) is voter
+    made = bpe.codec(RANKS, P.PATTERN)
+    assert list(base._KEPT.values()) == [made]
+    assert fingerprints._voter(0) is not voter
