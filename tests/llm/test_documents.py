@@ -12,7 +12,7 @@ import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from archgraph.llm import fingerprints, line_dedup, mixing, quality, queries, simhash_dedup
+from archgraph.llm import base, fingerprints, line_dedup, mixing, quality, queries, simhash_dedup
 
 SF = "/root/testdata/sf0.01"
 
@@ -176,6 +176,21 @@ def test_line_links_against_brute_force(spark):
     assert found[-2:] == [True, True]
 
 
+def test_keys_of_lines_go_once_their_buckets_are_written(spark, monkeypatch):
+    write, held = line_dedup.settle, {}
+
+    def settle(df, name, **options):
+        held.setdefault(name, [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in base.PATHS if p not in before])
+        return write(df, name, **options)
+
+    before = set(base.PATHS)
+    monkeypatch.setattr(line_dedup, "settle", settle)
+    docs = spark.createDataFrame([(1, "A line that is said twice over, or nearly so"), (2, "A line that is said twice over, or nearly, so\nand one more")], "doc_id long, text string")
+    assert [r["text"] for r in line_dedup.dedup_lines(docs).orderBy("doc_id").collect()] == ["A line that is said twice over, or nearly so", "and one more"]
+    assert "lines" not in held["buckets"]
+    assert not {"lines", "distinct"} & set(held["stars"])
+
+
 def test_lines_that_differ_in_digits_are_verified(spark):
     text = "Sum 1,203,441.50 of 88,127,405\nSum 7.25 of 3,960,118,226,914\nSum 1,203,441.50 of 88,127,406"
     got = line_dedup.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
