@@ -191,6 +191,59 @@ def test_keys_of_lines_go_once_their_buckets_are_written(spark, monkeypatch):
     assert not {"lines", "distinct"} & set(held["stars"])
 
 
+def _lines_of_own_words(rng, n, words, inside):
+    """Lines of words that no other line has, around the words ``inside`` at the same place."""
+    own = lambda k: ["".join(rng.choice("etaoinshrdlucmfw") for _ in range(9)) for _ in range(k)]
+    return [" ".join([*own(words // 2), *inside, *own(words // 2)]) for _ in range(n)]
+
+
+def test_frequent_words_alone_make_no_candidates(spark, monkeypatch):
+    rng, write, rows = random.Random(11), line_dedup.settle, {}
+
+    def settle(df, name, **options):
+        out = write(df, name, **options)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "settle", settle)
+    lines = [x for some in ("of the the", "in of the", "the and a", "to the of", "and in the", "a of the") for x in _lines_of_own_words(rng, 5, 30, some.split())]
+    _, _, links = line_dedup.line_links(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert links.count() == 0
+    assert rows["stars"] == 0 and rows["rest"] == 0
+
+
+def test_pairs_are_verified_in_slices_after_their_buckets_went(spark, monkeypatch):
+    rng, write, held, calls = random.Random(12), line_dedup.settle, {}, Counter()
+
+    def settle(df, name, **options):
+        calls[name] += 1
+        held.setdefault(name, {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in base.PATHS if p not in before})
+        return write(df, name, **options)
+
+    passage = "quarterly statement about earnings before interest payments".split()
+    lines = _lines_of_own_words(rng, 5, 30, passage)
+    lines += [x.replace(passage[0], "yearly") for x in lines]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    whole = sorted(line_dedup.dropped_lines(docs).collect())
+    assert [r["doc_id"] for r in whole] == [5, 6, 7, 8, 9]
+    before = set(base.PATHS)
+    monkeypatch.setattr(line_dedup, "settle", settle)
+    monkeypatch.setattr(line_dedup, "SLICE", 2)
+    assert sorted(line_dedup.dropped_lines(docs).collect()) == whole
+    assert calls["edges"] > 1 and calls["extra"] > 1
+    assert not {"buckets", "more", "split", "stars"} & held["extra"]
+
+
+def test_grams_must_stand_where_the_edits_can_have_left_them(spark):
+    """Shapes of 100 characters in 20 words: 20 edits move a gram by 20 characters before and behind it together."""
+    shape = lambda size, words, place: (size << 36) | (words << 18) | place
+    rows = [(shape(100, 20, 10), shape(100, 20, 20), True), (shape(100, 20, 10), shape(100, 20, 21), False), (shape(100, 20, 10), shape(80, 16, 10), True), (shape(100, 20, 10), shape(79, 16, 10), False), (shape(9 << 16, 20, 65535), shape(9 << 16, 20, 3), True)]
+    got = spark.createDataFrame(rows, "a long, b long, close boolean").select("close", line_dedup._close("a", "b", 0.8).alias("got")).collect()
+    assert [r["got"] for r in got] == [r["close"] for r in got]
+    keys = spark.createDataFrame([("international statements of quarterly earnings",)], "n string").select(line_dedup._keys(F.col("n")).alias("k")).first()["k"]
+    assert {k & 65535 for k in keys} == {0, 13, 23, 25, 34}
+
+
 def test_lines_that_differ_in_digits_are_verified(spark):
     text = "Sum 1,203,441.50 of 88,127,405\nSum 7.25 of 3,960,118,226,914\nSum 1,203,441.50 of 88,127,406"
     got = line_dedup.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
