@@ -244,6 +244,25 @@ def test_grams_must_stand_where_the_edits_can_have_left_them(spark):
     assert {k & 65535 for k in keys} == {0, 13, 23, 25, 34}
 
 
+def test_pieces_prove_long_lines_and_only_such_as_link(spark):
+    rng = random.Random(13)
+    text = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    rows = []
+    for n in (96, 97, 300, 3000):
+        a = text(n)
+        cut, edits = rng.randrange(n), sorted(rng.sample(range(n), n // 50))
+        some = "".join("" if i in edits[::2] else "xy" if i in edits else c for i, c in enumerate(a))
+        rows += [(True, a, a), (True, a, some), (True, a, a[:cut] + text(n // 9) + a[cut:]), (True, a[: n // 3] + a[n // 3 + n // 9 :], a)]
+        rows += [(False, a, text(n)), (False, a, a[: n // 2] + text(n // 2)), (False, a[::-1], a), (False, a, a[: n // 3])]
+        rows += [(None, a, "".join(rng.choice("xyz") if rng.random() < 0.2 else c for c in a)), (None, a, "".join(c if rng.random() < 0.9 else c + text(2) for c in a))]
+    t = spark.createDataFrame(rows, "near boolean, a string, b string").withColumn("most", F.floor(F.greatest(F.length("a"), F.length("b")) * 0.2).cast("int"))
+    got = t.select("near", line_dedup._proven(F.col("a"), F.col("b"), F.col("most")).alias("proven"), F.expr("levenshtein(a, b) <= most").alias("links"), F.length("a").alias("n")).collect()
+    assert not [r for r in got if r["proven"] and not r["links"]]
+    assert not [r for r in got if r["near"] is False and r["links"]]
+    long = [r for r in got if r["near"] and r["n"] > 200]
+    assert len(long) == 8 and all(r["proven"] for r in long)
+
+
 def test_lines_that_differ_in_digits_are_verified(spark):
     text = "Sum 1,203,441.50 of 88,127,405\nSum 7.25 of 3,960,118,226,914\nSum 1,203,441.50 of 88,127,406"
     got = line_dedup.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
