@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from archgraph import shared
 from archgraph.operators import changes
-from archgraph.plans import state
+from archgraph.plans import queries, state
 from archgraph.streaming import activity
 
 SYMBOL = "id string, file_path string, service string, language string, kind string"
@@ -187,3 +188,17 @@ def test_no_id_is_broadcast_when_a_scope_goes(spark):
     assert "BroadcastHashJoin [id" not in (plan := kept._jdf.queryExecution().executedPlan().toString()) and "SortMergeJoin [id" in plan
     assert e._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") >= 2
     assert rows(e.select("source", "target", "kind")) == [("s2", "s3", "calls"), ("s5", "s6", "calls"), ("s8", "s0", "calls")]
+
+
+def test_one_shuffle_of_edges_and_one_version_stand_on_disk(spark, tmp_path, monkeypatch):
+    plans, commit = [], state.ProjectState.commit
+    monkeypatch.setattr(state.ProjectState, "commit", lambda self, tables, *a: (plans.append(tables["edges"]._jdf.queryExecution().sparkPlan().toString()), commit(self, tables, *a))[1])
+    monkeypatch.setattr(queries, "shared_dir", lambda spark: f"file://{tmp_path}")
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: f"file://{tmp_path}")
+    out = queries.QUERIES["g6_state_components"](spark, "/root/testdata/sf0.001")
+    assert plans[1].count("SortMergeJoin") == 1  # of the second index; each join before it was written
+    versions = [p.parent.name for p in tmp_path.rglob("language=*")]  # service=..
+    held = {(p.parts[-4], p.parts[-2], p.parts[-1]) for p in tmp_path.rglob("language=*")}
+    assert versions and len(held) == len(versions)
+    assert not [p for p in tmp_path.rglob("*.parquet") if "/state-" not in str(p)]
+    assert out.count() > 0
