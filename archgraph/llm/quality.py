@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import kept
+from .base import give_back, kept
 from .matrix_bpe import portions
 
 _MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, config: Config = Config(), label:
 
     The sample is taken by the order of a hash of the id, in whole texts; a text that does not fit is passed over. Rows with a null id or
     label are not used; of an id with several labels the largest counts, of one with several
-    texts the least. Without labelled rows every score is 0.5.
+    texts the least. Without labelled rows every score is 0.5. What the fit took of the driver's memory is given back.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     known = known.filter(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.max_rows)  # as many rows at any size
@@ -188,7 +188,10 @@ def train(docs: DataFrame, labels: DataFrame, config: Config = Config(), label:
     if ids:
         chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], docs.select("doc_id").schema)
         got = sorted(rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "text", "y").collect())
-    return fit([r["text"] for r in got], [min(1, max(0, r["y"])) for r in got], config)
+    model = fit([r["text"] for r in got], [min(1, max(0, r["y"])) for r in got], config)
+    del got
+    give_back()  # the driver goes on with other work
+    return model
 
 
 #: Texts that are Python strings at a time.

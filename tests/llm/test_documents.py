@@ -263,6 +263,25 @@ def test_pieces_prove_long_lines_and_only_such_as_link(spark):
     assert len(long) == 8 and all(r["proven"] for r in long)
 
 
+def test_the_driver_gives_back_what_the_fit_took(spark, monkeypatch):
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    def fit(texts, labels, config):
+        blocks = [bytes(3000) for _ in range(100_000)]
+        pins.extend(blocks[::1000])  # what stays keeps the C library from giving back what is below it
+        return len(texts)
+
+    pins, calls, back = [], [], base.give_back
+    monkeypatch.setattr(quality, "fit", fit)
+    monkeypatch.setattr(quality, "give_back", lambda: (calls.append(held()), back(), calls.append(held())))
+    docs = spark.createDataFrame([(i, "a text of words") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    assert quality.train(docs, labels) > 0
+    assert len(calls) == 2 and calls[0] - calls[1] > 150
+
+
 def test_lines_that_differ_in_digits_are_verified(spark):
     text = "Sum 1,203,441.50 of 88,127,405\nSum 7.25 of 3,960,118,226,914\nSum 1,203,441.50 of 88,127,406"
     got = line_dedup.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
